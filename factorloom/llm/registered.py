@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.llm.embedding_dedup import embedding_near_dedup
+from factorloom.llm.jaccard_groups import shingle_components
 from factorloom.llm.recompression import substring_dedup
 from factorloom.llm.suffix_dedup import suffix_dedup
 
@@ -18,12 +20,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op3_substring_dedup]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op9_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
