@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.llm.embedding_dedup import embedding_near_dedup
 from factorloom.llm.jaccard_groups import shingle_components
+from factorloom.llm.packing import pack_documents
 from factorloom.llm.recompression import substring_dedup
 from factorloom.llm.suffix_dedup import suffix_dedup
 
@@ -28,12 +29,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op9_embedding_dedup]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op9_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
