@@ -11,6 +11,7 @@ from factorloom.llm.embedding_dedup import embedding_near_dedup
 from factorloom.llm.jaccard_groups import shingle_components
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.recompression import substring_dedup
+from factorloom.llm.secrets import scan_secrets
 from factorloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -34,6 +35,10 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +48,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op9_embedding_dedup, op10_spaced_seeds]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op9_embedding_dedup, op10_spaced_seeds]
     return {f.__name__: f for f in found}
 
 
