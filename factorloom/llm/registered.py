@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.llm import decontamination
 from factorloom.llm.embedding_dedup import embedding_near_dedup
+from factorloom.llm.html_text import extract_pages
 from factorloom.llm.jaccard_groups import shingle_components
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.recompression import substring_dedup
@@ -44,6 +45,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +58,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op7_toxicity, op9_embedding_dedup, op10_spaced_seeds]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds]
     return {f.__name__: f for f in found}
 
 
