@@ -12,7 +12,7 @@ from factorloom.llm.html_text import extract_pages
 from factorloom.llm.jaccard_groups import shingle_components
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.recompression import substring_dedup
-from factorloom.llm.secrets import scan_secrets
+from factorloom.llm.secret_scan import scan_secrets
 from factorloom.llm.suffix_dedup import suffix_dedup
 from factorloom.llm.toxicity import toxicity_scores
 
