@@ -10,6 +10,7 @@ from factorloom.llm import decontamination
 from factorloom.llm.embedding_dedup import embedding_near_dedup
 from factorloom.llm.html_text import extract_pages
 from factorloom.llm.jaccard_groups import shingle_components
+from factorloom.llm.language_model import lm_scores
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.recompression import substring_dedup
 from factorloom.llm.secret_scan import scan_secrets
@@ -41,6 +42,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +63,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op6_lm_scores, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds]
     return {f.__name__: f for f in found}
 
 
