@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from factorloom.llm import blobs
 from factorloom.llm.components import connected_components, saved
 from factorloom.llm.embedding_dedup import least_labels
-from factorloom.llm.text_arrays import Rolling, Words, mix, ranges
+from factorloom.llm.text_arrays import Rolling, Words, mix, ranges, small_batches
 from factorloom.shipping import ship
 
 _U = np.uint64
@@ -40,20 +40,6 @@ BLOCK, LEADERS, GROUP = 1024, 64, 16
 SAMPLE, SMALL = 3, 96
 #: parts beyond the most that linked sets differ in; sets with more empty parts go by single shingles
 SLACK = 3
-BATCH_BYTES = 2_000_000
-
-
-def text_slices(texts: list[bytes | None], limit: int = BATCH_BYTES) -> Iterator[slice]:
-    """Runs of texts of about ``limit`` bytes; a longer text is a run of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or b"") > limit:
-            yield slice(start, i)
-            start = i
-            size = 0
-        size += len(t or b"")
-    if start < len(texts):
-        yield slice(start, len(texts))
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,13 +154,11 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch["doc_id"], [t.encode() if t else b"" for t in batch["text"].to_pylist()]
-            for s in text_slices(texts):
-                tokens, at = shingle_sets(texts[s], size)
-                sums = [np.append(_U(0), np.cumsum(mix(tokens + _U(k)))) for k in (1, 2)]
-                marks = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-                yield pa.RecordBatch.from_pydict({"doc_id": ids[s.start : s.stop], "n_shingles": pa.array(np.diff(at), pa.int64()), "s1": marks[0], "s2": marks[1]})
+        for batch in small_batches(batches):
+            tokens, at = shingle_sets([t.encode() if t else b"" for t in batch["text"].to_pylist()], size)
+            sums = [np.append(_U(0), np.cumsum(mix(tokens + _U(k)))) for k in (1, 2)]
+            marks = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_shingles": pa.array(np.diff(at), pa.int64()), "s1": marks[0], "s2": marks[1]})
 
     signed = saved(docs.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long"))
     reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -289,15 +273,19 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         dealt = rows.withColumn("task", F.pmod(F.xxhash64("family", "part", "block"), F.lit(tasks)).cast("int"))
         return dealt.join(sets, "doc_id").groupBy("task").applyInArrow(compare, "a long, b long")
 
-    rank = F.row_number().over(Window.partitionBy("family", "block").orderBy("doc_id"))
-    own = placed.select("doc_id", "family", "block", F.lit(0).alias("part"), F.lit(True).alias("member"), F.lit(True).alias("query"))
+    def members(rows: DataFrame, part: int = 0) -> DataFrame:
+        return rows.select("doc_id", "family", "block", F.lit(part).alias("part"), F.lit(True).alias("member"), F.lit(True).alias("query"))
+
+    # a family of one block is settled by its task: what it sends are its components
+    found = links(members(placed.where("blocks = 1"))).select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = placed.where("blocks > 1")
-    leaders = large.withColumn("rank", rank).where(F.col("rank") * F.col("blocks") <= LEADERS + F.col("blocks"))
-    visiting = leaders.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)"))).where("to <> block").select("doc_id", "family", F.col("to").alias("block"), F.lit(0).alias("part"), F.lit(True).alias("member"), F.lit(False).alias("query"))
-    edges = saved(links(own.unionByName(visiting)).distinct())
-    found = connected_components(edges)
     if large.limit(1).count():
-        now = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        rank = F.row_number().over(Window.partitionBy("family", "block").orderBy("doc_id"))
+        leaders = large.withColumn("rank", rank).where(F.col("rank") * F.col("blocks") <= LEADERS + F.col("blocks"))
+        visiting = leaders.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)"))).where("to <> block").select("doc_id", "family", F.col("to").alias("block"), F.lit(0).alias("part"), F.lit(True).alias("member"), F.lit(False).alias("query"))
+        edges = saved(links(members(large).unionByName(visiting)).distinct())
+        now = connected_components(edges)
+        now = saved(large.join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
         counts = now.groupBy("family", "component").agg(F.count("*").alias("rows"))
         main = counts.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
         rest = now.join(main, "family").where("component <> main").withColumn("part", (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks"))).cast("int"))
@@ -306,8 +294,12 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         parts = rest.select("family", "part").distinct()
         asked = large.join(parts, "family").select("doc_id", "family", "block", "part", F.lit(True).alias("member"), F.lit(False).alias("query"))
         met = asking.unionByName(asked).groupBy("doc_id", "family", "block", "part").agg(F.max("member").alias("member"), F.max("query").alias("query"))
-        edges = edges.unionByName(links(met))
-        found = connected_components(edges)
+        # components so far are the nodes of what is left to join
+        label = now.select("doc_id", "component")
+        more = links(met).join(label.select(F.col("doc_id").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("doc_id").alias("b"), F.col("component").alias("y")), "b")
+        merged = connected_components(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        ended = now.join(merged.select(F.col("node").alias("component"), F.col("component").alias("end")), "component", "left").select(F.col("doc_id").alias("node"), F.coalesce("end", "component").alias("component"))
+        found = found.unionByName(ended)
 
     same = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = signed.join(same, ["n_shingles", "s1", "s2"], "left")

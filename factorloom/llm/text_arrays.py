@@ -6,7 +6,11 @@ slice has the same hash in every task, partition and run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 5)
@@ -83,7 +87,7 @@ def join_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts: places in the joined bytes, hashes and first word of each text."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, hashes: bool = True):
         self.bytes, self.text_starts = join_texts(texts)
         space = np.zeros(256, bool)
         space[list(_SPACE_BYTES)] = True
@@ -92,10 +96,24 @@ class Words:
         edge = np.diff(inside)
         self.starts = np.flatnonzero(edge == 1)
         self.ends = np.flatnonzero(edge == -1)
-        self.hashes = Rolling(byte_values(lower)[self.bytes]).slices(self.starts, self.ends) if len(self.starts) else np.zeros(0, _U)
+        self.hashes = Rolling(byte_values(lower)[self.bytes]).slices(self.starts, self.ends) if hashes and len(self.starts) else np.zeros(0, _U)
         #: index of each text's first word, and the number of words at the end
         self.offsets = np.searchsorted(self.starts, self.text_starts)
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text; a longer text has a batch of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = held = 0
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
