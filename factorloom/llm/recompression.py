@@ -27,6 +27,8 @@ from factorloom.llm.text_arrays import Rolling, Words, mix, ranges
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 ROUNDS = 3
 _U = np.uint64
+_PLACE = np.uint64((1 << 28) - 1)
+_NONE = np.uint64((1 << 64) - 1)
 
 
 def runs_round(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -59,48 +61,52 @@ def word_runs(texts: list[bytes], size: int, rounds: int = ROUNDS) -> Runs:
     rolling = Rolling(words.hashes)
     counts = np.maximum(words.counts - size + 1, 0)
     windows, doc = ranges(words.offsets[:-1], counts), np.repeat(np.arange(len(texts)), counts)
-    best, where = np.full(n, np.iinfo(np.uint64).max, _U), np.zeros(n, np.int64)
     text_of = np.repeat(np.arange(len(texts)), words.counts)
     place = np.arange(n)
     symbols = (words.hashes, place, place, place + 1, text_of)
-    names = {}
-    for level in range(rounds + 1):
-        if level == 1:
-            symbols = runs_round(words.hashes, text_of)
-        if level and n:
-            symbols = pairs_round(*symbols, level)
-        name, start, low, high, _ = symbols
-        # the less the better: higher levels first, then by hash
-        rank = (_U(rounds - level) << _U(60)) | (mix(name + _U(level)) >> _U(4))
-        rows = (np.full(n, np.iinfo(np.uint64).max, _U), np.zeros(n, np.int64), np.full(n, n + size, np.int64), np.zeros(n, _U))
-        for row, value in zip(rows, (rank, low, high, name)):
-            row[start] = value
-        names[level] = rows[3]
-        for shift in range(size if n >= size else 0):
-            m = n - size + 1
-            inside = (rows[1][shift : shift + m] >= place[:m]) & (rows[2][shift : shift + m] <= place[:m] + size) & (rows[0][shift : shift + m] < best[:m])
-            hit = np.flatnonzero(inside)
-            best[hit] = rows[0][hit + shift]
-            where[hit] = hit + shift
-    level_of = (_U(rounds) - (best[windows] >> _U(60))).astype(np.int64)
-    at = where[windows]
+    levels = [symbols]
+    for level in range(1, rounds + 1):
+        symbols = pairs_round(*(runs_round(words.hashes, text_of) if level == 1 else symbols), level) if n else symbols
+        levels.append(symbols)
+
+    # the highest level that has a symbol inside, and of that the least by hash, the leftmost of equals
+    m = max(n - size + 1, 0)
+    best, level_at = np.full(m, _NONE), np.zeros(m, np.int8)
+    names = []
+    for level in range(rounds, -1, -1):
+        name, start, low, high, _ = levels[level]
+        rank, before, after = np.full(n, _NONE), np.full(n, -size, np.int8), np.full(n, size + 1, np.int8)
+        rank[start] = (mix(name + _U(level)) & ~_PLACE) | start.astype(_U)
+        before[start] = np.maximum(low - start, -size)
+        after[start] = np.minimum(high - start, size + 1)
+        names.append((start, name))
+        least = np.full(m, _NONE)
+        for shift in range(size if m else 0):
+            s = slice(shift, shift + m)
+            inside = (before[s] >= -shift) & (after[s] <= size - shift)
+            np.minimum(least, np.where(inside, rank[s], _NONE), out=least)
+        without = best == _NONE
+        best[without] = least[without]
+        level_at[without] = level
+        if not (best[windows] == _NONE).any():
+            break
+    at, level_of = (best[windows] & _PLACE).astype(np.int64), level_at[windows].astype(np.int64)
     tag = at * (rounds + 1) + level_of
     new = np.flatnonzero(np.append(True, tag[1:] != tag[:-1])) if len(windows) else windows
     first, last = windows[new], windows[np.append(new[1:], len(windows)) - 1] if len(windows) else windows
     anchor = np.zeros(len(new), _U)
-    for level, row in names.items():
-        of = level_of[new] == level
-        anchor[of] = row[at[new][of]]
+    for level, (start, name) in zip(range(rounds, -1, -1), names):
+        of = np.flatnonzero(level_of[new] == level)
+        anchor[of] = name[np.searchsorted(start, at[new[of]])]
     anchor = mix(anchor + level_of[new].astype(_U))
     content = mix(rolling.slices(first, last + size) + (at[new] - first).astype(_U))
-    return Runs(first, last, doc[new], anchor, content, lambda s: rolling.slices(s, s + size), words)
+    return Runs(first, last, doc[new], anchor, content, lambda s: rolling.slices(s, s + size))
 
 
-def remove_words(ids: list, texts: list[bytes], runs: Runs, settled: np.ndarray, repeated: np.ndarray, size: int) -> pa.Table:
-    """The digest of each document without the words that settled runs and repeated windows cover."""
-    words = runs.state
-    n = len(words.hashes)
-    gone = covered(n, np.concatenate([runs.first[settled], repeated]), np.concatenate([runs.last[settled], repeated]) + size)
+def remove_words(ids: list, texts: list[bytes], start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """The digest of each document without the words of the repeated intervals."""
+    words = Words(texts, hashes=False)
+    gone = covered(len(words.starts), start, end)
     data = words.bytes.copy()
     data[words.ends] = 32
     start, end = words.starts[~gone], words.ends[~gone] + 1  # each kept word and the space after it
@@ -123,4 +129,4 @@ def substring_dedup(docs: DataFrame, size: int = 13, rounds: int = ROUNDS) -> Da
     all. Rows with one doc_id never remove words from each other. An empty table gives
     no rows. Returns doc_id, n_words, n_removed, kept_sha256.
     """
-    return cut_repeats(docs, lambda t: word_runs(t, size, rounds), lambda *a: remove_words(*a, size), SCHEMA, same_doc=False)
+    return cut_repeats(docs, lambda t: word_runs(t, size, rounds), remove_words, SCHEMA, size, same_doc=False)

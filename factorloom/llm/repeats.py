@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,6 @@ class Runs:
     anchor: np.ndarray  # hash of the anchor
     content: np.ndarray  # hash of all that the run covers and of the anchor's offset in it
     hash_windows: Callable[[np.ndarray], np.ndarray]
-    state: Any = None  # what the last step needs of the cutter
 
 
 def anchor_flags(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, same_doc: bool) -> np.ndarray:
@@ -68,20 +66,38 @@ def later(keys: np.ndarray, doc: np.ndarray, same_doc: bool) -> np.ndarray:
     return out
 
 
-def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish: Callable[[list, list[bytes], Runs, np.ndarray, np.ndarray], pa.Table], schema: str, same_doc: bool) -> DataFrame:
-    """``finish(ids, texts, runs, settled runs' indices, repeated windows' starts)`` for each bucket of documents.
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same places as fewest intervals; start and end ascend."""
+    if not len(start):
+        return start.astype(np.int32), end.astype(np.int32)
+    apart = np.append(True, start[1:] > np.maximum.accumulate(end)[:-1])
+    return start[apart].astype(np.int32), np.maximum.reduceat(end, np.flatnonzero(apart)).astype(np.int32)
 
-    docs: doc_id, text. ``same_doc``: an earlier start in the same document counts too.
+
+_ROWS = "kb int, src int, kind int, body binary"
+_ASKED, _CARRIED = 0, 1
+
+
+def with_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.add_column(2, "kind", pa.array(np.full(table.num_rows, kind), pa.int32()))
+
+
+def of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.array(table["kind"].to_numpy() == kind, pa.bool_()))
+
+
+def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish: Callable[[list, list[bytes], np.ndarray, np.ndarray], pa.Table], schema: str, size: int, same_doc: bool) -> DataFrame:
+    """``finish(ids, texts, starts, ends)`` of the repeated intervals, for each bucket of documents.
+
+    docs: doc_id, text. ``size``: units in a window. ``same_doc``: an earlier start in the
+    same document counts too. What a bucket knows after the second step (its settled runs,
+    its open windows in the order in which it asked) travels with its questions, so the
+    last step need not cut the texts into runs again.
     """
     ship(docs.sparkSession)
     n_docs, n_keys = blobs.buckets_for(docs)
     docs = docs.select("doc_id", "text", blobs.bucket_of(F.col("doc_id"), n_docs).alias("src"))
 
-    def open_windows(runs: Runs, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        live = np.flatnonzero(flags == OPEN)
-        counts = runs.last[live] - runs.first[live] + 1
-        return ranges(runs.first[live], counts), np.repeat(runs.doc[live], counts)
-
     def send_anchors(table: pa.Table) -> pa.Table:
         ids, texts = blobs.sorted_docs(table)
         runs = cutter(texts)
@@ -93,27 +109,46 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
 
     def send_windows(table: pa.Table, said: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return blobs.packed_rows(0, np.zeros(0, np.uint64), n_keys)
+            return with_kind(blobs.packed_rows(0, np.zeros(0, np.uint64), n_keys), _ASKED)
+        src = table["src"][0].as_py()
         ids, texts = blobs.sorted_docs(table)
         runs = cutter(texts)
-        starts, doc = open_windows(runs, blobs.answers(said, runs.anchor, n_keys, "u1"))
-        return blobs.packed_rows(table["src"][0].as_py(), runs.hash_windows(starts), n_keys, blobs.id_order(ids)[doc])
+        flags = blobs.answers(said, runs.anchor, n_keys, "u1")
+        settled, live = np.flatnonzero(flags == SETTLED), np.flatnonzero(flags == OPEN)
+        counts = runs.last[live] - runs.first[live] + 1
+        starts, doc = ranges(runs.first[live], counts), np.repeat(runs.doc[live], counts)
+        keys = runs.hash_windows(starts)
+        asked = blobs.packed_rows(src, keys, n_keys, blobs.id_order(ids)[doc])
+        order, found, at = blobs.deal(keys, n_keys)
+        known = blobs.pack(*merged(runs.first[settled], runs.last[settled] + size)), blobs.pack(starts[order].astype(np.int32)), blobs.pack(found, at[:-1])
+        body = np.array([len(k) for k in known], np.int64).tobytes() + b"".join(known)
+        carried = pa.table({"kb": pa.array([src % n_keys], pa.int32()), "src": pa.array([src], pa.int32()), "body": pa.array([body], pa.binary())})
+        return pa.concat_tables([with_kind(asked, _ASKED), with_kind(carried, _CARRIED)])
 
     def answer_windows(table: pa.Table) -> pa.Table:
-        sources, sizes, (keys, doc) = blobs.gathered(table, "u8", "i8")
-        return blobs.answer_table(table["kb"][0].as_py(), sources, later(keys, doc, same_doc), sizes)
+        carried, asked = of_kind(table, _CARRIED).select(["kb", "src", "kind", "body"]), of_kind(table, _ASKED)
+        if not asked.num_rows:
+            return carried
+        sources, sizes, (keys, doc) = blobs.gathered(asked, "u8", "i8")
+        return pa.concat_tables([with_kind(blobs.answer_table(asked["kb"][0].as_py(), sources, later(keys, doc, same_doc), sizes), _ASKED), carried])
 
     def cut(table: pa.Table, said: pa.Table) -> pa.Table:
         ids, texts = blobs.sorted_docs(table)
-        runs = cutter(texts)
-        step = np.array(said["step"].to_pylist())
-        flags = blobs.answers(said.filter(pa.array(step == 1)), runs.anchor, n_keys, "u1")
-        starts, _ = open_windows(runs, flags)
-        repeated = blobs.answers(said.filter(pa.array(step == 2)), runs.hash_windows(starts), n_keys, "u1")
-        return finish(ids, texts, runs, np.flatnonzero(flags == SETTLED), starts[repeated == 1])
+        body = of_kind(said, _CARRIED)["body"][0].as_py()
+        edges = np.append(24, 24 + np.cumsum(np.frombuffer(body, np.int64, 3)))
+        runs, windows, dealt = (body[a:b] for a, b in zip(edges, edges[1:]))
+        opens, ends = blobs.unpack(runs, "i4", "i4")
+        (starts,) = blobs.unpack(windows, "i4")
+        found, at = blobs.unpack(dealt, "i8", "i8")
+        answers = of_kind(said, _ASKED)
+        got = dict(zip(answers["kb"].to_pylist(), answers["body"].to_pylist()))
+        repeated = np.zeros(len(starts), np.uint8)
+        for kb, a, b in zip(found.tolist(), at, np.append(at[1:], len(starts))):
+            repeated[a:b] = np.frombuffer(got[kb], np.uint8)
+        starts = starts[repeated == 1]
+        return finish(ids, texts, np.concatenate([opens, starts]), np.concatenate([ends, starts + size]))
 
     flags = docs.groupBy("src").applyInArrow(send_anchors, blobs.PACKED).groupBy("kb").applyInArrow(answer_anchors, blobs.PACKED)
-    windows = docs.groupBy("src").cogroup(flags.groupBy("src")).applyInArrow(send_windows, blobs.PACKED)
-    repeated = windows.groupBy("kb").applyInArrow(answer_windows, blobs.PACKED)
-    said = flags.withColumn("step", F.lit(1)).unionByName(repeated.withColumn("step", F.lit(2)))
+    windows = docs.groupBy("src").cogroup(flags.groupBy("src")).applyInArrow(send_windows, _ROWS)
+    said = windows.groupBy("kb").applyInArrow(answer_windows, _ROWS)
     return docs.groupBy("src").cogroup(said.groupBy("src")).applyInArrow(cut, schema)

@@ -24,7 +24,6 @@ from factorloom.llm.text_arrays import Rolling, byte_values, join_texts, mix, ra
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _PLACE = np.uint64((1 << 28) - 1)
-_ROWS = 1 << 18
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -54,13 +53,13 @@ def byte_runs(texts: list[bytes], length: int, block: int) -> Runs:
     new = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(windows) else windows
     first, last = windows[new], windows[np.append(new[1:], len(windows)) - 1] if len(windows) else windows
     content = mix(rolling.slices(first, last + length) + (place[new] - first).astype(np.uint64))
-    return Runs(first, last, doc[new], blocks[place[new]], content, lambda s: rolling.slices(s, s + length), (data, starts))
+    return Runs(first, last, doc[new], blocks[place[new]], content, lambda s: rolling.slices(s, s + length))
 
 
-def remove_bytes(ids: list, texts: list[bytes], runs: Runs, settled: np.ndarray, repeated: np.ndarray, length: int) -> pa.Table:
-    """The digest of each document without the bytes that settled runs and repeated windows cover."""
-    data, starts = runs.state
-    gone = covered(len(data), np.concatenate([runs.first[settled], repeated]), np.concatenate([runs.last[settled], repeated]) + length)
+def remove_bytes(ids: list, texts: list[bytes], start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """The digest of each document without the bytes of the repeated intervals."""
+    data, starts = join_texts(texts)
+    gone = covered(len(data), start, end)
     gone[starts[1:] - 1] = True  # the newlines between texts
     kept, at = data[~gone].tobytes(), np.append(0, np.cumsum(~gone))[starts]
     opens = np.append(0, np.cumsum(gone & ~np.append(True, gone[:-1])))
@@ -93,4 +92,4 @@ def suffix_dedup(docs: DataFrame, length: int = 100, block: int = 36) -> DataFra
     a repeated row of at least ``length`` bytes loses everything. An empty table gives
     no rows. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
     """
-    return cut_repeats(docs, lambda t: byte_runs(t, length, block), lambda *a: remove_bytes(*a, length), SCHEMA, same_doc=True)
+    return cut_repeats(docs, lambda t: byte_runs(t, length, block), remove_bytes, SCHEMA, length, same_doc=True)
