@@ -304,7 +304,7 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     same = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = signed.join(same, ["n_shingles", "s1", "s2"], "left")
     # rows of one doc_id are one node
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
