@@ -98,33 +98,44 @@ def quarterly_growth(recent: DataFrame, column: str) -> DataFrame:
     return base.where("base > 0").select("as_of", "isin", (F.col("x0") / F.col("base") - 1).alias("yoy"))
 
 
-def trailing(grid: DataFrame, prices: DataFrame, days: int) -> DataFrame:
-    """as_of, isin and the number of positive prices in the ``days`` days up to as_of: one sort by isin, no range join."""
-    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
-    events = prices.where("adj_close > 0").select("isin", day("date").alias("d"), F.lit(1).alias("p"), F.lit(None).cast("date").alias("as_of"))
-    asked = grid.select("isin", day("as_of").alias("d"), F.lit(0).alias("p"), "as_of")
-    w = Window.partitionBy("isin").orderBy("d").rangeBetween(-days, 0)
-    return events.unionByName(asked).withColumn("n", F.sum("p").over(w)).where("as_of is not null").select("as_of", "isin", "n")
+#: months before a date at which momentum looks, and how old a price may be there
+LAGS, PRICE_DAYS = {"m0": 0, "m1": 1, "m6": 6, "m12": 12}, 15
+
+
+def price_windows(grid: DataFrame, prices: DataFrame, counts: tuple[int, ...] = (410, 320, 212)) -> DataFrame:
+    """as_of, isin, sector, the prices at LAGS, the numbers of prices in the days of ``counts``, and the last price's number, running total and value.
+
+    Prices and questions are merged by isin and day: one shuffle answers all of it.
+    """
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy("isin").orderBy("date")
+    numbered = prices.where("adj_close > 0").select("isin", "date", "adj_close", F.row_number().over(w).alias("seq"), F.sum("adj_close").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    px = F.struct(day(F.col("date")).alias("d"), F.col("adj_close").alias("v"), "seq", "total")
+    events = numbered.select("isin", day(F.col("date")).alias("d"), F.lit(0).alias("k"), px.alias("px"))
+    lags = F.array(*(F.struct(F.lit(n).alias("lag"), day(F.add_months("as_of", -m)).alias("d")) for n, m in LAGS.items()))
+    asked = grid.select("as_of", "isin", "sector", F.explode(lags).alias("x")).select("as_of", "isin", "sector", "x.*", F.lit(1).alias("k"))
+    both = events.unionByName(asked, allowMissingColumns=True)
+    by_day = Window.partitionBy("isin").orderBy("d")
+    both = both.withColumn("last", F.last("px", ignorenulls=True).over(Window.partitionBy("isin").orderBy("d", "k").rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.select("*", *(F.sum(1 - F.col("k")).over(by_day.rangeBetween(-n, 0)).alias(f"n{n}") for n in counts)).where("k = 1")
+    age = F.col("d") - F.col("last.d")
+    now = lambda c, days: F.max(F.when((F.col("lag") == "m0") & (age <= days), F.col(c)))
+    return both.groupBy("as_of", "isin").agg(
+        F.max("sector").alias("sector"),
+        *(F.max(F.when((F.col("lag") == n) & (age <= PRICE_DAYS), F.col("last.v"))).alias(n) for n in LAGS),
+        *(F.max(F.when(F.col("lag") == "m0", F.col(f"n{n}"))).alias(f"n{n}") for n in counts),
+        now("last.seq", 320).alias("seq"), now("last.total", 320).alias("t1"), now("last.v", 320).alias("p1"),
+    )
 
 
 def momentum(grid: DataFrame, prices: DataFrame, min_year: int = 180, min_average: int = 150, min_half: int = 90) -> DataFrame:
     """as_of, isin, sector, factor, raw of the price factors; the minima are observations that the windows need."""
-    rows = grid.select("as_of", "isin", "sector")
-    for name, back in (("m1", 1), ("m6", 6), ("m12", 12)):
-        rows = price_as_of(rows.withColumn("_t", F.add_months("as_of", -back)), prices, "_t", 15, name).drop("_t")
-    rows = price_as_of(rows, prices, "as_of", 15, "m0")
-    for days in (410, 320, 212):
-        rows = rows.join(trailing(grid, prices, days).withColumnRenamed("n", f"n{days}"), ["as_of", "isin"], "left")
     w = Window.partitionBy("isin").orderBy("date")
-    numbered = prices.where("adj_close > 0").select("isin", "date", "adj_close", F.row_number().over(w).alias("seq"), F.sum("adj_close").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
-    at = price_as_of(grid.select("as_of", "isin"), numbered.select("isin", "date", F.col("seq").cast("double").alias("adj_close")), "as_of", 320, "seq")
-    rows = rows.join(at, ["as_of", "isin"], "left").withColumn("used", F.least(F.col("n320"), F.lit(200)))
-    last = numbered.select("isin", F.col("seq").cast("double").alias("seq"), F.col("total").alias("t1"), F.col("adj_close").alias("p1"))
-    before = numbered.select("isin", F.col("seq").cast("double").alias("_before"), F.col("total").alias("t0"))
-    rows = rows.join(last, ["isin", "seq"], "left").withColumn("_before", F.col("seq") - F.col("used")).join(before, ["isin", "_before"], "left")
+    before = prices.where("adj_close > 0").select("isin", F.row_number().over(w).alias("_before"), F.sum("adj_close").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("t0"))
+    rows = price_windows(grid, prices).withColumn("used", F.least(F.col("n320"), F.lit(200)))
+    rows = rows.withColumn("_before", F.col("seq") - F.col("used")).join(before, ["isin", "_before"], "left")
     mean = (F.col("t1") - F.coalesce("t0", F.lit(0.0))) / F.nullif(F.col("used"), F.lit(0))
-    half = F.when(F.col("n212") >= min_half, F.col("m0") / F.col("m6") - 1)
-    rows = rows.withColumn("half", half)
+    rows = rows.withColumn("half", F.when(F.col("n212") >= min_half, F.col("m0") / F.col("m6") - 1))
     return long_form(
         rows.withColumn("half_median", F.median("half").over(Window.partitionBy("as_of"))),
         {

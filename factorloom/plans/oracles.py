@@ -164,6 +164,11 @@ PARTS |= {
     "deltas": "SELECT coalesce(n.as_of, o.as_of) AS as_of, coalesce(n.weight, 0) - coalesce(o.weight, 0) AS d FROM top n FULL JOIN (SELECT next AS as_of, isin, weight FROM top JOIN prior USING (as_of) WHERE next IS NOT NULL) o ON n.as_of = o.as_of AND n.isin = o.isin",
     "traded": "SELECT as_of, coalesce(sum(d) FILTER (d > 0), 0) AS buy, coalesce(-sum(d) FILTER (d < 0), 0) AS sell, count(*) FILTER (d > 0) AS n_buy, count(*) FILTER (d < 0) AS n_sell FROM deltas GROUP BY ALL",
 }
+_COST = "n.nav * (buy * 0.00115 + sell * 0.001 + (buy + sell) * (0.0000297 + 0.000001) * 1.18 + (buy + sell) * CASE WHEN tied * n.nav > 0.01 THEN 5 * least(1 + tied * n.nav / 0.01, 10) ELSE 5 END / 10000)::DOUBLE"
+PARTS |= {
+    "steps": "SELECT *, row_number() OVER (ORDER BY as_of) AS k FROM (SELECT as_of, until, sum(weight * coalesce(fwd, 0)) AS ret, coalesce(avg(weight / median_traded), 0) AS tied FROM top JOIN periods USING (as_of) LEFT JOIN returns USING (isin, as_of, until) LEFT JOIN medians_traded USING (as_of, isin) GROUP BY ALL) JOIN traded USING (as_of)",
+    "navs": f"SELECT 0::BIGINT AS k, NULL::DATE AS date, 1000000::DOUBLE AS nav, 1000000::DOUBLE AS gross_nav, 0::DOUBLE AS costs UNION ALL SELECT s.k, until, (n.nav - {_COST}) * (1 + ret), n.gross_nav * (1 + ret), {_COST} FROM navs n JOIN steps s ON s.k = n.k + 1",
+}
 
 
 def attribution_parts(name: str, source: str) -> dict[str, str]:
@@ -199,7 +204,7 @@ def sql(columns: str, body: str) -> str:
         name, _, kind = c.partition(":")
         shown.append({"d": f"{name}::DATE::VARCHAR AS {name}", "f": f"CASE WHEN round({name}::DOUBLE, 9) = 0 THEN 0.0::DOUBLE ELSE round({name}::DOUBLE, 9)::FLOAT::DOUBLE END AS {name}"}.get(kind, f"{name}::{kind} AS {name}" if kind else name))
     parts = ", ".join(f"{p} AS ({PARTS[p]})" for p in _needed(body))
-    return f"WITH {parts + ', ' if parts else ''}answer AS ({body}) SELECT {', '.join(shown)} FROM answer"
+    return f"WITH RECURSIVE {parts + ', ' if parts else ''}answer AS ({body}) SELECT {', '.join(shown)} FROM answer"
 
 
 _NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -241,6 +246,7 @@ SQL = {
     "x14_contributions": sql("as_of:d isin family contribution:f verdict", "SELECT *, CASE WHEN family_z IS NOT NULL THEN fw * family_z / sum(CASE WHEN family_z IS NOT NULL THEN fw END) OVER (PARTITION BY as_of, isin) END AS contribution, CASE WHEN family_z IS NULL THEN 'MISSING' WHEN family_z >= 0.75 THEN 'STRENGTH' WHEN family_z <= -0.75 THEN 'WEAKNESS' ELSE 'NEUTRAL' END AS verdict FROM families"),
     "x16_readiness": sql("isin status", "SELECT isin, CASE WHEN DATE '2001-10-31' - max(date) > 15 OR count(*) < 180 THEN 'PARTIAL' ELSE 'PRESENT' END AS status FROM prices WHERE date <= DATE '2001-10-31' GROUP BY isin"),
     "t2_top_n": sql("as_of:d isin weight:f", "SELECT * FROM top"),
+    "b2_backtest": sql("date:d nav:f gross_nav:f costs:f", "SELECT * FROM navs WHERE k > 0"),
     "b3_trades": sql("as_of:d buy:f sell:f n_buy n_sell", "SELECT * FROM traded"),
     "b6_metrics": sql("periods total_return:f cagr:f volatility:f sharpe:f sortino:f max_drawdown:f calmar:f hit_rate:f best_period:f worst_period:f", "SELECT *, CASE WHEN volatility > 0 THEN (cagr - 0.065) / volatility ELSE 0 END AS sharpe, CASE WHEN down > 0 THEN (cagr - 0.065) / down ELSE 0 END AS sortino, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0 END AS calmar FROM (SELECT count(ret) AS periods, last(nav ORDER BY date) / first(nav ORDER BY date) - 1 AS total_return, (last(nav ORDER BY date) / first(nav ORDER BY date)) ** (12.0 / count(ret)) - 1 AS cagr, stddev_samp(ret) * sqrt(12) AS volatility, stddev_samp(ret) FILTER (ret < 0) * sqrt(12) AS down, min(nav / peak - 1) AS max_drawdown, avg((ret > 0)::INT) AS hit_rate, max(ret) AS best_period, min(ret) AS worst_period FROM dd)"),
     "b7_equal_weight": sql("date:d nav:f", "SELECT * FROM ew"),

@@ -317,7 +317,7 @@ def b2_backtest(spark, sf_dir):
 
 
 def backtest_curve(m: Model) -> DataFrame:
-    weights = B.top_n(m.momentum_z(), "z", 20)
+    weights = B.top_n(m.momentum_z(), "z", 20).persist()  # 20 rows a month, read four times
     spans = weights.join(F.broadcast(B.periods(m.dates)), "as_of")  # one row a month
     fwd = P.forward_returns(spans.select("isin", "as_of", "until"), m.prices)
     held = spans.join(fwd, ["isin", "as_of", "until"], "left").join(B.median_traded(weights, m.prices), ["as_of", "isin"], "left")
