@@ -263,4 +263,15 @@ SQL = {
     "x18_statement_pivot": sql("isin fy1998:f fy1999:f fy2000:f", "SELECT isin, max(revenue) FILTER (year(period_end_date) = 1998) AS fy1998, max(revenue) FILTER (year(period_end_date) = 1999) AS fy1999, max(revenue) FILTER (year(period_end_date) = 2000) AS fy2000 FROM annual WHERE basis = 'CONSOLIDATED' GROUP BY isin"),
     "j3_pending": "SELECT o_orderkey AS k FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND (l_returnflag = 'R' OR year(l_shipdate) >= 1998))",
     "c15_page_ranges": "WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'N'), s AS (SELECT l_orderkey, min(n) AS a, max(n) AS b FROM (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS g FROM p) GROUP BY l_orderkey, g) SELECT l_orderkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM s GROUP BY 1",
+    "t1_signals_on": sql("symbol name sector score:f signal", "SELECT symbol, name, sector, factor_score AS score, CASE WHEN factor_score IS NULL THEN NULL WHEN factor_score >= 75 THEN 'BUY' WHEN factor_score >= 45 THEN 'HOLD' ELSE 'SELL' END AS signal FROM scored JOIN flag_sums USING (as_of, isin) JOIN instruments USING (isin) WHERE as_of = DATE '2000-12-31' AND n_flags = 0 ORDER BY factor_score DESC NULLS LAST, symbol LIMIT 10"),
+    "w17_signal_history": sql("as_of:d isin z:f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY isin ORDER BY as_of DESC) AS k FROM mz) WHERE k <= 6"),
+    "a2_signal_counts": sql("as_of:d signal n", "SELECT as_of, CASE WHEN n_flags > 0 THEN 'SELL' WHEN factor_score >= 75 THEN 'BUY' WHEN factor_score >= 45 THEN 'HOLD' ELSE 'SELL' END AS signal, count(*) AS n FROM scored LEFT JOIN flag_sums USING (as_of, isin) WHERE factor_score IS NOT NULL GROUP BY 1, 2"),
+    "a19_dominant_family": sql("as_of:d isin dominant", "SELECT as_of, isin, last(family ORDER BY abs(c), family) AS dominant FROM (SELECT as_of, isin, family, fw * family_z / sum(CASE WHEN family_z IS NOT NULL THEN fw END) OVER (PARTITION BY as_of, isin) AS c FROM families) WHERE c IS NOT NULL GROUP BY ALL"),
+    "s18_pending_windows": sql("isin window_start:d window_end:d", "SELECT isin, d::DATE AS window_start, last_day(d)::DATE AS window_end FROM instruments, (SELECT unnest(generate_series(DATE '1999-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS d) WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.isin = instruments.isin AND date_trunc('month', p.date) = d)"),
+    "x17_missing_reasons": sql("as_of:d reason n", "SELECT as_of, CASE WHEN f IS NULL THEN 'NO_PRICES' WHEN f > as_of THEN 'NOT_YET' WHEN l < as_of THEN 'ENDED' ELSE 'GAP' END AS reason, count(*) AS n FROM (SELECT g.as_of, g.isin, CASE WHEN g.as_of - p.date <= 3 THEN adj_close END AS raw FROM grid g ASOF LEFT JOIN prices p ON g.isin = p.isin AND g.as_of >= p.date) LEFT JOIN (SELECT isin, min(date) AS f, max(date) AS l FROM prices GROUP BY isin) USING (isin) WHERE raw IS NULL GROUP BY 1, 2"),
+    "e5_duplicate_periods": sql("l_orderkey l_linestatus l_extendedprice:f", "WITH r AS (SELECT DISTINCT l_orderkey, l_linestatus, l_extendedprice FROM lineitem), a AS (SELECT * FROM r UNION ALL SELECT l_orderkey, 'Z', l_extendedprice FROM r WHERE l_orderkey % 3 = 0), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linestatus) AS n FROM a WHERE l_extendedprice > 0), s AS (SELECT l_orderkey, v[len(v) // 2 + 1] AS scale FROM (SELECT l_orderkey, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM n WHERE n = 1 GROUP BY 1)) SELECT l_orderkey, l_linestatus, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY abs(log10(l_extendedprice / coalesce(scale, l_extendedprice))), l_extendedprice) AS k FROM n LEFT JOIN s USING (l_orderkey) WHERE n = 1 OR scale IS NOT NULL) WHERE k = 1"),
+    "e7_page_selection": "WITH p AS (SELECT l_orderkey, l_linenumber::BIGINT AS page, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), m AS (SELECT *, max(score) OVER (PARTITION BY l_orderkey ORDER BY page RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, page) AS k FROM m WHERE score >= 30 OR near >= 45) SELECT l_orderkey, page, score FROM k WHERE k <= 3",
+    "e10_disagreements": sql("isin flag y:INT low:f high:f", "SELECT isin, flag, year(date) AS y, min(ext::DOUBLE / qty::DOUBLE) AS low, max(ext::DOUBLE / qty::DOUBLE) AS high FROM ln GROUP BY ALL HAVING count(*) > 1 AND max(ext::DOUBLE / qty::DOUBLE) - min(ext::DOUBLE / qty::DOUBLE) > 0.01 * max(ext::DOUBLE / qty::DOUBLE)"),
+    "r1_alias_candidates": sql("alias isin source confidence:f", f"SELECT alias, isin, max_by(source, struct_pack(c := c, s := source)) AS source, max(c) AS confidence FROM (SELECT isin, unnest([full_, short, symbol, CASE WHEN len(w) > 2 THEN w[1] || ' ' || w[2] END, CASE WHEN len(w) > 1 THEN w[1] END]) AS alias, unnest(['NAME', 'SHORT_NAME', 'SYMBOL', 'PREFIX', 'FIRST_WORD']) AS source, unnest([0.95, 0.85, 0.90, 0.90, 0.60]::DOUBLE[]) AS c FROM (SELECT *, string_split(short, ' ') AS w FROM (SELECT p_partkey AS isin, {_NORMAL.format("p_name || ' Ltd'")} AS full_, 'p' || p_partkey AS symbol, {_NORMAL.format('p_name')} AS short FROM part))) WHERE length(alias) >= 3 GROUP BY 1, 2"),
+    "r6_store_new": f"WITH d AS (SELECT doc_id, source, substr(sha1({_NORMAL.format('text')}), 1, 16) AS content_hash FROM documents) SELECT doc_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY source, content_hash ORDER BY doc_id) AS k FROM d WHERE doc_id >= 100) n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id < 100 AND d.source = n.source AND d.content_hash = n.content_hash)",
 }

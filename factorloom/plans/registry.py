@@ -16,6 +16,7 @@ from factorloom.operators import factors as V
 from factorloom.operators import news as N
 from factorloom.operators import point_in_time as P
 from factorloom.operators import scoring as X
+from factorloom.operators import serving as R
 from factorloom.operators import statements as E
 from factorloom.operators import stats as A
 from factorloom.plans import oracles
@@ -429,6 +430,84 @@ def c15_page_ranges(spark, sf_dir):
     return E.page_ranges(S.read(spark, sf_dir, "lineitem").where("l_returnflag = 'N'"), "l_orderkey", "l_linenumber")
 
 
+@query
+def t1_signals_on(spark, sf_dir):
+    """The best ten BUY and HOLD names of the last date of 2000 (a report of ten)."""
+    m = Model(spark, sf_dir)
+    rows = X.signals(X.composite(m.families()), X.flag_summary(m.flags()).select("as_of", "isin", "n_flags"))
+    return R.signals_on(rows, m.instruments, F.lit("2000-12-31").cast("date"), flagged=False, limit=10).select("symbol", "name", "sector", "score", "signal")
+
+
+@query
+def w17_signal_history(spark, sf_dir):
+    """The six newest momentum values of each company."""
+    return R.signal_history(Model(spark, sf_dir).momentum_z().select("as_of", "isin", "z"), 6)
+
+
+@query
+def a2_signal_counts(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return R.signal_counts(X.signals(X.composite(m.families()), X.flag_summary(m.flags()).select("as_of", "isin", "n_flags")))
+
+
+@query
+def a19_dominant_family(spark, sf_dir):
+    return X.dominant_family(X.contributions(Model(spark, sf_dir).families()))
+
+
+@query
+def s18_pending_windows(spark, sf_dir):
+    """Months since 1999 in which a company has no price."""
+    m = Model(spark, sf_dir)
+    done = m.prices.select("isin", F.trunc("date", "month").alias("window_start")).distinct()
+    return R.month_windows(m.instruments.select("isin"), F.lit("1999-01-15").cast("date"), F.lit("2001-12-31").cast("date"), done, epoch="1999-01-01")
+
+
+@query
+def x17_missing_reasons(spark, sf_dir):
+    """Why companies have no price within 15 days of a date."""
+    m = Model(spark, sf_dir)
+    p = m.prices.groupBy("isin").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    rows = P.price_as_of(m.grid().select("as_of", "isin"), m.prices, "as_of", 3, "raw").join(p, "isin", "left")
+    told = R.missing_reason(rows, [("NO_PRICES", F.col("first").isNull()), ("NOT_YET", F.col("first") > F.col("as_of")), ("ENDED", F.col("last") < F.col("as_of")), ("GAP", F.lit(True))])
+    return told.where("raw is null").groupBy("as_of", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def e5_duplicate_periods(spark, sf_dir):
+    """Lines as filings: of several on one day, the one on the order's scale."""
+    rows = S.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", "l_extendedprice").groupBy("l_orderkey", "l_linestatus", "l_extendedprice").count().drop("count")
+    return E.resolve_duplicate_periods(rows.unionByName(rows.where("l_orderkey % 3 = 0").withColumn("l_linestatus", F.lit("Z"))), "l_orderkey", "l_linestatus", "l_extendedprice")
+
+
+@query
+def e7_page_selection(spark, sf_dir):
+    """Lines of an order as pages, quantities as scores."""
+    rows = S.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("bigint").alias("page")).agg(F.max("l_quantity").alias("score"))
+    return E.select_pages(rows, "l_orderkey", "page", "score", strong=45, weak=30, after=1, budget=3)
+
+
+@query
+def e10_disagreements(spark, sf_dir):
+    """Parts whose suppliers' unit prices differ by more than 1 %."""
+    unit = S.lines(spark, sf_dir).select("isin", "flag", F.year("date").alias("y"), (F.col("ext").cast("double") / F.col("qty").cast("double")).alias("v"))
+    return E.disagreements(unit, ["isin", "flag", "y"], "v", 0.01)
+
+
+@query
+def r1_alias_candidates(spark, sf_dir):
+    """Aliases of parts' names by brand."""
+    p = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("isin"), F.concat_ws(" ", "p_name", F.lit("Ltd")).alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"))
+    return N.alias_candidates(p)
+
+
+@query
+def r6_store_new(spark, sf_dir):
+    """Documents from 100 on that are no story of the first hundred or of each other."""
+    d = N.story_keys(S.read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return N.store_new(d.where("doc_id >= 100"), d.where("doc_id < 100"), ["source", "content_hash"], ["doc_id"]).select("doc_id", "content_hash")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """12-1 momentum, sector-relative: the 20 best of every month."""
     return queries()["t2_top_n"](spark, sf_dir)

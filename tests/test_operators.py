@@ -279,3 +279,47 @@ def test_stream(spark, tmp_path):
     q = sentiment_windows(stream, length="1 day", slide="1 day").writeStream.format("memory").queryName("s").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.isin, r.n) for r in spark.table("s").collect()} == {(7, 2), (8, 1)}
+
+
+def test_serving(spark):
+    from factorloom.operators import serving as S
+
+    inst = spark.createDataFrame([(1, "ABC", "Alpha", "x"), (2, "bcd", "Beta abc", None), (3, "C", "Gamma", "")], "isin int, symbol string, name string, sector string")
+    assert [r.isin for r in S.by_symbol(inst, "abc").collect()] == [1] and {r.isin for r in S.search(inst, "ABC").collect()} == {1, 2}
+    assert [r.sector for r in S.sectors(inst).collect()] == ["x"]
+    rows = spark.createDataFrame([(day("2020-01-31"), 1, 10.0, 0, "SELL"), (day("2020-01-31"), 2, None, 0, None), (day("2020-01-31"), 3, 90.0, 0, "BUY")], "as_of date, isin int, score double, n_flags int, signal string")
+    assert [r.isin for r in S.signals_on(rows, inst, F.lit("2020-01-31").cast("date")).collect()] == [3, 1, 2]
+    assert [r.isin for r in S.signals_on(rows, inst, F.lit("2020-01-31").cast("date"), signal="BUY", limit=1).collect()] == [3]
+
+
+def test_month_windows(spark):
+    from factorloom.operators import serving as S
+
+    done = spark.createDataFrame([(1, day("2017-02-01"))], "isin int, window_start date")
+    got = S.month_windows(spark.createDataFrame([(1,)], "isin int"), F.lit("2016-05-01").cast("date"), F.lit("2017-03-10").cast("date"), done).orderBy("window_start").collect()
+    assert [(str(r.window_start), str(r.window_end)) for r in got] == [("2017-01-01", "2017-01-31"), ("2017-03-01", "2017-03-10")]
+
+
+def test_token_costs(spark):
+    from factorloom.operators import serving as S
+
+    usage = spark.createDataFrame([("m", day("2024-06-01"), 1_000_000, 0, 0, 0, True), ("m", day("2025-06-01"), 0, 1_000_000, 1_000_000, 1_000_000, False)], "model string, day date, input long, output long, cache_write long, cache_read long, batch boolean")
+    rates = spark.createDataFrame([("m", day("2024-01-01"), 4.0, 8.0), ("m", day("2025-01-01"), 2.0, 6.0)], "model string, since date, input_rate double, output_rate double")
+    assert sorted(round(r.cost, 6) for r in S.token_costs(usage, rates).collect()) == [2.0, 8.7]
+
+
+def test_jobs():
+    from factorloom.plans.jobs import Skip, Step, execute, select
+
+    def skip(_):
+        raise Skip("nothing")
+
+    def fail(_):
+        raise RuntimeError("no")
+
+    steps = [Step("a", lambda c: "ok"), Step("b", skip), Step("c", fail), Step("d", lambda c: "ok", default=False)]
+    report = execute(select(steps, "company", only=["d", "a", "b", "c"]), {})
+    assert [(n, s) for n, s, _ in report.events] == [("a", "DONE"), ("b", "SKIPPED"), ("c", "FAILED"), ("d", "NOT_RUN")] and not report.ok
+    assert [s.name for s in select(steps, "universe", skip=["b"])] == ["a", "c"]
+    with pytest.raises(ValueError):
+        select(steps, "company", only=["x"])
