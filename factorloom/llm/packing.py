@@ -109,9 +109,9 @@ def pack_documents(docs: DataFrame, size: int = 2048, tokenizer: str | None = No
     schema = _PIECES + (", ids array<int>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from factorloom.llm.subwords import Subwords
+        from factorloom.llm.subwords import shared
 
-        subwords = Subwords(tokenizer)
+        subwords = shared(tokenizer)
         for batch in small_batches(batches):
             ids, at = subwords.encode([t or "" for t in batch["text"].to_pylist()])
             rows: list[tuple] = []

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import tiktoken
@@ -18,10 +19,13 @@ from tokenizers import Tokenizer
 from factorloom.llm.text_arrays import ranges
 
 #: distinct chunks held in memory, beyond which the table starts anew; chunks encoded at a time
-CHUNKS, TOGETHER = 300_000, 1000
+CHUNKS, TOGETHER = 700_000, 1000
 #: fixed value: the public tokenizer's splitting pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD = re.compile(r" \s|\s ")
+_OTHER = re.compile(r"[^\S \n]")
+#: stands before a text's first chunk, which has no space before it
+_FIRST = "\ufffe"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -57,16 +61,17 @@ class Subwords:
         self._reset()
 
     def _reset(self) -> None:
-        self._index: dict[str, int] = {"": 0}
+        self._index: dict[str, int] = {_FIRST: 0}
         self._flat, self._used = np.zeros(1 << 20, np.int32), 0
         self._start, self._size = np.zeros(CHUNKS * 2, np.int64), np.zeros(CHUNKS * 2, np.int64)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks, one after the other, and how many each has.
+        """Ids of all chunks (as ``chunks`` gives them), one after the other, and how many each has.
 
         Chunks with one space, at their start, are encoded many at a time: there, an id
         whose bytes begin with a space begins a chunk.
         """
+        chunks = [c[1:] if c[:1] == _FIRST else " " + c for c in chunks]
         plain = [i for i, c in enumerate(chunks) if c[0] == " " and c.count(" ") == 1 and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
         other = sorted(set(range(len(chunks))).difference(plain))
         got = [self._plain.encode_ordinary("".join(chunks[i] for i in plain[a : a + TOGETHER])) for a in range(0, len(plain), TOGETHER)]
@@ -99,11 +104,13 @@ class Subwords:
         self._index.update(zip(chunks, range(at, at + n)))
 
     def chunks(self, text: str) -> list[str]:
-        """Chunks whose ids do not depend on each other; all but the first begin with a space."""
-        if self._special and self._special.search(text):
-            return [text]
-        parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
+        """Chunks whose ids do not depend on each other; all but the first stand without the space that begins them. The first is marked, or is the whole text."""
+        if _FIRST in text or (self._special and self._special.search(text)):
+            return [_FIRST + text]
+        odd = "  " in text or "\n " in text or " \n" in text or (_OTHER.search(text) is not None and _ODD.search(text) is not None)
+        parts = _SAFE.split(text) if odd else text.split(" ")
+        parts[0] = _FIRST + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and each text's offset (with the end)."""
@@ -121,3 +128,9 @@ class Subwords:
         ids = self._flat[ranges(self._start[place], sizes)]
         at = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)]
         return ids, at
+
+
+@lru_cache(maxsize=1)
+def shared(path: str | None) -> Subwords:
+    """The encoder of this process: tasks that follow one another in a worker find its chunks known."""
+    return Subwords(path)

@@ -105,10 +105,10 @@ class Words:
         return np.diff(self.offsets)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text; a longer text has a batch of its own."""
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes in ``column``; a longer value has a batch of its own."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start = held = 0
         for i, n in enumerate(sizes.tolist()):
             if held and held + n > limit:
