@@ -24,15 +24,20 @@ from pyspark.sql import functions as F
 #: compressed input bytes for a document bucket and a key bucket
 DOC_BUCKET_BYTES = 1_200_000
 KEY_BUCKET_BYTES = 8_000_000
+#: bytes that a partition of unknown size is taken to have
+PARTITION_BYTES = 16_000_000
 _UNKNOWN = 1 << 50
 
+PLANES = "planes"
 PACKED = "kb int, src int, body binary"
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: the files' size for a scan; 0 if it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 0 if size > _UNKNOWN else size
+    """Catalyst's size of the tables that a plan reads (the files' sizes, for scans); rows of unknown size count by their partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s <= _UNKNOWN)
+    return known if len(sizes) == sum(s <= _UNKNOWN for s in sizes) else known + PARTITION_BYTES * df.rdd.getNumPartitions()
 
 
 def buckets_for(df: DataFrame) -> tuple[int, int]:
@@ -62,19 +67,31 @@ def pack(*arrays: np.ndarray) -> bytes:
     return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
+def planes(ascending: np.ndarray) -> np.ndarray:
+    """Steps of ascending 64-bit numbers, all lowest bytes first: Spark's compression leaves little of the high ones."""
+    steps = np.diff(ascending.astype(np.int64), prepend=np.int64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T
+
+
 def unpack(body: bytes, *types: str) -> list[np.ndarray]:
+    """Arrays of numpy's types, or of ``planes``."""
     n, at, out = int(np.frombuffer(body, np.int64, 1)[0]), 8, []
     for t in types:
-        out.append(np.frombuffer(body, t, n, at))
+        if t == PLANES:
+            steps = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel()
+            out.append(np.cumsum(steps))
+        else:
+            out.append(np.frombuffer(body, t, n, at))
         at += out[-1].nbytes
     return out
 
 
-def packed_rows(src: int, keys: np.ndarray, n: int, *columns: np.ndarray) -> pa.Table:
-    """One row for each key bucket: the keys and columns that go there."""
+def packed_rows(src: int, keys: np.ndarray, n: int, *columns: np.ndarray, ascending: np.ndarray | None = None) -> pa.Table:
+    """One row for each key bucket: the keys and columns that go there, and the ``ascending`` column as planes at the end."""
     order, found, at = deal(keys, n)
     keys, columns = keys[order], [c[order] for c in columns]
-    bodies = [pack(keys[a:b], *(c[a:b] for c in columns)) for a, b in zip(at, at[1:])]
+    last = [] if ascending is None else [ascending[order]]
+    bodies = [pack(keys[a:b], *(c[a:b] for c in columns), *(planes(c[a:b]) for c in last)) for a, b in zip(at, at[1:])]
     return pa.table({"kb": pa.array(found, pa.int32()), "src": pa.array(np.full(len(found), src), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 

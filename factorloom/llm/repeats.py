@@ -101,10 +101,10 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
     def send_anchors(table: pa.Table) -> pa.Table:
         ids, texts = blobs.sorted_docs(table)
         runs = cutter(texts)
-        return blobs.packed_rows(table["src"][0].as_py(), runs.anchor, n_keys, runs.content, blobs.id_order(ids)[runs.doc])
+        return blobs.packed_rows(table["src"][0].as_py(), runs.anchor, n_keys, runs.content, ascending=blobs.id_order(ids)[runs.doc])
 
     def answer_anchors(table: pa.Table) -> pa.Table:
-        sources, sizes, (anchor, content, doc) = blobs.gathered(table, "u8", "u8", "i8")
+        sources, sizes, (anchor, content, doc) = blobs.gathered(table, "u8", "u8", blobs.PLANES)
         return blobs.answer_table(table["kb"][0].as_py(), sources, anchor_flags(anchor, content, doc, same_doc), sizes)
 
     def send_windows(table: pa.Table, said: pa.Table) -> pa.Table:
@@ -118,7 +118,7 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
         counts = runs.last[live] - runs.first[live] + 1
         starts, doc = ranges(runs.first[live], counts), np.repeat(runs.doc[live], counts)
         keys = runs.hash_windows(starts)
-        asked = blobs.packed_rows(src, keys, n_keys, blobs.id_order(ids)[doc])
+        asked = blobs.packed_rows(src, keys, n_keys, ascending=blobs.id_order(ids)[doc])
         order, found, at = blobs.deal(keys, n_keys)
         known = blobs.pack(*merged(runs.first[settled], runs.last[settled] + size)), blobs.pack(starts[order].astype(np.int32)), blobs.pack(found, at[:-1])
         body = np.array([len(k) for k in known], np.int64).tobytes() + b"".join(known)
@@ -129,7 +129,7 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
         carried, asked = of_kind(table, _CARRIED).select(["kb", "src", "kind", "body"]), of_kind(table, _ASKED)
         if not asked.num_rows:
             return carried
-        sources, sizes, (keys, doc) = blobs.gathered(asked, "u8", "i8")
+        sources, sizes, (keys, doc) = blobs.gathered(asked, "u8", blobs.PLANES)
         return pa.concat_tables([with_kind(blobs.answer_table(asked["kb"][0].as_py(), sources, later(keys, doc, same_doc), sizes), _ASKED), carried])
 
     def cut(table: pa.Table, said: pa.Table) -> pa.Table:
