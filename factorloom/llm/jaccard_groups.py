@@ -5,7 +5,8 @@ reaches a threshold. Every step below keeps all linked pairs:
 
 1. equal sets are joined first, so copies cost one set.
 2. a shingle that no other set holds can't be shared: a set with more of them than the
-   threshold leaves room for has no partner and leaves.
+   threshold leaves room for has no partner and leaves. A third of the shingles tells of
+   most sets; the rest are judged by all of theirs, among themselves, again while many leave.
 3. the rest are partitioned into *families*. A set's shingles are dealt into more parts
    than two linked sets can differ in, so linked sets agree in a part; equal parts join
    families.
@@ -13,9 +14,10 @@ reaches a threshold. Every step below keeps all linked pairs:
    shingle union; a query opens a group only if its overlap with the union reaches what
    a link needs, and only opened groups are compared member by member.
 
-A family larger than a block is compared block by block: first within blocks and with
-some leaders. What joins the family's largest component then needs no more comparing with
-it, and only the other sets go round all blocks.
+A family larger than a block is compared block by block: first within blocks (of similar
+sets) and with some leaders. Only sets that share a part with a set of another component
+are left then; they form smaller families, in which all but the largest component go round
+the blocks.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from factorloom.llm.text_arrays import Rolling, Words, mix, ranges, small_batche
 from factorloom.shipping import ship
 
 _U = np.uint64
-#: sets in a block of a family, leaders that every block of it sees, members of a group
-BLOCK, LEADERS, GROUP = 1024, 64, 16
+#: sets in a block of a family, leaders that every block of it sees, members of a group, queries compared with a group at a time
+BLOCK, LEADERS, GROUP, OPENED = 2048, 64, 16, 256
 #: one shingle in SAMPLE is looked up to find sets with too many shingles of their own; sets under SMALL look up all
 SAMPLE, SMALL = 3, 96
 #: parts beyond the most that linked sets differ in; sets with more empty parts go by single shingles
@@ -121,18 +123,22 @@ def linked_pairs(sets: list[np.ndarray], queries: np.ndarray, members: np.ndarra
         opened = np.flatnonzero((bound >= least) & (sizes[group].max() * 100 >= q_sizes * percent) & (sizes[group].min() * percent <= q_sizes * 100))
         if not len(opened):
             continue
-        row = np.full(len(queries), -1)
-        row[opened] = np.arange(len(opened))
-        inside = hit[row[q_of[hit]] >= 0]
-        wide = np.zeros((len(opened), len(union)), np.float32)
-        wide[row[q_of[inside]], at[inside]] = 1
         held = np.zeros((len(group), len(union)), np.float32)
         for k, m in enumerate(group):
             held[k, np.searchsorted(union, sets[m])] = 1
-        overlap = np.rint(wide @ held.T).astype(np.int64)
-        total = q_sizes[opened][:, None] + sizes[group][None, :] - overlap
-        i, j = np.nonzero(overlap * 100 >= percent * total)
-        found.append((queries[opened[i]], group[j]))
+        row = np.full(len(queries), -1)
+        row[opened] = np.arange(len(opened))
+        hit = hit[row[q_of[hit]] >= 0]
+        of = row[q_of[hit]]  # ascending
+        for first in range(0, len(opened), OPENED):
+            some = opened[first : first + OPENED]
+            s = slice(*np.searchsorted(of, (first, first + OPENED)))
+            wide = np.zeros((len(some), len(union)), np.float32)
+            wide[of[s] - first, at[hit[s]]] = 1
+            overlap = np.rint(wide @ held.T).astype(np.int64)
+            total = q_sizes[some][:, None] + sizes[group][None, :] - overlap
+            i, j = np.nonzero(overlap * 100 >= percent * total)
+            found.append((queries[some[i]], group[j]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = (np.concatenate(c) for c in zip(*found))
@@ -225,28 +231,69 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     )
     sets = saved(bucketed.groupBy("src").cogroup(said.groupBy("src")).applyInArrow(survivors, "doc_id long, tokens binary"))
 
+    def send_all(table: pa.Table) -> pa.Table:
+        _, tokens, _ = held_sets(table)
+        return blobs.packed_rows(table["src"][0].as_py(), tokens, n_keys)
+
+    def held_sets(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """A bucket's sets in order, their shingles and offsets."""
+        order = sorted(range(table.num_rows), key=lambda i: (table["doc_id"][i].as_py(), table["tokens"][i].as_py()))
+        table = table.take(order)
+        parts = [np.frombuffer(t, _U) for t in table["tokens"].to_pylist()]
+        return table, np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
+
+    def prune(table: pa.Table, said: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return table.select(["doc_id", "tokens"])
+        table, tokens, at = held_sets(table)
+        own = np.append(0, np.cumsum(blobs.answers(said, tokens, n_keys, "u1").astype(np.int64)))
+        sizes = np.diff(at)
+        return table.select(["doc_id", "tokens"]).filter(pa.array(own[at[1:]] - own[at[:-1]] <= sizes - needed(sizes, percent)))
+
+    # now by all shingles, among the sets that are left, until few more leave
+    left = sets.count()
+    while left:
+        placed = sets.withColumn("src", blobs.bucket_of(F.col("doc_id"), n_docs))
+        alone = placed.groupBy("src").applyInArrow(send_all, blobs.PACKED).groupBy("kb").applyInArrow(answer_tokens, blobs.PACKED)
+        sets = saved(placed.groupBy("src").cogroup(alone.groupBy("src")).applyInArrow(prune, "doc_id long, tokens binary"))
+        before, left = left, sets.count()
+        if left > 0.9 * before:
+            break
+
     # 3. families
     def send_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [part_signatures(np.frombuffer(t, _U), percent, bands) for t in batch["tokens"].to_pylist()]
             if keys:
-                ids = np.repeat(np.array(batch["doc_id"].to_pylist(), np.int64), [len(k) for k in keys])
-                yield from blobs.packed_rows(0, np.concatenate(keys), n_keys, ids).to_batches()
+                counts = [len(k) for k in keys]
+                ids, own = (np.repeat(np.array(batch[c].to_pylist(), np.int64), counts) for c in ("doc_id", "component"))
+                yield from blobs.packed_rows(0, np.concatenate(keys), n_keys, ids, own).to_batches()
 
     def join_parts(table: pa.Table) -> pa.Table:
-        _, _, (keys, ids) = blobs.gathered(table, "u8", "i8")
+        """The sets of each key point at its least; keys within one component join nothing."""
+        _, _, (keys, ids, own) = blobs.gathered(table, "u8", "i8", "i8")
         order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
+        keys, ids, own = keys[order], ids[order], own[order]
         new = np.append(True, keys[1:] != keys[:-1])
-        least = ids[new][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([ids, least])[:, ids != least], axis=1)
+        key = np.cumsum(new) - 1
+        least, first = ids[new][key], own[new][key]
+        mixed = np.zeros(int(new.sum()), bool)
+        mixed[key[own != first]] = True
+        pairs = np.unique(np.stack([ids, least])[:, mixed[key] & (ids != least)], axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    joined = sets.mapInArrow(send_parts, blobs.PACKED).groupBy("kb").applyInArrow(join_parts, "a long, b long")
-    family = connected_components(joined).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
-    sizes = family.groupBy("family").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    placed = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = saved(placed.select("doc_id", "family", "blocks", "block"))
+    def families_of(rows: DataFrame) -> DataFrame:
+        """doc_id, family, blocks, block. rows: doc_id, tokens, component. Sets of one least shingle share a block, unless they are too many for one."""
+        joined = rows.mapInArrow(send_parts, blobs.PACKED).groupBy("kb").applyInArrow(join_parts, "a long, b long")
+        family = connected_components(joined).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+        least = sets.groupBy("doc_id").agg(F.min(F.substring("tokens", 1, 8)).alias("least"))
+        sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = family.join(sizes, "family").join(least, "doc_id").withColumn("cell", F.pmod(F.xxhash64("least"), F.col("blocks")))
+        cells = placed.groupBy("family", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("subs"))
+        sub = F.pmod(F.xxhash64("doc_id"), F.col("subs"))
+        return saved(placed.join(cells, ["family", "cell"]).select("doc_id", "family", "blocks", (F.col("cell") * (1 << 24) + sub).alias("block")))
+
+    placed = families_of(sets.withColumn("component", F.col("doc_id")))
 
     # 4. links inside families
     tasks = max(64, n_docs)
@@ -273,30 +320,30 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         dealt = rows.withColumn("task", F.pmod(F.xxhash64("family", "part", "block"), F.lit(tasks)).cast("int"))
         return dealt.join(sets, "doc_id").groupBy("task").applyInArrow(compare, "a long, b long")
 
-    def members(rows: DataFrame, part: int = 0) -> DataFrame:
-        return rows.select("doc_id", "family", "block", F.lit(part).alias("part"), F.lit(True).alias("member"), F.lit(True).alias("query"))
+    def all_blocks(rows: DataFrame) -> DataFrame:
+        return rows.select("family", F.col("block").alias("to")).distinct()
 
+    member = lambda m, q, part=F.lit(0): (F.col("block"), part.cast("int").alias("part"), F.lit(m).alias("member"), F.lit(q).alias("query"))
     # a family of one block is settled by its task: what it sends are its components
-    found = links(members(placed.where("blocks = 1"))).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = links(placed.where("blocks = 1").select("doc_id", "family", *member(True, True))).select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = placed.where("blocks > 1")
     if large.limit(1).count():
         rank = F.row_number().over(Window.partitionBy("family", "block").orderBy("doc_id"))
         leaders = large.withColumn("rank", rank).where(F.col("rank") * F.col("blocks") <= LEADERS + F.col("blocks"))
-        visiting = leaders.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)"))).where("to <> block").select("doc_id", "family", F.col("to").alias("block"), F.lit(0).alias("part"), F.lit(True).alias("member"), F.lit(False).alias("query"))
-        edges = saved(links(members(large).unionByName(visiting)).distinct())
+        visiting = leaders.join(all_blocks(large), "family").where("to <> block").select("doc_id", "family", F.col("to").alias("block")).select("doc_id", "family", *member(True, False))
+        edges = saved(links(large.select("doc_id", "family", *member(True, True)).unionByName(visiting)).distinct())
         now = connected_components(edges)
-        now = saved(large.join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        counts = now.groupBy("family", "component").agg(F.count("*").alias("rows"))
-        main = counts.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
-        rest = now.join(main, "family").where("component <> main").withColumn("part", (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks"))).cast("int"))
-        rest = saved(rest.select("doc_id", "family", "blocks", "part"))
-        asking = rest.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc_id", "family", "block", "part", F.lit(False).alias("member"), F.lit(True).alias("query"))
-        parts = rest.select("family", "part").distinct()
-        asked = large.join(parts, "family").select("doc_id", "family", "block", "part", F.lit(True).alias("member"), F.lit(False).alias("query"))
+        now = saved(large.select("doc_id").join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        # what is left: sets that share a part with another component's
+        again = families_of(sets.join(now, "doc_id"))
+        counts = again.join(now, "doc_id").groupBy("family", "component").agg(F.count("*").alias("rows"))
+        main = counts.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.ceil((F.sum("rows") - F.max("rows")) / BLOCK).alias("parts"))
+        rest = saved(again.join(now, "doc_id").join(main, "family").where("component <> main").select("doc_id", "family", (1 + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts"))).alias("p")))
+        asking = rest.join(all_blocks(again), "family").withColumnRenamed("to", "block").select("doc_id", "family", *member(False, True, F.col("p")))
+        asked = again.join(rest.select("family", "p").distinct(), "family").select("doc_id", "family", *member(True, False, F.col("p")))
         met = asking.unionByName(asked).groupBy("doc_id", "family", "block", "part").agg(F.max("member").alias("member"), F.max("query").alias("query"))
         # components so far are the nodes of what is left to join
-        label = now.select("doc_id", "component")
-        more = links(met).join(label.select(F.col("doc_id").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("doc_id").alias("b"), F.col("component").alias("y")), "b")
+        more = links(met).join(now.select(F.col("doc_id").alias("a"), F.col("component").alias("x")), "a").join(now.select(F.col("doc_id").alias("b"), F.col("component").alias("y")), "b")
         merged = connected_components(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
         ended = now.join(merged.select(F.col("node").alias("component"), F.col("component").alias("end")), "component", "left").select(F.col("doc_id").alias("node"), F.coalesce("end", "component").alias("component"))
         found = found.unionByName(ended)
