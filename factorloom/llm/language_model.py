@@ -5,8 +5,8 @@ score), counts of subword ids, and counts of neighbouring id classes. Classes ar
 commonest ids, one each, and bands of the rest by count. The model predicts the next id's
 class from attention over a window of earlier ids, on top of the corpus-wide odds of
 classes that follow one another, and then the id within its class by its count. The
-attention is trained in numpy by the tasks that hold the text, on windows spread evenly
-over all of it; their averaged weights are the model.
+attention is trained in numpy by the tasks that hold the text, on all its windows; their
+averaged weights are the model.
 
 Windows overlap: each scores STEP ids, once, and sees CONTEXT ids before them.
 """
@@ -32,8 +32,8 @@ STEP, CONTEXT, CLASSES, WIDTH = 32, 16, 64, 16
 SPAN = STEP + CONTEXT
 #: classes that are bands of rarer ids
 BANDS = 16
-#: one training window in TRAIN_RATE teaches the attention; windows in a step
-TRAIN_RATE, TRAIN_BATCH, RATE = 24, 64, 0.02
+#: windows in a step of learning; ids from which a task learns at least, if there are so many
+TRAIN_BATCH, RATE, TRAIN_IDS = 64, 0.02, 2_000_000
 SCORE_BATCH = 256
 END_WORD = np.array([0x5EED_E4D0_0000_0001], np.uint64)
 
@@ -115,7 +115,8 @@ class Attention:
         grad["near"] = np.bincount(self._gap.ravel(), (ds.sum(axis=0) * self._seen).ravel(), SPAN).astype(np.float32)
         for name, g, at in (("q", dq, windows[:, CONTEXT - 1 : -1]), ("k", dk, windows[:, :-1]), ("v", dv, windows[:, :-1])):
             grad[name] = np.zeros_like(self.w[name])
-            np.add.at(grad[name], at.ravel(), g.reshape(-1, WIDTH))
+            rows, sums = summed(at.ravel(), g.reshape(-1, WIDTH))
+            grad[name][rows] = sums
         self._t += 1
         for name, g in grad.items():
             m, s = self._steps[name]
@@ -124,6 +125,14 @@ class Attention:
             self.w[name] -= RATE * (m / (1 - 0.9**self._t)) / (np.sqrt(s / (1 - 0.99**self._t)) + 1e-6)
 
 
+def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``at``, ascending, and the sum of each one's rows."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 def windows_of(classes: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of all texts, the text of each, and which of their scored ids are real. classes: those of all texts' ids, one text after the other."""
     counts = -(-sizes // STEP)
@@ -160,6 +169,26 @@ def batch_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(parts), sizes, np.cumsum(sizes) - sizes
 
 
+def teach(model: Attention, batches: Iterator[pa.RecordBatch], classes: Classes) -> int:
+    """Learns from every window of the batches, in steps of TRAIN_BATCH and a last one of what remains; the number of windows. batches: h, ids."""
+    held, n = [], 0
+    for batch in small_batches(batches, 500_000, "ids"):
+        ids, sizes, starts = batch_ids(batch)
+        windows, text, real = windows_of(classes.of[ids], sizes, starts)
+        marks = np.array(batch["h"].to_pylist(), np.int64)[text] * 31 + np.arange(len(text)) - np.searchsorted(text, text)
+        mixed = np.argsort(marks * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")  # a step's windows are of many texts
+        held.append((windows[mixed], real[mixed]))
+        w, r = (np.concatenate(x) for x in zip(*held))
+        cut = len(w) // TRAIN_BATCH * TRAIN_BATCH
+        for a in range(0, cut, TRAIN_BATCH):
+            model.learn(w[a : a + TRAIN_BATCH], r[a : a + TRAIN_BATCH])
+        held = [(w[cut:], r[cut:])]
+        n += len(windows)
+    if held and len(held[0][0]):
+        model.learn(*held[0])
+    return n
+
+
 def base_scores(rows: DataFrame, n_docs: int, n_keys: int) -> DataFrame:
     """doc_id, h, n_tokens, n_known, train_tokens, base_score, by an exchange of word counts. rows: doc_id, text, h, held_out."""
     docs = rows.withColumn("src", blobs.bucket_of(F.col("doc_id"), n_docs))
@@ -269,27 +298,16 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     follow = np.log((pairs + 20 * alone) / (pairs.sum(axis=1, keepdims=True) + 20))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, steps = Attention(follow), [], 0
-        for batch in small_batches(batches, 500_000, "ids"):
-            ids, sizes, starts = batch_ids(batch)
-            windows, text, real = windows_of(classes.of[ids], sizes, starts)
-            marks = np.array(batch["h"].to_pylist(), np.int64)[text] * 31 + np.arange(len(text)) - np.searchsorted(text, text)
-            chosen = np.flatnonzero(marks % TRAIN_RATE == 0)
-            held.append((windows[chosen], real[chosen]))
-            if sum(len(w) for w, _ in held) >= TRAIN_BATCH:
-                w, r = (np.concatenate(x) for x in zip(*held))
-                cut = len(w) // TRAIN_BATCH * TRAIN_BATCH
-                for a in range(0, cut, TRAIN_BATCH):
-                    model.learn(w[a : a + TRAIN_BATCH], r[a : a + TRAIN_BATCH])
-                    steps += 1
-                held = [(w[cut:], r[cut:])]
-        flat = np.concatenate([model.w[n].ravel() for n in Attention.NAMES]).astype(np.float64)
-        if steps:
-            yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "w": flat * steps, "n": np.full(len(flat), float(steps))})
+        model = Attention(follow)
+        n = teach(model, batches, classes)
+        flat = np.concatenate([model.w[name].ravel() for name in Attention.NAMES]).astype(np.float64)
+        if n:
+            yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "w": flat * n, "n": np.full(len(flat), float(n))})
 
     model = Attention(follow)
     flat = np.concatenate([model.w[n].ravel() for n in Attention.NAMES]).astype(np.float64)
-    for r in teaching.select("h", "ids").mapInArrow(learn, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect():  # the model's weights
+    few = teaching.select("h", "ids").coalesce(max(1, math.ceil(counts.sum() / TRAIN_IDS)))  # small partitions learn together, not each a little
+    for r in few.mapInArrow(learn, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect():  # the model's weights
         flat[r["i"]] = r["w"]
     at, weights = 0, {}
     for name in Attention.NAMES:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,18 @@ def test_attention_gradients_and_odds():
     assert abs(np.exp(model.score(one)[:, 0].astype(float)).sum() - 1) < 1e-3
 
 
+def test_attention_learns_from_all_windows(spark):
+    # after each "a", what comes next depends on what stood before it: pairs of classes cost 0.5 bits an id
+    frame = spark.createDataFrame([(i, " a b a c" * 400 + f" {'d' * (i % 7)}") for i in range(100)], "doc_id long, text string").repartition(8)
+    test = language_model.lm_scores(frame).where("held_out").collect()
+    assert -sum(r.score for r in test) * math.log2(10) / sum(r.n_ids for r in test) < 0.4
+    # fewer windows than a step has
+    classes, packed = language_model.Classes(np.arange(1 << 16, dtype=float)), [language_model.pack_ids(np.arange(n, dtype=np.uint16)) for n in (70, 1)]
+    model = language_model.Attention(np.zeros((language_model.CLASSES + 1, language_model.CLASSES)))
+    assert language_model.teach(model, [pa.RecordBatch.from_pydict({"h": [3, 5], "ids": packed})], classes) == 4
+    assert np.abs(model.w["out"]).max() > 0
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.toxicity_scores(docs, labels)
