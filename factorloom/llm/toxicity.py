@@ -27,8 +27,8 @@ from factorloom.shipping import ship
 
 #: labelled training documents of each label that are read at most, by hash of their id, and the longest of them in bytes
 SAMPLE, SAMPLE_BYTES = 3000, 32_768
-#: most bytes of a window and of each dictionary's share of ordinary text
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8_192, 8_192
+#: most bytes of a window, bytes from one window of a longer word to the next, and most bytes of each dictionary's share of ordinary text
+WINDOW, STRIDE, ORDINARY_BYTES, TOXIC_BYTES = 64, 32, 8_192, 8_192
 #: characters of the parts of words that are counted
 PARTS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -55,6 +55,12 @@ def tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
+def windows_of(word: str) -> list[bytes]:
+    """The word, or if it is long, overlapping windows over its whole length: text without spaces is one long word."""
+    body = word.encode("utf-8", "replace")
+    return [body[a : a + WINDOW] for a in range(0, len(body) - WINDOW + STRIDE, STRIDE)] if len(body) > WINDOW else [body]
+
+
 def parts_of(word: str) -> set[str]:
     padded = " " + word
     return {padded[i : i + n] for n in PARTS for i in range(len(padded) - n + 1)}
@@ -107,7 +113,7 @@ def toxic_stretches(toxic: list[str], ordinary: list[str]) -> list[str]:
 
 
 class Gains:
-    """Gains of windows. A window is one word, set in a frame that both dictionaries hold: short windows keep a rare toxic word from drowning in its neighbours, the frame pays the format's fixed costs."""
+    """Gains of windows. A window is one word or a part of a long one, set in a frame that both dictionaries hold: short windows keep a rare toxic word from drowning in its neighbours, the frame pays the format's fixed costs."""
 
     def __init__(self, model: Model):
         made = [zstandard.ZstdCompressionDict(d + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
@@ -116,11 +122,12 @@ class Gains:
             d.precompute_compress(compression_params=parameters)
         self._ordinary, self._toxic = (zstandard.ZstdCompressor(dict_data=d, compression_params=parameters).compress for d in made)
         self._weights = model.weights
-        self._known: dict[str, int] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
 
-    def gain(self, word: str) -> int:
-        window = FRAME[:16] + b" " + word.encode("utf-8", "replace")[:WINDOW] + FRAME[16:]
-        return len(self._ordinary(window)) - len(self._toxic(window))
+    def gains(self, word: str) -> tuple[int, ...]:
+        """Of each of the word's windows."""
+        windows = [FRAME[:16] + b" " + w + FRAME[16:] for w in windows_of(word)]
+        return tuple(len(self._ordinary(w)) - len(self._toxic(w)) for w in windows)
 
     def features(self, text: str) -> tuple[float, ...]:
         """How many windows gain at least so much, for each of STEPS (logarithms)."""
@@ -129,10 +136,13 @@ class Gains:
             known.clear()
         gains: Counter = Counter()
         for word, n in Counter(tokens(text)).items():
-            g = known.get(word)
-            if g is None:
-                g = known[word] = self.gain(word)
-            gains[g] += n
+            found = known.get(word)
+            if found is None:
+                found = self.gains(word)
+                if len(word) <= WINDOW:  # longer ones seldom come again
+                    known[word] = found
+            for g in found:
+                gains[g] += n
         return tuple(math.log1p(sum(n for g, n in gains.items() if g >= s)) for s in STEPS)
 
     def score(self, text: str) -> float:

@@ -161,6 +161,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_toxic_wording_in_long_runs():
+    rng = random.Random(3)
+    plain = ["".join(rng.choices("abcdefghiklmnoprstu", k=6)) for _ in range(300)]
+    bad = ["vexmordul", "zaptrinok", "毒恶辱骂语句"]
+    rows = [(i, " ".join(rng.choices(plain, k=30) + (bad if i % 4 < 1 + i % 2 and i % 3 == 0 else [])), int(i % 4 < 1 + i % 2 and i % 3 == 0)) for i in range(800)]
+    gains = toxicity.Gains(toxicity.fit(rows))
+    for sep in (" ", "-", "_", ""):
+        clean = sep.join(plain[:60])
+        assert gains.score(clean) < 0.3 <= gains.score(sep.join([clean, *bad])), sep
+    assert gains.score("天地玄黄宇宙洪荒" * 20) < 0.3 <= gains.score("天地玄黄宇宙洪荒" * 20 + "毒恶辱骂语句" + "日月盈昃辰宿列张" * 9)
+    for n in (1, 64, 65, 96, 97, 1000):
+        word = "".join(rng.choices("abcdef", k=n))
+        windows = toxicity.windows_of(word)
+        assert all(0 < len(w) <= 64 for w in windows) and all(any(word[a : a + 32].encode() in w for w in windows) for a in range(n))
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").select("score", "toxic").collect()
