@@ -161,30 +161,33 @@ def dictionaries(texts: dict[int, list[str]]) -> tuple[bytes, bytes]:
     return ordinary, ordinary + beyond[-TOXIC_BYTES:]
 
 
-def fit(rows: list[tuple[int, str, int]]) -> Model:
-    """rows: id, text, label. Every other document makes dictionaries on which the rest calibrate; all of them make the final ones."""
+def fit(rows: list[tuple[int, str, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """rows: id, text, label. Every other document makes dictionaries on which the rest calibrate; all of them make the final ones. stands_for: how many labelled documents a row of label 0, and of label 1, stands for; so scores follow the labels' shares, not the sample's."""
     make, check = rows[::2], rows[1::2]
     trial = Model(*dictionaries({label: [t for _, t, y in make if y == label] for label in (0, 1)}), (0.0,) * (len(STEPS) + 1))
     gains = Gains(trial)
     x = np.array([(*gains.features(t), 1.0) for _, t, _ in check] or [(*[0.0] * len(STEPS), 1.0)])
     y = np.array([float(label) for _, _, label in check] or [0.0])
+    weight = np.where(y == 1, stands_for[1], stands_for[0])
+    weight *= len(y) / weight.sum()
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-2] * len(STEPS) + [1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
     return Model(*dictionaries({label: [t for _, t, y in rows if y == label] for label in (0, 1)}), tuple(map(float, w)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` training rows of each label; labels 0 and 1 of rows whose id is not held out."""
+    """A model from at most ``sample`` training rows of each label, which are weighted by how many there are of it; labels 0 and 1 of rows whose id is not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(is_training(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     ranked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(ranked[0].unionByName(ranked[1]))  # 2 * sample rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = texts.join(chosen, "doc_id").collect()  # 2 * sample texts at most, but for repeated ids
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["text"]))
-    return fit([(r["doc_id"], r["text"], r["toxic"]) for r in rows])
+    return fit([(r["doc_id"], r["text"], r["toxic"]) for r in rows], tuple(max(there.get(y, 0) / sample, 1.0) for y in (0, 1)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

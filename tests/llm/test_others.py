@@ -177,6 +177,16 @@ def test_toxic_wording_in_long_runs():
         assert all(0 < len(w) <= 64 for w in windows) and all(any(word[a : a + 32].encode() in w for w in windows) for a in range(n))
 
 
+def test_toxicity_keeps_the_odds_of_a_sample(spark):
+    rng = random.Random(6)
+    plain = ["".join(rng.choices("abcdefghiklmnoprstu", k=6)) for _ in range(300)]
+    # one text in ten is toxic, and nothing in its wording shows it
+    frame = spark.createDataFrame([(i, " ".join(rng.choices(plain, k=20)), int(i % 10 == 0)) for i in range(2000)], "doc_id long, text string, toxic int")
+    for sample in (3000, 400, 60):
+        scored = toxicity.toxicity_scores(frame.drop("toxic"), frame.drop("text"), sample=sample)
+        assert abs(scored.agg(F.avg("score")).first()[0] - 0.1) < 0.08, sample
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").select("score", "toxic").collect()
