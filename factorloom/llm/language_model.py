@@ -4,7 +4,8 @@ Three things are gathered from all training documents: counts of words (for the
 score), counts of subword ids, and counts of neighbouring id classes. Classes are the
 commonest ids, one each, and bands of the rest by count. The model predicts the next id's
 class from attention over a window of earlier ids, on top of the corpus-wide odds of
-classes that follow one another, and then the id within its class by its count. The
+classes that follow one another, and then the id within its class by its count. An id is
+embedded as what its class has and what it has of its own, which starts at nothing. The
 attention is trained in numpy by the tasks that hold the text, on all its windows; their
 averaged weights are the model.
 
@@ -34,7 +35,9 @@ SPAN = STEP + CONTEXT
 BANDS = 16
 #: windows in a step of learning; ids from which a task learns at least, if there are so many
 TRAIN_BATCH, RATE, TRAIN_IDS = 64, 0.02, 2_000_000
-SCORE_BATCH = 256
+SCORE_BATCH = 64
+#: rows of weights that are averaged together
+ROWS = 512
 END_WORD = np.array([0x5EED_E4D0_0000_0001], np.uint64)
 
 
@@ -58,71 +61,105 @@ class Classes:
 
 
 class Attention:
-    """One layer of causal self-attention over id classes. Class CLASSES stands before a text."""
+    """One layer of causal self-attention over ids, whose classes it predicts. of: each id's class (by default ids are classes). The id ``before`` stands before a text."""
 
-    NAMES = ("q", "k", "v", "out", "near")
+    #: rows of WIDTH numbers: embeddings of classes; queries', keys' and values' projections; odds; nearness. Those of ids follow.
+    SHAPES = {"class": (CLASSES + 1, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "out": (WIDTH, CLASSES), "near": (SPAN,)}
+    SHARED = sum(math.prod(x) for x in SHAPES.values()) // WIDTH
 
-    def __init__(self, follow: np.ndarray, weights: dict[str, np.ndarray] | None = None):
+    def __init__(self, follow: np.ndarray, rows: np.ndarray | None = None, of: np.ndarray | None = None):
         self.follow = follow.astype(np.float32)  # logarithm of a class's odds after each class
+        self.of = np.arange(CLASSES, dtype=np.uint8) if of is None else of
+        self.before = min(len(self.of), (1 << 16) - 1)
+        self._input = np.append(self.of, np.uint8(CLASSES))  # classes of ids that are seen; a text's last id is not
+        self._input[self.before] = CLASSES
         rng = np.random.default_rng(0)
-        small = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
-        self.w = weights or {"q": small(CLASSES + 1, WIDTH), "k": small(CLASSES + 1, WIDTH), "v": small(CLASSES + 1, WIDTH), "out": np.zeros((WIDTH, CLASSES), np.float32), "near": np.zeros(SPAN, np.float32)}
+        if rows is None:
+            rows = np.zeros((self.SHARED + self.before + 1, WIDTH), np.float32)
+            rows[: CLASSES + 1] = rng.normal(0, 0.5, (CLASSES + 1, WIDTH))
+            rows[CLASSES + 1 : CLASSES + 1 + 3 * WIDTH] = rng.normal(0, 0.15, (3 * WIDTH, WIDTH))
+        self.rows = rows
+        self.w, at = {"id": rows[self.SHARED :]}, 0
+        for name, shape in self.SHAPES.items():
+            n = math.prod(shape) // WIDTH
+            self.w[name] = rows[at : at + n].reshape(shape)  # a view
+            at += n
         self._steps = {n: [np.zeros_like(x), np.zeros_like(x)] for n, x in self.w.items()}
         self._t = 0
+        #: windows learnt from, and for each id steps in which it was seen
+        self.n, self.met = 0, np.zeros(len(self.w["id"]), np.int64)
         query, key = np.arange(STEP)[:, None] + CONTEXT - 1, np.arange(SPAN - 1)[None, :]
         self._gap = np.maximum(query - key, 0)
         self._seen = key <= query
 
     def attend(self, seen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """seen: classes of windows but for their last id. Queries, keys, values, weights and what they gather."""
-        q, k, v = self.w["q"][seen[:, CONTEXT - 1 :]], self.w["k"][seen], self.w["v"][seen]
+        """seen: ids of windows but for their last one. Embeddings, queries, keys, values, weights and what they gather."""
+        x = self.w["class"].take(self._input.take(seen), axis=0)
+        x += self.w["id"].take(seen, axis=0)
+        qkv = np.matmul(x.reshape(-1, WIDTH), self.w["qkv"]).reshape(*seen.shape, 3 * WIDTH)
+        q, k, v = qkv[:, CONTEXT - 1 :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += np.where(self._seen, self.w["near"][self._gap], np.float32(-1e9))
         np.exp(np.minimum(s, 30, out=s), out=s)
         s /= s.sum(axis=2, keepdims=True)
-        return q, k, v, s, np.matmul(s, v)
+        return x, q, k, v, s, np.matmul(s, v)
 
     def odds(self, windows: np.ndarray, gathered: np.ndarray) -> np.ndarray:
         z = np.matmul(gathered.reshape(-1, WIDTH), self.w["out"])
-        z += self.follow[windows[:, CONTEXT - 1 : -1].ravel()]
+        z += self.follow[self._input[windows[:, CONTEXT - 1 : -1].ravel()]]
         return z
 
+    def targets(self, windows: np.ndarray) -> np.ndarray:
+        return self.of[np.minimum(windows[:, CONTEXT:].ravel(), len(self.of) - 1)]
+
     def score(self, windows: np.ndarray) -> np.ndarray:
         """Logarithm of the odds of each scored id's class."""
-        z = self.odds(windows, self.attend(windows[:, :-1])[4])
-        target = windows[:, CONTEXT:].ravel()
-        picked = z[np.arange(len(z)), np.minimum(target, CLASSES - 1)]
+        z = self.odds(windows, self.attend(windows[:, :-1])[5])
+        picked = z[np.arange(len(z)), self.targets(windows)]
         np.exp(z, out=z)
         return (picked - np.log(z.sum(axis=1))).reshape(len(windows), STEP)
 
     def learn(self, windows: np.ndarray, real: np.ndarray) -> None:
         """One step of Adam on the scored ids that are real."""
-        q, k, v, p, a = self.attend(windows[:, :-1])
+        x, q, k, v, p, a = self.attend(windows[:, :-1])
         z = self.odds(windows, a)
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
-        target, live = windows[:, CONTEXT:].ravel(), real.ravel()
-        z[np.arange(len(z)), np.minimum(target, CLASSES - 1)] -= 1
+        live = real.ravel()
+        z[np.arange(len(z)), self.targets(windows)] -= 1
         z *= (live / max(live.sum(), 1)).astype(np.float32)[:, None]
         flat = a.reshape(-1, WIDTH)
         grad = {"out": flat.T @ z}
         da = (z @ self.w["out"].T).reshape(a.shape)
         dp = np.matmul(da, v.transpose(0, 2, 1))
-        dv = np.matmul(p.transpose(0, 2, 1), da)
         ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+        d = np.zeros((*x.shape[:2], 3 * WIDTH), np.float32)
+        d[:, CONTEXT - 1 :, :WIDTH] = np.matmul(ds, k)
+        d[:, :, WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+        d[:, :, 2 * WIDTH :] = np.matmul(p.transpose(0, 2, 1), da)
+        d = d.reshape(-1, 3 * WIDTH)
         grad["near"] = np.bincount(self._gap.ravel(), (ds.sum(axis=0) * self._seen).ravel(), SPAN).astype(np.float32)
-        for name, g, at in (("q", dq, windows[:, CONTEXT - 1 : -1]), ("k", dk, windows[:, :-1]), ("v", dv, windows[:, :-1])):
-            grad[name] = np.zeros_like(self.w[name])
-            rows, sums = summed(at.ravel(), g.reshape(-1, WIDTH))
-            grad[name][rows] = sums
+        grad["qkv"] = x.reshape(-1, WIDTH).T @ d
+        seen, of_ids = summed(windows[:, :-1].ravel(), d @ self.w["qkv"].T)
+        grad["class"] = np.zeros_like(self.w["class"])
+        classes, of_classes = summed(self._input[seen], of_ids)
+        grad["class"][classes] = of_classes
+        self.n += len(windows)
+        self.met[seen] += 1
         self._t += 1
-        for name, g in grad.items():
-            m, s = self._steps[name]
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            self.w[name] -= RATE * (m / (1 - 0.9**self._t)) / (np.sqrt(s / (1 - 0.99**self._t)) + 1e-6)
+        for name, g, at in [(name, g, ...) for name, g in grad.items()] + [("id", of_ids, seen)]:
+            m, s = self._steps[name][0][at], self._steps[name][1][at]
+            m = m + 0.1 * (g - m)
+            s = s + 0.01 * (g * g - s)
+            self._steps[name][0][at], self._steps[name][1][at] = m, s
+            self.w[name][at] -= RATE * (m / (1 - 0.9**self._t)) / (np.sqrt(s / (1 - 0.99**self._t)) + 1e-6)
+
+    def learnt(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that have learnt something, and the weight of each: of an id's, the steps that saw it."""
+        weight = np.append(np.full(self.SHARED, self.n), self.met)
+        rows = np.flatnonzero(weight)
+        return rows, weight[rows]
 
 
 def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,15 +170,15 @@ def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def windows_of(classes: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts, the text of each, and which of their scored ids are real. classes: those of all texts' ids, one text after the other."""
+def windows_of(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, before: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts, the text of each, and which of their scored ids are real. ids: those of all texts, one text after the other."""
     counts = -(-sizes // STEP)
     text = np.repeat(np.arange(len(sizes)), counts)
     first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * STEP
     place = first[:, None] + np.arange(-CONTEXT, STEP)[None, :]
     inside = (place >= 0) & (place < sizes[text][:, None])
-    windows = np.full(place.shape, CLASSES, np.uint8)
-    windows[inside] = classes[(starts[text][:, None] + place)[inside]]
+    windows = np.full(place.shape, before, np.uint16)
+    windows[inside] = ids[(starts[text][:, None] + place)[inside]]
     return windows, text, inside[:, CONTEXT:]
 
 
@@ -169,12 +206,12 @@ def batch_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(parts), sizes, np.cumsum(sizes) - sizes
 
 
-def teach(model: Attention, batches: Iterator[pa.RecordBatch], classes: Classes) -> int:
-    """Learns from every window of the batches, in steps of TRAIN_BATCH and a last one of what remains; the number of windows. batches: h, ids."""
-    held, n = [], 0
+def teach(model: Attention, batches: Iterator[pa.RecordBatch]) -> None:
+    """Learns from every window of the batches, in steps of TRAIN_BATCH and a last one of what remains. batches: h, ids."""
+    held = []
     for batch in small_batches(batches, 500_000, "ids"):
         ids, sizes, starts = batch_ids(batch)
-        windows, text, real = windows_of(classes.of[ids], sizes, starts)
+        windows, text, real = windows_of(ids, sizes, starts, model.before)
         marks = np.array(batch["h"].to_pylist(), np.int64)[text] * 31 + np.arange(len(text)) - np.searchsorted(text, text)
         mixed = np.argsort(marks * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")  # a step's windows are of many texts
         held.append((windows[mixed], real[mixed]))
@@ -183,10 +220,8 @@ def teach(model: Attention, batches: Iterator[pa.RecordBatch], classes: Classes)
         for a in range(0, cut, TRAIN_BATCH):
             model.learn(w[a : a + TRAIN_BATCH], r[a : a + TRAIN_BATCH])
         held = [(w[cut:], r[cut:])]
-        n += len(windows)
     if held and len(held[0][0]):
         model.learn(*held[0])
-    return n
 
 
 def base_scores(rows: DataFrame, n_docs: int, n_keys: int) -> DataFrame:
@@ -298,26 +333,30 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     follow = np.log((pairs + 20 * alone) / (pairs.sum(axis=1, keepdims=True) + 20))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Attention(follow)
-        n = teach(model, batches, classes)
-        flat = np.concatenate([model.w[name].ravel() for name in Attention.NAMES]).astype(np.float64)
-        if n:
-            yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "w": flat * n, "n": np.full(len(flat), float(n))})
-
-    model = Attention(follow)
-    flat = np.concatenate([model.w[n].ravel() for n in Attention.NAMES]).astype(np.float64)
+        model = Attention(follow, None, classes.of)
+        teach(model, batches)
+        rows, weight = model.learnt()
+        body = np.column_stack([rows, weight, model.rows[rows]]).astype(np.float32)  # rows' numbers are far below 2 ** 24
+        for part in np.split(body, np.flatnonzero(np.diff(rows // ROWS)) + 1):
+            if len(part):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[0, 0]) // ROWS], pa.int32()), "body": pa.array([part.tobytes()], pa.binary())})
+
+    def average(table: pa.Table) -> pa.Table:
+        body = np.concatenate([np.frombuffer(b, np.float32) for b in table["body"].to_pylist()]).reshape(-1, 2 + WIDTH).astype(np.float64)
+        body[:, 2:] *= body[:, 1:2]
+        rows, sums = summed(body[:, 0].astype(np.int64), body[:, 1:])
+        mean = np.column_stack([rows, sums[:, 1:] / sums[:, :1]]).astype(np.float32)
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "body": pa.array([mean.tobytes()], pa.binary())})
+
+    weights = Attention(follow, None, classes.of).rows
     few = teaching.select("h", "ids").coalesce(max(1, math.ceil(counts.sum() / TRAIN_IDS)))  # small partitions learn together, not each a little
-    for r in few.mapInArrow(learn, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect():  # the model's weights
-        flat[r["i"]] = r["w"]
-    at, weights = 0, {}
-    for name in Attention.NAMES:
-        shape = model.w[name].shape
-        n = math.prod(shape)
-        weights[name] = flat[at : at + n].reshape(shape).astype(np.float32)
-        at += n
+    parts = few.mapInArrow(learn, "part int, body binary").groupBy("part").applyInArrow(average, "part int, body binary")
+    for r in parts.collect():  # the model's weights, a row for each id at most
+        mean = np.frombuffer(r["body"], np.float32).reshape(-1, 1 + WIDTH)
+        weights[mean[:, 0].astype(np.int64)] = mean[:, 1:]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Attention(follow, weights)
+        model = Attention(follow, weights, classes.of)
         for batch in batches:
             out, lengths = [], []
             for small in small_batches([batch], 500_000, "ids"):
@@ -335,7 +374,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def score_texts(model: Attention, classes: Classes, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The base-10 logarithm of each text's odds."""
-    windows, text, real = windows_of(classes.of[ids], sizes, starts)
+    windows, text, real = windows_of(ids, sizes, starts, model.before)
     sums = np.zeros(len(windows))
     for a in range(0, len(windows), SCORE_BATCH):
         s = slice(a, a + SCORE_BATCH)

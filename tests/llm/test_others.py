@@ -145,11 +145,28 @@ def test_attention_learns_from_all_windows(spark):
     assert -sum(r.score for r in test) * math.log2(10) / sum(r.n_ids for r in test) < 0.4
     # fewer windows than a step has
     classes, packed = language_model.Classes(np.arange(1 << 16, dtype=float)), [language_model.pack_ids(np.arange(n, dtype=np.uint16)) for n in (70, 1)]
-    model = language_model.Attention(np.zeros((language_model.CLASSES + 1, language_model.CLASSES)))
-    assert language_model.teach(model, [pa.RecordBatch.from_pydict({"h": [3, 5], "ids": packed})], classes) == 4
+    model = language_model.Attention(np.zeros((language_model.CLASSES + 1, language_model.CLASSES)), of=classes.of)
+    language_model.teach(model, [pa.RecordBatch.from_pydict({"h": [3, 5], "ids": packed})])
+    assert model.n == 4
     assert np.abs(model.w["out"]).max() > 0
 
 
+def test_attention_tells_ids_of_a_class_apart():
+    rng = np.random.default_rng(1)
+    of = np.append(np.arange(60), np.full(40, 60)).astype(np.uint8)  # ids 60 to 99 are of one class
+    lead = rng.integers(60, 100, 4000)
+    ids = np.stack([lead, np.full(4000, 7), lead % 2], axis=1).ravel().astype(np.uint16)  # an odd one has 1 behind it, an even one 0
+    follow = np.full((language_model.CLASSES + 1, language_model.CLASSES), 0.01)
+    np.add.at(follow, (np.append(language_model.CLASSES, of[ids][:-1]), of[ids]), 1)
+    model = language_model.Attention(np.log(follow / follow.sum(axis=1, keepdims=True)), of=of)
+    windows, _, real = language_model.windows_of(ids, np.array([len(ids)]), np.array([0]), model.before)
+    for _ in range(30):
+        for a in range(0, len(windows), 64):
+            model.learn(windows[a : a + 64], real[a : a + 64])
+    scores = model.score(windows)[real][2::3]
+    assert -scores.mean() < 0.3  # log(2) if the ids were alike
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.toxicity_scores(docs, labels)
