@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; only a session without one gets a folder of its own."""
+    """Checkpoints go to the folder that the session names. Only a local session without one, which has one machine's disk, gets a folder of its own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what executors write and read; a cluster must name it in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factorloom-checkpoints-"))
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="factorloom-shared-")
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name like ``name`` that is none of ``taken`` (in any case)."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def saved(df: DataFrame) -> DataFrame:
