@@ -218,8 +218,6 @@ def test_main_text(spark):
     rows = [(1, "u", page), (1, "u", page), (None, None, None), (2, "v", ""), (3, None, "<p>" + "word " * 5000)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text")).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 22, 22, 24_999]
-    for p in html_text.TRAINING:
-        assert html_text.main_text(p) == "\n".join(b.text for b in html_text.blocks_of(p) if b.label)
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
