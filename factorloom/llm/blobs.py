@@ -7,9 +7,10 @@ order, and only the answers travel back. Both sides are plain
 ``groupBy().applyInArrow`` steps: Spark shuffles, retries and spills them as any
 other rows, and a lost executor only repeats deterministic steps.
 
-A key that a third of the rows hold is no hot group: a document bucket sends what
-it found once for each of its own records, in arrays of fixed-size numbers, and a
-bucket's size follows from ``buckets_for``.
+A bucket's records are sent once each: callers leave out what they can tell from their
+own bucket alone, so copies that a bucket holds many times are asked about once. Numbers of
+buckets follow from the bytes of all texts. Where key buckets outnumber a document bucket's
+keys, a packed row holds one key, as in a plain shuffle.
 """
 
 from __future__ import annotations
@@ -21,33 +22,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: compressed input bytes for a document bucket and a key bucket
-DOC_BUCKET_BYTES = 1_200_000
-KEY_BUCKET_BYTES = 8_000_000
-#: bytes that a partition of unknown size is taken to have
-PARTITION_BYTES = 16_000_000
-_UNKNOWN = 1 << 50
+#: text bytes for a document bucket and a key bucket
+DOC_BUCKET_BYTES = 1_500_000
+KEY_BUCKET_BYTES = 10_000_000
 
 PLANES = "planes"
 PACKED = "kb int, src int, body binary"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the tables that a plan reads (the files' sizes, for scans); rows of unknown size count by their partitions."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = sum(s for s in sizes if s <= _UNKNOWN)
-    return known if len(sizes) == sum(s <= _UNKNOWN for s in sizes) else known + PARTITION_BYTES * df.rdd.getNumPartitions()
+def buckets_for(docs: DataFrame) -> tuple[int, int]:
+    """Numbers of document and key buckets; both grow with the texts' bytes, however well their files are compressed. docs: text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(48, math.ceil(size / DOC_BUCKET_BYTES)), max(64, math.ceil(size / KEY_BUCKET_BYTES))
 
 
-def buckets_for(df: DataFrame) -> tuple[int, int]:
-    """Numbers of document and key buckets; both grow with the input."""
-    size = input_bytes(df)
-    return max(48, math.ceil(size / DOC_BUCKET_BYTES)), max(64, math.ceil(size / KEY_BUCKET_BYTES))
+def bucket_of(n: int, *columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
-def bucket_of(column: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def row_bucket(n: int) -> Column:
+    """A bucket by doc_id and text, so rows without an id, or of one id, are many buckets' and equal rows one's."""
+    return bucket_of(n, F.col("doc_id"), F.col("text"))
 
 
 def key_bucket(keys: np.ndarray, n: int) -> np.ndarray:

@@ -40,17 +40,28 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: rows into which a node's least neighbour is copied, so that a hub's edges meet it in many tasks
+SALT = 16
+
+
+def _with_least(edges: DataFrame, key: str, other: str, least: DataFrame) -> DataFrame:
+    """edges with ``m``, the least of each ``key``. A hub's edges are dealt over SALT tasks by their other end."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALT)))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours point at the least node of its neighbourhood."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+    return _with_least(both.where("v > u"), "u", "v", least).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours point at the least of them. Edges come as a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(edges, "a", "b", least).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm import blobs
-from factorloom.llm.components import connected_components, saved
+from factorloom.llm.components import connected_components, fresh, saved
 from factorloom.llm.embedding_dedup import least_labels
 from factorloom.llm.text_arrays import Rolling, Words, mix, ranges, small_batches
 from factorloom.shipping import ship
@@ -171,8 +171,8 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     bands = size_bands(percent, 1 << 40)
 
     # 2. sets with too many shingles of their own leave
-    bucketed = docs.where("doc_id is not null").select("doc_id", "text", blobs.bucket_of(F.col("doc_id"), n_docs).alias("src"))
-    chosen = reps.select("rep", "n_shingles", blobs.bucket_of(F.col("rep"), n_docs).alias("src"))
+    bucketed = docs.where("doc_id is not null").select("doc_id", "text", blobs.bucket_of(n_docs, F.col("doc_id")).alias("src"))
+    chosen = reps.select("rep", "n_shingles", blobs.bucket_of(n_docs, F.col("rep")).alias("src"))
 
     def rep_sets(table: pa.Table, chosen: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
         """The representatives' ids, shingles and offsets. A repeated doc_id may bring sets beside the chosen one; they stay as sets of that node."""
@@ -253,7 +253,7 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     # now by all shingles, among the sets that are left, until few more leave
     left = sets.count()
     while left:
-        placed = sets.withColumn("src", blobs.bucket_of(F.col("doc_id"), n_docs))
+        placed = sets.withColumn("src", blobs.bucket_of(n_docs, F.col("doc_id")))
         alone = placed.groupBy("src").applyInArrow(send_all, blobs.PACKED).groupBy("kb").applyInArrow(answer_tokens, blobs.PACKED)
         sets = saved(placed.groupBy("src").cogroup(alone.groupBy("src")).applyInArrow(prune, "doc_id long, tokens binary"))
         before, left = left, sets.count()
@@ -355,7 +355,17 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """The documents with the smallest doc_id of each component; a null doc_id stays."""
-    kept = shingle_components(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each component, with all its columns whatever their names: the one with the smallest doc_id.
+
+    Rows that share a doc_id are one document and stay or go together. A row without one
+    comes after all others and is told from its like by its text; of equal ones one stays.
+    Null and empty texts link with nothing: such rows stay, but for those without a doc_id
+    all but one. An empty table gives no rows.
+    """
+    node = fresh("node", docs.columns)
+    late = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62))
+    keyed = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), late))
+    kept = shingle_components(keyed.select(F.col(node).alias("doc_id"), "text"), size, percent).where("doc_id = component_id").select(F.col("doc_id").alias(node)).distinct()
+    stay = keyed.join(kept, node, "left_semi")
+    without = stay.where("doc_id is null").dropDuplicates([node])
+    return stay.where("doc_id is not null").select(docs.columns).unionByName(without.select(docs.columns))

@@ -226,7 +226,7 @@ def teach(model: Attention, batches: Iterator[pa.RecordBatch]) -> None:
 
 def base_scores(rows: DataFrame, n_docs: int, n_keys: int) -> DataFrame:
     """doc_id, h, n_tokens, n_known, train_tokens, base_score, by an exchange of word counts. rows: doc_id, text, h, held_out."""
-    docs = rows.withColumn("src", blobs.bucket_of(F.col("doc_id"), n_docs))
+    docs = rows.withColumn("src", blobs.row_bucket(n_docs))
 
     def word_keys(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """Rows in order, words' hashes with each text's end, their texts, and which texts teach."""

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factorloom.llm.repeats import Runs, cut_repeats
-from factorloom.llm.suffix_dedup import covered
+from factorloom.llm.suffix_dedup import PLACE_BITS, covered
 from factorloom.llm.text_arrays import Rolling, Words, mix, ranges
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 ROUNDS = 3
 _U = np.uint64
-_PLACE = np.uint64((1 << 28) - 1)
+_PLACE = np.uint64((1 << PLACE_BITS) - 1)
 _NONE = np.uint64((1 << 64) - 1)
 
 
@@ -56,6 +56,8 @@ def pairs_round(name: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.n
 
 def word_runs(texts: list[bytes], size: int, rounds: int = ROUNDS) -> Runs:
     """Runs of windows of ``size`` words that one symbol represents."""
+    if not 0 < size < 1 << 14:
+        raise ValueError("a window has from 1 to 16383 words")
     words = Words(texts)
     n = len(words.hashes)
     rolling = Rolling(words.hashes)
@@ -75,7 +77,7 @@ def word_runs(texts: list[bytes], size: int, rounds: int = ROUNDS) -> Runs:
     names = []
     for level in range(rounds, -1, -1):
         name, start, low, high, _ = levels[level]
-        rank, before, after = np.full(n, _NONE), np.full(n, -size, np.int8), np.full(n, size + 1, np.int8)
+        rank, before, after = np.full(n, _NONE), np.full(n, -size, np.int16), np.full(n, size + 1, np.int16)
         rank[start] = (mix(name + _U(level)) & ~_PLACE) | start.astype(_U)
         before[start] = np.maximum(low - start, -size)
         after[start] = np.minimum(high - start, size + 1)

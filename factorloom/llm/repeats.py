@@ -9,8 +9,9 @@ offsets. Three packed exchanges follow:
 2. windows: the remaining runs' windows, by hash; the earliest of each stays.
 3. the settled runs and windows go back to their documents, which are cut there.
 
-Rows in 1 follow the number of anchors (a few hundredths of the units), in 2 the
-number of *distinct* repeated runs, so thousands of copies cost little more than two.
+What an earlier document of the same bucket settles is not asked about, so a bucket sends
+one record of a passage, however many copies of it it holds. Rows in 1 follow the number
+of anchors (a few hundredths of the units), in 2 the number of *distinct* repeated runs.
 """
 
 from __future__ import annotations
@@ -66,12 +67,24 @@ def later(keys: np.ndarray, doc: np.ndarray, same_doc: bool) -> np.ndarray:
     return out
 
 
+def settled_at_home(doc: np.ndarray, same_doc: bool, *keys: np.ndarray) -> np.ndarray:
+    """Which records equal one of an earlier document of their own bucket (or an earlier one of their own). Records come in order of document and place; doc: ids to compare by."""
+    if not len(doc):
+        return np.zeros(0, bool)
+    order = np.lexsort(keys)  # stable: equal records stay in order
+    new = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))
+    d = doc[order]
+    out = np.empty(len(doc), bool)
+    out[order] = ~new if same_doc else d > d[new][np.cumsum(new) - 1]
+    return out
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same places as fewest intervals; start and end ascend."""
     if not len(start):
-        return start.astype(np.int32), end.astype(np.int32)
+        return start.astype(np.int64), end.astype(np.int64)
     apart = np.append(True, start[1:] > np.maximum.accumulate(end)[:-1])
-    return start[apart].astype(np.int32), np.maximum.reduceat(end, np.flatnonzero(apart)).astype(np.int32)
+    return start[apart].astype(np.int64), np.maximum.reduceat(end, np.flatnonzero(apart)).astype(np.int64)
 
 
 _ROWS = "kb int, src int, kind int, body binary"
@@ -96,12 +109,14 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
     """
     ship(docs.sparkSession)
     n_docs, n_keys = blobs.buckets_for(docs)
-    docs = docs.select("doc_id", "text", blobs.bucket_of(F.col("doc_id"), n_docs).alias("src"))
+    docs = docs.select("doc_id", "text", blobs.row_bucket(n_docs).alias("src"))
 
     def send_anchors(table: pa.Table) -> pa.Table:
         ids, texts = blobs.sorted_docs(table)
         runs = cutter(texts)
-        return blobs.packed_rows(table["src"][0].as_py(), runs.anchor, n_keys, runs.content, ascending=blobs.id_order(ids)[runs.doc])
+        doc = blobs.id_order(ids)[runs.doc]
+        ask = ~settled_at_home(doc, same_doc, runs.content, runs.anchor)
+        return blobs.packed_rows(table["src"][0].as_py(), runs.anchor[ask], n_keys, runs.content[ask], ascending=doc[ask])
 
     def answer_anchors(table: pa.Table) -> pa.Table:
         sources, sizes, (anchor, content, doc) = blobs.gathered(table, "u8", "u8", blobs.PLANES)
@@ -113,14 +128,21 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
         src = table["src"][0].as_py()
         ids, texts = blobs.sorted_docs(table)
         runs = cutter(texts)
-        flags = blobs.answers(said, runs.anchor, n_keys, "u1")
+        number = blobs.id_order(ids)
+        home = settled_at_home(number[runs.doc], same_doc, runs.content, runs.anchor)
+        flags = np.full(len(home), SETTLED, np.uint8)
+        flags[~home] = blobs.answers(said, runs.anchor[~home], n_keys, "u1")
         settled, live = np.flatnonzero(flags == SETTLED), np.flatnonzero(flags == OPEN)
         counts = runs.last[live] - runs.first[live] + 1
-        starts, doc = ranges(runs.first[live], counts), np.repeat(runs.doc[live], counts)
+        starts, doc = ranges(runs.first[live], counts), number[np.repeat(runs.doc[live], counts)]
         keys = runs.hash_windows(starts)
-        asked = blobs.packed_rows(src, keys, n_keys, ascending=blobs.id_order(ids)[doc])
+        home = settled_at_home(doc, same_doc, keys)
+        opens, ends = np.append(runs.first[settled], starts[home]), np.append(runs.last[settled], starts[home]) + size
+        by_place = np.lexsort((ends, opens))
+        starts, doc, keys = starts[~home], doc[~home], keys[~home]
+        asked = blobs.packed_rows(src, keys, n_keys, ascending=doc)
         order, found, at = blobs.deal(keys, n_keys)
-        known = blobs.pack(*merged(runs.first[settled], runs.last[settled] + size)), blobs.pack(starts[order].astype(np.int32)), blobs.pack(found, at[:-1])
+        known = blobs.pack(*merged(opens[by_place], ends[by_place])), blobs.pack(starts[order].astype(np.int64)), blobs.pack(found, at[:-1])
         body = np.array([len(k) for k in known], np.int64).tobytes() + b"".join(known)
         carried = pa.table({"kb": pa.array([src % n_keys], pa.int32()), "src": pa.array([src], pa.int32()), "body": pa.array([body], pa.binary())})
         return pa.concat_tables([with_kind(asked, _ASKED), with_kind(carried, _CARRIED)])
@@ -137,8 +159,8 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
         body = of_kind(said, _CARRIED)["body"][0].as_py()
         edges = np.append(24, 24 + np.cumsum(np.frombuffer(body, np.int64, 3)))
         runs, windows, dealt = (body[a:b] for a, b in zip(edges, edges[1:]))
-        opens, ends = blobs.unpack(runs, "i4", "i4")
-        (starts,) = blobs.unpack(windows, "i4")
+        opens, ends = blobs.unpack(runs, "i8", "i8")
+        (starts,) = blobs.unpack(windows, "i8")
         found, at = blobs.unpack(dealt, "i8", "i8")
         answers = of_kind(said, _ASKED)
         got = dict(zip(answers["kb"].to_pylist(), answers["body"].to_pylist()))

@@ -23,11 +23,13 @@ from factorloom.llm.repeats import Runs, cut_repeats
 from factorloom.llm.text_arrays import Rolling, byte_values, join_texts, mix, ranges
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_PLACE = np.uint64((1 << 28) - 1)
+#: bits of a place in a bucket's bytes; keys compare by the bits above them
+PLACE_BITS = 40
+_PLACE = np.uint64((1 << PLACE_BITS) - 1)
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least key in each window of ``width``, the leftmost of equals (by the upper 36 bits)."""
+    """Place of the least key in each window of ``width``, the leftmost of equals (by the bits above PLACE_BITS)."""
     n = len(keys) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -88,8 +90,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, block: int = 36) -> DataFra
 
     docs: doc_id, text; other columns are ignored whatever their names. Null and empty
     texts give zeros and the hash of nothing; a null doc_id counts as later than all.
-    Rows with one doc_id are taken in order of text, each later than the one before, so
-    a repeated row of at least ``length`` bytes loses everything. An empty table gives
-    no rows. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    Rows with one doc_id, and rows without, are taken in a fixed order by hash and then
+    text, each later than the one before, so a repeated row of at least ``length`` bytes
+    loses everything. An empty table gives no rows. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
     """
     return cut_repeats(docs, lambda t: byte_runs(t, length, block), remove_bytes, SCHEMA, length, same_doc=True)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from factorloom.llm.recompression import substring_dedup, word_runs
-from factorloom.llm.suffix_dedup import sliding_argmin, suffix_dedup
+from factorloom.llm.suffix_dedup import PLACE_BITS, sliding_argmin, suffix_dedup
 
 
 def ordered(docs):
@@ -91,4 +91,17 @@ def test_equal_windows_have_equal_anchors():
 def test_sliding_argmin():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
     got = sliding_argmin(keys, 17)
-    assert [int(x) for x in got] == [i + int(np.argmin(keys[i : i + 17] >> np.uint64(28))) for i in range(500 - 16)]
+    assert [int(x) for x in got] == [i + int(np.argmin(keys[i : i + 17] // np.uint64(1 << PLACE_BITS))) for i in range(500 - 16)]
+
+
+def test_a_third_of_the_rows_are_copies_and_many_have_no_id(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    copied, passage = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(20))
+    rows = [(i, copied) for i in range(0, 900, 3)]
+    rows += [(i, " ".join(word() for _ in range(20)) + " " + passage + " " + word()) for i in range(1, 900, 3)]
+    rows += [(i, " ".join(word() for _ in range(30))) for i in range(2, 900, 3)]
+    rows += [(None, copied + " and more " + passage)] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert text(map(tuple, suffix_dedup(frame).collect())) == text(brute_bytes(ordered(frame), 100))
+    assert text(map(tuple, substring_dedup(frame).collect())) == text(brute_words(ordered(frame), 13))
