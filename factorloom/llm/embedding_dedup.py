@@ -26,7 +26,7 @@ def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
 
 
 def valid_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, vec (bytes of doubles) of the vectors that can have a cosine."""
+    """vec_id, vec (bytes of doubles) of the vectors that can have a cosine, scaled by a power of two to a largest component of about one, so that no square leaves the range of doubles."""
     for batch in batches:
         lists = batch["embedding"]
         flat = lists.flatten()
@@ -37,11 +37,17 @@ def valid_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keep = []
         for i, (a, b) in enumerate(zip(at, at[1:])):
             x = values[a:b]
-            if ids[i] is not None and b > a and np.isfinite(x).all() and 0 < math.fsum(x * x) < math.inf:
-                keep.append((ids[i], x.tobytes()))
+            if ids[i] is not None and b > a and np.isfinite(x).all() and x.any():
+                keep.append((ids[i], scaled(x).tobytes()))
         yield pa.RecordBatch.from_pydict({"vec_id": pa.array([k[0] for k in keep], pa.int64()), "vec": pa.array([k[1] for k in keep], pa.binary())})
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The vector times a power of two (in two steps: one alone may be out of range)."""
+    shift = -int(np.frexp(np.abs(x).max())[1])
+    return np.ldexp(np.ldexp(x, shift // 2), shift - shift // 2) + 0.0  # no negative zeros
+
+
 def links_in(x: np.ndarray, codes: np.ndarray, table: int, left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (rows of x) that collide first in ``table``; within ``left`` if there is no ``right``."""
     other = left if right is None else right
@@ -77,8 +83,10 @@ def embedding_near_dedup(embeddings: DataFrame, threshold: float = 0.95, recall:
     embeddings: vec_id, embedding (array of numbers); other columns are ignored. Vectors
     that are null, empty, zero or hold null or non-finite components link with nothing,
     nor do vectors of different lengths. Equal vectors are compared once and counted as
-    often as they occur. Rows that repeat a vec_id with one vector count as one vector; a
-    null vec_id is kept with no links and no component. An empty table gives no rows.
+    often as they occur. Rows that repeat a vec_id with one vector count as one vector; with
+    several, each has its links, and every row of the id tells the most links that one of
+    them has and the smallest component. A null vec_id is kept with no links and no
+    component. An empty table gives no rows.
 
     Tables and bits follow from the number of vectors. Buckets over ``BLOCK`` rows are
     split into pairs of blocks, so no task holds more than two blocks of a bucket; a task

@@ -226,6 +226,7 @@ def test_embedding_links(spark):
     base = rng.standard_normal((40, 16))
     x = np.vstack([base, base[:20] + 0.12 * rng.standard_normal((20, 16)), np.repeat(base[:1], 30, axis=0), base[:5] * 3])
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(900, None, 0), (901, [], 0), (902, [0.0] * 16, 0), (903, [float("nan")] * 16, 0), (904, [None] * 16, 0), (905, [1.0] * 8, 0), (None, [1.0] * 16, 0), (906, [float("inf")] + [1.0] * 15, 0)]
+    rows += [(907, [1e-200] * 4, 0), (908, [1e200] * 4, 0), (909, [1e-310, -1e-310, 0.0, 0.0], 0), (910, [1e308, -1e308, 0.0, -0.0], 0)]  # squares out of range
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS rep", "2 AS vec")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_near_dedup(frame).collect()}
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -234,9 +235,27 @@ def test_embedding_links(spark):
     label = embedding_dedup.least_labels(len(x), i, j)
     want = {k: (int(near[k].sum()) - 1, int(label[k]), bool(label[k] == k)) for k in range(len(x))}
     want |= {k: (0, k, True) for k in (900, 901, 902, 903, 904, 905, 906)} | {None: (0, None, False)}
+    want |= {907: (1, 907, True), 908: (1, 907, False), 909: (1, 909, True), 910: (1, 909, False)}
     assert got == want
 
 
+def test_embedding_recall_on_a_table(spark):
+    """Against all pairs of the whole table."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in frame.select("vec_id", "embedding").collect() if r.embedding is not None and None not in r.embedding]
+    x = np.array([v for _, v in rows], float)
+    fine = np.isfinite(x).all(axis=1) & (np.abs(x).sum(axis=1) > 0)
+    ids, x = np.array([i for i, _ in rows])[fine], x[fine]
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = {int(i): 0 for i in ids}
+    for a in range(0, len(x), 1000):
+        for i, n in zip(ids[a : a + 1000], (unit[a : a + 1000] @ unit.T >= 0.95).sum(axis=1) - 1):
+            want[int(i)] += int(n)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_near_dedup(frame).collect()}
+    found = sum(min(got[i], n) for i, n in want.items())
+    assert found >= 0.999 * sum(want.values()) and all(got[i] <= n for i, n in want.items())
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
     rng = np.random.default_rng(4)
