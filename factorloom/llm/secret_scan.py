@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.components import saved
+from factorloom.llm.components import fresh, saved
 from factorloom.shipping import ship
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -59,9 +59,13 @@ def looks_random(token: str) -> bool:
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
     """start, end and token of long mixed tokens outside base spans."""
     out = []
+    k, reach = 0, 0  # base spans that begin before the candidate's end, and the furthest end of them
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if looks_random(m[0]) and not any(a < e and s < b for a, b, _, _ in base):
+        while k < len(base) and base[k][0] < e:
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= s and looks_random(m[0]):
             out.append((s, e, m[0]))
     return out
 
@@ -104,7 +108,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] =
     stats = pairs.groupBy("key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     judged = stats.select("key", ((F.col("owners") <= MAX_OWNERS) & (F.col("repos") <= MAX_REPOS)).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = held.select("doc_id", "h", "kind", "s", "e", "key").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALT)).cast("int"))
-    known = salted.join(judged, ["key", "salt"])
+    known = salted.join(judged.hint("merge"), ["key", "salt"])  # values are many: no broadcast
     of_row = known.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h").agg(
         F.sort_array(F.collect_set(F.when((F.col("kind") == "owned") & F.col("live"), F.struct("s", "e")))).alias("owned"),
         F.count_if((F.col("kind") != "owned") & F.col("live")).alias("n_live"),
@@ -133,19 +137,41 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] =
     )
 
 
+def masked(text: str, spans: str, mask: str) -> str:
+    """The text with each span replaced; spans that overlap are one."""
+    out, at = [], 0
+    for start, end in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
+        if end <= at:
+            continue
+        if start >= at:
+            out += [text[at:start], mask]
+        at = end
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """The documents with each span replaced by ``mask``; rows without spans stay as they are."""
-    spans = scan_secrets(docs).where("spans <> ''").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).distinct()
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-    # pieces of the text outside the spans, from start to end
-    places = F.array_sort(F.transform(F.split("_spans", ","), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e"))))
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-    cut = F.aggregate(
-        places,
-        start,
-        lambda acc, x: F.when(x["e"] <= acc["at"], acc).otherwise(
-            F.struct(F.concat(acc["t"], F.when(x["s"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))).alias("t"), x["e"].alias("at"))
-        ),
-        lambda acc: F.concat(acc["t"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return keyed.join(spans, ["_id", "_none", "_h"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    """The documents with each span replaced by ``mask``, with all their columns whatever their names.
+
+    Rows without spans, null and empty texts stay as they are; overlapping spans get one
+    mask. Rows are told apart by doc_id (or its lack) and text, so equal rows fare alike. An
+    empty table gives no rows.
+    """
+    ship(docs.sparkSession)
+    names = [fresh(n, docs.columns) for n in ("id", "none", "hash")]
+    found = fresh("spans", docs.columns)
+    keys = lambda h: (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), h)
+    spans = scan_secrets(docs).where("spans <> ''").select(*(c.alias(n) for c, n in zip(keys(F.col("h")), names)), F.col("spans").alias(found)).distinct()
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(keys(F.xxhash64(F.coalesce("text", F.lit("")))), names)))
+    columns = docs.columns
+    joined = keyed.join(spans, names, "left").select(*columns, found)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = batch[found].to_pylist()
+            if any(told):
+                texts = [masked(t, s, mask) if s else t for t, s in zip(batch["text"].to_pylist(), told)]
+                at = batch.schema.get_field_index("text")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.select(columns)
+
+    return joined.mapInArrow(cut, docs.schema)
