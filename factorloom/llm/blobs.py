@@ -63,11 +63,16 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def planes(ascending: np.ndarray) -> np.ndarray:
-    """Steps of ascending 64-bit numbers, all lowest bytes first: Spark's compression leaves little of the high ones."""
+    """Steps of 64-bit numbers that mostly ascend, all lowest bytes first: Spark's compression leaves little of the high ones."""
     steps = np.diff(ascending.astype(np.int64), prepend=np.int64(0))
     return steps.view(np.uint8).reshape(-1, 8).T
 
 
+def pack_planes(*columns: np.ndarray) -> bytes:
+    """Whole numbers of one length that mostly ascend, as ``planes``."""
+    return np.int64(len(columns[0])).tobytes() + b"".join(planes(c).tobytes() for c in columns)
+
+
 def unpack(body: bytes, *types: str) -> list[np.ndarray]:
     """Arrays of numpy's types, or of ``planes``."""
     n, at, out = int(np.frombuffer(body, np.int64, 1)[0]), 8, []

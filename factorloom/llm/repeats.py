@@ -142,7 +142,7 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
         starts, doc, keys = starts[~home], doc[~home], keys[~home]
         asked = blobs.packed_rows(src, keys, n_keys, ascending=doc)
         order, found, at = blobs.deal(keys, n_keys)
-        known = blobs.pack(*merged(opens[by_place], ends[by_place])), blobs.pack(starts[order].astype(np.int64)), blobs.pack(found, at[:-1])
+        known = blobs.pack_planes(*merged(opens[by_place], ends[by_place])), blobs.pack_planes(starts[order]), blobs.pack(found, at[:-1])
         body = np.array([len(k) for k in known], np.int64).tobytes() + b"".join(known)
         carried = pa.table({"kb": pa.array([src % n_keys], pa.int32()), "src": pa.array([src], pa.int32()), "body": pa.array([body], pa.binary())})
         return pa.concat_tables([with_kind(asked, _ASKED), with_kind(carried, _CARRIED)])
@@ -159,8 +159,8 @@ def cut_repeats(docs: DataFrame, cutter: Callable[[list[bytes]], Runs], finish:
         body = of_kind(said, _CARRIED)["body"][0].as_py()
         edges = np.append(24, 24 + np.cumsum(np.frombuffer(body, np.int64, 3)))
         runs, windows, dealt = (body[a:b] for a, b in zip(edges, edges[1:]))
-        opens, ends = blobs.unpack(runs, "i8", "i8")
-        (starts,) = blobs.unpack(windows, "i8")
+        opens, ends = blobs.unpack(runs, blobs.PLANES, blobs.PLANES)
+        (starts,) = blobs.unpack(windows, blobs.PLANES)
         found, at = blobs.unpack(dealt, "i8", "i8")
         answers = of_kind(said, _ASKED)
         got = dict(zip(answers["kb"].to_pylist(), answers["body"].to_pylist()))
