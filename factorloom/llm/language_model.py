@@ -1,13 +1,14 @@
 """Language-model scores: corpus-wide word counts, and a causal self-attention model on subword ids.
 
 Three things are gathered from all training documents: counts of words (for the base
-score), counts of subword ids, and counts of neighbouring id classes. Classes are the
-commonest ids, one each, and bands of the rest by count. The model predicts the next id's
-class from attention over a window of earlier ids, on top of the corpus-wide odds of
-classes that follow one another, and then the id within its class by its count. An id is
-embedded as what its class has and what it has of its own, which starts at nothing. The
-attention is trained in numpy by the tasks that hold the text, on all its windows; their
-averaged weights are the model.
+score), counts of subword ids, and counts of ids by what stands before them. Classes are
+the commonest ids, one each, and bands of the rest by count; contexts are the same, with
+more of the commonest ids apart. The model predicts the next id's class from attention over
+a window of earlier ids, on top of the corpus-wide odds of classes that follow one another,
+and then the id within its class by how often it follows the context of the id before. An
+id is embedded as what its class has and what it has of its own, which starts at nothing.
+The attention is trained in numpy by the tasks that hold the text, on all its windows;
+their averaged weights are the model.
 
 Windows overlap: each scores STEP ids, once, and sees CONTEXT ids before them.
 """
@@ -15,7 +16,7 @@ Windows overlap: each scores STEP ids, once, and sees CONTEXT ids before them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,19 @@ from factorloom.llm.text_arrays import Words, small_batches
 from factorloom.shipping import ship
 
 #: ids that a window scores, ids before them that it sees, classes, width of the attention
-STEP, CONTEXT, CLASSES, WIDTH = 32, 16, 64, 16
+STEP, CONTEXT, CLASSES, WIDTH = 32, 16, 48, 16
 SPAN = STEP + CONTEXT
-#: classes that are bands of rarer ids
-BANDS = 16
+#: classes that are bands of rarer ids, contexts, and the weight of an id's share of its class beside what follows a context
+BANDS, CONTEXTS, SMOOTH = 16, 128, 20.0
+#: ids that numbers of 16 bits can tell
+IDS = 1 << 16
 #: windows in a step of learning; ids from which a task learns at least, if there are so many
-TRAIN_BATCH, RATE, TRAIN_IDS = 64, 0.02, 2_000_000
-SCORE_BATCH = 64
-#: rows of weights that are averaged together
-ROWS = 512
+TRAIN_BATCH, RATE, TRAIN_IDS = 192, 0.02, 2_000_000
+SCORE_BATCH = 192
+#: first step of an id's own embedding; later ones follow from the sizes of its gradients
+ID_RATE = 0.3
+#: rows of weights that are averaged together, and parts in which tasks' sums are added up first
+ROWS, FAN = 512, 256
 END_WORD = np.array([0x5EED_E4D0_0000_0001], np.uint64)
 
 
@@ -46,7 +51,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 class Classes:
-    """Class of each id, and the logarithm of an id's share of its class."""
+    """Class and context of each id, and an id's share of its class. A context is part of one class."""
 
     def __init__(self, counts: np.ndarray):
         order = np.lexsort((np.arange(len(counts)), -counts))
@@ -57,7 +62,30 @@ class Classes:
         mass = np.cumsum(counts[rest] + 0.5)
         self.of[rest] = heads + np.minimum((mass - 1e-9) * BANDS // mass[-1], BANDS - 1).astype(np.int64)
         smooth = counts + 0.5
-        self.share = (np.log(smooth) - np.log(np.bincount(self.of, smooth, CLASSES))[self.of]).astype(np.float32)
+        self.share = (smooth / np.bincount(self.of, smooth, CLASSES)[self.of]).astype(np.float32)
+        own = CONTEXTS - BANDS
+        self.context = (self.of.astype(np.int64) - heads + own).astype(np.uint8)
+        self.context[order[:own]] = np.arange(own)
+        #: class of each context; the last context and class stand before a text
+        self.of_context = np.full(CONTEXTS + 1, CLASSES, np.uint8)
+        self.of_context[self.context] = self.of
+
+    def contexts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The context before each id of texts that begin at ``starts``."""
+        before = np.append(np.uint8(CONTEXTS), self.context[ids[:-1]])
+        before[starts] = CONTEXTS
+        return before
+
+    def odds(self, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of classes' odds after each class, and of ids' odds within their class after each context. following: counts, contexts by ids."""
+        pairs = np.zeros((CLASSES + 1, CLASSES))
+        inside = np.empty(following.shape, np.float32)
+        for c, n in enumerate(following):
+            by_class = np.bincount(self.of, n, CLASSES)
+            pairs[self.of_context[c]] += by_class
+            inside[c] = np.log((n + SMOOTH * self.share) / (by_class + SMOOTH)[self.of])
+        alone = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
+        return np.log((pairs + 20 * alone) / (pairs.sum(axis=1, keepdims=True) + 20)), inside
 
 
 class Attention:
@@ -84,7 +112,8 @@ class Attention:
             n = math.prod(shape) // WIDTH
             self.w[name] = rows[at : at + n].reshape(shape)  # a view
             at += n
-        self._steps = {n: [np.zeros_like(x), np.zeros_like(x)] for n, x in self.w.items()}
+        self._steps = {n: [np.zeros_like(x), np.zeros_like(x)] for n, x in self.w.items() if n != "id"}
+        self._size = np.zeros(len(self.w["id"]), np.float32)  # of an id's gradients so far, squared
         self._t = 0
         #: windows learnt from, and for each id steps in which it was seen
         self.n, self.met = 0, np.zeros(len(self.w["id"]), np.int64)
@@ -116,24 +145,22 @@ class Attention:
         """Logarithm of the odds of each scored id's class."""
         z = self.odds(windows, self.attend(windows[:, :-1])[5])
         picked = z[np.arange(len(z)), self.targets(windows)]
-        np.exp(z, out=z)
+        np.exp(np.minimum(z, 60, out=z), out=z)
         return (picked - np.log(z.sum(axis=1))).reshape(len(windows), STEP)
 
     def learn(self, windows: np.ndarray, real: np.ndarray) -> None:
-        """One step of Adam on the scored ids that are real."""
+        """One step on the scored ids that are real: of Adam, and of Adagrad for ids' own embeddings, of which a step sees few."""
         x, q, k, v, p, a = self.attend(windows[:, :-1])
         z = self.odds(windows, a)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        live = real.ravel()
-        z[np.arange(len(z)), self.targets(windows)] -= 1
-        z *= (live / max(live.sum(), 1)).astype(np.float32)[:, None]
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        z *= (real.ravel() / max(real.sum(), 1)).astype(np.float32)[:, None] / z.sum(axis=1, keepdims=True)
+        z[np.arange(len(z)), self.targets(windows)] -= real.ravel() / np.float32(max(real.sum(), 1))
         flat = a.reshape(-1, WIDTH)
         grad = {"out": flat.T @ z}
         da = (z @ self.w["out"].T).reshape(a.shape)
-        dp = np.matmul(da, v.transpose(0, 2, 1))
-        ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
+        ds = np.matmul(da, v.transpose(0, 2, 1))
+        ds -= np.einsum("bsk,bsk->bs", ds, p)[:, :, None]
+        ds *= p
         d = np.zeros((*x.shape[:2], 3 * WIDTH), np.float32)
         d[:, CONTEXT - 1 :, :WIDTH] = np.matmul(ds, k)
         d[:, :, WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
@@ -148,12 +175,14 @@ class Attention:
         self.n += len(windows)
         self.met[seen] += 1
         self._t += 1
-        for name, g, at in [(name, g, ...) for name, g in grad.items()] + [("id", of_ids, seen)]:
-            m, s = self._steps[name][0][at], self._steps[name][1][at]
-            m = m + 0.1 * (g - m)
-            s = s + 0.01 * (g * g - s)
-            self._steps[name][0][at], self._steps[name][1][at] = m, s
-            self.w[name][at] -= RATE * (m / (1 - 0.9**self._t)) / (np.sqrt(s / (1 - 0.99**self._t)) + 1e-6)
+        for name, g in grad.items():
+            m, s = self._steps[name]
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            self.w[name][...] -= RATE * (m / (1 - 0.9**self._t)) / (np.sqrt(s / (1 - 0.99**self._t)) + 1e-6)
+        size = self._size[seen] + np.einsum("nw,nw->n", of_ids, of_ids) / WIDTH
+        self._size[seen] = size
+        self.w["id"][seen] -= (ID_RATE / (np.sqrt(size) + 1e-8))[:, None] * of_ids
 
     def learnt(self) -> tuple[np.ndarray, np.ndarray]:
         """Rows that have learnt something, and the weight of each: of an id's, the steps that saw it."""
@@ -166,8 +195,10 @@ def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of ``at``, ascending, and the sum of each one's rows."""
     order = np.argsort(at, kind="stable")
     at = at[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+    last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+    sums = np.cumsum(rows[order], axis=0, dtype=np.float64)[last]
+    sums[1:] -= sums[:-1].copy()
+    return at[last], sums.astype(rows.dtype)
 
 
 def windows_of(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, before: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,8 +261,7 @@ def base_scores(rows: DataFrame, n_docs: int, n_keys: int) -> DataFrame:
 
     def word_keys(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """Rows in order, words' hashes with each text's end, their texts, and which texts teach."""
-        order = sorted(range(table.num_rows), key=lambda i: (table["doc_id"][i].as_py() is None, table["doc_id"][i].as_py() or 0, table["h"][i].as_py()))
-        table = table.take(order)
+        table = table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
         words = Words([t.encode() if t else b"" for t in table["text"].to_pylist()], lower=True)
         n = table.num_rows
         keys = np.concatenate([words.hashes, np.repeat(END_WORD, n)])
@@ -275,6 +305,15 @@ def base_scores(rows: DataFrame, n_docs: int, n_keys: int) -> DataFrame:
     return scored.crossJoin(F.broadcast(totals)).select("doc_id", "h", "n_tokens", "n_known", "train_tokens", (F.col("logs") - F.col("n_tokens") * norm).alias("base_score"))  # totals: one row
 
 
+PARTS = "part int, body binary"
+
+
+def added(parts: DataFrame, add: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """The sum of each part's bodies, in two steps, so that a group holds few tasks' bodies."""
+    first = parts.withColumn("fan", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    return first.groupBy("part", "fan").applyInArrow(add, PARTS).groupBy("part").applyInArrow(add, PARTS)
+
+
 def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_ids for every row.
 
@@ -300,60 +339,62 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     encoded = saved(rows.mapInArrow(encode, "doc_id long, h long, held_out boolean, ids binary"))
     teaching = encoded.where("not held_out")
-    size = 1 << 16
 
     def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts = np.zeros(IDS, np.int64)
         for batch in small_batches(batches, 500_000, "ids"):
-            counts += np.bincount(batch_ids(batch)[0], minlength=size)
+            counts += np.bincount(batch_ids(batch)[0], minlength=IDS)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": found, "n": counts[found]})
 
-    counts = np.zeros(size)
+    counts = np.zeros(IDS)
     for r in teaching.select("ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # the vocabulary's size at most
         counts[r["id"]] = r["n"]
     classes = Classes(counts)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((CLASSES + 1) * CLASSES, np.int64)
+    def count_following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        following = np.zeros((CONTEXTS + 1) * IDS, np.int64)
         for batch in small_batches(batches, 500_000, "ids"):
             ids, _, starts = batch_ids(batch)
-            own = classes.of[ids].astype(np.int64)
-            before = np.append(CLASSES, own[:-1])
-            before[starts] = CLASSES
-            pairs += np.bincount(before * CLASSES + own, minlength=len(pairs))
-        found = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_pydict({"id": found, "n": pairs[found]})
-
-    pairs = np.zeros((CLASSES + 1) * CLASSES)
-    for r in teaching.select("ids").mapInArrow(count_pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # pairs of classes at most
-        pairs[r["id"]] = r["n"]
-    pairs = pairs.reshape(CLASSES + 1, CLASSES)
-    alone = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    follow = np.log((pairs + 20 * alone) / (pairs.sum(axis=1, keepdims=True) + 20))
+            keys, n = np.unique(classes.contexts(ids, starts).astype(np.int64) * IDS + ids, return_counts=True)
+            following[keys] += n
+        for part in range(CONTEXTS + 1):
+            n = following[part * IDS : (part + 1) * IDS]
+            found = np.flatnonzero(n)
+            if len(found):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "body": pa.array([np.column_stack([found, n[found]]).tobytes()], pa.binary())})
+
+    def add_counts(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(b, np.int64) for b in table["body"].to_pylist()]).reshape(-1, 2)
+        body = np.column_stack(summed(rows[:, 0], rows[:, 1:]))
+        return pa.table({"part": table["part"].slice(0, 1), "body": pa.array([body.tobytes()], pa.binary())})
+
+    following = np.zeros((CONTEXTS + 1, IDS))
+    for r in added(teaching.select("ids").mapInArrow(count_following, PARTS), add_counts).collect():  # a number for each context and id at most
+        found = np.frombuffer(r["body"], np.int64).reshape(-1, 2)
+        following[r["part"], found[:, 0]] = found[:, 1]
+    follow, inside = classes.odds(following)
+    del following
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Attention(follow, None, classes.of)
         teach(model, batches)
         rows, weight = model.learnt()
-        body = np.column_stack([rows, weight, model.rows[rows]]).astype(np.float32)  # rows' numbers are far below 2 ** 24
+        body = np.column_stack([rows, weight, model.rows[rows] * weight[:, None]])
         for part in np.split(body, np.flatnonzero(np.diff(rows // ROWS)) + 1):
             if len(part):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[0, 0]) // ROWS], pa.int32()), "body": pa.array([part.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[0, 0]) // ROWS], pa.int32()), "body": pa.array([part.astype(np.float64).tobytes()], pa.binary())})
 
-    def average(table: pa.Table) -> pa.Table:
-        body = np.concatenate([np.frombuffer(b, np.float32) for b in table["body"].to_pylist()]).reshape(-1, 2 + WIDTH).astype(np.float64)
-        body[:, 2:] *= body[:, 1:2]
-        rows, sums = summed(body[:, 0].astype(np.int64), body[:, 1:])
-        mean = np.column_stack([rows, sums[:, 1:] / sums[:, :1]]).astype(np.float32)
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "body": pa.array([mean.tobytes()], pa.binary())})
+    def add_weights(table: pa.Table) -> pa.Table:
+        body = np.concatenate([np.frombuffer(b, np.float64) for b in table["body"].to_pylist()]).reshape(-1, 2 + WIDTH)
+        sums = np.column_stack(summed(body[:, 0].astype(np.int64), body[:, 1:]))
+        return pa.table({"part": table["part"].slice(0, 1), "body": pa.array([sums.tobytes()], pa.binary())})
 
     weights = Attention(follow, None, classes.of).rows
     few = teaching.select("h", "ids").coalesce(max(1, math.ceil(counts.sum() / TRAIN_IDS)))  # small partitions learn together, not each a little
-    parts = few.mapInArrow(learn, "part int, body binary").groupBy("part").applyInArrow(average, "part int, body binary")
-    for r in parts.collect():  # the model's weights, a row for each id at most
-        mean = np.frombuffer(r["body"], np.float32).reshape(-1, 1 + WIDTH)
-        weights[mean[:, 0].astype(np.int64)] = mean[:, 1:]
+    for r in added(few.mapInArrow(learn, PARTS), add_weights).collect():  # the model's weights, a row for each id at most
+        sums = np.frombuffer(r["body"], np.float64).reshape(-1, 2 + WIDTH)
+        weights[sums[:, 0].astype(np.int64)] = sums[:, 2:] / sums[:, 1:2]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Attention(follow, weights, classes.of)
@@ -361,7 +402,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             out, lengths = [], []
             for small in small_batches([batch], 500_000, "ids"):
                 ids, sizes, starts = batch_ids(small)
-                out.append(score_texts(model, classes, ids, sizes, starts))
+                out.append(score_texts(model, classes, inside, ids, sizes, starts))
                 lengths.append(sizes)
             if out:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "h": batch["h"], "held_out": batch["held_out"], "score": np.concatenate(out), "n_ids": np.concatenate(lengths)})
@@ -372,12 +413,12 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return scored.join(once, scored["doc_id"].eqNullSafe(F.col("_id")) & (scored["h"] == F.col("_h"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_ids")
 
 
-def score_texts(model: Attention, classes: Classes, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def score_texts(model: Attention, classes: Classes, inside: np.ndarray, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The base-10 logarithm of each text's odds."""
     windows, text, real = windows_of(ids, sizes, starts, model.before)
     sums = np.zeros(len(windows))
     for a in range(0, len(windows), SCORE_BATCH):
         s = slice(a, a + SCORE_BATCH)
         sums[s] = (model.score(windows[s]) * real[s]).sum(axis=1)
-    total = np.bincount(text, sums, len(sizes)) + np.add.reduceat(classes.share[ids].astype(np.float64), starts)
+    total = np.bincount(text, sums, len(sizes)) + np.add.reduceat(inside[classes.contexts(ids, starts), ids].astype(np.float64), starts)
     return total / math.log(10)

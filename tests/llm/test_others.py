@@ -153,7 +153,7 @@ def test_attention_learns_from_all_windows(spark):
 
 def test_attention_tells_ids_of_a_class_apart():
     rng = np.random.default_rng(1)
-    of = np.append(np.arange(60), np.full(40, 60)).astype(np.uint8)  # ids 60 to 99 are of one class
+    of = np.append(np.arange(40), np.full(60, 40)).astype(np.uint8)  # ids 40 to 99 are of one class
     lead = rng.integers(60, 100, 4000)
     ids = np.stack([lead, np.full(4000, 7), lead % 2], axis=1).ravel().astype(np.uint16)  # an odd one has 1 behind it, an even one 0
     follow = np.full((language_model.CLASSES + 1, language_model.CLASSES), 0.01)
