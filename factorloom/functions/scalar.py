@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 #: fixed values: coefficients of the Chebyshev fit to erfc, constant term first
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 #: fixed values: legal suffixes that end a company's name
-LEGAL_SUFFIXES = ("ltd", "limited", "corporation", "corp", "inc", "company", "co", "plc", "pvt", "private")
-#: units of money in crore
-UNITS = {"rupees": 1e-7, "thousands": 1e-4, "lakhs": 1e-2, "millions": 0.1, "crore": 1.0, "billions": 100.0}
+LEGAL_SUFFIXES = ("ltd", "limited", "plc", "inc", "incorporated", "corp", "corporation", "company", "co", "the")
+#: fixed values: units of money in crore
+UNITS = {"ABSOLUTE": 1e-7, "THOUSAND": 1e-4, "LAKH": 1e-2, "MILLION": 1e-1, "CRORE": 1.0, "BILLION": 1e2}
 
 
 def safe_divide(num: Column, den: Column, negative: bool = False) -> Column:
@@ -41,7 +41,8 @@ def normalise_text(x: Column) -> Column:
 
 def strip_legal_suffix(x: Column) -> Column:
     """A normalised name without legal suffixes at its end and ``the`` at its start."""
-    return F.trim(F.regexp_replace(F.regexp_replace(x, f"( ({'|'.join(LEGAL_SUFFIXES)}))+$", ""), "^the ", ""))
+    ended = F.regexp_replace(F.concat(F.lit(" "), x), f"( ({'|'.join(LEGAL_SUFFIXES)}))+$", "")
+    return F.trim(F.regexp_replace(F.trim(ended), "^(the( |$))+", ""))
 
 
 def content_hash(x: Column) -> Column:
@@ -55,9 +56,14 @@ def relative_difference(a: Column, b: Column) -> Column:
 
 
 def to_crore(amount: Column, unit: Column) -> Column:
-    """Money in crore; an unknown unit gives NULL."""
+    """Money in crore. An unknown or missing unit fails: no amount is right without it."""
+    return amount * unit_rate(unit, F.raise_error(F.concat(F.lit("unknown unit: "), F.coalesce(unit, F.lit("NULL")))).cast("double"))
+
+
+def unit_rate(unit: Column, unknown: Column | None = None) -> Column:
+    """What a unit is in crore; ``unknown`` (NULL) for any other."""
     rate = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    return amount * rate[F.lower(unit)]
+    return F.when(unit.isin(list(UNITS)), rate[unit]).otherwise(F.lit(None).cast("double") if unknown is None else unknown)
 
 
 def fiscal_year(day: Column) -> Column:

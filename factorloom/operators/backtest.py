@@ -17,9 +17,10 @@ def periods(dates: DataFrame) -> DataFrame:
     return dates.select("as_of", F.lead("as_of").over(Window.orderBy("as_of")).alias("until")).where("until is not null")  # one row a month
 
 
-def top_n(scores: DataFrame, score: str, n: int) -> DataFrame:
-    """as_of, isin, weight of the n best, equally weighted; equal scores by isin."""
-    ranked = scores.where(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc(score), "isin"))).where(F.col("_r") <= n)
+def top_n(scores: DataFrame, score: str, n: int, higher: bool = True) -> DataFrame:
+    """as_of, isin, weight of the n best (the highest, or the lowest where less is better), equally weighted; equal scores by isin."""
+    order = F.desc(score) if higher else F.asc(score)
+    ranked = scores.where(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("as_of").orderBy(order, "isin"))).where(F.col("_r") <= n)
     return ranked.select("as_of", "isin", (1 / F.count("*").over(Window.partitionBy("as_of"))).alias("weight"))
 
 
@@ -64,7 +65,7 @@ def nav_curve(steps: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
         return F.concat(acc, F.array(F.struct(x["until"].alias("date"), ((nav - costs) * (1 + x["ret"])).alias("nav"), (last["gross_nav"] * (1 + x["ret"])).alias("gross_nav"), costs.alias("costs"))))
 
     start = F.array(F.struct(F.lit(None).cast("date").alias("date"), F.lit(capital).alias("nav"), F.lit(capital).alias("gross_nav"), F.lit(0.0).alias("costs")))
-    return rows.select(F.inline(F.slice(F.aggregate("rows", start, step), 2, 100_000)))
+    return rows.select(F.inline(F.aggregate("rows", start, step))).where("date is not null")  # but for the start
 
 
 def drawdowns(curve: DataFrame) -> DataFrame:
@@ -74,8 +75,13 @@ def drawdowns(curve: DataFrame) -> DataFrame:
     return rows.withColumn("drawdown", F.col("nav") / F.col("peak") - 1)
 
 
-def metrics(curve: DataFrame, per_year: int = 12) -> DataFrame:
-    """One row: periods, total_return, cagr, volatility, sharpe, sortino, max_drawdown, calmar, hit_rate, best_period, worst_period."""
+def metrics(curve: DataFrame, per_year: int = 12, turnover: DataFrame | None = None, capital: float = 1_000_000.0) -> DataFrame:
+    """One row: periods, years, total_return, cagr, volatility, sharpe, sortino, max_drawdown, calmar, hit_rate, best_period, worst_period, avg_turnover, total_costs_pct.
+
+    turnover: turnover (fractions of the portfolio traded) and costs, a row a period; without
+    it both figures are 0. The curve's first value starts it and has no return.
+    """
+    traded = turnover.agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("avg_turnover"), (F.coalesce(F.sum("costs"), F.lit(0.0)) / capital).alias("total_costs_pct")) if turnover is not None else curve.sparkSession.range(1).select(F.lit(0.0).alias("avg_turnover"), F.lit(0.0).alias("total_costs_pct"))
     d = drawdowns(curve).agg(
         F.count("ret").alias("periods"), F.max_by("nav", "date").alias("b"), F.min_by("nav", "date").alias("a"), F.stddev_samp("ret").alias("sd"), F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"),
         F.min("drawdown").alias("max_drawdown"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("int"))).alias("hit_rate"), F.max("ret").alias("best_period"), F.min("ret").alias("worst_period"),
@@ -83,7 +89,8 @@ def metrics(curve: DataFrame, per_year: int = 12) -> DataFrame:
     root = float(per_year) ** 0.5
     d = d.withColumn("total_return", F.col("b") / F.col("a") - 1).withColumn("cagr", F.pow(F.col("b") / F.col("a"), F.lit(float(per_year)) / F.nullif("periods", F.lit(0))) - 1)
     ratio = lambda den: F.when(den > 0, (F.col("cagr") - RISK_FREE) / den).otherwise(0.0)
-    return d.select("periods", "total_return", "cagr", (F.col("sd") * root).alias("volatility"), ratio(F.col("sd") * root).alias("sharpe"), ratio(F.col("down") * root).alias("sortino"), "max_drawdown", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0).alias("calmar"), "hit_rate", "best_period", "worst_period")
+    d = d.crossJoin(F.broadcast(traded))  # one row
+    return d.select("periods", F.round(F.col("periods") / per_year, 2).alias("years"), "total_return", "cagr", (F.col("sd") * root).alias("volatility"), ratio(F.col("sd") * root).alias("sharpe"), ratio(F.col("down") * root).alias("sortino"), "max_drawdown", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0).alias("calmar"), "hit_rate", "best_period", "worst_period", "avg_turnover", "total_costs_pct")
 
 
 def equal_weight(returns: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
@@ -94,11 +101,15 @@ def equal_weight(returns: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
 
 
 def attribution(z: DataFrame, returns: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Per factor and date (n, ic, spread), and per factor the mean, t statistic, hit rate and mean spread of its ICs.
+    """Per factor and date (n, ic, spread), and per factor the mean, t statistic, hit rate, mean spread, coverage and monotony.
 
     IC is the correlation of average ranks; the spread is the mean return of the top
-    bucket less that of the bottom one, of min(10, n / 3) buckets.
+    bucket less that of the bottom one, of min(10, n / 3) buckets. Coverage is the mean
+    share of a date's companies that have a z, over dates with enough returns. A factor is
+    monotonic if its buckets' mean returns, averaged over dates, never fall.
     """
+    enough = returns.groupBy("as_of").agg(F.count("fwd").alias("m")).where(F.col("m") >= least).select("as_of")
+    covered = z.join(enough, "as_of", "left_semi").groupBy("as_of", "factor").agg((F.count("z") / F.count("*")).alias("c")).groupBy("factor").agg(F.avg("c").alias("coverage"))
     rows = z.where("z is not null").join(returns.select("as_of", "isin", "fwd"), ["as_of", "isin"])
     keys = ["as_of", "factor"]
     n = F.count("*").over(Window.partitionBy(*keys))
@@ -106,4 +117,7 @@ def attribution(z: DataFrame, returns: DataFrame, least: int = 10) -> tuple[Data
     rows = rows.withColumn("buckets", F.least(F.lit(10), F.floor(F.col("n") / 3))).withColumn("bucket", quantile_bucket("z", keys, "isin", F.col("buckets")))
     dated = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rz", "rr").alias("ic"), (F.avg(F.when(F.col("bucket") == F.col("buckets") - 1, F.col("fwd"))) - F.avg(F.when(F.col("bucket") == 0, F.col("fwd")))).alias("spread"))
     summary = dated.groupBy("factor").agg(F.count("ic").alias("periods"), F.avg("ic").alias("ic_mean"), (F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(F.count("ic"))).alias("ic_t"), F.avg((F.col("ic") > 0).cast("int")).alias("hit_rate"), (12 * F.avg("spread")).alias("spread_year"))
-    return dated, summary
+    means = rows.groupBy(*keys, "bucket").agg(F.avg("fwd").alias("r")).groupBy("factor", "bucket").agg(F.avg("r").alias("r"))
+    before = F.lag("r").over(Window.partitionBy("factor").orderBy("bucket"))
+    rising = means.withColumn("up", F.coalesce(F.col("r") >= before, F.lit(True))).groupBy("factor").agg(F.bool_and("up").alias("monotonic"))
+    return dated, summary.join(covered, "factor", "left").join(rising, "factor", "left")

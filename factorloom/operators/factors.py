@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.scalar import safe_divide
-from factorloom.operators.point_in_time import latest_known, preferred_basis, price_as_of
+from factorloom.operators.point_in_time import latest_known, preferred_basis, price_as_of, sentiment_window
 
 #: family, whether more is better, and weight in its family
 FACTORS = {
@@ -41,17 +41,20 @@ def ebit() -> Column:
 def value_quality_columns() -> dict[str, Column]:
     c = F.col
     zero = F.lit(0.0)
-    fcf = c("ocf") - F.coalesce("capex", zero)
-    coverage = F.when((F.coalesce("interest_expense", zero) <= 0) & (ebit() > 0), COVERAGE_CAP).otherwise(F.least(safe_divide(ebit(), c("interest_expense")), F.lit(COVERAGE_CAP)))
+    # what the report states comes before what can be derived
+    fcf = F.coalesce("fcf", c("ocf") - F.coalesce("capex", zero))
+    ebitda = F.coalesce("ebitda", ebit() + c("depreciation"))
+    covered = safe_divide(ebit(), c("interest_expense"))  # NULL without interest: least() would take the cap for it
+    coverage = F.when((F.coalesce("interest_expense", zero) <= 0) & (ebit() > 0), COVERAGE_CAP).when(covered.isNotNull(), F.least(covered, F.lit(COVERAGE_CAP)))
     return {
         "earnings_yield": safe_divide(c("eps"), c("price")),
         "book_to_price": safe_divide(c("total_equity"), c("market_cap")),
-        "ebitda_to_ev": safe_divide(ebit() + c("depreciation"), c("ev")),
+        "ebitda_to_ev": safe_divide(ebitda, c("ev")),
         "fcf_yield": safe_divide(fcf, c("market_cap")),
         "roe": safe_divide(c("pat"), c("total_equity")),
         "roce": safe_divide(ebit(), c("total_equity") + F.coalesce("total_debt", zero)),
         "debt_to_equity": safe_divide(c("total_debt"), c("total_equity")),
-        "interest_coverage": F.when(ebit().isNotNull(), coverage),
+        "interest_coverage": coverage,
         "cfo_to_pat": safe_divide(c("ocf"), c("pat")),
         "accruals": safe_divide(c("pat") - c("ocf"), c("total_assets")),
     }
@@ -147,18 +150,24 @@ def momentum(grid: DataFrame, prices: DataFrame, min_year: int = 180, min_averag
 
 
 def news_sentiment(window: DataFrame, half_life: float = 7.0, least: int = 3) -> DataFrame:
-    """as_of, isin, raw: the mean score of the window's news, halved in weight every ``half_life`` days."""
-    age = F.greatest(F.datediff("as_of", F.to_date("published_at")), F.lit(0))
+    """as_of, isin, raw: the mean score of the window's news, halved in weight every ``half_life`` days before the date's beginning."""
+    seconds = F.expr("timestampdiff(MICROSECOND, cast(published_at AS timestamp_ntz), cast(as_of AS timestamp_ntz))") / 1e6
+    age = F.greatest(seconds / 86400, F.lit(0.0))
+    window = window.where("score is not null")
     weight = F.exp(-0.6931471805599453 * age / half_life)
     return window.groupBy("as_of", "isin").agg(F.count("*").alias("n"), F.sum(F.col("score") * weight).alias("a"), F.sum(weight).alias("b")).where(F.col("n") >= least).select("as_of", "isin", (F.col("a") / F.col("b")).alias("raw"))
 
 
-def all_factors(grid: DataFrame, prices: DataFrame, annual: DataFrame, quarterly: DataFrame, **minima: int) -> DataFrame:
-    """as_of, isin, sector, factor, raw of every factor but the news one."""
+def all_factors(grid: DataFrame, prices: DataFrame, annual: DataFrame, quarterly: DataFrame, news: DataFrame | None = None, **minima: int) -> DataFrame:
+    """as_of, isin, sector, factor, raw of every factor; that of news is NULL throughout without ``news``."""
     grown = growth(grid, annual, quarterly)
     wide = panel(grid, prices, annual)
     base = long_form(wide, value_quality_columns())
     cagr = grown.where("factor = 'pat_cagr_3y' and raw > 0").select("as_of", "isin", F.col("raw").alias("g"))
     peg = wide.join(cagr, ["as_of", "isin"], "left")
     peg = long_form(peg, {"peg_inverse": safe_divide(F.col("eps"), F.col("price")) * F.col("g")})
-    return base.unionByName(peg).unionByName(grown).unionByName(momentum(grid, prices, **minima))
+    told = news_sentiment(sentiment_window(grid, news)) if news is not None else None
+    named = grid.select("as_of", "isin", "sector")
+    said = named.join(told, ["as_of", "isin"], "left") if told is not None else named.withColumn("raw", F.lit(None).cast("double"))
+    said = said.select("as_of", "isin", "sector", F.lit("news_sentiment_30d").alias("factor"), "raw")
+    return base.unionByName(peg).unionByName(grown).unionByName(momentum(grid, prices, **minima)).unionByName(said)

@@ -61,8 +61,9 @@ def forward_returns(periods: DataFrame, prices: DataFrame) -> DataFrame:
 def sentiment_window(grid: DataFrame, news: DataFrame, days: int = 30, confidence: float = 0.7) -> DataFrame:
     """News of the last ``days`` days up to the end of as_of, with enough confidence."""
     day = F.to_date("published_at")
-    near = news.where(F.col("confidence") >= confidence).withColumn("_day", day)
-    met = grid.select("as_of", "isin").join(near, "isin")
+    near = news.where(F.col("confidence") >= confidence).withColumn("_day", day).withColumn("_month", F.trunc("_day", "month"))
+    months = F.sequence(F.trunc(F.date_sub("as_of", days), "month"), F.trunc("as_of", "month"), F.expr("interval 1 month"))
+    met = grid.select("as_of", "isin").withColumn("_month", F.explode(months)).join(near, ["isin", "_month"]).drop("_month")
     return met.where((F.col("_day") <= F.col("as_of")) & (F.col("published_at") >= F.date_sub("as_of", days).cast("timestamp_ntz"))).drop("_day")
 
 

@@ -7,30 +7,57 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.scalar import relative_difference
+from factorloom.functions.scalar import relative_difference, unit_rate
 
 
 def _check(name: str, passed: Column, known: Column, severity: str) -> Column:
     return F.struct(F.lit(name).alias("name"), F.when(known, passed).alias("passed"), F.lit(severity).alias("severity"), (~known).alias("skipped"))
 
 
-def validate(rows: DataFrame) -> DataFrame:
-    """Adds checks (array of name, passed, severity, skipped) and confidence: 0 for a hard failure, 0.3 for two soft ones, 0.6 for one, 1."""
+#: columns that checks read; a table without one has it unknown
+CHECKED = {n: "double" for n in ("revenue", "total_income", "total_expenses", "profit_before_tax", "share_of_associates", "tax_expense", "pat", "non_controlling_interest", "total_assets", "total_equity", "total_liabilities", "ocf", "capex", "fcf", "eps")}
+CHECKED |= {"reporting_unit": "string", "basis": "string", "fiscal_year": "int", "period_end_date": "date"}
+REQUIRED = ("revenue", "pat", "total_assets", "total_equity")
+
+
+def validate(rows: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Adds checks (array of name, passed, severity, skipped) and confidence: 0 for a hard failure, 0.3 for two soft ones, 0.6 for one, 1.
+
+    A column that the table lacks is unknown, and a check of what is unknown is skipped; but
+    units and basis, where the table has them, must be stated. A row of unknown unit fails
+    that check alone: nothing else can be judged.
+    """
+    given = set(rows.columns)
+    full = rows.select("*", *(F.lit(None).cast(t).alias(n) for n, t in CHECKED.items() if n not in given))
     c = F.col
     has = lambda *names: reduce(lambda a, b: a & b, [c(n).isNotNull() for n in names])
     near = lambda a, b, limit: relative_difference(a, b) <= limit
+    zero = lambda n: F.coalesce(c(n), F.lit(0.0))
+    sides = has("total_assets", "total_equity")
+    unit_known = unit_rate(c("reporting_unit")).isNotNull() if "reporting_unit" in given else F.lit(True)
+    year_end = F.make_date(c("fiscal_year"), F.lit(3), F.lit(31))
     checks = F.array(
-        _check("required_fields", has("revenue", "pat", "total_assets", "total_equity"), F.lit(True), "HARD"),
-        _check("balance_sheet", near(c("total_assets"), c("total_equity") + c("total_liabilities"), 0.005), has("total_assets", "total_equity", "total_liabilities"), "HARD"),
-        _check("profit_after_tax", near(c("profit_before_tax") - c("tax_expense"), c("pat"), 0.02), has("profit_before_tax", "tax_expense", "pat"), "HARD"),
-        _check("profit_before_tax", near(c("total_income") - c("total_expenses"), c("profit_before_tax"), 0.02), has("total_income", "total_expenses", "profit_before_tax"), "SOFT"),
-        _check("revenue_within_income", c("revenue") <= c("total_income") * 1.001, has("revenue", "total_income"), "SOFT"),
+        _check("units", unit_known, F.lit("reporting_unit" in given), "HARD"),
+        _check("required_fields", has(*required), F.lit(True), "HARD"),
+        _check("basis_stated", has("basis"), F.lit("basis" in given), "HARD"),
+        _check("balance_sheet_identity", sides & F.coalesce(near(c("total_assets"), c("total_equity") + c("total_liabilities"), 0.005), F.lit(False)), ~sides | has("total_liabilities"), "HARD"),
+        _check("pbt_tax_pat", near(c("profit_before_tax") + zero("share_of_associates") - c("tax_expense"), c("pat") + zero("non_controlling_interest"), 0.02), has("profit_before_tax", "tax_expense", "pat"), "HARD"),
+        _check("income_expenses_pbt", near(c("total_income") - c("total_expenses"), c("profit_before_tax"), 0.02), has("total_income", "total_expenses", "profit_before_tax"), "SOFT"),
+        _check("revenue_vs_total_income", c("revenue") <= c("total_income") * 1.02, has("revenue", "total_income"), "SOFT"),
+        _check("fcf_identity", near(c("ocf") - c("capex"), c("fcf"), 0.01), has("ocf", "capex", "fcf"), "SOFT"),
         _check("capex_sign", c("capex") >= 0, has("capex"), "SOFT"),
-        _check("eps_sign", F.signum("eps") == F.signum("pat"), has("eps", "pat"), "SOFT"),
+        _check("eps_sign", (c("eps") > 0) == (c("pat") > 0), has("eps", "pat") & (c("eps") != 0) & (c("pat") != 0), "SOFT"),
+        _check("period_end_matches_fy", F.abs(F.datediff("period_end_date", year_end)) <= 92, has("fiscal_year", "period_end_date"), "SOFT"),
     )
-    rows = rows.withColumn("checks", checks)
+    full = full.withColumn("checks", F.when(unit_known, checks).otherwise(F.slice(checks, 1, 1)))
     failed = lambda s: F.size(F.filter("checks", lambda x: (x["severity"] == s) & ~F.coalesce(x["passed"], F.lit(True))))
-    return rows.withColumn("confidence", F.when(failed("HARD") > 0, 0.0).when(failed("SOFT") > 1, 0.3).when(failed("SOFT") == 1, 0.6).otherwise(1.0))
+    confidence = F.when(failed("HARD") > 0, 0.0).when(failed("SOFT") > 1, 0.3).when(failed("SOFT") == 1, 0.6).otherwise(1.0)
+    return full.withColumn("confidence", confidence).select(*rows.columns, "checks", "confidence")
+
+
+def failures() -> Column:
+    """Names of the checks that failed, in order."""
+    return F.transform(F.filter("checks", lambda x: ~F.coalesce(x["passed"], F.lit(True))), lambda x: x["name"])
 
 
 def route(validated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,10 +91,9 @@ def readiness(latest: DataFrame, counted: DataFrame, as_of: Column, stale_days:
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The target with the source's rows in place of those with equal keys; an empty source changes nothing. A key that the source repeats fails."""
-    repeated = source.groupBy(*keys).count().where("count > 1").limit(1)
-    if repeated.count():
-        raise ValueError(f"the source repeats a key of {keys}")
-    return target.join(source.select(*keys), keys, "left_anti").unionByName(source.select(*target.columns))
+    times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    once = source.withColumn("_n", F.when(times > 1, F.raise_error(F.lit(f"the source repeats a key of {keys}")).cast("long")).otherwise(times)).where("_n = 1")
+    return target.join(source.select(*keys), keys, "left_anti").unionByName(once.select(*target.columns))
 
 
 def fill_from_index(rows: DataFrame, index: DataFrame, keys: list[str], columns: list[str], order: list[Column]) -> DataFrame:

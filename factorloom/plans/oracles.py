@@ -12,7 +12,7 @@ PARTS = {
 
 def _statements(period_end: str) -> str:
     return f"""
-    SELECT isin, period_end_date, revenue, pat, ocf, taxed * 0.5 AS capex, pat * 1.33 AS profit_before_tax, CASE WHEN isin % 10 = 0 THEN 0.0 ELSE e * 0.01 END AS interest_expense,
+    SELECT isin, period_end_date, revenue, pat, ocf, taxed * 0.5 AS capex, pat * 1.33 AS profit_before_tax, CASE WHEN isin % 10 = 0 THEN 0.0 WHEN isin % 10 = 3 THEN NULL ELSE e * 0.01 END AS interest_expense, CASE WHEN isin % 6 = 0 THEN e * 0.07 END AS ebitda, CASE WHEN isin % 8 = 0 THEN pat * 0.8 END AS fcf,
       e * 0.02 AS depreciation, total_debt, cash, e * 0.9 AS total_equity, e * 1.6 AS total_assets, pat / 1000 AS eps, contingent_liabilities,
       CASE isin % 7 WHEN 0 THEN 'QUALIFIED' WHEN 1 THEN 'NOT_STATED' ELSE 'UNMODIFIED' END AS auditor_opinion
     FROM (SELECT isin, ({period_end})::DATE AS period_end_date, sum(ext)::DOUBLE AS e, round(sum(ext * (1 - disc))::DOUBLE, 4) AS revenue, round(sum(ext * (disc - 0.048::DECIMAL(4,3)))::DOUBLE, 4) AS pat,
@@ -50,7 +50,7 @@ PARTS |= {
     "recent": "SELECT * FROM (SELECT q.*, g.as_of, row_number() OVER (PARTITION BY as_of, g.isin ORDER BY period_end_date DESC)::INT AS rn FROM grid g JOIN quarterly q ON q.isin = g.isin AND filing_date <= as_of) WHERE rn <= 8",
     "priced": "SELECT g.*, CASE WHEN as_of - p.date <= 45 THEN adj_close END AS price FROM grid g ASOF LEFT JOIN prices p ON g.isin = p.isin AND g.as_of >= p.date",
     "panel": """
-    SELECT *, CASE WHEN cap + total_debt - cash > 0 THEN cap + total_debt - cash END AS ev, profit_before_tax + interest_expense AS ebit FROM (
+    SELECT *, CASE WHEN cap + total_debt - cash > 0 THEN cap + total_debt - cash END AS ev, profit_before_tax + CASE WHEN interest_expense IS NULL THEN 0 ELSE interest_expense END AS ebit FROM (
       SELECT p.*, h.* EXCLUDE (isin, as_of), CASE WHEN eps >= 0.01 AND pat > 0 AND price * (pat * 1e7 / eps) / 1e7 > 0 THEN price * (pat * 1e7 / eps) / 1e7 END AS cap
       FROM priced p LEFT JOIN history h ON h.isin = p.isin AND h.as_of = p.as_of AND rn = 1)""",
     "cagr": """
@@ -72,10 +72,10 @@ def _back(months: int, name: str) -> str:
     return f"(SELECT g.as_of, g.isin, CASE WHEN g.t - p.date <= 15 THEN adj_close END AS {name} FROM (SELECT *, (as_of - INTERVAL {months} MONTH)::DATE AS t FROM grid) g ASOF LEFT JOIN prices p ON g.isin = p.isin AND g.t >= p.date)"
 
 
-_VALUE = {"earnings_yield": "CASE WHEN price > 0 THEN eps / price END", "book_to_price": "CASE WHEN cap > 0 THEN total_equity / cap END", "ebitda_to_ev": "CASE WHEN ev > 0 THEN (ebit + depreciation) / ev END", "fcf_yield": "CASE WHEN cap > 0 THEN (ocf - capex) / cap END", "peg_inverse": "CASE WHEN price > 0 AND pat_cagr_3y > 0 THEN eps / price * pat_cagr_3y END"}
+_VALUE = {"earnings_yield": "CASE WHEN price > 0 THEN eps / price END", "book_to_price": "CASE WHEN cap > 0 THEN total_equity / cap END", "ebitda_to_ev": "CASE WHEN ev > 0 THEN CASE WHEN ebitda IS NOT NULL THEN ebitda ELSE ebit + depreciation END / ev END", "fcf_yield": "CASE WHEN cap > 0 THEN CASE WHEN fcf IS NOT NULL THEN fcf ELSE ocf - capex END / cap END", "peg_inverse": "CASE WHEN price > 0 AND pat_cagr_3y > 0 THEN eps / price * pat_cagr_3y END"}
 _QUALITY = {
     "roe": "CASE WHEN total_equity > 0 THEN pat / total_equity END", "roce": "CASE WHEN total_equity + total_debt > 0 THEN ebit / (total_equity + total_debt) END", "debt_to_equity": "CASE WHEN total_equity > 0 THEN total_debt / total_equity END",
-    "interest_coverage": "CASE WHEN interest_expense <= 0 AND ebit > 0 THEN 50.0 WHEN interest_expense > 0 THEN least(ebit / interest_expense, 50.0) WHEN ebit IS NOT NULL THEN 50.0 END",
+    "interest_coverage": "CASE WHEN interest_expense > 0 THEN CASE WHEN ebit / interest_expense > 50 THEN 50.0 ELSE ebit / interest_expense END WHEN ebit > 0 THEN 50.0 END",
     "cfo_to_pat": "CASE WHEN pat > 0 THEN ocf / pat END", "accruals": "CASE WHEN total_assets > 0 THEN (pat - ocf) / total_assets END",
 }
 
@@ -127,14 +127,16 @@ def standard(x: str, keys: str) -> str:
 
 
 _WEIGHT = "CASE factor WHEN 'roe' THEN 0.20 WHEN 'roce' THEN 0.20 WHEN 'debt_to_equity' THEN 0.10 WHEN 'interest_coverage' THEN 0.10 WHEN 'cfo_to_pat' THEN 0.25 WHEN 'accruals' THEN 0.15 ELSE 1.0 END::DOUBLE"
-_FAMILY = "CASE family WHEN 'value' THEN 0.25 WHEN 'quality' THEN 0.30 WHEN 'growth' THEN 0.20 WHEN 'momentum' THEN 0.15 END::DOUBLE"
+_FAMILY = "CASE family WHEN 'value' THEN 0.25 WHEN 'quality' THEN 0.30 WHEN 'growth' THEN 0.20 WHEN 'momentum' THEN 0.15 WHEN 'sentiment' THEN 0.10 END::DOUBLE"
 PARTS |= {
     "m12": "SELECT * FROM momentum WHERE factor = 'momentum_12_1'",
     **z_parts("mz", "m12", "as_of"),
     **z_parts("mzz", "momentum", "as_of, factor"),
     "accrual": "SELECT * FROM quality WHERE factor = 'accruals'",
     **z_parts("wz", "accrual", "as_of"),
-    "raws": "SELECT *, 'value' AS family FROM value UNION ALL SELECT *, 'quality' FROM quality UNION ALL SELECT *, 'growth' FROM growth UNION ALL SELECT *, 'momentum' FROM momentum",
+    "old_news": "SELECT * REPLACE (published_at - to_days((8766 - news_id % 20 * 30)::INT) AS published_at) FROM news",
+    "sentiment": "SELECT g.as_of, g.isin, sector, 'news_sentiment_30d' AS factor, raw FROM grid g LEFT JOIN (SELECT as_of, isin, sum(score * w) / sum(w) AS raw FROM (SELECT g.as_of, g.isin, score, 0.5::DOUBLE ** (greatest(epoch_us(g.as_of::TIMESTAMP) - epoch_us(published_at), 0) / 86400e6 / 7) AS w FROM grid g JOIN old_news n ON n.isin = g.isin AND n.confidence >= 0.7 AND published_at >= g.as_of - INTERVAL 30 DAY AND published_at < g.as_of + INTERVAL 1 DAY) GROUP BY ALL HAVING count(*) >= 3) s ON s.as_of = g.as_of AND s.isin = g.isin",
+    "raws": "SELECT *, 'sentiment' AS family FROM sentiment UNION ALL SELECT *, 'value' AS family FROM value UNION ALL SELECT *, 'quality' FROM quality UNION ALL SELECT *, 'growth' FROM growth UNION ALL SELECT *, 'momentum' FROM momentum",
     **z_parts("fz", "raws", "as_of, factor"),
     "signed": f"SELECT as_of, isin, family, CASE WHEN factor IN ('debt_to_equity', 'accruals') THEN -z ELSE z END AS z, {_WEIGHT} AS w FROM fz",
     "family_means": "SELECT as_of, isin, family, sum(z * w) / sum(CASE WHEN z IS NOT NULL THEN w END) AS mean_z, coalesce(sum(CASE WHEN z IS NOT NULL THEN w END), 0) / sum(w) AS coverage FROM signed GROUP BY ALL",
@@ -229,7 +231,7 @@ SQL = {
     "a8_median_traded_value": sql("as_of:d isin median_traded:f", "SELECT * FROM medians_traded"),
     "a9_winsorize": sql("as_of:d isin raw:f clipped:f", "SELECT as_of, isin, raw, uclip AS clipped FROM wz_4"),
     "a10_sector_zscore": sql("as_of:d isin sector raw:f z:f", "SELECT * FROM mz"),
-    "a15_news_sentiment": sql("as_of:d isin raw:f", "SELECT DATE '2024-01-31' AS as_of, isin, sum(score * exp(-ln(2) * a / 7)) / sum(exp(-ln(2) * a / 7)) AS raw FROM (SELECT n.*, greatest(DATE '2024-01-31' - published_at::DATE, 0) AS a FROM news n JOIN instruments USING (isin) WHERE confidence >= 0.7 AND published_at >= DATE '2024-01-01' AND published_at::DATE <= DATE '2024-01-31') GROUP BY isin HAVING count(*) >= 3"),
+    "a15_news_sentiment": sql("as_of:d isin raw:f", "SELECT DATE '2024-01-31' AS as_of, isin, sum(score * exp(-ln(2) * a / 7)) / sum(exp(-ln(2) * a / 7)) AS raw FROM (SELECT n.*, greatest(epoch_us(TIMESTAMP '2024-01-31') - epoch_us(published_at), 0) / 86400e6 AS a FROM news n JOIN instruments USING (isin) WHERE confidence >= 0.7 AND published_at >= DATE '2024-01-01' AND published_at::DATE <= DATE '2024-01-31') GROUP BY isin HAVING count(*) >= 3"),
     "a21_alias_conflicts": sql("alias companies", "SELECT lower(split_part(p_name, ' ', 1)) AS alias, count(DISTINCT p_brand) AS companies FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1"),
     "w4_drawdown": sql("date:d nav:f ret:f peak:f drawdown:f", "SELECT *, nav / peak - 1 AS drawdown FROM dd"),
     "w13_quantile_buckets": sql("as_of:d bucket:INT n low:f high:f", "SELECT as_of, CASE WHEN n > 1 THEN greatest(0, ceil((r - 1) * 5 / (n - 1)) - 1) ELSE 0 END AS bucket, count(*) AS n, min(z) AS low, max(z) AS high FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY z, isin) AS r, count(*) OVER (PARTITION BY as_of) AS n FROM mz WHERE z IS NOT NULL) GROUP BY 1, 2"),
@@ -248,14 +250,14 @@ SQL = {
     "t2_top_n": sql("as_of:d isin weight:f", "SELECT * FROM top"),
     "b2_backtest": sql("date:d nav:f gross_nav:f costs:f", "SELECT * FROM navs WHERE k > 0"),
     "b3_trades": sql("as_of:d buy:f sell:f n_buy n_sell", "SELECT * FROM traded"),
-    "b6_metrics": sql("periods total_return:f cagr:f volatility:f sharpe:f sortino:f max_drawdown:f calmar:f hit_rate:f best_period:f worst_period:f", "SELECT *, CASE WHEN volatility > 0 THEN (cagr - 0.065) / volatility ELSE 0 END AS sharpe, CASE WHEN down > 0 THEN (cagr - 0.065) / down ELSE 0 END AS sortino, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0 END AS calmar FROM (SELECT count(ret) AS periods, last(nav ORDER BY date) / first(nav ORDER BY date) - 1 AS total_return, (last(nav ORDER BY date) / first(nav ORDER BY date)) ** (12.0 / count(ret)) - 1 AS cagr, stddev_samp(ret) * sqrt(12) AS volatility, stddev_samp(ret) FILTER (ret < 0) * sqrt(12) AS down, min(nav / peak - 1) AS max_drawdown, avg((ret > 0)::INT) AS hit_rate, max(ret) AS best_period, min(ret) AS worst_period FROM dd)"),
+    "b6_metrics": sql("periods years:f total_return:f cagr:f volatility:f sharpe:f sortino:f max_drawdown:f calmar:f hit_rate:f best_period:f worst_period:f avg_turnover:f total_costs_pct:f", "SELECT *, CASE WHEN volatility > 0 THEN (cagr - 0.065) / volatility ELSE 0 END AS sharpe, CASE WHEN down > 0 THEN (cagr - 0.065) / down ELSE 0 END AS sortino, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0 END AS calmar FROM (SELECT count(ret) AS periods, round(count(ret) / 12, 2) AS years, last(nav ORDER BY date) / first(nav ORDER BY date) - 1 AS total_return, (last(nav ORDER BY date) / first(nav ORDER BY date)) ** (12.0 / count(ret)) - 1 AS cagr, stddev_samp(ret) * sqrt(12) AS volatility, stddev_samp(ret) FILTER (ret < 0) * sqrt(12) AS down, min(nav / peak - 1) AS max_drawdown, avg((ret > 0)::INT) AS hit_rate, max(ret) AS best_period, min(ret) AS worst_period, (SELECT avg(buy + sell) FROM steps) AS avg_turnover, sum(costs) / 1000000 AS total_costs_pct FROM (SELECT *, nav / lag(nav) OVER (ORDER BY date) - 1 AS ret, max(nav) OVER (ORDER BY date) AS peak FROM navs WHERE k > 0))"),
     "b7_equal_weight": sql("date:d nav:f", "SELECT * FROM ew"),
     "b9_attribution": sql("as_of:d factor n ic:f spread:f", "SELECT * FROM ic"),
-    "b9_attribution_summary": sql("factor periods ic_mean:f ic_t:f hit_rate:f spread_year:f", "SELECT factor, count(ic) AS periods, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS ic_t, avg((ic > 0)::INT) AS hit_rate, 12 * avg(spread) AS spread_year FROM ics GROUP BY factor"),
+    "b9_attribution_summary": sql("factor periods ic_mean:f ic_t:f hit_rate:f spread_year:f coverage:f monotonic", "SELECT *, (SELECT avg(c) FROM (SELECT as_of, count(z) / count(*) AS c FROM mzz WHERE mzz.factor = s.factor AND as_of IN (SELECT as_of FROM returns GROUP BY as_of HAVING count(fwd) >= 10) GROUP BY as_of)) AS coverage, (SELECT bool_and(up) FROM (SELECT coalesce(r >= lag(r) OVER (ORDER BY bucket), true) AS up FROM (SELECT bucket, avg(r) AS r FROM (SELECT as_of, bucket, avg(fwd) AS r FROM ics_3 WHERE ics_3.factor = s.factor GROUP BY ALL) GROUP BY bucket))) AS monotonic FROM (SELECT factor, count(ic) AS periods, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS ic_t, avg((ic > 0)::INT) AS hit_rate, 12 * avg(spread) AS spread_year FROM ics GROUP BY factor) s"),
     "c3_story_dedup": sql("doc_id content_hash is_first", f"SELECT doc_id, h AS content_hash, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) = 1 AS is_first FROM (SELECT *, substr(sha1({_NORMAL.format('text')}), 1, 16) AS h FROM documents)"),
     "r3_mentions": sql("doc_id start:INT n:INT alias isin", f"SELECT doc_id, i AS start, 3 AS n, alias, isin FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM (SELECT doc_id, string_split({_NORMAL.format('text')}, ' ') AS w FROM documents)) JOIN (SELECT alias, min(item_id) AS isin FROM (SELECT item_id, array_to_string(string_split({_NORMAL.format('text')}, ' ')[:3], ' ') AS alias FROM benchmark) GROUP BY alias HAVING count(DISTINCT item_id) = 1) ON alias = w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]"),
     "r5_roundups": sql("method confidence:f n", "SELECT CASE WHEN c > 3 THEN 'ROUNDUP' ELSE 'HEADLINE' END AS method, CASE WHEN c > 3 THEN 0.5 ELSE 0.95 END AS confidence, sum(c)::BIGINT AS n FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY 1) GROUP BY 1, 2"),
-    "e1_validation": sql("confidence:f n", "SELECT CASE WHEN abs(pbt - tax - pat) / greatest(abs(pbt - tax), abs(pat)) > 0.02 THEN 0.0 WHEN isin % 4 = 0 THEN 0.6 ELSE 1.0 END AS confidence, count(*) AS n FROM (SELECT isin, pat, profit_before_tax AS pbt, profit_before_tax - pat + CASE WHEN isin % 11 = 0 THEN 10000.0 ELSE 0.0 END AS tax FROM annual) GROUP BY 1"),
+    "e1_validation": sql("isin period_end_date:d basis failed confidence:f", "SELECT *, CASE WHEN failed LIKE '%pbt_tax_pat%' THEN 0.0 WHEN failed LIKE '%,%' THEN 0.3 WHEN failed <> '' THEN 0.6 ELSE 1.0 END AS confidence FROM (SELECT isin, period_end_date, basis, concat_ws(',', CASE WHEN abs(pbt - tax - pat) > 0.02 * greatest(abs(pbt - tax), abs(pat)) THEN 'pbt_tax_pat' END, CASE WHEN isin % 4 = 0 THEN 'revenue_vs_total_income' END, CASE WHEN abs(ocf - capex - fcf) > 0.01 * greatest(abs(ocf - capex), abs(fcf)) THEN 'fcf_identity' END) AS failed FROM (SELECT isin, period_end_date, basis, pat, ocf, capex, fcf, profit_before_tax AS pbt, profit_before_tax - pat + CASE WHEN isin % 11 = 0 THEN 10000.0 ELSE 0.0 END AS tax FROM annual))"),
     "e2_quarters_against_year": sql("isin period_end_date:d yearly:f quarters:f passed", "SELECT a.isin, a.period_end_date, a.revenue AS yearly, q.quarters, CASE WHEN n = 4 THEN abs(a.revenue - quarters) / greatest(abs(a.revenue), abs(quarters)) <= 0.1 END AS passed FROM annual a LEFT JOIN (SELECT isin, year(period_end_date) AS y, count(*) AS n, sum(revenue) AS quarters FROM quarterly GROUP BY ALL) q ON q.isin = a.isin AND y = year(a.period_end_date) WHERE basis = 'CONSOLIDATED'"),
     "k1_upsert": "SELECT o_orderkey, o_custkey, CASE WHEN year(o_orderdate) = 1998 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders",
     "k3_fill_from_index": sql("k known:d", "SELECT o_orderkey AS k, min(l_shipdate) FILTER (l_returnflag = 'R') AS known FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"),

@@ -76,7 +76,7 @@ class Model:
         return P.universe(self.dates, self.membership, self.instruments)
 
     def raw(self) -> DataFrame:
-        return V.all_factors(self.grid(), self.prices, self.annual, self.quarterly, **MINIMA)
+        return V.all_factors(self.grid(), self.prices, self.annual, self.quarterly, S.news_history(self.spark, self.dir), **MINIMA)
 
     def families(self) -> DataFrame:
         return X.family_scores(X.factor_z(self.raw()))
@@ -313,17 +313,21 @@ def t2_top_n(spark, sf_dir):
 @query
 def b2_backtest(spark, sf_dir):
     """Walk-forward 12-1 momentum: top 20, equal weights, costs on."""
-    m = Model(spark, sf_dir)
-    return backtest_curve(m)
+    return backtest_curve(Model(spark, sf_dir))
 
 
 def backtest_curve(m: Model) -> DataFrame:
-    weights = B.top_n(m.momentum_z(), "z", 20).persist()  # 20 rows a month, read four times
+    return B.nav_curve(backtest_steps(m))
+
+
+def backtest_steps(m: Model) -> DataFrame:
+    """as_of, until, ret, tied, buy, sell, n_buy, n_sell."""
+    weights = B.top_n(m.momentum_z(), "z", 20)
     spans = weights.join(F.broadcast(B.periods(m.dates)), "as_of")  # one row a month
     fwd = P.forward_returns(spans.select("isin", "as_of", "until"), m.prices)
     held = spans.join(fwd, ["isin", "as_of", "until"], "left").join(B.median_traded(weights, m.prices), ["as_of", "isin"], "left")
     steps = held.groupBy("as_of", "until").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("ret"), F.avg(C.safe_divide(F.col("weight"), F.col("median_traded"))).alias("tied"))
-    return B.nav_curve(steps.join(B.trades(weights, steps.select("as_of")), "as_of"))
+    return steps.join(B.trades(weights, steps.select("as_of")), "as_of")
 
 
 @query
@@ -335,7 +339,12 @@ def b3_trades(spark, sf_dir):
 
 @query
 def b6_metrics(spark, sf_dir):
-    return B.metrics(B.equal_weight(Model(spark, sf_dir).returns()))
+    """Of the momentum backtest, costs on."""
+    m = Model(spark, sf_dir)
+    steps = backtest_steps(m)
+    curve = B.nav_curve(steps)
+    traded = steps.select(F.col("until").alias("date"), (F.col("buy") + F.col("sell")).alias("turnover")).join(curve.select("date", "costs"), "date")
+    return B.metrics(curve, turnover=traded)
 
 
 @query
@@ -381,7 +390,7 @@ def r5_roundups(spark, sf_dir):
 def e1_validation(spark, sf_dir):
     a = S.fundamentals_annual(spark, sf_dir)
     rows = a.withColumn("total_liabilities", F.col("total_assets") - F.col("total_equity")).withColumn("tax_expense", F.col("profit_before_tax") - F.col("pat") + F.when(F.col("isin") % 11 == 0, 10000.0).otherwise(0.0)).withColumn("total_income", F.col("revenue") * F.when(F.col("isin") % 4 == 0, 0.9).otherwise(1.0)).withColumn("total_expenses", F.lit(None).cast("double"))
-    return E.validate(rows).groupBy("confidence").agg(F.count("*").alias("n"))
+    return E.validate(rows).select("isin", "period_end_date", "basis", F.array_join(E.failures(), ",").alias("failed"), "confidence")
 
 
 @query

@@ -56,7 +56,8 @@ def _statements(spark: SparkSession, sf_dir: str, period_end: Column) -> DataFra
         "isin", "period_end_date", "revenue", "pat", "ocf",
         (F.col("taxed") * 0.5).alias("capex"),
         (F.col("pat") * 1.33).alias("profit_before_tax"),
-        F.when(isin % 10 == 0, 0.0).otherwise(e * 0.01).alias("interest_expense"),
+        F.when(isin % 10 == 0, 0.0).when(isin % 10 != 3, e * 0.01).alias("interest_expense"),
+        F.when(isin % 6 == 0, e * 0.07).alias("ebitda"), F.when(isin % 8 == 0, F.col("pat") * 0.8).alias("fcf"),
         (e * 0.02).alias("depreciation"), "total_debt", "cash",
         (e * 0.9).alias("total_equity"), (e * 1.6).alias("total_assets"), (F.col("pat") / 1000).alias("eps"), "contingent_liabilities",
         F.when(isin % 7 == 0, "QUALIFIED").when(isin % 7 == 1, "NOT_STATED").otherwise("UNMODIFIED").alias("auditor_opinion"),
@@ -100,6 +101,12 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def news_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``news`` moved into the years that prices cover: an article's number tells how many months back."""
+    back = F.col("news_id") % 20 * 30 - 8766
+    return news(spark, sf_dir).withColumn("published_at", F.col("published_at") + F.make_dt_interval(days=back.cast("int")))
+
+
 def month_ends(spark: SparkSession, first: str, last: str) -> DataFrame:
     """as_of: the month ends from first to last."""
     months = F.sequence(F.trunc(F.lit(first).cast("date"), "month"), F.lit(last).cast("date"), F.expr("interval 1 month"))

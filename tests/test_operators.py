@@ -31,14 +31,19 @@ def test_scalars(spark):
     r = one(
         spark,
         a=C.safe_divide(F.lit(1.0), F.lit(0.0)), b=C.safe_divide(F.lit(1.0), F.lit(-2.0)), c=C.safe_divide(F.lit(1.0), F.lit(-2.0), negative=True),
-        p=C.normal_cdf(F.lit(1.0)), q=C.normal_cdf(F.lit(-1.96)), n=C.no_nan(F.lit(float("nan"))), s=C.strip_legal_suffix(C.normalise_text(F.lit("The Acme-Motors Pvt. Ltd."))),
-        y=C.fiscal_year(F.lit("2024-03-31").cast("date")), z=C.fiscal_year(F.lit("2024-04-01").cast("date")), d=C.relative_difference(F.lit(0.0), F.lit(0.0)), u=C.to_crore(F.lit(5.0), F.lit("lakhs")), w=C.to_crore(F.lit(5.0), F.lit("pounds")),
+        p=C.normal_cdf(F.lit(1.0)), q=C.normal_cdf(F.lit(-1.96)), n=C.no_nan(F.lit(float("nan"))), s=C.strip_legal_suffix(C.normalise_text(F.lit("The Acme-Motors Co. Ltd."))),
+        y=C.fiscal_year(F.lit("2024-03-31").cast("date")), z=C.fiscal_year(F.lit("2024-04-01").cast("date")), d=C.relative_difference(F.lit(0.0), F.lit(0.0)), u=C.to_crore(F.lit(5.0), F.lit("LAKH")),
     )
-    assert r.a is None and r.b is None and r.c == -0.5 and r.n is None and r.w is None
+    assert r.a is None and r.b is None and r.c == -0.5 and r.n is None
     assert abs(r.p - 0.841344746) < 1e-7 and abs(r.q - 0.024997895) < 1e-7
     assert r.s == "acme motors" and (r.y, r.z) == (2024, 2025) and r.d == 0 and abs(r.u - 0.05) < 1e-12
 
 
+def test_unknown_units_fail(spark):
+    with pytest.raises(Exception, match="unknown unit: POUND"):
+        one(spark, w=C.to_crore(F.lit(5.0), F.lit("POUND")))
+
+
 def frame(spark, values, sector="s"):
     return spark.createDataFrame([("t", i, sector if not isinstance(sector, list) else sector[i], v) for i, v in enumerate(values)], "as_of string, isin int, sector string, raw double")
 
@@ -123,10 +128,10 @@ def test_quarterly_growth_takes_the_nearest_quarter(spark):
 
 
 def test_debt_free_company_has_the_highest_coverage(spark):
-    df = spark.createDataFrame([(100.0, 0.0), (100.0, 1.0), (100.0, 40.0), (-5.0, 10.0), (None, 1.0)], "profit_before_tax double, interest_expense double")
+    df = spark.createDataFrame([(100.0, 0.0), (100.0, 1.0), (100.0, 40.0), (-5.0, 10.0), (None, 1.0), (-5.0, 0.0), (-5.0, None), (7.0, None)], "profit_before_tax double, interest_expense double")
     columns = V.value_quality_columns()
-    wide = df.select("*", *(F.lit(1.0).alias(c) for c in ("eps", "price", "total_equity", "market_cap", "depreciation", "ev", "ocf", "capex", "pat", "total_debt", "total_assets")))
-    assert [r[0] for r in wide.select(columns["interest_coverage"]).collect()] == [50.0, 50.0, 3.5, 0.5, None]
+    wide = df.select("*", *(F.lit(1.0).alias(c) for c in ("eps", "price", "total_equity", "market_cap", "depreciation", "ev", "ocf", "capex", "pat", "total_debt", "total_assets", "ebitda", "fcf")))
+    assert [r[0] for r in wide.select(columns["interest_coverage"]).collect()] == [50.0, 50.0, 3.5, 0.5, None, None, None, 50.0]
 
 
 def test_flags(spark):
