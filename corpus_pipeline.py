@@ -2,16 +2,21 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``. ``run`` writes each stage's rows as Parquet and reads them
-again, so a stage's lineage ends at files that every executor can read.
+again, so a stage's lineage ends at files that every executor can read. The files lie in
+the folder that ``spark.checkpoint.dir`` names, and stay there for whoever restarts a stage.
+
+In every stage columns may have any names and hold nulls; null and empty texts and null
+ids are rows like others; empty tables give no rows. What ties, repeated rows and repeated
+ids do is told by each stage's operator.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.llm.components import shared_folder
 from factorloom.llm.decontamination import decontaminate
 from factorloom.llm.jaccard_groups import keep_one
 from factorloom.llm.packing import pack_documents
@@ -24,27 +29,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold; without labels, all."""
     return drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, a similarity of 0.8."""
+    """One document of each near-duplicate group, the one with the smallest id: five-word shingles, a similarity of 0.8. Documents without words are in no group."""
     return keep_one(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; each row is judged by its own text."""
     return decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked; a row without one is left as it is."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences; a null text is packed as an empty one."""
     return pack_documents(docs)
 
 
@@ -56,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, one after the other."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
+    folder = shared_folder(spark)
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         rows = stage(spark, docs, sf_dir)
