@@ -224,8 +224,8 @@ def test_upsert(spark):
     s = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, E.upsert(t, s, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert E.upsert(t, s.limit(0), ["k"]).count() == 2
-    with pytest.raises(ValueError):
-        E.upsert(t, s.unionByName(s), ["k"])
+    with pytest.raises(Exception, match="the source repeats a key"):
+        E.upsert(t, s.unionByName(s), ["k"]).collect()
 
 
 def test_pages(spark):
