@@ -77,3 +77,40 @@ def ist_from_utc(ts: Column) -> Column:
 
 def local_name(x: Column) -> Column:
     return F.regexp_replace(x, r"^\{[^}]*\}", "")
+
+
+def article_id(url: Column, headline: Column, published_at: Column) -> Column:
+    """An article's name: of its address, or of headline and day where it has none."""
+    basis = F.coalesce(F.nullif(F.trim(url), F.lit("")), F.concat(normalise_text(headline), F.lit("|"), F.date_format(published_at, "yyyy-MM-dd")))
+    return F.substring(F.sha1(basis), 1, 20)
+
+
+def news_id(article: Column, isin: Column) -> Column:
+    """The name of an article's row for one company; the article's own where it names none."""
+    return F.when(isin.isNull(), article).otherwise(F.concat(article, F.lit(":"), isin.cast("string")))
+
+
+def ordinal(x: Column) -> Column:
+    """1st, 2nd, 3rd, 11th of a number, rounded."""
+    n = F.rint(x).cast("long")
+    ending = F.when((n % 100).between(10, 20), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), ending)
+
+
+def duration(seconds: Column) -> Column:
+    """5s, 2m 05s, 1h 02m; a dash for none."""
+    whole = F.floor(seconds).cast("long")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    minutes = F.floor(whole / 60).cast("long")
+    short = F.concat(F.rint(seconds).cast("long").cast("string"), F.lit("s"))
+    return F.when(seconds.isNull(), "\u2014").when(seconds < 60, short).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m "), two(whole % 60), F.lit("s"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), two(minutes % 60), F.lit("m")))
+
+
+def crore_text(x: Column) -> Column:
+    """An amount with thousands apart, two places below 100; nothing for none."""
+    known = x.isNotNull() & ~F.isnan(x)
+    return F.when(~known, "").when(F.abs(x) >= 100, F.format_number(x, 0)).otherwise(F.format_number(x, 2))
+
+
+def percent_text(x: Column) -> Column:
+    return F.concat(F.format_number(x * 100, 2), F.lit("%"))

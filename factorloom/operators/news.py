@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.scalar import content_hash, normalise_text, strip_legal_suffix
+from factorloom.functions.scalar import article_id, content_hash, news_id, normalise_text, strip_legal_suffix
 
 #: aliases up to which the dictionary is broadcast; a larger one is joined by shuffle
 BROADCAST_ALIASES = 2_000_000
 BODY_FACTOR, ROUNDUP_COMPANIES, ROUNDUP_CONFIDENCE = 0.70, 3, 0.5
+#: fixed values: words on which a shortened name may not end
+CONNECTIVES = ("of", "and", "the", "for", "in", "on", "at", "to", "a")
 
 
 def story_keys(articles: DataFrame, text: str = "text") -> DataFrame:
@@ -24,21 +26,32 @@ def first_of_story(articles: DataFrame, keys: list[str], order: list[str]) -> Da
     return articles.withColumn("is_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
 
 
-def alias_candidates(instruments: DataFrame, common: list[str] | None = None) -> DataFrame:
-    """alias, isin, source, confidence: names with and without legal suffix, symbols, the first two words, the first word; the most confident of each."""
-    full, symbol = normalise_text(F.col("name")), normalise_text(F.col("symbol"))
-    short = strip_legal_suffix(full)
-    words = F.split(short, " ")
+def alias_candidates(instruments: DataFrame, groups: list[str] = (), common: list[str] = (), curated: DataFrame | None = None) -> DataFrame:
+    """alias, isin, source, confidence: the most confident of each.
+
+    Of a company (isin, symbol, name): its name without legal suffixes (0.85 if it is one
+    word), its symbol, curated names (symbol, alias), the first two words of a longer name
+    (without connectives at the end, and not if all are common words), and the first word.
+    No alias is shorter than three letters, nor a single word that names a group of companies
+    or is common.
+    """
+    full, symbol = strip_legal_suffix(normalise_text(F.col("name"))), normalise_text(F.col("symbol"))
+    words = F.split(full, " ")
+    prefix = F.trim(F.regexp_replace(F.concat(F.lit(" "), F.array_join(F.slice(words, 1, 2), " ")), f"( ({'|'.join(CONNECTIVES)}))+$", ""))
+    ordinary = F.forall(F.split(prefix, " "), lambda w: w.isin(list(common))) if common else F.lit(False)
+    of = lambda alias, source, confidence: F.struct(alias.alias("alias"), F.lit(source).alias("source"), confidence.alias("confidence"))
     made = F.array(
-        F.struct(full.alias("alias"), F.lit("NAME").alias("source"), F.lit(0.95).alias("confidence")),
-        F.struct(short.alias("alias"), F.lit("SHORT_NAME").alias("source"), F.lit(0.85).alias("confidence")),
-        F.struct(symbol.alias("alias"), F.lit("SYMBOL").alias("source"), F.lit(0.90).alias("confidence")),
-        F.struct(F.when(F.size(words) > 2, F.array_join(F.slice(words, 1, 2), " ")).alias("alias"), F.lit("PREFIX").alias("source"), F.lit(0.90).alias("confidence")),
-        F.struct(F.when(F.size(words) > 1, words[0]).alias("alias"), F.lit("FIRST_WORD").alias("source"), F.lit(0.60).alias("confidence")),
+        of(full, "NAME", F.when(F.size(words) > 1, 0.95).otherwise(0.85)),
+        of(symbol, "SYMBOL", F.lit(0.90)),
+        of(F.when((F.size(words) >= 3) & (F.size(F.split(prefix, " ")) >= 2) & ~ordinary, prefix), "NAME_PREFIX", F.lit(0.90)),
+        of(F.when(F.size(words) > 1, words[0]), "NAME_SHORT", F.lit(0.60)),
     )
-    rows = instruments.select("isin", F.explode(made).alias("a")).select("isin", "a.*").where(F.length("alias") >= 3)
-    if common:
-        rows = rows.where(~F.col("alias").isin(common))
+    rows = instruments.select("isin", F.explode(made).alias("a")).select("isin", "a.*")
+    if curated is not None:
+        own = instruments.join(curated.withColumnRenamed("alias", "_alias"), F.upper(instruments["symbol"]) == F.upper(curated["symbol"]))
+        rows = rows.unionByName(own.select("isin", normalise_text(F.col("_alias")).alias("alias"), F.lit("CURATED").alias("source"), F.lit(0.95).alias("confidence")))
+    blocked = (F.length("alias") < 3) | F.col("alias").isin([*groups, *common]) if groups or common else F.length("alias") < 3
+    rows = rows.where(F.col("alias").isNotNull() & ~blocked)
     return rows.groupBy("alias", "isin").agg(F.max(F.struct("confidence", "source")).alias("m")).select("alias", "isin", "m.source", "m.confidence")
 
 
@@ -79,9 +92,46 @@ def demote_roundups(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def store_new(incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Incoming rows that are neither stored nor repeated among themselves."""
+    """Incoming rows that are neither stored nor repeated among themselves. Keys may be NULL: such rows equal each other."""
     first = incoming.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
-    return first.join(stored.select(*keys).distinct(), keys, "left_anti")
+    known = stored.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return first.join(known, same, "left_anti")
+
+
+def store_articles(articles: DataFrame, mentions: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to store, one for each article and company it names (isin NULL where it names none), and one row of statistics.
+
+    articles: url, headline, published_at; mentions: article_id, isin, confidence, method;
+    stored: news_id, isin, content_hash, day. A story - company, headline and day - is stored
+    once, so one that comes back on another day is news again; so is an article's row.
+    """
+    named = articles.select("url", "headline", "published_at", article_id(F.col("url"), F.col("headline"), F.col("published_at")).alias("article_id"), content_hash(F.col("headline")).alias("content_hash"), F.to_date("published_at").alias("day"))
+    rows = named.join(mentions, "article_id", "left").withColumn("news_id", news_id(F.col("article_id"), F.col("isin")))
+    fresh = store_new(rows, stored, ["isin", "content_hash", "day"], ["published_at", "news_id"])
+    fresh = store_new(fresh, stored, ["news_id"], ["published_at"])
+    came = rows.agg(F.count("*").alias("rows"), F.count_distinct("article_id").alias("articles"), F.count_if(F.col("isin").isNull()).alias("unresolved"))
+    kept = fresh.agg(F.count("*").alias("stored"))
+    return fresh, came.crossJoin(F.broadcast(kept)).withColumn("duplicates", F.col("rows") - F.col("stored"))  # one row each
+
+
+def reresolved(old: DataFrame, new: DataFrame, scores: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Changes between two resolutions, and the scores that outlive them: those of rows that were not removed."""
+    changes = resolution_changes(old, new, id_col)
+    return changes, scores.join(changes.where("change = 'REMOVED'").select(id_col, "isin"), [id_col, "isin"], "left_anti")
+
+
+def confirmed(articles: DataFrame, best: DataFrame, id_col: str) -> DataFrame:
+    """Attributed articles (id, isin) that do name their company, with the mention's confidence and method. best: ``best_mentions`` of the same articles."""
+    return articles.join(best.select(id_col, "isin", "confidence", "method"), [id_col, "isin"])
+
+
+def signed_scores(odds: DataFrame, labels: list[str]) -> DataFrame:
+    """text, label, score of a model's odds (text, p: an array in the order of ``labels``): the likeliest label, and positive less negative odds."""
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    names = F.array(*map(F.lit, labels))
+    at = lambda label: F.get("p", F.lit(labels.index(label)))
+    return odds.select("text", F.element_at(names, best).alias("label"), (at("positive") - at("negative")).alias("score"))
 
 
 def resolution_changes(old: DataFrame, new: DataFrame, id_col: str) -> DataFrame:

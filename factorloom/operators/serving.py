@@ -77,3 +77,14 @@ def token_costs(usage: DataFrame, rates: DataFrame) -> DataFrame:
     best = met.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("since")))).where("_r = 1")
     cost = F.col("input_rate") * (F.col("input") + 1.25 * F.col("cache_write") + 0.10 * F.col("cache_read")) + F.col("output_rate") * F.col("output")
     return best.select(*usage.columns, (cost * F.when(F.col("batch"), 0.5).otherwise(1.0) / 1e6).alias("cost"))
+
+
+def counted(rows: DataFrame, parts: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """rows with how many ``parts`` share their keys, 0 where none."""
+    counts = parts.groupBy(*keys).agg(F.count("*").alias(out))
+    return rows.join(counts, keys, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def at_latest(rows: DataFrame, day: str) -> DataFrame:
+    """The rows of the newest day."""
+    return rows.join(F.broadcast(rows.agg(F.max(day).alias(day))), day, "left_semi")  # one row

@@ -127,3 +127,10 @@ def select_pages(scores: DataFrame, key: str, page: str, score: str, strong: flo
     near = Window.partitionBy(key).orderBy(page).rangeBetween(-after, 0)
     kept = scores.withColumn("_m", F.max(score).over(near)).where((F.col(score) >= weak) | (F.col("_m") >= strong))
     return kept.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), page))).where(F.col("_r") <= budget).select(*scores.columns)
+
+
+def statement_frame(annual: DataFrame, keys: list[str], items: list[str], years: list[int]) -> DataFrame:
+    """keys, item and a column fy{year} for each year: statements with items down and years across. Items without any amount have no row."""
+    rows = annual.withColumn("_y", F.year("period_end_date")).unpivot([*keys, "_y"], items, "item", "amount").where("amount is not null")
+    wide = rows.groupBy(*keys, "item").pivot("_y", years).agg(F.max("amount"))
+    return wide.select(*keys, "item", *(F.col(str(y)).alias(f"fy{y}") for y in years))

@@ -523,8 +523,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from factorloom.plans import more  # noqa: F401 - it registers its queries
+
     return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.SQL.items() if k in _found}
+    from factorloom.plans import oracles_more
+
+    return {k: v for k, v in (oracles.SQL | oracles_more.SQL).items() if k in queries()}
