@@ -115,17 +115,26 @@ class Attention:
         self._steps = {n: [np.zeros_like(x), np.zeros_like(x)] for n, x in self.w.items() if n != "id"}
         self._size = np.zeros(len(self.w["id"]), np.float32)  # of an id's gradients so far, squared
         self._t = 0
+        self._known: np.ndarray | None = None  # queries, keys and values of all ids, while the weights stay as they are
         #: windows learnt from, and for each id steps in which it was seen
         self.n, self.met = 0, np.zeros(len(self.w["id"]), np.int64)
         query, key = np.arange(STEP)[:, None] + CONTEXT - 1, np.arange(SPAN - 1)[None, :]
         self._gap = np.maximum(query - key, 0)
         self._seen = key <= query
 
-    def attend(self, seen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """seen: ids of windows but for their last one. Embeddings, queries, keys, values, weights and what they gather."""
+    def embedded(self, seen: np.ndarray) -> np.ndarray:
         x = self.w["class"].take(self._input.take(seen), axis=0)
         x += self.w["id"].take(seen, axis=0)
-        qkv = np.matmul(x.reshape(-1, WIDTH), self.w["qkv"]).reshape(*seen.shape, 3 * WIDTH)
+        return x
+
+    def attend(self, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """seen: ids of windows but for their last one. Embeddings, queries, keys, values, weights and what they gather."""
+        x = None
+        if self._known is None:
+            x = self.embedded(seen)
+            qkv = np.matmul(x.reshape(-1, WIDTH), self.w["qkv"]).reshape(*seen.shape, 3 * WIDTH)
+        else:
+            qkv = self._known.take(seen, axis=0)
         q, k, v = qkv[:, CONTEXT - 1 :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += np.where(self._seen, self.w["near"][self._gap], np.float32(-1e9))
@@ -143,6 +152,8 @@ class Attention:
 
     def score(self, windows: np.ndarray) -> np.ndarray:
         """Logarithm of the odds of each scored id's class."""
+        if self._known is None:
+            self._known = self.embedded(np.arange(self.before + 1)) @ self.w["qkv"]
         z = self.odds(windows, self.attend(windows[:, :-1])[5])
         picked = z[np.arange(len(z)), self.targets(windows)]
         np.exp(np.minimum(z, 60, out=z), out=z)
@@ -150,6 +161,7 @@ class Attention:
 
     def learn(self, windows: np.ndarray, real: np.ndarray) -> None:
         """One step on the scored ids that are real: of Adam, and of Adagrad for ids' own embeddings, of which a step sees few."""
+        self._known = None
         x, q, k, v, p, a = self.attend(windows[:, :-1])
         z = self.odds(windows, a)
         np.exp(np.minimum(z, 60, out=z), out=z)
