@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +19,36 @@ FACTORS = {
 COVERAGE_CAP = 50.0
 
 
-def panel(grid: DataFrame, prices: DataFrame, annual: DataFrame) -> DataFrame:
-    """grid with price, the newest visible annual row, market_cap and ev."""
-    priced = price_as_of(grid, prices, "as_of", 45, "price")
+def annual_summary(grid: DataFrame, annual: DataFrame) -> DataFrame:
+    """as_of, isin, the newest visible annual row's columns, revenue_cagr_3y, pat_cagr_3y and margin_trend: one pass over the visible rows.
+
+    Growth is a year's, over up to four rows that tell the column, from one positive amount
+    to another at least half a year later; the trend of the margin is over up to five.
+    """
     newest = Window.partitionBy("as_of", "isin").orderBy(F.desc("period_end_date"), F.desc("filing_date"))
-    last = preferred_basis(grid, annual).withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
-    rows = priced.join(last, ["as_of", "isin"], "left")
+    history = preferred_basis(grid, annual).withColumn("rn", F.row_number().over(newest)).where("rn <= 5")
+
+    def ends(column: str) -> list[Column]:
+        ok = (F.col("rn") <= 4) & F.col(column).isNotNull()
+        at = F.when(ok, F.col("period_end_date"))
+        return [F.min_by(F.when(ok, F.col(column)), at).alias(f"_{column}_a"), F.max_by(F.when(ok, F.col(column)), at).alias(f"_{column}_b"), F.min(at).alias(f"_{column}_s"), F.max(at).alias(f"_{column}_e"), F.count(at).alias(f"_{column}_n")]
+
+    margin = safe_divide(F.col("pat"), F.col("revenue"))
+    has = F.when(margin.isNotNull(), F.col("period_end_date"))
+    columns = [c for c in annual.columns if c != "isin"]
+    sums = history.groupBy("as_of", "isin").agg(*(F.max(F.when(F.col("rn") == 1, F.col(c))).alias(c) for c in columns), *ends("revenue"), *ends("pat"), F.min_by(margin, has).alias("_m_a"), F.max_by(margin, has).alias("_m_b"), F.count(has).alias("_m_n"))
+
+    def rate(column: str) -> Column:
+        years = F.datediff(f"_{column}_e", f"_{column}_s") / 365.25
+        start, end = F.col(f"_{column}_a"), F.col(f"_{column}_b")
+        return F.when((F.col(f"_{column}_n") >= 2) & (start > 0) & (end > 0) & (years >= 0.5), F.pow(end / start, 1 / F.nullif(years, F.lit(0.0))) - 1)
+
+    return sums.select("as_of", "isin", *columns, rate("revenue").alias("revenue_cagr_3y"), rate("pat").alias("pat_cagr_3y"), F.when(F.col("_m_n") >= 2, F.col("_m_b") - F.col("_m_a")).alias("margin_trend"))
+
+
+def panel(grid: DataFrame, prices: DataFrame, annual: DataFrame) -> DataFrame:
+    """grid with price, ``annual_summary``, market_cap and ev."""
+    rows = price_as_of(grid, prices, "as_of", 45, "price").join(annual_summary(grid, annual), ["as_of", "isin"], "left")
     shares = F.when((F.col("eps") >= 0.01) & (F.col("pat") > 0), F.col("pat") * 1e7 / F.col("eps"))
     cap = F.col("price") * shares / 1e7
     rows = rows.withColumn("market_cap", F.when(cap > 0, cap))
@@ -65,30 +87,22 @@ def long_form(wide: DataFrame, columns: dict[str, Column], keys: tuple[str, ...]
     return wide.select(*keys, *(c.alias(n) for n, c in columns.items())).unpivot(list(keys), list(columns), "factor", "raw")
 
 
-def growth(grid: DataFrame, annual: DataFrame, quarterly: DataFrame) -> DataFrame:
-    """as_of, isin, sector, factor, raw of the growth factors."""
-    newest = Window.partitionBy("as_of", "isin").orderBy(F.desc("period_end_date"), F.desc("filing_date"))
-    history = preferred_basis(grid, annual).withColumn("rn", F.row_number().over(newest)).where("rn <= 5")
+#: factors that ``annual_summary`` and ``quarterly_yoy`` have under their own names
+GROWTH = ("revenue_cagr_3y", "pat_cagr_3y", "quarterly_revenue_yoy", "quarterly_pat_yoy", "margin_trend")
 
-    def cagr(column: str) -> list[Column]:
-        ok = (F.col("rn") <= 4) & F.col(column).isNotNull()
-        at = F.when(ok, F.col("period_end_date"))
-        return [F.min_by(F.when(ok, F.col(column)), at).alias(f"{column}_a"), F.max_by(F.when(ok, F.col(column)), at).alias(f"{column}_b"), F.min(at).alias(f"{column}_s"), F.max(at).alias(f"{column}_e"), F.count(at).alias(f"{column}_n")]
 
-    margin = safe_divide(F.col("pat"), F.col("revenue"))
-    has = F.when(margin.isNotNull(), F.col("period_end_date"))
-    sums = history.groupBy("as_of", "isin").agg(*cagr("revenue"), *cagr("pat"), F.min_by(margin, has).alias("m_a"), F.max_by(margin, has).alias("m_b"), F.count(has).alias("m_n"))
+def quarterly_yoy(grid: DataFrame, quarterly: DataFrame) -> DataFrame:
+    """as_of, isin, quarterly_revenue_yoy, quarterly_pat_yoy."""
+    recent = latest_known(grid, quarterly, "filing_date", [F.desc("period_end_date")], 8)
+    revenue, pat = (quarterly_growth(recent, c).withColumnRenamed("yoy", f"quarterly_{c}_yoy") for c in ("revenue", "pat"))
+    return revenue.join(pat, ["as_of", "isin"], "full_outer")
 
-    def rate(column: str) -> Column:
-        years = F.datediff(f"{column}_e", f"{column}_s") / 365.25
-        start, end = F.col(f"{column}_a"), F.col(f"{column}_b")
-        return F.when((F.col(f"{column}_n") >= 2) & (start > 0) & (end > 0) & (years >= 0.5), F.pow(end / start, 1 / F.nullif(years, F.lit(0.0))) - 1)
 
-    yearly = sums.select("as_of", "isin", rate("revenue").alias("revenue_cagr_3y"), rate("pat").alias("pat_cagr_3y"), F.when(F.col("m_n") >= 2, F.col("m_b") - F.col("m_a")).alias("margin_trend"))
-    recent = latest_known(grid, quarterly, "filing_date", [F.desc("period_end_date")], 8)
-    yoy = [quarterly_growth(recent, c).withColumnRenamed("yoy", f"quarterly_{c}_yoy") for c in ("revenue", "pat")]
-    wide = reduce(lambda a, b: a.join(b, ["as_of", "isin"], "left"), [yearly, *yoy], grid.select("as_of", "isin", "sector"))
-    return long_form(wide, {n: F.col(n) for n in ("revenue_cagr_3y", "pat_cagr_3y", "quarterly_revenue_yoy", "quarterly_pat_yoy", "margin_trend")})
+def growth(grid: DataFrame, annual: DataFrame, quarterly: DataFrame) -> DataFrame:
+    """as_of, isin, sector, factor, raw of the growth factors."""
+    keys = ["as_of", "isin"]
+    wide = grid.select(*keys, "sector").join(annual_summary(grid, annual), keys, "left").join(quarterly_yoy(grid, quarterly), keys, "left")
+    return long_form(wide, {n: F.col(n) for n in GROWTH})
 
 
 def quarterly_growth(recent: DataFrame, column: str) -> DataFrame:
@@ -160,14 +174,11 @@ def news_sentiment(window: DataFrame, half_life: float = 7.0, least: int = 3) ->
 
 def all_factors(grid: DataFrame, prices: DataFrame, annual: DataFrame, quarterly: DataFrame, news: DataFrame | None = None, **minima: int) -> DataFrame:
     """as_of, isin, sector, factor, raw of every factor; that of news is NULL throughout without ``news``."""
-    grown = growth(grid, annual, quarterly)
-    wide = panel(grid, prices, annual)
-    base = long_form(wide, value_quality_columns())
-    cagr = grown.where("factor = 'pat_cagr_3y' and raw > 0").select("as_of", "isin", F.col("raw").alias("g"))
-    peg = wide.join(cagr, ["as_of", "isin"], "left")
-    peg = long_form(peg, {"peg_inverse": safe_divide(F.col("eps"), F.col("price")) * F.col("g")})
+    wide = panel(grid, prices, annual).join(quarterly_yoy(grid, quarterly), ["as_of", "isin"], "left")
+    peg = safe_divide(F.col("eps"), F.col("price")) * F.when(F.col("pat_cagr_3y") > 0, F.col("pat_cagr_3y"))
+    base = long_form(wide, value_quality_columns() | {"peg_inverse": peg} | {n: F.col(n) for n in GROWTH})
     told = news_sentiment(sentiment_window(grid, news)) if news is not None else None
     named = grid.select("as_of", "isin", "sector")
     said = named.join(told, ["as_of", "isin"], "left") if told is not None else named.withColumn("raw", F.lit(None).cast("double"))
     said = said.select("as_of", "isin", "sector", F.lit("news_sentiment_30d").alias("factor"), "raw")
-    return base.unionByName(peg).unionByName(grown).unionByName(momentum(grid, prices, **minima)).unionByName(said)
+    return base.unionByName(momentum(grid, prices, **minima)).unionByName(said)

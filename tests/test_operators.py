@@ -286,6 +286,26 @@ def test_stream(spark, tmp_path):
     assert {(r.isin, r.n) for r in spark.table("s").collect()} == {(7, 2), (8, 1)}
 
 
+def test_stream_of_days(spark, tmp_path):
+    from factorloom.streaming.news_stream import decayed_sentiment, into_store, month_counts
+
+    rows = [(7, 1.0, "2024-01-01 00:00:00"), (7, -1.0, "2024-01-08 00:00:00"), (8, 0.5, "2024-02-02 10:00:00")]
+    batch = spark.createDataFrame(rows, "isin int, score double, t string").withColumn("published_at", F.col("t").cast("timestamp")).withColumn("day", F.to_date("published_at"))
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+
+    def table(df, name):
+        df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    assert {(str(r.month), r.isin, r.n) for r in table(month_counts(stream), "months").collect()} == {("2024-01-01", 7, 2), ("2024-02-01", 8, 1)}
+    got = table(decayed_sentiment(stream, length="14 days", slide="14 days"), "decayed").where("isin = 7").agg(F.sum("n"), F.min("score")).first()
+    assert got[0] == 2 and -1 <= got[1] < 0  # the later article weighs more
+    for k in range(2):  # the second run finds all of it stored
+        into_store(stream.select("isin", "day"), str(tmp_path / "store"), str(tmp_path / f"c{k}"), ["isin", "day"], day="day").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 3
+
+
 def test_serving(spark):
     from factorloom.operators import serving as S
 
