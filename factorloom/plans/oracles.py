@@ -274,6 +274,6 @@ SQL = {
     "e5_duplicate_periods": sql("l_orderkey l_linestatus l_extendedprice:f", "WITH r AS (SELECT DISTINCT l_orderkey, l_linestatus, l_extendedprice FROM lineitem), a AS (SELECT * FROM r UNION ALL SELECT l_orderkey, 'Z', l_extendedprice FROM r WHERE l_orderkey % 3 = 0), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linestatus) AS n FROM a WHERE l_extendedprice > 0), s AS (SELECT l_orderkey, v[len(v) // 2 + 1] AS scale FROM (SELECT l_orderkey, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM n WHERE n = 1 GROUP BY 1)) SELECT l_orderkey, l_linestatus, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY abs(log10(l_extendedprice / coalesce(scale, l_extendedprice))), l_extendedprice) AS k FROM n LEFT JOIN s USING (l_orderkey) WHERE n = 1 OR scale IS NOT NULL) WHERE k = 1"),
     "e7_page_selection": "WITH p AS (SELECT l_orderkey, l_linenumber::BIGINT AS page, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), m AS (SELECT *, max(score) OVER (PARTITION BY l_orderkey ORDER BY page RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, page) AS k FROM m WHERE score >= 30 OR near >= 45) SELECT l_orderkey, page, score FROM k WHERE k <= 3",
     "e10_disagreements": sql("isin flag y:INT low:f high:f", "SELECT isin, flag, year(date) AS y, min(ext::DOUBLE / qty::DOUBLE) AS low, max(ext::DOUBLE / qty::DOUBLE) AS high FROM ln GROUP BY ALL HAVING count(*) > 1 AND max(ext::DOUBLE / qty::DOUBLE) - min(ext::DOUBLE / qty::DOUBLE) > 0.01 * max(ext::DOUBLE / qty::DOUBLE)"),
-    "r1_alias_candidates": sql("alias isin source confidence:f", f"SELECT alias, isin, max_by(source, struct_pack(c := c, s := source)) AS source, max(c) AS confidence FROM (SELECT isin, unnest([full_, short, symbol, CASE WHEN len(w) > 2 THEN w[1] || ' ' || w[2] END, CASE WHEN len(w) > 1 THEN w[1] END]) AS alias, unnest(['NAME', 'SHORT_NAME', 'SYMBOL', 'PREFIX', 'FIRST_WORD']) AS source, unnest([0.95, 0.85, 0.90, 0.90, 0.60]::DOUBLE[]) AS c FROM (SELECT *, string_split(short, ' ') AS w FROM (SELECT p_partkey AS isin, {_NORMAL.format("p_name || ' Ltd'")} AS full_, 'p' || p_partkey AS symbol, {_NORMAL.format('p_name')} AS short FROM part))) WHERE length(alias) >= 3 GROUP BY 1, 2"),
+    "r1_alias_candidates": sql("alias isin source confidence:f", f"SELECT alias, isin, arg_max(source, (c * 100)::INT || source) AS source, max(c) AS confidence FROM (SELECT p_partkey AS isin, unnest([n || CASE WHEN long THEN ' works of' ELSE '' END, 'p' || p_partkey, CASE WHEN long AND NOT (w[1] IN ('red', 'anvil') AND w[2] IN ('red', 'anvil')) THEN n END, w[1], CASE WHEN p_partkey % 10 = 0 THEN {_NORMAL.format("'Known-as ' || p_brand")} END]) AS alias, unnest(['NAME', 'SYMBOL', 'NAME_PREFIX', 'NAME_SHORT', 'CURATED']) AS source, unnest([0.95, 0.90, 0.90, 0.60, 0.95]::DOUBLE[]) AS c FROM (SELECT *, p_partkey % 3 = 0 AS long, {_NORMAL.format('p_name')} AS n, string_split({_NORMAL.format('p_name')}, ' ') AS w FROM part)) WHERE length(alias) >= 3 AND alias NOT IN ('blue', 'red', 'anvil') GROUP BY alias, isin"),
     "r6_store_new": f"WITH d AS (SELECT doc_id, source, substr(sha1({_NORMAL.format('text')}), 1, 16) AS content_hash FROM documents) SELECT doc_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY source, content_hash ORDER BY doc_id) AS k FROM d WHERE doc_id >= 100) n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id < 100 AND d.source = n.source AND d.content_hash = n.content_hash)",
 }

@@ -505,9 +505,10 @@ def e10_disagreements(spark, sf_dir):
 
 @query
 def r1_alias_candidates(spark, sf_dir):
-    """Aliases of parts' names by brand."""
-    p = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("isin"), F.concat_ws(" ", "p_name", F.lit("Ltd")).alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"))
-    return N.alias_candidates(p)
+    """Aliases of parts' names; blue is a group's name, red and anvil are common words."""
+    p = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("isin"), F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 3 == 0, "Works of"), F.lit("Ltd")).alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"))
+    curated = S.read(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol"), F.concat(F.lit("Known-as "), F.col("p_brand")).alias("alias"))
+    return N.alias_candidates(p, ["blue"], ["red", "anvil"], curated)
 
 
 @query

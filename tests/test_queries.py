@@ -27,4 +27,4 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_query_has_rows(spark):
     assert registry.flagship(spark, SF).count() > 0
-    assert registry.queries()["b2_backtest"](spark, SF).count() >= 0
+    assert registry.queries()["b2_backtest"](spark, SF).count() > 0
