@@ -64,18 +64,19 @@ def split_conflicts(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mentions(articles: DataFrame, aliases: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, start, n, alias, isin, confidence: the longest alias at each place; a hit inside a longer hit is none.
 
-    Word n-grams of each text, as long as the longest alias, meet the dictionary by hash join.
+    Each word of a text, with the words ahead of it that an alias can have, meets the aliases
+    that begin with it; so a text makes a row a word, whatever the length of aliases.
     """
-    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
-    words = F.split(normalise_text(F.col(text)), " ")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(-1)) + F.when(F.size("w") >= n, 0).otherwise(1)), lambda i: F.struct(i.alias("start"), n.alias("n")))))
-    rows = articles.select(id_col, words.alias("w")).withColumn("s", F.explode(spans)).select(id_col, "s.*", F.array_join(F.expr("slice(w, s.start + 1, s.n)"), " ").alias("alias"))
-    rows = rows.where(F.size(F.split("alias", " ")) == F.col("n"))
-    few = aliases.select("alias", "isin", "confidence")
-    hits = rows.join(F.broadcast(few) if few.count() <= BROADCAST_ALIASES else few, "alias")
-    held = hits.select(F.col(id_col).alias("_id"), F.col("start").alias("_s"), F.col("n").alias("_n")).distinct()
-    inside = (F.col(id_col) == F.col("_id")) & (F.col("_s") <= F.col("start")) & (F.col("start") + F.col("n") <= F.col("_s") + F.col("_n")) & (F.col("_n") > F.col("n"))
-    return hits.join(held, inside, "left_anti")
+    longest = aliases.agg(F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1)).alias("_longest"))  # one row
+    worded = articles.select(id_col, F.split(normalise_text(F.col(text)), " ").alias("_w")).crossJoin(F.broadcast(longest))
+    ahead = F.transform("_w", lambda x, i: F.struct(x.alias("first"), F.concat(F.array_join(F.slice(F.col("_w"), i + 1, F.col("_longest")), " "), F.lit(" ")).alias("ahead")))
+    rows = worded.select(id_col, F.posexplode(ahead).alias("start", "x")).select(id_col, "start", "x.*")
+    few = aliases.select("alias", "isin", "confidence", F.split("alias", " ")[0].alias("first"), F.size(F.split("alias", " ")).alias("n"))
+    met = rows.join(F.broadcast(few) if few.count() <= BROADCAST_ALIASES else few, "first").where(F.startswith("ahead", F.concat("alias", F.lit(" "))))
+    before = Window.partitionBy(id_col).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("n")
+    held = (F.coalesce(F.max(end).over(before), F.lit(0)) >= end) | (F.max("n").over(Window.partitionBy(id_col, "start")) > F.col("n"))
+    return met.withColumn("_held", held).where("not _held").select(id_col, "start", "n", "alias", "isin", "confidence")
 
 
 def best_mentions(headline: DataFrame, body: DataFrame, id_col: str) -> DataFrame:

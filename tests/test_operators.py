@@ -187,7 +187,7 @@ def test_aliases_and_conflicts(spark):
     inst = spark.createDataFrame([(1, "ACM", "Acme Motors Works Ltd"), (2, "ACS", "Acme Steel Limited")], "isin int, symbol string, name string")
     good, bad = N.split_conflicts(N.alias_candidates(inst))
     assert [r.alias for r in bad.collect()] == ["acme"]
-    assert {(r.alias, r.isin, r.confidence) for r in good.collect()} >= {("acme motors works", 1, 0.85), ("acme motors", 1, 0.90), ("acs", 2, 0.90), ("acme steel", 2, 0.85)}
+    assert {(r.alias, r.isin, r.confidence) for r in good.collect()} >= {("acme motors works", 1, 0.95), ("acme motors", 1, 0.90), ("acs", 2, 0.90), ("acme steel", 2, 0.95)}
 
 
 def test_stories_and_roundups(spark):
