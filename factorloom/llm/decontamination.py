@@ -108,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key, h = fresh("key", docs.columns), F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h")))
     found = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
-    flat = [F.coalesce(F.col(key)["doc_id"], F.lit(-1)) , F.col(key)["doc_id"].isNull(), F.col(key)["h"]]
+    flat = [F.coalesce(F.col(key)["doc_id"], F.lit(-1)), F.col(key)["doc_id"].isNull(), F.col(key)["h"]]
     names = [fresh(f"key{k}", docs.columns) for k in range(3)]
     keyed, found = (x.select(*(docs.columns if x is keyed else []), *(c.alias(n) for c, n in zip(flat, names))) for x in (keyed, found))
     return keyed.join(found, names, "left_anti").select(docs.columns)

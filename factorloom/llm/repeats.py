@@ -22,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from factorloom.llm import blobs
 from factorloom.llm.text_arrays import ranges
