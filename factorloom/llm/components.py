@@ -48,7 +48,7 @@ def _with_least(edges: DataFrame, key: str, other: str, least: DataFrame) -> Dat
     """edges with ``m``, the least of each ``key``. A hub's edges are dealt over SALT tasks by their other end."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALT)))
     copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    return salted.join(copies, [key, "salt"]).drop("salt")
+    return salted.join(copies.hint("merge"), [key, "salt"]).drop("salt")  # copies are many: no broadcast
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
