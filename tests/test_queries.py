@@ -21,7 +21,7 @@ def con():
 def test_query_equals_sql(spark, con, name):
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
-    want = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, want))
 
 
