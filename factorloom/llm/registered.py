@@ -15,6 +15,7 @@ from factorloom.llm.packing import pack_documents
 from factorloom.llm.recompression import substring_dedup
 from factorloom.llm.secret_scan import scan_secrets
 from factorloom.llm.suffix_dedup import suffix_dedup
+from factorloom.llm.token_alignment import align_tokens
 from factorloom.llm.toxicity import toxicity_scores
 
 
@@ -62,8 +63,12 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op6_lm_scores, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op6_lm_scores, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds, op11_token_alignment]
     return {f.__name__: f for f in found}
 
 
