@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import decontamination
+from factorloom.llm import decontamination, prefix_trie
 from factorloom.llm.embedding_dedup import embedding_near_dedup
 from factorloom.llm.html_text import extract_pages
 from factorloom.llm.jaccard_groups import shingle_components
@@ -67,10 +67,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op6_lm_scores, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds, op11_token_alignment]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op6_lm_scores, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds, op11_token_alignment, op12_prefix_trie]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_spaced_seeds": decontamination.ORACLE_SQL}
+    return {"op10_spaced_seeds": decontamination.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL}
