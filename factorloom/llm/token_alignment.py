@@ -95,17 +95,45 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(found), np.int64)
 
 
+class Strings:
+    """Byte strings by number, gathered many at a time."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.flat[ranges(self.start[ids], self.length[ids])]
+
+
+class Chunks(dict):
+    """Numbers of chunks; a new one takes the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = number = len(self)
+        return number
+
+
 class Aligner:
     """A worker's table of chunks: sizes, links (places in ``pairs``) and groups of each."""
 
     def __init__(self, path_a: str | None = None, path_b: str | None = None):
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
-        self.length_a, self.length_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        self.spelling_a, self.spelling_b = Strings(self.a.bytes), Strings(self.b.bytes)
         self.pairs = possible_pairs(self.a.bytes, self.b.bytes)
+        #: how ids are written before each separator: those of A before , and |, those of B before , and ;
+        sides = ((self.a, b","), (self.a, b"|"), (self.b, b","), (self.b, b";"))
+        self.written = Strings([str(i).encode() + mark for t, mark in sides for i in range(len(t.bytes))])
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Chunks()
         self.groups: list[bytes] = []
         self.held = 0
         #: columns: tokens of A, tokens of B, groups, links, whether both spell the chunk
@@ -115,42 +143,57 @@ class Aligner:
         self.n_links = 0
 
     def align(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Sizes of each chunk, links of all and groups of each, as ``a1,a2|b1;a3|b2``."""
+        """Sizes of each chunk, links of all and groups of each, as ``a1,a2|b1;a3|b2;``."""
         ids_a, count_a = self.a.encode_chunks(chunks)
         ids_b, count_b = self.b.encode_chunks(chunks)
-        ids_a, at_a, at_b = ids_a.astype(np.int64), np.append(0, np.cumsum(count_a)), np.append(0, np.cumsum(count_b))
+        ids_a = ids_a.astype(np.int64)
         want = [b" " + c.encode() for c in chunks]
-        same = np.array([_spelled(self.a.bytes, ids_a[at_a[i] : at_a[i + 1]]) == w == _spelled(self.b.bytes, ids_b[at_b[i] : at_b[i + 1]]) for i, w in enumerate(want)], bool)
-        ids_a, ids_b = ids_a[np.repeat(same, count_a)], ids_b[np.repeat(same, count_b)]
+        size = np.array([len(w) for w in want], np.int64)
+        same = self.spelled(self.spelling_a, ids_a, count_a, want, size) & self.spelled(self.spelling_b, ids_b, count_b, want, size)
+        if not same.all():
+            ids_a, ids_b = ids_a[np.repeat(same, count_a)], ids_b[np.repeat(same, count_b)]
         sizes = np.zeros((len(chunks), 5), np.int64)
         sizes[:, 0], sizes[:, 1], sizes[:, 4] = count_a * same, count_b * same, same
-        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
-        cuts = np.intersect1d(ends_a, ends_b)
+        ends_a, ends_b = np.cumsum(self.spelling_a.length[ids_a]), np.cumsum(self.spelling_b.length[ids_b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         # tokens whose range ends at their group's cut, and all pairs of them in a group
-        last_a, last_b = np.flatnonzero(cuts[group_a] == ends_a), np.flatnonzero(cuts[group_b] == ends_b)
-        each_b = np.bincount(group_b[last_b], minlength=len(cuts))
-        times = each_b[group_a[last_a]]
+        ending_a, ending_b = cuts[group_a] == ends_a, cuts[group_b] == ends_b
+        last_a, last_b = np.flatnonzero(ending_a), np.flatnonzero(ending_b)
+        times = np.bincount(group_b[last_b], minlength=len(cuts))[group_a[last_a]]
         first_b = np.searchsorted(group_b[last_b], group_a[last_a])
         left, right = np.repeat(ids_a[last_a], times), ids_b[last_b[ranges(first_b, times)]]
         links = np.searchsorted(self.pairs, left << 32 | right).astype(np.int32)
-        chunk_ends = np.cumsum([len(w) for w in np.array(want, object)[same]]) if same.any() else np.zeros(0, np.int64)
+        chunk_ends = np.cumsum(size[same])
         owner = np.searchsorted(chunk_ends, cuts)
         sizes[same, 2] = np.bincount(owner, minlength=len(chunk_ends))
         sizes[same, 3] = np.bincount(owner[np.repeat(group_a[last_a], times)], minlength=len(chunk_ends))
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        edges_a, edges_b = np.searchsorted(group_a, np.arange(len(cuts) + 1)).tolist(), np.searchsorted(group_b, np.arange(len(cuts) + 1)).tolist()
-        spelled = [",".join(text_a[w:x]) + "|" + ",".join(text_b[y:z]) for w, x, y, z in zip(edges_a, edges_a[1:], edges_b, edges_b[1:])]
-        at = np.append(0, np.cumsum(sizes[:, 2])).tolist()
-        return sizes, links, [";".join(spelled[x:y]).encode() for x, y in zip(at, at[1:])]
+        # each group's ids of A, then its ids of B, each with the separator that follows it
+        n_a, n_b = len(self.spelling_a.length), len(self.spelling_b.length)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        codes = np.concatenate([ids_a + n_a * ending_a, 2 * n_a + ids_b + n_b * ending_b])[order]
+        text = self.written.joined(codes).tobytes()
+        tokens = np.append(0, np.cumsum(sizes[:, 0] + sizes[:, 1]))
+        at = np.append(0, np.cumsum(self.written.length[codes]))[tokens].tolist()
+        return sizes, links, [text[x:y] for x, y in zip(at, at[1:])]
+
+    @staticmethod
+    def spelled(strings: Strings, ids: np.ndarray, counts: np.ndarray, want: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Which chunks their tokens spell byte for byte."""
+        tokens = np.append(0, np.cumsum(counts))
+        at = np.append(0, np.cumsum(strings.length[ids]))[tokens]
+        text = strings.joined(ids).tobytes()
+        if (np.diff(at) == size).all() and text == b"".join(want):
+            return np.ones(len(want), bool)
+        return np.array([text[x:y] == w for x, y, w in zip(at.tolist(), at[1:].tolist(), want)], bool)
 
     def places(self, chunks: list[str]) -> np.ndarray:
         """Each chunk's row of the table; unknown ones are added."""
-        found = list(map(self.index.get, chunks))
-        if None in found:
-            new = list({c: None for c, i in zip(chunks, found) if i is None})
+        found = np.array(list(map(self.index.__getitem__, chunks)), np.int64)
+        new = self.index.new
+        if new:
             sizes, links, groups = self.align(new)
-            n, m = len(self.index), len(self.index) + len(new)
+            n, m = len(self.groups), len(self.index)
             while m > len(self.sizes):
                 self.sizes, self.link_start = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.link_start, np.zeros_like(self.link_start)])
             while self.n_links + len(links) > len(self.links):
@@ -160,10 +203,9 @@ class Aligner:
             self.links[self.n_links : self.n_links + len(links)] = links
             self.n_links += len(links)
             self.groups += groups
-            self.index.update(zip(new, range(n, m)))
-            self.held += sum(len(c) + len(g) for c, g in zip(new, groups))
-            found = list(map(self.index.__getitem__, chunks))
-        return np.array(found, np.int64)
+            self.held += sum(map(len, new)) + sum(map(len, groups))
+            self.index.new = []
+        return found
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the chunks of all texts, and each text's offset (with the end). Texts that a tokenizer does not spell have none."""
@@ -192,10 +234,6 @@ def sums_between(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-def _spelled(tokens: list[bytes], ids: np.ndarray) -> bytes:
-    return b"".join([tokens[i] for i in ids.tolist()])
-
-
 @lru_cache(maxsize=1)
 def shared(path_a: str | None, path_b: str | None) -> Aligner:
     """The aligner of this process: tasks that follow one another in a worker find its chunks known."""
@@ -260,7 +298,7 @@ def align_tokens(docs: DataFrame, path_a: str | None = None, path_b: str | None
             of_links = sums_between(np.stack([top[links], total[links]], axis=1), np.append(0, np.cumsum(sizes[:, 3])))
             own = sums_between(np.concatenate([sizes[:, :4], of_links], axis=1)[row], at)
             places = place.tolist()
-            digests = [hashlib.sha256(b";".join([aligner.groups[i] for i in places[a:b]])).hexdigest() if b > a else "" for a, b in zip(at.tolist(), at[1:].tolist())]
+            digests = [hashlib.sha256(b"".join([aligner.groups[i] for i in places[a:b]])[:-1]).hexdigest() if b > a else "" for a, b in zip(at.tolist(), at[1:].tolist())]
             names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {c: pa.array(own[:, k]) for k, c in enumerate(names)} | {"groups_sha256": pa.array(digests, pa.string())})
 
