@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import decontamination, prefix_trie
+from factorloom.llm import decontamination, metric_search, prefix_trie
 from factorloom.llm.embedding_dedup import embedding_near_dedup
 from factorloom.llm.html_text import extract_pages
 from factorloom.llm.jaccard_groups import shingle_components
@@ -71,10 +71,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op6_lm_scores, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds, op11_token_alignment, op12_prefix_trie]
+    found = [op1_suffix_dedup, op2_ngram_jaccard, op3_substring_dedup, op4_best_two_fit, op5_secret_scan, op6_lm_scores, op7_toxicity, op8_html_text, op9_embedding_dedup, op10_spaced_seeds, op11_token_alignment, op12_prefix_trie, op13_exact_top_k]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_spaced_seeds": decontamination.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL}
+    return {"op10_spaced_seeds": decontamination.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_exact_top_k": metric_search.ORACLE_SQL}
