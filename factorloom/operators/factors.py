@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.scalar import safe_divide
-from factorloom.operators.point_in_time import latest_known, preferred_basis, price_as_of, sentiment_window
+from factorloom.operators.point_in_time import latest_known, newest, newest_of_basis, price_as_of, sentiment_window
 
 #: family, whether more is better, and weight in its family
 FACTORS = {
@@ -19,14 +19,17 @@ FACTORS = {
 COVERAGE_CAP = 50.0
 
 
+#: annual rows that growth, margins and flags look back on
+YEARS = 5
+
+
 def annual_summary(grid: DataFrame, annual: DataFrame) -> DataFrame:
     """as_of, isin, the newest visible annual row's columns, revenue_cagr_3y, pat_cagr_3y and margin_trend: one pass over the visible rows.
 
     Growth is a year's, over up to four rows that tell the column, from one positive amount
     to another at least half a year later; the trend of the margin is over up to five.
     """
-    newest = Window.partitionBy("as_of", "isin").orderBy(F.desc("period_end_date"), F.desc("filing_date"))
-    history = preferred_basis(grid, annual).withColumn("rn", F.row_number().over(newest)).where("rn <= 5")
+    history = newest_of_basis(grid, annual, YEARS)
 
     def ends(column: str) -> list[Column]:
         ok = (F.col("rn") <= 4) & F.col(column).isNotNull()
@@ -93,7 +96,7 @@ GROWTH = ("revenue_cagr_3y", "pat_cagr_3y", "quarterly_revenue_yoy", "quarterly_
 
 def quarterly_yoy(grid: DataFrame, quarterly: DataFrame) -> DataFrame:
     """as_of, isin, quarterly_revenue_yoy, quarterly_pat_yoy."""
-    recent = latest_known(grid, quarterly, "filing_date", [F.desc("period_end_date")], 8)
+    recent = latest_known(grid, quarterly, "filing_date", [newest("period_end_date")], 8)
     revenue, pat = (quarterly_growth(recent, c).withColumnRenamed("yoy", f"quarterly_{c}_yoy") for c in ("revenue", "pat"))
     return revenue.join(pat, ["as_of", "isin"], "full_outer")
 

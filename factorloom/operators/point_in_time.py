@@ -21,18 +21,43 @@ def universe(dates: DataFrame, membership: DataFrame, instruments: DataFrame) ->
     return met.select("as_of", "isin").distinct().join(instruments.select("isin", "sector", "industry"), "isin")
 
 
-def latest_known(grid: DataFrame, facts: DataFrame, known: str, order: list[Column], n: int = 1) -> DataFrame:
-    """For each (as_of, isin), the n first facts by ``order`` with known <= as_of, numbered by ``rn``."""
-    met = grid.select("as_of", "isin").join(facts, "isin").where(F.col(known) <= F.col("as_of"))
-    return met.withColumn("rn", F.row_number().over(Window.partitionBy("as_of", "isin").orderBy(*order))).where(F.col("rn") <= n)
+def newest(column: str) -> Column:
+    """A sort key that puts later days first and unknown ones last."""
+    return F.coalesce(-F.unix_date(F.col(column).cast("date")), F.lit(2**31 - 1))
+
 
+def latest_known(grid: DataFrame, facts: DataFrame, known: str, order: list[Column], n: int = 1) -> DataFrame:
+    """For each (as_of, isin), the n first facts by ``order`` (ascending keys) with known <= as_of, numbered by ``rn``.
 
-def preferred_basis(grid: DataFrame, annual: DataFrame, preferred: str = "CONSOLIDATED") -> DataFrame:
-    """Visible annual rows of one basis for each (as_of, isin): the preferred one if any row has it, else the first by name."""
-    met = grid.select("as_of", "isin").join(annual, "isin").where(F.col("filing_date") <= F.col("as_of"))
-    w = Window.partitionBy("as_of", "isin")
-    chosen = F.when(F.bool_or(F.col("basis") == preferred).over(w), F.lit(preferred)).otherwise(F.min("basis").over(w))
-    return met.withColumn("chosen", chosen).where("basis = chosen").drop("chosen")
+    Facts and dates are merged in one sort by (isin, day); nothing joins dates with facts.
+    The n best so far are carried along as n running minima, one below the other: a fact
+    that is not the best of its level, or the best that it replaces, goes on to the next
+    level. Work is linear in facts and dates times n. Facts of one rank follow each other
+    by all their columns; a fact without a day, or a date without one, is never met.
+    """
+    columns = [c for c in facts.columns if c != "isin"]
+    fact = F.struct(*[key.alias(f"_{k}") for k, key in enumerate(order)], F.struct(*columns).alias("_row"))
+    day = F.col(known).cast("date")
+    told = facts.where(day.isNotNull()).select("isin", day.alias("_day"), F.lit(0).alias("_asked"), fact.alias("_x"))
+    asked = grid.where("as_of IS NOT NULL").select("isin", F.col("as_of").cast("date").alias("_day"), F.lit(1).alias("_asked"), "as_of")
+    rows = told.unionByName(asked, allowMissingColumns=True)
+    before = Window.partitionBy("isin").orderBy("_day", "_asked").rowsBetween(Window.unboundedPreceding, -1)
+    for k in range(n):
+        rows = rows.withColumn("_b", F.min("_x").over(before)).withColumn(f"_best{k}", F.least("_b", "_x"))
+        rows = rows.withColumn("_x", F.when(F.col("_b").isNotNull() & F.col("_x").isNotNull(), F.greatest("_b", "_x")))
+    best = F.array_compact(F.array(*(F.col(f"_best{k}._row") for k in range(n))))
+    found = rows.where("_asked = 1").select("as_of", "isin", F.posexplode(best).alias("_at", "_row"))
+    return found.select("as_of", "isin", *(F.col("_row")[c].alias(c) for c in columns), (F.col("_at") + 1).alias("rn"))
+
+
+def newest_of_basis(grid: DataFrame, annual: DataFrame, n: int, preferred: str = "CONSOLIDATED") -> DataFrame:
+    """For each (as_of, isin), the n newest visible annual rows of one basis, numbered by ``rn``: of the preferred one if any visible row has it, else of the first by name."""
+    named = annual.where("basis IS NOT NULL")
+    order = [F.col("basis") != preferred, F.col("basis"), newest("period_end_date"), newest("filing_date")]
+    rows = latest_known(grid, named, "filing_date", order, n)
+    # rows of the chosen basis come first
+    first = F.max(F.when(F.col("rn") == 1, F.col("basis"))).over(Window.partitionBy("as_of", "isin"))
+    return rows.withColumn("_chosen", first).where("basis = _chosen").drop("_chosen")
 
 
 def price_as_of(targets: DataFrame, prices: DataFrame, target: str, tolerance: int, out: str, value: str = "adj_close") -> DataFrame:

@@ -230,7 +230,7 @@ def k12_json_safe(spark, sf_dir):
 def p13_promoter_trend(spark, sf_dir):
     m = Model(spark, sf_dir)
     grid = m.instruments.select("isin", date(LAST).alias("as_of"))
-    return P.latest_known(grid, m.holding, "disclosed_date", [F.desc("quarter_end")], 8).select("isin", "quarter_end", "promoter_pct")
+    return P.latest_known(grid, m.holding, "disclosed_date", [P.newest("quarter_end")], 8).select("isin", "quarter_end", "promoter_pct")
 
 
 @query
@@ -303,7 +303,7 @@ def t5_stored_signal(spark, sf_dir):
     m = Model(spark, sf_dir)
     asked = m.instruments.select("isin", date("2000-07-15").alias("as_of"))
     stored = m.momentum_z().select("isin", F.col("as_of").alias("made"), "z")
-    return P.latest_known(asked, stored, "made", [F.desc("made")]).select("isin", "made", "z")
+    return P.latest_known(asked, stored, "made", [P.newest("made")]).select("isin", "made", "z")
 
 
 @query
@@ -473,10 +473,9 @@ def _statuses(m: Model):
     months = F.sequence(F.trunc(F.date_sub("as_of", 400), "month"), F.trunc("as_of", "month"), F.expr("interval 1 month"))
     met = grid.select("as_of", "isin").withColumn("month", F.explode(months)).join(m.prices.withColumn("month", F.trunc("date", "month")), ["isin", "month"]).where(F.col("date").between(F.date_sub("as_of", 400), F.col("as_of")))
     prices = met.groupBy("as_of", "isin").agg(F.count("*").alias("n"), F.max("date").alias("last"))
-    newest = Window.partitionBy("as_of", "isin").orderBy(F.desc("period_end_date"))
-    quarterly = P.latest_known(grid, m.quarterly, "filing_date", [F.desc("period_end_date")], 8).groupBy("as_of", "isin").agg(F.count("*").alias("n"), F.max("period_end_date").alias("last"))
-    annual = P.preferred_basis(grid, m.annual).withColumn("rn", F.row_number().over(newest)).where("rn <= 5").groupBy("as_of", "isin").agg(F.count("*").alias("n"))
-    holding = P.latest_known(grid, m.holding, "disclosed_date", [F.desc("quarter_end")], 6).groupBy("as_of", "isin").agg(F.count("*").alias("n"), F.max("quarter_end").alias("last"))
+    quarterly = P.latest_known(grid, m.quarterly, "filing_date", [P.newest("period_end_date")], 8).groupBy("as_of", "isin").agg(F.count("*").alias("n"), F.max("period_end_date").alias("last"))
+    annual = P.newest_of_basis(grid, m.annual, 5).groupBy("as_of", "isin").agg(F.count("*").alias("n"))
+    holding = P.latest_known(grid, m.holding, "disclosed_date", [P.newest("quarter_end")], 6).groupBy("as_of", "isin").agg(F.count("*").alias("n"), F.max("quarter_end").alias("last"))
     near = P.sentiment_window(grid, S.news_history(m.spark, m.dir), confidence=0.0).groupBy("as_of", "isin").agg(F.count_if(F.col("confidence") >= 0.7).alias("n"), F.count("*").alias("total"))
     return O.dataset_status(grid, prices, annual, quarterly, holding, near)
 
@@ -491,7 +490,7 @@ def x17_diagnosis(spark, sf_dir):
     """Why momentum, sentiment, coverage and quarterly growth are missing."""
     m = Model(spark, sf_dir)
     grid = m.grid()
-    newest = P.preferred_basis(grid, m.annual).withColumn("rn", F.row_number().over(Window.partitionBy("as_of", "isin").orderBy(F.desc("period_end_date"), F.desc("filing_date")))).where("rn = 1").select("as_of", "isin", "revenue", "pat", "ocf", "capex", "profit_before_tax", "interest_expense", "depreciation", "total_debt", "total_equity", "total_assets", "eps")
+    newest = P.newest_of_basis(grid, m.annual, 1).select("as_of", "isin", "revenue", "pat", "ocf", "capex", "profit_before_tax", "interest_expense", "depreciation", "total_debt", "total_equity", "total_assets", "eps")
     raw = m.raw().where(F.col("factor").isin("momentum_12_1", "news_sentiment_30d", "interest_coverage", "quarterly_pat_yoy", "revenue_cagr_3y"))
     return O.diagnosis(raw, _statuses(m), newest)
 

@@ -82,12 +82,12 @@ class Model:
         return X.family_scores(X.factor_z(self.raw()))
 
     def history(self) -> DataFrame:
-        newest = Window.partitionBy("as_of", "isin").orderBy(F.desc("period_end_date"), F.desc("filing_date"))
-        return P.preferred_basis(self.grid(), self.annual).withColumn("rn", F.row_number().over(newest)).where("rn <= 3")
+        # as many rows as the factors ask for, so that Spark finds one exchange for both
+        return P.newest_of_basis(self.grid(), self.annual, V.YEARS).where("rn <= 3")
 
     def flags(self) -> DataFrame:
         grid = self.grid()
-        held = P.latest_known(grid, self.holding, "disclosed_date", [F.desc("quarter_end")], 6)
+        held = P.latest_known(grid, self.holding, "disclosed_date", [P.newest("quarter_end")], 6)
         return X.red_flags(grid, self.history(), held)
 
     def returns(self) -> DataFrame:
@@ -131,7 +131,7 @@ def p2_prices_lookback(spark, sf_dir):
 @query
 def p3_fundamentals_latest(spark, sf_dir):
     m = Model(spark, sf_dir)
-    rows = P.latest_known(m.grid(), m.annual.where("basis = 'CONSOLIDATED'"), "filing_date", [F.desc("period_end_date"), F.desc("filing_date")])
+    rows = P.latest_known(m.grid(), m.annual.where("basis = 'CONSOLIDATED'"), "filing_date", [P.newest("period_end_date"), P.newest("filing_date")])
     return rows.select("as_of", "isin", "period_end_date", "revenue", "pat", "ocf")
 
 
@@ -143,7 +143,7 @@ def p4_fundamentals_history(spark, sf_dir):
 @query
 def p5_quarterly_newest_8(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return P.latest_known(m.grid(), m.quarterly, "filing_date", [F.desc("period_end_date")], 8).select("as_of", "isin", "rn", "period_end_date", "revenue", "pat")
+    return P.latest_known(m.grid(), m.quarterly, "filing_date", [P.newest("period_end_date")], 8).select("as_of", "isin", "rn", "period_end_date", "revenue", "pat")
 
 
 @query
@@ -155,7 +155,7 @@ def p6_sentiment_window(spark, sf_dir):
 @query
 def p7_shareholding_history(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return P.latest_known(m.grid(), m.holding, "disclosed_date", [F.desc("quarter_end")], 6).select("as_of", "isin", "rn", "quarter_end", "promoter_pct", "promoter_pledged_pct")
+    return P.latest_known(m.grid(), m.holding, "disclosed_date", [P.newest("quarter_end")], 6).select("as_of", "isin", "rn", "quarter_end", "promoter_pct", "promoter_pledged_pct")
 
 
 @query

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,10 +88,36 @@ def test_universe_is_half_open(spark):
 
 def test_facts_are_invisible_before_they_are_public(spark):
     facts = spark.createDataFrame([(1, day("2020-03-31"), day("2020-07-15"), 1.0), (1, day("2019-03-31"), day("2019-08-01"), 2.0)], "isin int, period_end_date date, filing_date date, x double")
-    got = {str(r.as_of): r.x for r in P.latest_known(grid(spark, "2020-07-14", "2020-07-15"), facts, "filing_date", [F.desc("period_end_date")]).collect()}
+    got = {str(r.as_of): r.x for r in P.latest_known(grid(spark, "2020-07-14", "2020-07-15"), facts, "filing_date", [P.newest("period_end_date")]).collect()}
     assert got == {"2020-07-14": 2.0, "2020-07-15": 1.0}
 
 
+def test_newest_n_of_many_facts_of_one_company(spark):
+    """10,000 facts of one company, restatements and ties among them, against a plain reading of the rule."""
+    rng = random.Random(7)
+    rows = [(1, day("1990-12-31") + dt.timedelta(365 * rng.randint(0, 40)), day("1991-01-01") + dt.timedelta(rng.randint(0, 15_000)), rng.choice(["CONSOLIDATED", "STANDALONE", "A", None]), k) for k in range(10_000)]
+    rows += [(1, None, day("2000-01-01"), "STANDALONE", -1), (1, day("2001-12-31"), None, "CONSOLIDATED", -2), (2, day("2000-12-31"), day("2001-05-05"), "STANDALONE", -3)]
+    facts = spark.createDataFrame(rows, "isin int, period_end_date date, filing_date date, basis string, x int")
+    dates = [day("1990-01-01"), day("1991-01-20"), day("1995-06-30"), day("2001-05-04"), day("2001-05-05"), day("2035-01-01")]
+    g = spark.createDataFrame([(d, i, "s") for d in dates for i in (1, 2, 3)], "as_of date, isin int, sector string")
+    later = lambda d: -d.toordinal() if d else 0
+    want, of_basis = {}, {}
+    for d in dates:
+        for i in (1, 2):
+            seen = [r for r in rows if r[0] == i and r[2] and r[2] <= d]
+            best = sorted(seen, key=lambda r: (later(r[1]), r[1:3], r[3] or "", r[4]))[:8]
+            want |= {(d, i, k + 1): r[4] for k, r in enumerate(best)}
+            named = [r for r in seen if r[3]]
+            chosen = "CONSOLIDATED" if any(r[3] == "CONSOLIDATED" for r in named) else min((r[3] for r in named), default="")
+            best = sorted((r for r in named if r[3] == chosen), key=lambda r: (later(r[1]), later(r[2]), r[4]))[:5]
+            of_basis |= {(d, i, k + 1): r[4] for k, r in enumerate(best)}
+    newest = P.latest_known(g, facts, "filing_date", [P.newest("period_end_date")], 8)
+    assert {(r.as_of, r.isin, r.rn): r.x for r in newest.collect()} == want
+    assert {(r.as_of, r.isin, r.rn): r.x for r in P.newest_of_basis(g, facts, 5).collect()} == of_basis
+    plan = P.latest_known(g, facts, "filing_date", [P.newest("period_end_date")], 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(isin") == 1 and plan.count("Sort [") == 1, plan  # facts and dates meet in one exchange and sort
+
+
 def prices(spark, rows):
     return spark.createDataFrame([(i, day(d), float(p) if p is not None else None) for i, d, p in rows], "isin int, date date, adj_close double")
 
