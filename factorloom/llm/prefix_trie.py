@@ -48,7 +48,7 @@ def turns_in_order(conversations: DataFrame) -> DataFrame:
     halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for at, name in ((1, "d1"), (16, "d2"))]
     rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), *halves, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
     order = F.struct(F.col("turn").isNotNull(), "turn", "role", "d1", "d2")
-    ranked = _running(rows, "conv_id", order, F.floor(F.col("turn") / BLOCK), {"pos": F.lit(1)}, F.sum)
+    ranked = _running(saved(rows), "conv_id", order, F.floor(F.col("turn") / BLOCK), {"pos": F.lit(1)}, F.sum)
     return ranked.select("conv_id", (F.col("pos") + F.col("_pos")).cast("long").alias("pos"), "d1", "d2", "words")
 
 
@@ -163,7 +163,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     n_leaves, saved_tokens and ends_sha256. Two digests of 64 bits stand for a sequence.
     """
     ship(conversations.sparkSession)
-    rows = saved(beginnings(saved(rebuilt(turns_in_order(conversations)))))
+    rows = saved(beginnings(saved(rebuilt(saved(turns_in_order(conversations))))))
     nodes = rows.groupBy(*_KEY).agg(F.min("conv_id").alias("conv_id"), F.min("depth").alias("depth"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.count("*").alias("n_convs"), F.min("words").alias("words"))
     nodes = saved(nodes)
     children = nodes.where("depth > 0").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
