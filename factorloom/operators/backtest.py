@@ -33,15 +33,6 @@ def trades(weights: DataFrame, executed: DataFrame) -> DataFrame:
     return both.withColumn("d", delta).groupBy("as_of").agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("d"))), F.lit(0.0)).alias("buy"), F.coalesce(-F.sum(F.when(F.col("d") < 0, F.col("d"))), F.lit(0.0)).alias("sell"), F.count_if(F.col("d") > 0).alias("n_buy"), F.count_if(F.col("d") < 0).alias("n_sell"))
 
 
-def cost_rate(buy: Column, sell: Column, participation: Column) -> Column:
-    """Costs as a fraction of the portfolio."""
-    c = COSTS
-    turnover = buy + sell
-    share = participation / c["participation"]
-    slippage = F.when(participation > c["participation"], c["slippage_bps"] * F.least(1 + share, F.lit(10.0))).otherwise(c["slippage_bps"])
-    return buy * (c["stt_buy"] + c["stamp"]) + sell * c["stt_sell"] + turnover * (c["exchange"] + c["sebi"]) * (1 + c["gst"]) + turnover * slippage / 10_000
-
-
 def median_traded(grid: DataFrame, prices: DataFrame, days: int = 90) -> DataFrame:
     """as_of, isin, median traded value of the last ``days`` days."""
     months = F.sequence(F.trunc(F.date_sub("as_of", days), "month"), F.trunc("as_of", "month"), F.expr("interval 1 month"))
@@ -49,48 +40,30 @@ def median_traded(grid: DataFrame, prices: DataFrame, days: int = 90) -> DataFra
     return met.where((F.col("date") <= F.col("as_of")) & (F.col("date") >= F.date_sub("as_of", days))).groupBy("as_of", "isin").agg(F.median("traded_value").alias("median_traded"))
 
 
-def nav_curve(steps: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
-    """date, nav, gross_nav, costs.
-
-    steps: as_of, until, ret, buy, sell, tied (mean of weight over median traded value).
-    Slippage depends on the portfolio's value and so on all earlier costs: the one row a
-    month that a backtest has is folded in order by an aggregate over a sorted array.
-    """
-    rows = steps.agg(F.array_sort(F.collect_list(F.struct("as_of", "until", "ret", "buy", "sell", F.coalesce("tied", F.lit(0.0)).alias("tied")))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        nav = last["nav"]
-        costs = nav * cost_rate(x["buy"], x["sell"], x["tied"] * nav)
-        return F.concat(acc, F.array(F.struct(x["until"].alias("date"), ((nav - costs) * (1 + x["ret"])).alias("nav"), (last["gross_nav"] * (1 + x["ret"])).alias("gross_nav"), costs.alias("costs"))))
-
-    start = F.array(F.struct(F.lit(None).cast("date").alias("date"), F.lit(capital).alias("nav"), F.lit(capital).alias("gross_nav"), F.lit(0.0).alias("costs")))
-    return rows.select(F.inline(F.aggregate("rows", start, step))).where("date is not null")  # but for the start
-
-
-def drawdowns(curve: DataFrame) -> DataFrame:
-    """Adds ret, peak and drawdown to date, nav."""
-    w = Window.orderBy("date")  # one row a month
+def drawdowns(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Adds ret, peak and drawdown to date, nav, of each ``by``."""
+    w = Window.partitionBy(*by or []).orderBy("date")  # one row a month
     rows = curve.withColumn("ret", F.col("nav") / F.lag("nav").over(w) - 1).withColumn("peak", F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.withColumn("drawdown", F.col("nav") / F.col("peak") - 1)
 
 
-def metrics(curve: DataFrame, per_year: int = 12, turnover: DataFrame | None = None, capital: float = 1_000_000.0) -> DataFrame:
-    """One row: periods, years, total_return, cagr, volatility, sharpe, sortino, max_drawdown, calmar, hit_rate, best_period, worst_period, avg_turnover, total_costs_pct.
+def metrics(curve: DataFrame, per_year: int = 12, turnover: DataFrame | None = None, capital: float = 1_000_000.0, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each ``by``: periods, years, total_return, cagr, volatility, sharpe, sortino, max_drawdown, calmar, hit_rate, best_period, worst_period, avg_turnover, total_costs_pct.
 
     turnover: turnover (fractions of the portfolio traded) and costs, a row a period; without
     it both figures are 0. The curve's first value starts it and has no return.
     """
-    traded = turnover.agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("avg_turnover"), (F.coalesce(F.sum("costs"), F.lit(0.0)) / capital).alias("total_costs_pct")) if turnover is not None else curve.sparkSession.range(1).select(F.lit(0.0).alias("avg_turnover"), F.lit(0.0).alias("total_costs_pct"))
-    d = drawdowns(curve).agg(
+    by = by or []
+    traded = turnover.groupBy(*by).agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("avg_turnover"), (F.coalesce(F.sum("costs"), F.lit(0.0)) / capital).alias("total_costs_pct")) if turnover is not None else curve.sparkSession.range(1).select(F.lit(0.0).alias("avg_turnover"), F.lit(0.0).alias("total_costs_pct"))
+    d = drawdowns(curve, by).groupBy(*by).agg(
         F.count("ret").alias("periods"), F.max_by("nav", "date").alias("b"), F.min_by("nav", "date").alias("a"), F.stddev_samp("ret").alias("sd"), F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"),
         F.min("drawdown").alias("max_drawdown"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("int"))).alias("hit_rate"), F.max("ret").alias("best_period"), F.min("ret").alias("worst_period"),
     )
     root = float(per_year) ** 0.5
     d = d.withColumn("total_return", F.col("b") / F.col("a") - 1).withColumn("cagr", F.pow(F.col("b") / F.col("a"), F.lit(float(per_year)) / F.nullif("periods", F.lit(0))) - 1)
     ratio = lambda den: F.when(den > 0, (F.col("cagr") - RISK_FREE) / den).otherwise(0.0)
-    d = d.crossJoin(F.broadcast(traded))  # one row
-    return d.select("periods", F.round(F.col("periods") / per_year, 2).alias("years"), "total_return", "cagr", (F.col("sd") * root).alias("volatility"), ratio(F.col("sd") * root).alias("sharpe"), ratio(F.col("down") * root).alias("sortino"), "max_drawdown", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0).alias("calmar"), "hit_rate", "best_period", "worst_period", "avg_turnover", "total_costs_pct")
+    d = d.join(traded, by, "left") if by and turnover is not None else d.crossJoin(F.broadcast(traded))  # one row
+    return d.select(*by, "periods", F.round(F.col("periods") / per_year, 2).alias("years"), "total_return", "cagr", (F.col("sd") * root).alias("volatility"), ratio(F.col("sd") * root).alias("sharpe"), ratio(F.col("down") * root).alias("sortino"), "max_drawdown", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0).alias("calmar"), "hit_rate", "best_period", "worst_period", "avg_turnover", "total_costs_pct")
 
 
 def equal_weight(returns: DataFrame, capital: float = 1_000_000.0) -> DataFrame:

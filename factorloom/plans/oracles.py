@@ -166,11 +166,30 @@ PARTS |= {
     "deltas": "SELECT coalesce(n.as_of, o.as_of) AS as_of, coalesce(n.weight, 0) - coalesce(o.weight, 0) AS d FROM top n FULL JOIN (SELECT next AS as_of, isin, weight FROM top JOIN prior USING (as_of) WHERE next IS NOT NULL) o ON n.as_of = o.as_of AND n.isin = o.isin",
     "traded": "SELECT as_of, coalesce(sum(d) FILTER (d > 0), 0) AS buy, coalesce(-sum(d) FILTER (d < 0), 0) AS sell, count(*) FILTER (d > 0) AS n_buy, count(*) FILTER (d < 0) AS n_sell FROM deltas GROUP BY ALL",
 }
-_COST = "n.nav * (buy * 0.00115 + sell * 0.001 + (buy + sell) * (0.0000297 + 0.000001) * 1.18 + (buy + sell) * CASE WHEN tied * n.nav > 0.01 THEN 5 * least(1 + tied * n.nav / 0.01, 10) ELSE 5 END / 10000)::DOUBLE"
-PARTS |= {
-    "steps": "SELECT *, row_number() OVER (ORDER BY as_of) AS k FROM (SELECT as_of, until, sum(weight * coalesce(fwd, 0)) AS ret, coalesce(avg(weight / median_traded), 0) AS tied FROM top JOIN periods USING (as_of) LEFT JOIN returns USING (isin, as_of, until) LEFT JOIN medians_traded USING (as_of, isin) GROUP BY ALL) JOIN traded USING (as_of)",
-    "navs": f"SELECT 0::BIGINT AS k, NULL::DATE AS date, 1000000::DOUBLE AS nav, 1000000::DOUBLE AS gross_nav, 0::DOUBLE AS costs UNION ALL SELECT s.k, until, (n.nav - {_COST}) * (1 + ret), n.gross_nav * (1 + ret), {_COST} FROM navs n JOIN steps s ON s.k = n.k + 1",
-}
+
+
+def run_parts(name: str, configs: list[tuple], z: str, returns: str = "returns") -> dict[str, str]:
+    """Parts of walk-forward runs, {name}_navs at their end. configs: rows of run_id, factor, top_n, fewest, capital, costs_on, brokerage, flat; z: a part with as_of, isin, factor, z."""
+    rows = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in c) + ")" for c in configs)
+    turnover = "(buy + sell)"
+    cost = f"CASE WHEN costs_on THEN n.nav * (buy * 0.00115 + sell * 0.001 + {turnover} * (0.0000297 + 0.000001 + brokerage) * 1.18 + {turnover} * CASE WHEN tied * n.nav > 0.01 THEN 5 * least(1 + tied * n.nav / 0.01, 10) ELSE 5 END / 10000)::DOUBLE + (n_buy + n_sell) * flat * 1.18 ELSE 0 END"
+    n = name
+    return {
+        f"{n}_configs": f"SELECT * FROM (VALUES {rows}) AS t(run_id, factor, top_n, fewest, capital, costs_on, brokerage, flat)",
+        f"{n}_dates": f"SELECT c.*, p.as_of, p.until, coalesce(members, 0) AS members, coalesce(n_scored, 0) AS n_scored, coalesce(members, 0) < fewest OR coalesce(n_scored, 0) < fewest AS skipped FROM {n}_configs c CROSS JOIN (SELECT * FROM periods) p LEFT JOIN (SELECT as_of, count(*) AS members FROM grid GROUP BY 1) m ON m.as_of = p.as_of LEFT JOIN (SELECT as_of, factor, count(z) AS n_scored FROM {z} GROUP BY ALL) s ON s.as_of = p.as_of AND s.factor = c.factor",
+        f"{n}_held": f"SELECT run_id, d.as_of, until, isin, 1.0::DOUBLE / least(top_n, n_scored) AS weight FROM {n}_dates d JOIN (SELECT *, row_number() OVER (PARTITION BY factor, as_of ORDER BY z DESC, isin) AS r FROM {z} WHERE z IS NOT NULL) b ON b.factor = d.factor AND b.as_of = d.as_of WHERE NOT skipped AND r <= top_n",
+        f"{n}_order": f"SELECT run_id, as_of, lead(as_of) OVER (PARTITION BY run_id ORDER BY as_of) AS next FROM {n}_dates WHERE NOT skipped",
+        f"{n}_deltas": f"SELECT coalesce(n.run_id, o.run_id) AS run_id, coalesce(n.as_of, o.as_of) AS as_of, coalesce(n.weight, 0) - coalesce(o.weight, 0) AS d FROM {n}_held n FULL JOIN (SELECT run_id, next AS as_of, isin, weight FROM {n}_held JOIN {n}_order USING (run_id, as_of) WHERE next IS NOT NULL) o ON n.run_id = o.run_id AND n.as_of = o.as_of AND n.isin = o.isin",
+        f"{n}_traded": f"SELECT run_id, as_of, coalesce(sum(d) FILTER (d > 0), 0) AS buy, coalesce(-sum(d) FILTER (d < 0), 0) AS sell, count(*) FILTER (d > 0) AS n_buy, count(*) FILTER (d < 0) AS n_sell FROM {n}_deltas GROUP BY ALL",
+        f"{n}_steps": f"SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY as_of) AS k FROM (SELECT h.run_id, h.as_of, h.until, sum(weight * coalesce(fwd, 0)) AS ret, coalesce(avg(weight / median_traded), 0) AS tied FROM {n}_held h LEFT JOIN {returns} r ON r.isin = h.isin AND r.as_of = h.as_of AND r.until = h.until LEFT JOIN medians_traded t ON t.as_of = h.as_of AND t.isin = h.isin GROUP BY ALL) JOIN {n}_traded USING (run_id, as_of) JOIN {n}_configs USING (run_id)",
+        f"{n}_navs": f"SELECT run_id, 0::BIGINT AS k, NULL::DATE AS as_of, NULL::DATE AS date, capital AS nav, capital AS gross_nav, 0::DOUBLE AS costs, NULL::DOUBLE AS turnover FROM {n}_configs UNION ALL SELECT n.run_id, s.k, s.as_of, until, (n.nav - {cost}) * (1 + ret), n.gross_nav * (1 + ret), {cost}, CASE WHEN costs_on THEN {turnover}::DOUBLE END FROM {n}_navs n JOIN {n}_steps s ON s.run_id = n.run_id AND s.k = n.k + 1",
+    }
+
+
+#: the momentum backtest's configuration
+MOMENTUM = ("momentum", "momentum_12_1", 20, 10, 1_000_000.0, True, 0.0, 0.0)
+PARTS |= {"momz": "SELECT as_of, isin, 'momentum_12_1' AS factor, z FROM mz"} | run_parts("mom", [MOMENTUM], "momz")
+PARTS |= {"navs": "SELECT * FROM mom_navs", "steps": "SELECT * FROM mom_steps"}
 
 
 def attribution_parts(name: str, source: str) -> dict[str, str]:

@@ -15,6 +15,7 @@ from factorloom.operators import backtest as B
 from factorloom.operators import factors as V
 from factorloom.operators import news as N
 from factorloom.operators import point_in_time as P
+from factorloom.operators import runs as U
 from factorloom.operators import scoring as X
 from factorloom.operators import serving as R
 from factorloom.operators import statements as E
@@ -313,21 +314,18 @@ def t2_top_n(spark, sf_dir):
 @query
 def b2_backtest(spark, sf_dir):
     """Walk-forward 12-1 momentum: top 20, equal weights, costs on."""
-    return backtest_curve(Model(spark, sf_dir))
+    return backtest_curve(Model(spark, sf_dir)).drop("turnover")
 
 
-def backtest_curve(m: Model) -> DataFrame:
-    return B.nav_curve(backtest_steps(m))
+#: the momentum backtest's configuration, as ``runs`` reads it
+MOMENTUM = ("momentum", "momentum_12_1", 20, 10, 1_000_000.0, True, 0.0, 0.0)
 
 
-def backtest_steps(m: Model) -> DataFrame:
-    """as_of, until, ret, tied, buy, sell, n_buy, n_sell."""
-    weights = B.top_n(m.momentum_z(), "z", 20)
-    spans = weights.join(F.broadcast(B.periods(m.dates)), "as_of")  # one row a month
-    fwd = P.forward_returns(spans.select("isin", "as_of", "until"), m.prices)
-    held = spans.join(fwd, ["isin", "as_of", "until"], "left").join(B.median_traded(weights, m.prices), ["as_of", "isin"], "left")
-    steps = held.groupBy("as_of", "until").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("ret"), F.avg(C.safe_divide(F.col("weight"), F.col("median_traded"))).alias("tied"))
-    return steps.join(B.trades(weights, steps.select("as_of")), "as_of")
+def backtest_curve(m: Model) -> DataFrame:
+    """date, nav, gross_nav, costs, turnover of the momentum backtest."""
+    z = m.momentum_z().select("as_of", "isin", "factor", "z")
+    configs = m.spark.createDataFrame([MOMENTUM], U.CONFIG)
+    return U.backtests(configs, m.grid(), z, m.dates, m.returns(), B.median_traded(m.grid(), m.prices))["curve"].drop("run_id", "as_of")
 
 
 @query
@@ -341,10 +339,8 @@ def b3_trades(spark, sf_dir):
 def b6_metrics(spark, sf_dir):
     """Of the momentum backtest, costs on."""
     m = Model(spark, sf_dir)
-    steps = backtest_steps(m)
-    curve = B.nav_curve(steps)
-    traded = steps.select(F.col("until").alias("date"), (F.col("buy") + F.col("sell")).alias("turnover")).join(curve.select("date", "costs"), "date")
-    return B.metrics(curve, turnover=traded)
+    curve = backtest_curve(m)
+    return B.metrics(curve, turnover=curve.select("turnover", "costs"))
 
 
 @query
@@ -524,12 +520,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from factorloom.plans import more  # noqa: F401 - it registers its queries
+    from factorloom.plans import kept, more  # noqa: F401 - they register their queries
 
     return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    from factorloom.plans import oracles_more
+    from factorloom.plans import oracles_kept, oracles_more
 
-    return {k: v for k, v in (oracles.SQL | oracles_more.SQL).items() if k in queries()}
+    return {k: v for k, v in (oracles.SQL | oracles_more.SQL | oracles_kept.SQL).items() if k in queries()}

@@ -8,7 +8,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.operators.news import resolution_changes
 from factorloom.operators.statements import upsert
+from factorloom.sources.store import KeyedTable
 
 
 def backfill_start(membership: DataFrame, index_name: str, start: Column) -> DataFrame:
@@ -75,3 +77,13 @@ def decide(reviews: DataFrame, fundamentals: DataFrame, decisions: DataFrame, at
     kept = fundamentals.join(checked.where("status = 'REJECTED'").select("attempt_id"), "attempt_id", "left_anti")
     forced = attempts.join(checked.where("status = 'ACCEPTED' and force").select("attempt_id"), "attempt_id", "left_semi").select(fundamentals.columns)
     return after, upsert(kept, forced, keys)
+
+
+def reresolve(news: KeyedTable, scores: KeyedTable, new: DataFrame, id_col: str) -> None:
+    """Puts a new resolution in place of the stored one; scores of (id, isin) that it no longer holds go first, so that no reader finds a score without its row's reason."""
+    changes = resolution_changes(news.read(), new, id_col).select(id_col, "isin", "change").persist()
+    removed = changes.where("change = 'REMOVED'").select(id_col, "isin")
+    scores.delete(removed)
+    news.delete(removed)
+    news.upsert(new.join(changes.where("change <> 'REMOVED'").select(id_col, "isin"), [id_col, "isin"], "left_semi"))
+    changes.unpersist()

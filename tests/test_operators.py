@@ -12,6 +12,7 @@ from factorloom.operators import backtest as B
 from factorloom.operators import factors as V
 from factorloom.operators import news as N
 from factorloom.operators import point_in_time as P
+from factorloom.operators import runs as U
 from factorloom.operators import scoring as X
 from factorloom.operators import statements as E
 from factorloom.operators import stats as A
@@ -189,13 +190,40 @@ def test_contributions_add_up(spark):
 
 
 def test_costs_and_nav(spark):
-    steps = spark.createDataFrame([(day("2020-01-31"), day("2020-02-29"), 0.1, 1.0, 0.0, 0.0), (day("2020-02-29"), day("2020-03-31"), -0.05, 0.2, 0.2, 1e-3)], "as_of date, until date, ret double, buy double, sell double, tied double")
-    got = B.nav_curve(steps).orderBy("date").collect()
+    steps = [("r", day("2020-01-31"), day("2020-02-29"), 0.1, 1.0, 0.0, 3, 0, 0.0, 0.0), ("r", day("2020-02-29"), day("2020-03-31"), -0.05, 0.2, 0.2, 2, 1, 1e-3, 0.0)]
+    steps += [("brokered", day("2020-01-31"), day("2020-02-29"), 0.1, 1.0, 0.0, 3, 1, None, 0.002)]
+    frame = spark.createDataFrame(steps, "run_id string, as_of date, until date, ret double, buy double, sell double, n_buy int, n_sell int, tied double, brokerage double")
+    rated = frame.select("run_id", "as_of", "until", F.lit(1e6).alias("capital"), "ret", (F.col("buy") + F.col("sell")).alias("turnover"), U.fixed_rate(F.col("buy"), F.col("sell"), F.col("brokerage")).alias("rate"), F.when(F.col("run_id") == "brokered", (F.col("n_buy") + F.col("n_sell")) * 20 * 1.18).otherwise(0.0).alias("orders"), "tied")
+    got = {(r.run_id, str(r.as_of)): r for r in U.nav_curves(rated).collect()}
     c1 = 1e6 * (0.001 + 0.00015 + (0.0000297 + 0.000001) * 1.18 + 5e-4)
     nav1 = (1e6 - c1) * 1.1
     p = nav1 * 1e-3
     c2 = nav1 * (0.2 * 0.00115 + 0.2 * 0.001 + 0.4 * 0.0000307 * 1.18 + 0.4 * 5e-4 * min(1 + p / 0.01, 10))
-    assert math.isclose(got[0].nav, nav1) and math.isclose(got[1].nav, (nav1 - c2) * 0.95) and math.isclose(got[1].gross_nav, 1e6 * 1.1 * 0.95)
+    first, second, other = got["r", "2020-01-31"], got["r", "2020-02-29"], got["brokered", "2020-01-31"]
+    assert math.isclose(first.nav, nav1) and math.isclose(second.nav, (nav1 - c2) * 0.95) and math.isclose(second.gross_nav, 1e6 * 1.1 * 0.95)
+    assert math.isclose(other.costs, c1 + 1e6 * 0.002 * 1.18 + 4 * 20 * 1.18) and second.date == day("2020-03-31")
+
+
+def test_a_skipped_date_is_carried_over(spark):
+    """Of three dates the second has too few scored names: the third trades against the first, and the second earns nothing."""
+    dates = spark.createDataFrame([(day(d),) for d in ("2020-01-31", "2020-02-29", "2020-03-31", "2020-04-30")], "as_of date")
+    g = grid(spark, "2020-01-31", "2020-02-29", "2020-03-31", isins=(1, 2, 3))
+    scores = {"2020-01-31": (3.0, 2.0, 1.0), "2020-02-29": (None, None, 1.0), "2020-03-31": (1.0, 2.0, 3.0)}
+    z = spark.createDataFrame([(day(d), i + 1, "f", s) for d, own in scores.items() for i, s in enumerate(own)], "as_of date, isin int, factor string, z double")
+    spans = {"2020-01-31": "2020-02-29", "2020-02-29": "2020-03-31", "2020-03-31": "2020-04-30"}
+    returns = spark.createDataFrame([(i, day(a), day(b), 0.1 * i) for a, b in spans.items() for i in (1, 2)], "isin int, as_of date, until date, fwd double")
+    traded = spark.createDataFrame([(day(a), i, 1e6) for a in spans for i in (1, 2, 3)], "as_of date, isin int, median_traded double")
+    configs = spark.createDataFrame([("a", "f", 1, 2, 100.0, False, 0.0, 0.0), ("b", "f", 2, 3, 100.0, False, 0.0, 0.0), ("none", "f", 2, 4, 100.0, True, 0.0, 0.0)], U.CONFIG)
+    told = U.backtests(configs, g, z, dates, returns, traded)
+    assert {(r.run_id, str(r.as_of)) for r in told["schedule"].where("skipped").collect()} == {("a", "2020-02-29"), ("b", "2020-02-29"), *(("none", d) for d in spans)}
+    curve = {(r.run_id, str(r.as_of)): r for r in told["curve"].collect()}
+    # the third date holds 3 alone, which has no return; two names: 2 and 3
+    assert [round(curve["a", d].nav, 9) for d in ("2020-01-31", "2020-03-31")] == [110, 110]
+    assert [round(curve["b", d].nav, 9) for d in ("2020-01-31", "2020-03-31")] == [115, 126.5] and len(curve) == 4
+    moved = {(r.run_id, str(r.as_of)): (r.buy, r.sell, r.n_buy, r.n_sell) for r in U.trades(told["positions"], told["schedule"]).collect()}
+    assert moved["a", "2020-03-31"] == (1, 1, 1, 1) and moved["b", "2020-03-31"] == (0.5, 0.5, 1, 1)
+    doubled = U.backtests(configs, g, z, dates, returns, traded, transform=lambda r: r.withColumn("fwd", F.col("fwd") * 2))["curve"]
+    assert {r.run_id: round(r.nav, 9) for r in doubled.where("as_of = '2020-01-31'").collect()} == {"a": 120, "b": 130}
 
 
 def test_constant_return_metrics(spark):
