@@ -90,6 +90,11 @@ def news_id(article: Column, isin: Column) -> Column:
     return F.when(isin.isNull(), article).otherwise(F.concat(article, F.lit(":"), isin.cast("string")))
 
 
+def truncated(x: Column, n: int, mark: str = "") -> Column:
+    """The first n characters of a text; a longer one ends in ``mark`` and is n long with it."""
+    return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n - len(mark)), F.lit(mark))).otherwise(x)
+
+
 def ordinal(x: Column) -> Column:
     """1st, 2nd, 3rd, 11th of a number, rounded."""
     n = F.rint(x).cast("long")

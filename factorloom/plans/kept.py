@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factorloom.functions import scalar as C
 from factorloom.operators import backtest as B
 from factorloom.operators import factors as V
 from factorloom.operators import news as N
@@ -13,8 +14,11 @@ from factorloom.operators import scoring as X
 from factorloom.plans.registry import MINIMA, Model, query
 from factorloom.sources import adapters as S
 from factorloom.sources import sinks as K
+from factorloom.sources.backfill import ARTICLE_KEYS, LOG_KEYS, Backfill
 from factorloom.sources.store import KeyedTable, work_folder
 
+text = lambda c: F.col(c).cast("string")
+date = lambda x: F.lit(x).cast("date")
 #: factors, sizes and costs of runs; the last ones need more names than some dates have, or pay brokerage
 RUNS = [(f"{factor}-{n}-{'costs' if costs else 'free'}", factor, n, 10, 1_000_000.0, costs, 0.0, 0.0) for factor in ("momentum_12_1", "price_to_200dma", "relative_strength_6m") for n in (5, 20) for costs in (True, False)]
 RUNS += [("picky", "momentum_12_1", 20, 97, 500_000.0, True, 0.0, 0.0), ("brokered", "relative_strength_6m", 5, 10, 1_000_000.0, True, 0.001, 20.0)]
@@ -145,3 +149,53 @@ def s20_schema_changes(spark, sf_dir):
     found = spark.createDataFrame(t.schema_changes(1, 2), "column_name string, kind string, what string")
     counts = t.read().agg(F.count("*").alias("n"))
     return found.join(F.broadcast(counts))  # one row
+
+
+def _asked(m: Model, number: int):
+    """A provider for ``Backfill`` made of prices: each is an article of its month. Some windows are throttled in the first runs, some fail each time."""
+    month = F.trunc("date", "month")
+    day = F.date_format("date", "yyyyMMdd")
+    item = F.struct(
+        F.when(F.dayofmonth("date") % 7 != 0, F.concat(F.lit("S"), text("isin"), F.lit(" trades on "), day)).otherwise(" ").alias("title"),
+        F.concat(F.lit("http://x/"), text("isin"), F.lit("/"), day).alias("url"), F.when(F.col("isin") % 2 == 0, "x.com").alias("domain"), F.concat(day, F.lit("T200000Z")).alias("seendate"),
+    )
+    payloads = m.prices.groupBy("isin", month.alias("window_start")).agg(F.to_json(F.struct(F.collect_list(item).alias("articles"))).alias("payload"))
+    n = F.col("isin") + F.year("window_start") * 12 + F.month("window_start")
+    wait = F.lit("Please limit requests to one every 5 seconds")
+
+    def fetch(windows):
+        told = windows.join(payloads, ["isin", "window_start"], "left").withColumn("n", n)
+        payload = F.when(F.col("n") % 3**number == 0, wait).when(F.col("n") % 5 == 0, F.lit('{"articles":[]}')).otherwise(F.col("payload"))
+        return told.select("isin", "window_start", payload.alias("payload"), F.when(F.col("isin") % 17 == 0, F.repeat(F.lit("no route to host "), 20)).alias("error"))
+
+    return fetch
+
+
+def backfilled(m: Model) -> tuple[KeyedTable, KeyedTable]:
+    """Log and articles after three runs over three months of 1999, the first of which takes fewer windows than there are."""
+    folder = work_folder(m.spark)
+    log, articles = KeyedTable(m.spark, f"{folder}/log", LOG_KEYS), KeyedTable(m.spark, f"{folder}/articles", ARTICLE_KEYS)
+    companies = m.instruments.select("isin", "name")
+    half = companies.count() * 3 // 2
+    for number in (1, 2, 3):
+        at = F.lit(f"2024-01-0{number}").cast("date")
+        Backfill(log, articles, "prices", _asked(m, number), "1999-01-01").run(companies, date("1999-01-15"), date("1999-03-20"), at, half if number == 1 else None, commit=half)
+    return log, articles
+
+
+@query
+def s18_backfill(spark, sf_dir):
+    """The log of three runs: throttled windows come again, empty ones do not, failing ones stay errors."""
+    return backfilled(Model(spark, sf_dir))[0].read().drop("provider")
+
+
+@query
+def s18_backfilled_articles(spark, sf_dir):
+    return backfilled(Model(spark, sf_dir))[1].read().select("isin", "url", "headline", "source", "published_at", "window_start")
+
+
+@query
+def c11_truncated(spark, sf_dir):
+    """Documents' texts cut to what a table's cell shows."""
+    d = S.read(spark, sf_dir, "documents")
+    return d.select("doc_id", C.truncated(F.col("text"), 200).alias("detail"), C.truncated(F.col("text"), 60, "...").alias("shown"))
