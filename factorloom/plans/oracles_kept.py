@@ -15,13 +15,16 @@ PARTS["run_figures"] = """
       min(nav / peak - 1) AS max_drawdown, avg((ret > 0)::INT) AS hit_rate, max(ret) AS best_period, min(ret) AS worst_period, coalesce(avg(turnover), 0) AS avg_turnover, coalesce(sum(costs / capital), 0) AS total_costs_pct
     FROM (SELECT *, nav / lag(nav) OVER (PARTITION BY run_id ORDER BY date) - 1 AS ret, max(nav) OVER (PARTITION BY run_id ORDER BY date) AS peak FROM run_navs WHERE k > 0) JOIN run_configs USING (run_id) GROUP BY run_id"""
 _METRICS = "run_id periods years:f total_return:f cagr:f volatility:f sharpe:f sortino:f max_drawdown:f calmar:f hit_rate:f best_period:f worst_period:f avg_turnover:f total_costs_pct:f"
-PARTS["windows"] = """
+PARTS["asked_windows"] = """
     SELECT *, CASE WHEN isin % 17 = 0 THEN NULL WHEN n % 3 <> 0 AND k <= half THEN 1 WHEN n % 9 <> 0 THEN 2 WHEN n % 27 <> 0 THEN 3 END AS fine, CASE WHEN isin % 17 = 0 THEN 'E' WHEN n % 27 = 0 THEN 'T' END AS wrong
     FROM (SELECT isin, w AS window_start, CASE WHEN w = DATE '1999-03-01' THEN DATE '1999-03-20' ELSE last_day(w) END AS window_end, isin + year(w) * 12 + month(w) AS n, row_number() OVER (ORDER BY isin, w) AS k, count(*) OVER () // 2 AS half
       FROM instruments, (SELECT unnest([DATE '1999-01-01', DATE '1999-02-01', DATE '1999-03-01']) AS w))"""
 PARTS["window_news"] = """
     SELECT w.isin, 'http://x/' || w.isin || '/' || strftime(date, '%Y%m%d') AS url, 'S' || w.isin || ' trades on ' || strftime(date, '%Y%m%d') AS headline, CASE WHEN w.isin % 2 = 0 THEN 'x.com' ELSE 'unknown' END AS source, date + INTERVAL 1 DAY + INTERVAL 90 MINUTE AS published_at, window_start
-    FROM windows w JOIN prices p ON p.isin = w.isin AND date_trunc('month', date) = window_start WHERE fine IS NOT NULL AND n % 5 <> 0 AND day(date) % 7 <> 0"""
+    FROM asked_windows w JOIN prices p ON p.isin = w.isin AND date_trunc('month', date) = window_start WHERE fine IS NOT NULL AND n % 5 <> 0 AND day(date) % 7 <> 0"""
+PARTS["told"] = "SELECT isin, as_of, CASE WHEN z >= 0.8 THEN 'BUY' WHEN z >= -0.8 THEN 'HOLD' ELSE 'SELL' END AS signal FROM mz WHERE z IS NOT NULL"
+PARTS["told_next"] = "SELECT *, lag(signal) OVER (PARTITION BY isin ORDER BY as_of) AS was, lead(as_of) OVER (PARTITION BY isin ORDER BY as_of) AS next FROM told"
+_WINDOWS = "(SELECT news_id, isin, score, published_at, unnest(generate_series(time_bucket(INTERVAL 10 DAY, published_at, TIMESTAMP '1970-01-01') - INTERVAL 20 DAY, time_bucket(INTERVAL 10 DAY, published_at, TIMESTAMP '1970-01-01'), INTERVAL 10 DAY)) AS start FROM news)"
 _ORDERS = "(SELECT o_orderkey, o_custkey, o_orderstatus, year(o_orderdate) AS y FROM orders)"
 SQL = {
     "b2_runs": sql("run_id as_of:d date:d nav:f gross_nav:f costs:f turnover:f", "SELECT * FROM run_navs WHERE k > 0"),
@@ -29,9 +32,15 @@ SQL = {
     "b6_run_metrics": sql(_METRICS, "SELECT *, round(periods / 12, 2) AS years, CASE WHEN volatility > 0 THEN (cagr - 0.065) / volatility ELSE 0 END AS sharpe, CASE WHEN down > 0 THEN (cagr - 0.065) / down ELSE 0 END AS sortino, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0 END AS calmar FROM run_figures"),
     "b11_shuffled_runs": sql("run_id date:d nav:f", "SELECT * FROM dealt_navs WHERE k > 0"),
     "k8_stored_runs": sql("run_id kind date:d isin:BIGINT value:f", "SELECT run_id, 'nav' AS kind, date, NULL AS isin, nav AS value FROM run_navs WHERE k > 0 AND run_id <> 'momentum_12_1-5-free' UNION ALL SELECT run_id, 'position', as_of, isin, weight FROM run_held WHERE run_id <> 'momentum_12_1-5-free' UNION ALL SELECT c.run_id, 'total_return', NULL, NULL, total_return FROM run_configs c LEFT JOIN run_figures f ON f.run_id = c.run_id WHERE c.run_id <> 'momentum_12_1-5-free'"),
-    "s18_backfill": sql("isin window_start:d window_end:d articles:INT status detail fetched_at:d", "SELECT w.*, coalesce(c, 0) AS articles, CASE WHEN fine IS NULL THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN wrong = 'E' THEN substr(repeat('no route to host ', 20), 1, 200) WHEN wrong = 'T' THEN 'throttled' END AS detail, make_date(2024, 1, coalesce(fine, 3)) AS fetched_at FROM windows w LEFT JOIN (SELECT isin, window_start, count(*) AS c FROM window_news GROUP BY ALL) n ON n.isin = w.isin AND n.window_start = w.window_start"),
+    "s18_backfill": sql("isin window_start:d window_end:d articles:INT status detail fetched_at:d", "SELECT w.*, coalesce(c, 0) AS articles, CASE WHEN fine IS NULL THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN wrong = 'E' THEN substr(repeat('no route to host ', 20), 1, 200) WHEN wrong = 'T' THEN 'throttled' END AS detail, make_date(2024, 1, coalesce(fine, 3)) AS fetched_at FROM asked_windows w LEFT JOIN (SELECT isin, window_start, count(*) AS c FROM window_news GROUP BY ALL) n ON n.isin = w.isin AND n.window_start = w.window_start"),
     "s18_backfilled_articles": sql("isin url headline source published_at:VARCHAR window_start:d", "SELECT * FROM window_news"),
     "c11_truncated": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) ELSE text END AS detail, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS shown FROM documents",
+    "st_signal_alerts": sql("isin told_on:d kind was now", "SELECT isin, as_of AS told_on, 'CHANGED' AS kind, was, signal AS now FROM told_next WHERE was <> signal UNION ALL SELECT isin, as_of + 45, 'STALE', signal, NULL FROM told_next WHERE next IS NULL OR next > as_of + 45"),
+    "st_month_counts": sql("month:d isin n", "SELECT date_trunc('month', published_at) AS month, isin, count(*) AS n FROM news GROUP BY ALL"),
+    "st_sentiment_windows": sql("start:d isin n mean_score:f", f"SELECT start, isin, count(*) AS n, avg(score) AS mean_score FROM {_WINDOWS} GROUP BY ALL"),
+    "st_decayed_sentiment": sql("start:d isin n score:f", f"SELECT start, isin, count(*) AS n, sum(score * w) / sum(w) AS score FROM (SELECT *, 0.5::DOUBLE ** (trunc((epoch_us(start + INTERVAL 30 DAY) - epoch_us(published_at)) / 1e6) / 86400 / 7) AS w FROM {_WINDOWS}) GROUP BY ALL"),
+    "st_distinct_stories": sql("isin text content_hash", "SELECT DISTINCT isin, 'Story ' || (news_id % 50) AS text, substr(sha1('story ' || (news_id % 50)), 1, 16) AS content_hash FROM news"),
+    "st_stored_news": sql("news_id isin text", "SELECT news_id, isin, 'Story ' || (news_id % 50) AS text FROM news"),
     "k1_stored_upsert": f"SELECT o_orderkey, o_custkey, CASE WHEN y >= 1998 THEN 'from 1998' WHEN y >= 1996 THEN 'from 1996' ELSE o_orderstatus END AS o_orderstatus, y::INTEGER AS y FROM {_ORDERS}",
     "k5_stored_delete": "SELECT * FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL) WHERE l_returnflag <> 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')",
     "k6_stored_rebuild": f"SELECT 1 AS version, o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM {_ORDERS} GROUP BY 2 UNION ALL SELECT 2, o_orderstatus, count(*), sum(o_orderkey)::BIGINT FROM {_ORDERS} WHERE o_orderstatus = 'F' GROUP BY 2 UNION ALL SELECT 3, 'done', count(*), sum(o_orderkey)::BIGINT FROM {_ORDERS} WHERE o_orderstatus = 'F' GROUP BY 2",

@@ -520,7 +520,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from factorloom.plans import kept, more  # noqa: F401 - they register their queries
+    from factorloom.plans import kept, more, streams  # noqa: F401 - they register their queries
 
     return dict(_found)
 

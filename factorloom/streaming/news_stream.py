@@ -36,13 +36,17 @@ def month_counts(stream: DataFrame, time: str = "published_at", late: str = "2 d
 def into_store(stream: DataFrame, path: str, checkpoint: str, keys: list[str], day: str | None = None) -> StreamingQuery:
     """Append rows that the store at ``path`` lacks; a batch that is repeated after a failure adds nothing.
 
-    With ``day``, a column among the keys, only the stored rows of the batch's days are read.
+    Several streams may feed one store one after the other: what a batch wrote is known by
+    its query (which keeps its id as long as its checkpoint) and its number. With ``day``,
+    a column among the keys, only the stored rows of the batch's days are read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         fresh = batch.dropDuplicates(keys)
         try:
-            stored = batch.sparkSession.read.parquet(path).where(F.col("batch") != number).select(*keys)
+            stored = spark.read.parquet(path).where((F.col("batch") != number) | (F.col("run") != run)).select(*keys)
             if day:
                 first, last = batch.agg(F.min(day), F.max(day)).first()  # pushed down to the files' statistics
                 stored = stored.where(F.col(day).between(first, last)) if first is not None else stored.limit(0)
@@ -50,6 +54,7 @@ def into_store(stream: DataFrame, path: str, checkpoint: str, keys: list[str], d
         except Exception as missing:  # the store begins with its first batch
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        marked = fresh.withColumn("run", F.lit(run)).withColumn("batch", F.lit(number))
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
