@@ -88,9 +88,9 @@ def extract(pages: DataFrame, extractor: Callable, schema: str) -> DataFrame:
 
 def annual_filings(refs: DataFrame) -> DataFrame:
     """One filing of each company-year: consolidated ones where the company has any, else the others; of those the first broadcast. refs: isin, fiscal_year, is_consolidated, period_end, broadcast_date."""
-    any_group = F.bool_or("is_consolidated").over(Window.partitionBy("isin"))
+    group = F.coalesce("is_consolidated", F.lit(False))  # an unknown basis counts as standalone
     one = Window.partitionBy("isin", "fiscal_year").orderBy("period_end", "broadcast_date")
-    rows = refs.withColumn("_c", any_group).where(F.col("is_consolidated") == F.col("_c"))
+    rows = refs.withColumn("_c", F.bool_or(group).over(Window.partitionBy("isin"))).where(group == F.col("_c"))
     return rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_c", "_r")
 
 

@@ -20,6 +20,8 @@ from factorloom.sources import adapters as S
 from factorloom.sources import listings as L
 from factorloom.sources import parsers as Z
 from factorloom.sources import sinks as K
+from factorloom.sources import xbrl as H
+from factorloom.sources.store import KeyedTable, work_folder
 
 text = lambda c: F.col(c).cast("string")
 key = lambda n: F.col("isin") % n
@@ -104,28 +106,49 @@ def s11_registered_files(spark, sf_dir):
     return L.register_files(d.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
 
 
-def _xbrl(spark, sf_dir):
-    a = S.fundamentals_annual(spark, sf_dir).where("basis = 'CONSOLIDATED'")
-    context = lambda name, start, end: F.concat(F.lit(f'<xbrli:context id="{name}"><xbrli:period><xbrli:startDate>'), start.cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), end.cast("string"), F.lit("</xbrli:endDate></xbrli:period></xbrli:context>"))
-    fact = lambda element, where, value: F.concat(F.lit(f'<in:{element} contextRef="{where}" unitRef="INR"'), F.when(value < 0, ' sign="-"').otherwise(""), F.lit(">"), F.abs(value).cast("string"), F.lit(f"</in:{element}>"))
-    end, c = F.col("period_end_date"), F.col
+def _instances(a):
+    """Annual statements as XBRL: several prefixes, comments, CDATA, nil and dimensional facts. Companies with even numbers declare a quarter for their year, and state the year.
+
+    a: doc_id, isin, period_end_date, starts (of the year), revenue, pat, total_assets, ocf, capex.
+    """
+    end, c, day = F.col("period_end_date"), F.col, lambda x: x.cast("string")
+    prefix = F.when(key(3) == 0, "in:").when(key(3) == 1, "ind-as:").otherwise("")
+    context = lambda name, start, end, inside="": F.concat(F.lit(f'<xbrli:context id="{name}"><xbrli:entity><xbrli:identifier scheme="x">E</xbrli:identifier>{inside}</xbrli:entity><xbrli:period><xbrli:startDate>'), day(start), F.lit("</xbrli:startDate><xbrli:endDate>"), day(end), F.lit("</xbrli:endDate></xbrli:period></xbrli:context>"))
+
+    def fact(element, where, value, body=None):
+        shown = F.abs(value).cast("string") if body is None else body
+        return F.concat(F.lit("<"), prefix, F.lit(f'{element} contextRef="{where}" unitRef="INR" decimals="-5"'), F.when(value < 0, ' sign="-"').otherwise(""), F.lit(">"), shown, F.lit("</"), prefix, F.lit(f"{element}>"))
+
+    quarter = F.add_months(F.date_add(end, 1), -3)
+    stated = lambda where, start: F.concat(*(F.concat(F.lit("<"), prefix, F.lit(f'{e} contextRef="{where}">'), day(d), F.lit("</"), prefix, F.lit(f"{e}>")) for e, d in (("DateOfStartOfReportingPeriod", start), ("DateOfEndOfReportingPeriod", end))))
     xml = F.concat(
-        F.lit("<xbrl>"), context("Y", F.trunc(end, "year"), end), context("Q", F.add_months(F.date_add(end, 1), -3), end),
-        F.lit('<xbrli:context id="I"><xbrli:period><xbrli:instant>'), end.cast("string"), F.lit("</xbrli:instant></xbrli:period></xbrli:context>"),
-        F.lit('<xbrli:context id="D"><xbrldi:explicitMember/><xbrli:period><xbrli:startDate>'), F.trunc(end, "year").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), end.cast("string"), F.lit("</xbrli:endDate></xbrli:period></xbrli:context>"),
-        fact("RevenueFromOperations", "Y", c("revenue")), fact("RevenueFromOperations", "Q", c("revenue") / 4), fact("RevenueFromOperations", "D", c("revenue") * 9), fact("ProfitLossForPeriod", "Y", c("pat")), fact("Assets", "I", c("total_assets")), fact("OtherThing", "Y", c("capex")), F.lit("</xbrl>"),
+        F.lit('<?xml version="1.0"?><!-- results --><xbrli:xbrl xmlns:xbrli="http://i" xmlns:in="http://a" xmlns:ind-as="http://b" xmlns:xbrldi="http://d" xmlns:xsi="http://s">'),
+        context("FourD", F.when(key(2) == 0, quarter).otherwise(c("starts")), end), context("OneD", quarter, end),
+        context("D", c("starts"), end, '<xbrli:segment><xbrldi:explicitMember dimension="a">m</xbrldi:explicitMember></xbrli:segment>'),
+        F.lit('<xbrli:context id="OneI"><xbrli:period><xbrli:instant> '), day(end), F.lit(" </xbrli:instant></xbrli:period></xbrli:context>"),
+        F.when(key(2) == 0, F.concat(stated("FourD", c("starts")), stated("OneD", quarter))).otherwise(""),
+        fact("RevenueFromOperations", "FourD", c("revenue")), fact("RevenueFromOperations", "OneD", c("revenue") / 4), fact("RevenueFromOperations", "D", c("revenue") * 9),
+        fact("ProfitLossForPeriod", "FourD", c("pat"), F.concat(F.lit("<![CDATA["), F.abs("pat").cast("string"), F.lit("]]>"))), fact("Assets", "OneI", c("total_assets")),
+        fact("CashFlowsFromUsedInOperatingActivities", "FourD", c("ocf")), fact("OtherThing", "FourD", c("capex")),
+        F.lit('<in:TaxExpense contextRef="FourD" xsi:nil="true"/><!-- the end --><in:DeclarationOfUnmodifiedOpinionOrStatementOnImpactOfAuditQualification contextRef="OneD">'),
+        F.when(key(4) == 0, "Statement on audit qualification").otherwise("Unmodified opinion"), F.lit("</in:DeclarationOfUnmodifiedOpinionOrStatementOnImpactOfAuditQualification></xbrli:xbrl>"),
     )
-    return Z.xbrl_facts(a.select((F.col("isin") * 10_000 + F.year(end)).alias("doc_id"), xml.alias("xml")))
+    return a.withColumn("xml", xml)
+
+
+def _consolidated(spark, sf_dir):
+    a = S.fundamentals_annual(spark, sf_dir).where("basis = 'CONSOLIDATED'")
+    return _instances(a.withColumn("doc_id", F.col("isin") * 10_000 + F.year("period_end_date")).withColumn("starts", F.trunc("period_end_date", "year"))).select("doc_id", "xml")
 
 
 @query
 def s12_quarterly_xbrl(spark, sf_dir):
-    return Z.statement_of(_xbrl(spark, sf_dir), longest=False).select("doc_id", "field", "value", "start", F.col("end").alias("finish"))
+    return H.quarter_values(H.facts(_consolidated(spark, sf_dir))).select("doc_id", "field", "value", "start", F.col("end").alias("finish"))
 
 
 @query
 def s13_annual_xbrl(spark, sf_dir):
-    return Z.statement_of(_xbrl(spark, sf_dir), longest=True).select("doc_id", "field", "value", "start", F.col("end").alias("finish"))
+    return H.annual_statements(_consolidated(spark, sf_dir)).where("reason IS NULL").select("doc_id", "period_start", "period_end", "revenue", "pat", "total_assets", "tax_expense", "opinion_note")
 
 
 @query
@@ -137,7 +160,36 @@ def s14_derivations(spark, sf_dir):
 
 @query
 def s15_unmapped_elements(spark, sf_dir):
-    return Z.unmapped(_xbrl(spark, sf_dir))
+    return H.unmapped(H.facts(_consolidated(spark, sf_dir)))
+
+
+@query
+def e6_xbrl_ingest(spark, sf_dir):
+    """Filings of every company, read in two runs: what was stored or refused is not read again.
+
+    By (company + year) % 7, an instance is cut short (1), spans half a year (2), has no
+    instant (3), no revenue (4) or no contexts (5). The basis of every fifth company is not told.
+    """
+    a = S.fundamentals_annual(spark, sf_dir).withColumn("fiscal_year", F.year("period_end_date")).withColumn("doc_id", F.concat_ws("-", "isin", "fiscal_year", "basis"))
+    kind = (F.col("isin") + F.col("fiscal_year")) % 7
+    whole = _instances(a.withColumn("starts", F.when(kind == 2, F.add_months(F.date_add("period_end_date", 1), -6)).otherwise(F.trunc("period_end_date", "year"))))
+    without = lambda pattern: F.regexp_replace("xml", pattern, "")
+    xml = F.when(kind == 1, F.col("xml").substr(F.lit(1), F.length("xml") - 30)).when(kind == 3, without('<xbrli:context id="OneI">.*?</xbrli:context>')).when(kind == 4, without("<[a-z:-]*RevenueFromOperations[^>]*>[^<]*</[^>]*>")).when(kind == 5, without("<xbrli:context .*</xbrli:context>")).otherwise(F.col("xml"))
+    documents = whole.select("doc_id", xml.alias("xml"))
+    refs = a.select("doc_id", "isin", "fiscal_year", F.when(key(5) != 0, F.col("basis") == "CONSOLIDATED").alias("is_consolidated"), F.col("period_end_date").alias("period_end"), F.when(key(3) != 0, F.col("filing_date")).alias("broadcast_date"))
+    keys, folder = ["isin", "fiscal_year", "basis"], work_folder(spark)
+    stored, refused = KeyedTable(spark, f"{folder}/annual", keys), KeyedTable(spark, f"{folder}/attempts", keys)
+    none = spark.createDataFrame([], "isin bigint, fiscal_year int, basis string")
+    for run, until in ((1, 1997), (2, 9999)):
+        pending = H.pending_annual(refs.where(F.col("fiscal_year") <= until), stored.read() if run > 1 else none, refused.read() if run > 1 else none).withColumn("run", F.lit(run))
+        taken = documents.join(pending.select("doc_id"), "doc_id")
+        H.facts(taken).write.parquet(f"{folder}/facts-{run}")  # read once
+        H.annual_statements(taken, spark.read.parquet(f"{folder}/facts-{run}")).write.parquet(f"{folder}/judged-{run}")
+        judged = pending.join(spark.read.parquet(f"{folder}/judged-{run}"), "doc_id")
+        told = ["period_start", "revenue", "pat", "total_assets", W.audit_opinion(F.col("opinion_note")).alias("auditor_opinion")]
+        stored.upsert(judged.where("reason IS NULL").select(*keys, F.col("broadcast_date").alias("filing_date"), *told, "run"))
+        refused.upsert(judged.where("reason IS NOT NULL").select(*keys, "reason", "run"))
+    return stored.read().unionByName(refused.read(), allowMissingColumns=True)
 
 
 def _feeds(spark, sf_dir):

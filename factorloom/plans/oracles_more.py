@@ -52,7 +52,8 @@ SQL = {
     "s10_annual_reports": sql("isin fiscal_year:INT period_end:d broadcast_date:d broadcast_date_source", "SELECT isin, y AS fiscal_year, make_date(y, 3, 31) AS period_end, CASE WHEN isin % 4 = 0 THEN make_date(y, 7, 15) ELSE make_date(y, 9, 30) END AS broadcast_date, CASE WHEN isin % 4 = 0 THEN 'NSE' ELSE 'ASSUMED' END AS broadcast_date_source FROM (SELECT isin, (2001 + isin % 5)::INT AS y FROM instruments WHERE isin % 11 <> 0)"),
     "s11_registered_files": "SELECT doc_id::VARCHAR AS path, CASE WHEN text IS NOT NULL THEN sha256(text || repeat('/Type /Page ', (doc_id % 3)::INT)) END AS sha256, strlen(text || repeat('/Type /Page ', (doc_id % 3)::INT))::INT AS n_bytes, CASE WHEN text IS NOT NULL THEN (doc_id % 3)::INT END AS n_pages FROM documents",
     "s12_quarterly_xbrl": sql("doc_id field value:f start:d finish:d", "SELECT doc_id, 'revenue' AS field, revenue / 4 AS value, make_date(year(period_end_date), 10, 1) AS start, period_end_date AS finish FROM consolidated UNION ALL SELECT doc_id, 'total_assets', total_assets, NULL, period_end_date FROM consolidated"),
-    "s13_annual_xbrl": sql("doc_id field value:f start:d finish:d", "SELECT doc_id, unnest(['revenue', 'pat', 'total_assets']) AS field, unnest([revenue, pat, total_assets]) AS value, unnest([make_date(year(period_end_date), 1, 1), make_date(year(period_end_date), 1, 1), NULL]) AS start, period_end_date AS finish FROM consolidated"),
+    "s13_annual_xbrl": sql("doc_id period_start:d period_end:d revenue:f pat:f total_assets:f tax_expense:f opinion_note", "SELECT doc_id, make_date(year(period_end_date), 1, 1) AS period_start, period_end_date AS period_end, revenue / 1e7 AS revenue, pat / 1e7 AS pat, total_assets / 1e7 AS total_assets, NULL AS tax_expense, CASE WHEN isin % 4 = 0 THEN 'Statement on audit qualification' ELSE 'Unmodified opinion' END AS opinion_note FROM consolidated"),
+    "e6_xbrl_ingest": sql("isin fiscal_year:INT basis filing_date:d period_start:d revenue:f pat:f total_assets:f auditor_opinion run:INT reason", "SELECT *, CASE WHEN kind NOT BETWEEN 1 AND 5 THEN CASE WHEN isin % 3 <> 0 THEN told ELSE period_end_date + 60 END END AS filing_date, CASE WHEN kind NOT BETWEEN 1 AND 5 THEN make_date(fiscal_year, 1, 1) END AS period_start, CASE WHEN kind NOT BETWEEN 1 AND 5 THEN r / 1e7 END AS revenue, CASE WHEN kind NOT BETWEEN 1 AND 5 THEN p / 1e7 END AS pat, CASE WHEN kind NOT BETWEEN 1 AND 5 THEN t / 1e7 END AS total_assets, CASE WHEN kind NOT BETWEEN 1 AND 5 THEN CASE WHEN isin % 4 = 0 THEN 'QUALIFIED' ELSE 'UNMODIFIED' END END AS auditor_opinion, CASE WHEN fiscal_year <= 1997 THEN 1 ELSE 2 END AS run, CASE kind WHEN 1 THEN 'not well-formed XML' WHEN 2 THEN 'longest period ending ' || period_end_date::DATE::VARCHAR || ' spans ' || (period_end_date::DATE - make_date(fiscal_year, 7, 1)) || ' days, short of 300' WHEN 3 THEN 'no instant context' WHEN 4 THEN 'missing revenue' WHEN 5 THEN 'no XBRL contexts' END AS reason FROM (SELECT isin, year(period_end_date) AS fiscal_year, CASE WHEN isin % 5 = 0 THEN 'STANDALONE' ELSE 'CONSOLIDATED' END AS basis, period_end_date, filing_date AS told, revenue AS r, pat AS p, total_assets AS t, (isin + year(period_end_date)) % 7 AS kind FROM annual WHERE isin % 5 = 0 OR basis = 'CONSOLIDATED')"),
     "s14_derivations": sql("isin period_end_date:d basis pat:f total_debt:f total_liabilities:f", "SELECT isin, period_end_date, basis, CASE WHEN isin % 5 = 2 THEN pat * 1.1 ELSE pat END AS pat, CASE WHEN isin % 6 <> 0 THEN total_debt * (CASE WHEN isin % 3 <> 0 THEN 0.4 ELSE 0 END + CASE WHEN isin % 2 <> 0 THEN 0.6 ELSE 0 END) END AS total_debt, total_assets - total_equity AS total_liabilities FROM annual"),
     "s15_unmapped_elements": sql("element n", "SELECT 'OtherThing' AS element, count(*) AS n FROM consolidated"),
     "s16_feed_items": "SELECT 'feed-' || (doc_id % 97) AS feed, 'Story & ' || doc_id AS title, 'http://x/' || doc_id AS link, 'body of it' AS body, (make_timestamp(2024, 1, (doc_id % 28 + 1)::INT, 20, 30, 0) + INTERVAL 330 MINUTE)::VARCHAR AS published_at FROM documents WHERE doc_id IS NOT NULL AND doc_id % 97 % 10 <> 7",

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: date formats that payloads use
 DATE_FORMATS = ("dd-MMM-yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy")
-#: reported element -> field
-ELEMENTS = {"RevenueFromOperations": "revenue", "ProfitBeforeTax": "profit_before_tax", "TaxExpense": "tax_expense", "ProfitLossForPeriod": "pat", "BasicEarningsLossPerShareFromContinuingAndDiscontinuedOperations": "eps", "Assets": "total_assets", "Equity": "total_equity", "EquityAndLiabilities": "equity_and_liabilities"}
 
 
 def any_date(x: Column) -> Column:
@@ -80,29 +78,3 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     at = F.coalesce(F.try_to_timestamp(F.regexp_replace(told, "^\\w+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(told, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
     local = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), F.to_utc_timestamp(at, F.current_timezone()).cast("timestamp_ntz"))
     return rows.select("feed", strip(field("title")).alias("title"), link.alias("link"), strip(F.coalesce(field("description"), field("summary"), F.lit(""))).alias("body"), local.alias("published_at")).where("link is not null and published_at is not null")
-
-
-def xbrl_facts(documents: DataFrame) -> DataFrame:
-    """doc_id, element, context, value, start, end, dimensional: every numeric fact with its context. documents: doc_id, xml."""
-    context = F.explode(F.regexp_extract_all("xml", F.lit("(?s)<(?:\\w+:)?context\\s.*?</(?:\\w+:)?context>"), F.lit(0)))
-    day = lambda name: F.to_date(F.nullif(F.regexp_extract("c", f"<(?:\\w+:)?{name}>\\s*([0-9-]+)", 1), F.lit("")))
-    contexts = documents.select("doc_id", context.alias("c")).select("doc_id", F.regexp_extract("c", 'id="([^"]+)"', 1).alias("context"), day("startDate").alias("start"), F.coalesce(day("endDate"), day("instant")).alias("end"), F.col("c").rlike("explicitMember|typedMember").alias("dimensional"))
-    fact = F.explode(F.regexp_extract_all("xml", F.lit('<(?:\\w+:)?\\w+\\s[^>]*contextRef="[^"]+"[^>]*>[^<]*<'), F.lit(0)))
-    facts = documents.select("doc_id", fact.alias("f")).select("doc_id", F.regexp_extract("f", "<(?:\\w+:)?(\\w+)\\s", 1).alias("element"), F.regexp_extract("f", 'contextRef="([^"]+)"', 1).alias("context"), (F.regexp_extract("f", ">([^<]*)<", 1).try_cast("double") * F.when(F.col("f").contains('sign="-"'), -1).otherwise(1)).alias("value"))
-    return facts.where("value is not null").join(contexts, ["doc_id", "context"])
-
-
-def statement_of(facts: DataFrame, longest: bool) -> DataFrame:
-    """doc_id, field, value, start, end: mapped facts of the longest (annual, 300 days and more) or shortest span among those that end last, and of the instants of that day."""
-    names = F.create_map(*[F.lit(x) for pair in ELEMENTS.items() for x in pair])
-    rows = facts.where("not dimensional").withColumn("field", names[F.col("element")]).where("field is not null")
-    span = F.datediff("end", "start")
-    spans = rows.where(F.col("start").isNotNull() & ((span >= 300) if longest else F.lit(True)))
-    last = spans.groupBy("doc_id").agg(F.max(F.struct("end", span if longest else -span)).alias("m")).select("doc_id", F.col("m.end").alias("_end"), F.abs("m.col2").alias("_span"))
-    met = rows.join(last, "doc_id").where((F.col("end") == F.col("_end")) & (F.col("start").isNull() | (span == F.col("_span"))))
-    return met.groupBy("doc_id", "field").agg(F.min("value").alias("value"), F.min("start").alias("start"), F.max("end").alias("end"))
-
-
-def unmapped(facts: DataFrame) -> DataFrame:
-    """element, n: reported elements without a field."""
-    return facts.where(~F.col("element").isin(list(ELEMENTS))).groupBy("element").agg(F.count("*").alias("n"))

@@ -1,8 +1,10 @@
 """Semantics of the research operators on small literal frames."""
 
 import datetime as dt
+import functools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +14,13 @@ from factorloom.operators import backtest as B
 from factorloom.operators import factors as V
 from factorloom.operators import news as N
 from factorloom.operators import point_in_time as P
+from factorloom.operators import review as W
 from factorloom.operators import runs as U
 from factorloom.operators import scoring as X
 from factorloom.operators import statements as E
 from factorloom.operators import stats as A
 from factorloom.sources import parsers as R
+from factorloom.sources import xbrl as H
 
 D = dt.date
 
@@ -313,13 +317,39 @@ def test_feeds(spark):
     assert str(rows["http://a"].published_at) == "2024-01-01 10:00:00" and str(rows["http://c"].published_at) == "2024-01-01 15:30:00"
 
 
+INSTANCE = """<?xml version="1.0"?><!-- a comment --><a:xbrl xmlns:a="http://i" xmlns:x="http://x" xmlns:y="http://y" xmlns:d="http://d" xmlns:xsi="http://s">
+<a:context id="Q"><a:period><a:startDate>2024-01-01</a:startDate><a:endDate>2024-03-31</a:endDate></a:period></a:context><a:context id="Y"><a:period><a:startDate>2024-01-01</a:startDate><a:endDate>2024-03-31</a:endDate></a:period></a:context><a:context id="I"><a:period><a:instant>2024-03-31</a:instant></a:period></a:context>
+<a:context id="S"><a:entity><a:segment><d:explicitMember dimension="k">m</d:explicitMember></a:segment></a:entity><a:period><a:startDate>2023-04-01</a:startDate><a:endDate>2024-03-31</a:endDate></a:period></a:context><a:context id="T"><a:period><a:startDate>2023-04-01</a:startDate><a:endDate>2024-03-31</a:endDate></a:period><a:scenario><d:typedMember dimension="k"><x:m>1</x:m></d:typedMember></a:scenario></a:context>
+<x:DateOfStartOfReportingPeriod contextRef="Y">2023-04-01</x:DateOfStartOfReportingPeriod><x:DateOfEndOfReportingPeriod contextRef="Y">2024-03-31</x:DateOfEndOfReportingPeriod>
+<x:RevenueFromOperations contextRef="Q" decimals="0">1,00,00,000</x:RevenueFromOperations><y:RevenueFromOperations contextRef="Y" decimals="-5" unitRef="INR"><![CDATA[40000000]]></y:RevenueFromOperations><x:RevenueFromOperations contextRef="S">7</x:RevenueFromOperations><x:RevenueFromOperations contextRef="T">8</x:RevenueFromOperations>
+<x:TAXEXPENSE contextRef="Y" sign="-">5</x:TAXEXPENSE><x:Assets contextRef="I">90000000</x:Assets><x:FinanceCosts contextRef="Y" xsi:nil="true"/><x:ProfitLossForPeriod contextRef="Y">20000000</x:ProfitLossForPeriod><x:BasicEarningsPerShare contextRef="Y">1.5</x:BasicEarningsPerShare><x:BorrowingsCurrent contextRef="I">10000000</x:BorrowingsCurrent><x:Other contextRef="Y">1</x:Other><x:Name contextRef="gone">n</x:Name></a:xbrl>"""
+
+
 def test_xbrl(spark):
-    xml = """<xbrl><context id="Q"><period><startDate>2024-01-01</startDate><endDate>2024-03-31</endDate></period></context><context id="Y"><period><startDate>2023-04-01</startDate><endDate>2024-03-31</endDate></period></context><context id="I"><period><instant>2024-03-31</instant></period></context><context id="D"><scenario><explicitMember/></scenario><period><startDate>2023-04-01</startDate><endDate>2024-03-31</endDate></period></context>
-    <x:RevenueFromOperations contextRef="Q" decimals="0">100</x:RevenueFromOperations><x:RevenueFromOperations contextRef="Y" decimals="0">400</x:RevenueFromOperations><x:RevenueFromOperations contextRef="D" decimals="0">7</x:RevenueFromOperations><x:TaxExpense contextRef="Y" sign="-">5</x:TaxExpense><x:Assets contextRef="I">900</x:Assets><x:Other contextRef="Y">1</x:Other></xbrl>"""
-    facts = R.xbrl_facts(spark.createDataFrame([(1, xml)], "doc_id int, xml string"))
-    assert {r.field: r.value for r in R.statement_of(facts, longest=True).collect()} == {"revenue": 400.0, "tax_expense": -5.0, "total_assets": 900.0}
-    assert {r.field: r.value for r in R.statement_of(facts, longest=False).collect()} == {"revenue": 100.0, "total_assets": 900.0}
-    assert [r.element for r in R.unmapped(facts).collect()] == ["Other"]
+    changed = lambda *pairs: functools.reduce(lambda x, p: re.sub(*p, x, flags=re.S), pairs, INSTANCE)
+    cases = {1: INSTANCE, 2: INSTANCE[:-5], 3: None, 4: "no XML", 5: changed(("2023-04-01</x", "2023-10-01</x")), 6: changed(('<a:context id="I">.*?</a:context>', "")), 7: changed(("<a:context .*</a:context>", "")), 8: changed(("ProfitLossForPeriod", "Unknown")), 9: changed(('<a:context id="[QY]">.*?</a:context>', ""))}
+    documents = spark.createDataFrame(list(cases.items()), "doc_id int, xml string")
+    facts = H.facts(documents.where("doc_id = 1"))
+    assert {(r.context, r.value, r.unit, r.decimals, r.dimensional, str(r.start)) for r in facts.where("element = 'RevenueFromOperations'").collect()} == {("Q", 1e7, None, "0", False, "2024-01-01"), ("Y", 4e7, "INR", "-5", False, "2023-04-01"), ("S", 7.0, None, None, True, "2023-04-01"), ("T", 8.0, None, None, True, "2023-04-01")}
+    told = H.annual_statements(documents)
+    (r,) = told.where("reason IS NULL").collect()
+    refused = told.where("reason IS NOT NULL")
+    assert (r.doc_id, str(r.period_start), str(r.period_end), r.revenue, r.pat, r.tax_expense, r.interest_expense, r.eps_basic, r.total_assets, r.total_debt) == (1, "2023-04-01", "2024-03-31", 4.0, 2.0, -5e-7, None, 1.5, 9.0, 1.0)
+    assert {r.doc_id: r.reason for r in refused.collect()} == {2: "not well-formed XML", 3: "not well-formed XML", 4: "not well-formed XML", 5: "longest period ending 2024-03-31 spans 182 days, short of 300", 6: "no instant context", 7: "no XBRL contexts", 8: "missing pat", 9: "no duration context"}
+    assert {r.field: r.value for r in H.quarter_values(facts).collect()} == {"revenue": 1e7, "total_assets": 9e7, "borrowings_current": 1e7}
+    assert {r.element for r in H.unmapped(facts).collect()} == {"Other"}
+
+
+def test_filings_of_an_unknown_basis(spark):
+    """One counts as standalone; it neither takes a company's other filings with it nor gets lost."""
+    rows = [(1, 2001, None, "a"), (2, 2001, False, "b"), (2, 2002, None, "c"), (3, 2001, True, "d"), (3, 2002, None, "e")]
+    refs = spark.createDataFrame([(i, y, c, day(f"{y}-03-31"), None, n) for i, y, c, n in rows], "isin int, fiscal_year int, is_consolidated boolean, period_end date, broadcast_date date, n string")
+    none = refs.select("isin", "fiscal_year", F.lit("").alias("basis")).limit(0)
+    pending = H.pending_annual(refs, none, none)
+    assert {(r.n, r.basis, str(r.broadcast_date)) for r in pending.collect()} == {("a", "STANDALONE", "2001-05-30"), ("b", "STANDALONE", "2001-05-30"), ("c", "STANDALONE", "2002-05-30"), ("d", "CONSOLIDATED", "2001-05-30")}
+    assert {r.n for r in W.annual_filings(refs).collect()} == {"a", "b", "c", "d"}
+    stored, refused = pending.where("n = 'a'"), pending.where("n = 'c'")
+    assert {r.n for r in H.pending_annual(refs, stored, refused).collect()} == {"b", "d"}
 
 
 def test_normalise_prices(spark):
