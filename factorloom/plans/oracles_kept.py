@@ -36,6 +36,8 @@ SQL = {
     "s18_backfilled_articles": sql("isin url headline source published_at:VARCHAR window_start:d", "SELECT * FROM window_news"),
     "c11_truncated": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) ELSE text END AS detail, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS shown FROM documents",
     "st_signal_alerts": sql("isin told_on:d kind was now", "SELECT isin, as_of AS told_on, 'CHANGED' AS kind, was, signal AS now FROM told_next WHERE was <> signal UNION ALL SELECT isin, as_of + 45, 'STALE', signal, NULL FROM told_next WHERE next IS NULL OR next > as_of + 45"),
+    "s3_provider_prices": sql("isin date:d adj_close:f volume", "SELECT isin, date, adj_close, volume FROM prices WHERE isin % 7 = 1 AND isin < 100 AND date >= DATE '2000-02-20' AND date < DATE '2000-06-10'"),
+    "st_provider_months": sql("isin date:d adj_close:f volume", "SELECT isin, date, adj_close, volume FROM prices WHERE date BETWEEN DATE '2000-01-10' AND DATE '2000-05-31'"),
     "st_month_counts": sql("month:d isin n", "SELECT date_trunc('month', published_at) AS month, isin, count(*) AS n FROM news GROUP BY ALL"),
     "st_sentiment_windows": sql("start:d isin n mean_score:f", f"SELECT start, isin, count(*) AS n, avg(score) AS mean_score FROM {_WINDOWS} GROUP BY ALL"),
     "st_decayed_sentiment": sql("start:d isin n score:f", f"SELECT start, isin, count(*) AS n, sum(score * w) / sum(w) AS score FROM (SELECT *, 0.5::DOUBLE ** (trunc((epoch_us(start + INTERVAL 30 DAY) - epoch_us(published_at)) / 1e6) / 86400 / 7) AS w FROM {_WINDOWS}) GROUP BY ALL"),
