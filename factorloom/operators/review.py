@@ -75,10 +75,10 @@ def score_pages(pages: DataFrame) -> DataFrame:
     return rows.select(*pages.columns, score.alias("score"), F.transform("found", lambda x: x["p"]).alias("anchors"))
 
 
-def within_budget(pages: DataFrame, key: str, page: str, text: str, budget: int) -> DataFrame:
-    """Pages of each document, in order, whose texts fit ``budget`` characters together; the one that passes it is cut there."""
+def within_budget(pages: DataFrame, key: str, page: str, text: str, budget: int, least: int = 200) -> DataFrame:
+    """Pages of each document, in order, whose texts fit ``budget`` characters together; the one that passes it is cut there, or left out with ``least`` characters or less to go."""
     before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(key).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.withColumn("_b", before).where(F.col("_b") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("_b")).cast("int"))).drop("_b")
+    return pages.withColumn("_b", before).where((F.col("_b") + F.length(text) <= budget) | (F.col("_b") < budget - least)).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("_b")).cast("int"))).drop("_b")
 
 
 def extract(pages: DataFrame, extractor: Callable, schema: str) -> DataFrame:

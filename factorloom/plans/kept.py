@@ -11,6 +11,7 @@ from factorloom.operators import news as N
 from factorloom.operators import reports as O
 from factorloom.operators import runs as U
 from factorloom.operators import scoring as X
+from factorloom.operators import sections as D
 from factorloom.plans.registry import MINIMA, Model, query
 from factorloom.sources import adapters as S
 from factorloom.sources import sinks as K
@@ -199,3 +200,29 @@ def c11_truncated(spark, sf_dir):
     """Documents' texts cut to what a table's cell shows."""
     d = S.read(spark, sf_dir, "documents")
     return d.select("doc_id", C.truncated(F.col("text"), 200).alias("detail"), C.truncated(F.col("text"), 60, "...").alias("shown"))
+
+
+def _reports(spark, sf_dir):
+    """Forty documents as a report's pages, with headings of statements, tables of numbers and prose among them."""
+    d = S.read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    n = F.col("doc_id") % 16
+    head = F.when(n == 0, "Consolidated Balance  Sheet\n").when(n == 3, "Chairman's Letter, with the Cash Flow Statement\n").when(n.isin(1, 9), F.repeat(F.lit("1,234.5 (67) x "), 3000)).otherwise("")
+    rows = d.select(F.floor(F.col("doc_id") / 40).alias("doc"), (F.col("doc_id") % 40).alias("page"), F.when(F.floor(F.col("doc_id") / 40) % 7 != 3, F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+    return rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+
+
+@query
+def e7_sections(spark, sf_dir):
+    """Pages that stay within twelve and 100,000 bytes, and reports that are refused."""
+    kept, refused = D.located_sections(_reports(spark, sf_dir), max_pages=12, max_bytes=100_000)
+    told = kept.select("doc", "page", "score", "n_bytes", F.lit(None).cast("string").alias("reason"))
+    return told.unionByName(refused.select("doc", "reason"), allowMissingColumns=True)
+
+
+@query
+def e8_rendered(spark, sf_dir):
+    """Reports as texts of at most 28,000 characters. Every third page's tables hold all its lines, every third's its first line alone."""
+    pages = _reports(spark, sf_dir)
+    cells = F.when(F.col("page") % 3 == 1, F.transform(D.lines(F.col("text")), lambda x: F.array(x))).when(F.col("page") % 3 == 2, F.array(F.array(F.get(D.lines(F.col("text")), F.lit(0)), F.lit(" b "))))
+    told = D.document_text(pages.withColumn("tables", F.when(cells.isNotNull(), F.array(cells))))
+    return told.select("doc", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"), "truncated")

@@ -25,6 +25,20 @@ PARTS["window_news"] = """
 PARTS["told"] = "SELECT isin, as_of, CASE WHEN z >= 0.8 THEN 'BUY' WHEN z >= -0.8 THEN 'HOLD' ELSE 'SELL' END AS signal FROM mz WHERE z IS NOT NULL"
 PARTS["told_next"] = "SELECT *, lag(signal) OVER (PARTITION BY isin ORDER BY as_of) AS was, lead(as_of) OVER (PARTITION BY isin ORDER BY as_of) AS next FROM told"
 _WINDOWS = "(SELECT news_id, isin, score, published_at, unnest(generate_series(time_bucket(INTERVAL 10 DAY, published_at, TIMESTAMP '1970-01-01') - INTERVAL 20 DAY, time_bucket(INTERVAL 10 DAY, published_at, TIMESTAMP '1970-01-01'), INTERVAL 10 DAY)) AS start FROM news)"
+PARTS["reports"] = """
+    SELECT doc_id // 40 AS doc, doc_id % 40 AS page, doc_id // 40 % 7 <> 3 AS headed, doc_id % 16 AS k,
+      CASE WHEN doc_id // 40 % 7 = 3 THEN '' WHEN doc_id % 16 = 0 THEN 'Consolidated Balance  Sheet' || chr(10) WHEN doc_id % 16 = 3 THEN 'Chairman''s Letter, with the Cash Flow Statement' || chr(10) WHEN doc_id % 16 IN (1, 9) THEN repeat('1,234.5 (67) x ', 3000) ELSE '' END || text AS text
+    FROM documents WHERE text IS NOT NULL"""
+PARTS["report_scores"] = f"""
+    SELECT doc, page, strlen(text) AS n_bytes, CASE WHEN headed AND k IN (0, 3) THEN 10 ELSE 0 END - CASE WHEN headed AND k = 3 THEN 8 ELSE 0 END + CASE WHEN d > 0.15 THEN 4 * least(d / 0.15, 2) ELSE 0 END AS score
+    FROM (SELECT *, CASE WHEN len(t) < 20 THEN 0 ELSE len(list_filter(t, lambda x: regexp_full_match(x, '\\(?-?[0-9,]+\\.?[0-9]*\\)?')))::DOUBLE / len(t) END AS d FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t FROM reports))"""
+PARTS["report_best"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, page) AS r FROM (SELECT *, max(score) OVER (PARTITION BY doc ORDER BY page RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS near FROM report_scores) WHERE score >= 4 OR near >= 8) WHERE r <= 12"
+PARTS["report_fit"] = "SELECT *, sum(n_bytes) OVER (PARTITION BY doc) AS bytes, count(*) OVER (PARTITION BY doc) AS n FROM (SELECT *, sum(n_bytes) OVER w AS together, row_number() OVER w AS place FROM report_best WINDOW w AS (PARTITION BY doc ORDER BY score DESC, page DESC ROWS UNBOUNDED PRECEDING)) WHERE together <= 100000 OR place <= 10"
+PARTS["report_refused"] = "SELECT doc, CASE WHEN best <= 0 THEN 'no headings of financial statements' WHEN n IS NULL THEN 'no page scores enough' WHEN bytes > 100000 THEN n || ' pages still weigh ' || bytes || ' bytes' END AS reason FROM (SELECT doc, max(score) AS best FROM report_scores GROUP BY doc) LEFT JOIN (SELECT DISTINCT doc, n, bytes FROM report_fit) USING (doc)"
+PARTS["report_shown"] = """
+    SELECT doc, page, chr(10) || '--- page ' || page || ' ---' || chr(10) || CASE WHEN tabled AND (len(own) = 0 OR len(list_filter(own, lambda x: contains(out, x))) / len(own) >= 0.6) THEN out ELSE text END AS shown
+    FROM (SELECT *, page % 3 <> 0 AS tabled, list_distinct(list_filter(list_transform(l, lambda x: trim(x)), lambda x: length(x) > 12)) AS own, array_to_string(l[1:4], chr(10)) || chr(10) || CASE WHEN page % 3 = 1 THEN array_to_string(list_transform(l, lambda x: trim(x)), chr(10)) ELSE trim(coalesce(l[1], '')) || ' | b' END AS out
+      FROM (SELECT *, CASE WHEN text = '' THEN [] WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS l FROM (SELECT *, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM reports)))"""
 _ORDERS = "(SELECT o_orderkey, o_custkey, o_orderstatus, year(o_orderdate) AS y FROM orders)"
 SQL = {
     "b2_runs": sql("run_id as_of:d date:d nav:f gross_nav:f costs:f turnover:f", "SELECT * FROM run_navs WHERE k > 0"),
@@ -32,6 +46,8 @@ SQL = {
     "b6_run_metrics": sql(_METRICS, "SELECT *, round(periods / 12, 2) AS years, CASE WHEN volatility > 0 THEN (cagr - 0.065) / volatility ELSE 0 END AS sharpe, CASE WHEN down > 0 THEN (cagr - 0.065) / down ELSE 0 END AS sortino, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0 END AS calmar FROM run_figures"),
     "b11_shuffled_runs": sql("run_id date:d nav:f", "SELECT * FROM dealt_navs WHERE k > 0"),
     "k8_stored_runs": sql("run_id kind date:d isin:BIGINT value:f", "SELECT run_id, 'nav' AS kind, date, NULL AS isin, nav AS value FROM run_navs WHERE k > 0 AND run_id <> 'momentum_12_1-5-free' UNION ALL SELECT run_id, 'position', as_of, isin, weight FROM run_held WHERE run_id <> 'momentum_12_1-5-free' UNION ALL SELECT c.run_id, 'total_return', NULL, NULL, total_return FROM run_configs c LEFT JOIN run_figures f ON f.run_id = c.run_id WHERE c.run_id <> 'momentum_12_1-5-free'"),
+    "e7_sections": sql("doc page score:f n_bytes reason", "SELECT f.doc, page, score, n_bytes, NULL::VARCHAR AS reason FROM report_fit f JOIN report_refused r ON r.doc = f.doc AND r.reason IS NULL UNION ALL SELECT doc, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT, reason FROM report_refused WHERE reason IS NOT NULL"),
+    "e8_rendered": sql("doc n_chars sha256 truncated", "SELECT doc, length(t) AS n_chars, sha256(t) AS sha256, truncated FROM (SELECT doc, coalesce(string_agg(CASE WHEN n <= room THEN shown WHEN room > 200 THEN substr(shown, 1, room) END, '' ORDER BY page), '') AS t, bool_or(n > room) AS truncated FROM (SELECT *, length(shown) AS n, (28000 - coalesce(sum(length(shown)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS room FROM report_shown) GROUP BY doc)"),
     "s18_backfill": sql("isin window_start:d window_end:d articles:INT status detail fetched_at:d", "SELECT w.*, coalesce(c, 0) AS articles, CASE WHEN fine IS NULL THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN wrong = 'E' THEN substr(repeat('no route to host ', 20), 1, 200) WHEN wrong = 'T' THEN 'throttled' END AS detail, make_date(2024, 1, coalesce(fine, 3)) AS fetched_at FROM asked_windows w LEFT JOIN (SELECT isin, window_start, count(*) AS c FROM window_news GROUP BY ALL) n ON n.isin = w.isin AND n.window_start = w.window_start"),
     "s18_backfilled_articles": sql("isin url headline source published_at:VARCHAR window_start:d", "SELECT * FROM window_news"),
     "c11_truncated": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) ELSE text END AS detail, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS shown FROM documents",
