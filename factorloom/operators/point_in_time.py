@@ -43,8 +43,9 @@ def latest_known(grid: DataFrame, facts: DataFrame, known: str, order: list[Colu
     rows = told.unionByName(asked, allowMissingColumns=True)
     before = Window.partitionBy("isin").orderBy("_day", "_asked").rowsBetween(Window.unboundedPreceding, -1)
     for k in range(n):
-        rows = rows.withColumn("_b", F.min("_x").over(before)).withColumn(f"_best{k}", F.least("_b", "_x"))
-        rows = rows.withColumn("_x", F.when(F.col("_b").isNotNull() & F.col("_x").isNotNull(), F.greatest("_b", "_x")))
+        kept = ["isin", "as_of", "_day", "_asked", *(f"_best{i}" for i in range(k))]
+        beaten = F.when(F.col("_b").isNotNull() & F.col("_x").isNotNull(), F.greatest("_b", "_x"))
+        rows = rows.select(*kept, "_x", F.min("_x").over(before).alias("_b")).select(*kept, F.least("_b", "_x").alias(f"_best{k}"), beaten.alias("_x"))
     best = F.array_compact(F.array(*(F.col(f"_best{k}._row") for k in range(n))))
     found = rows.where("_asked = 1").select("as_of", "isin", F.posexplode(best).alias("_at", "_row"))
     return found.select("as_of", "isin", *(F.col("_row")[c].alias(c) for c in columns), (F.col("_at") + 1).alias("rn"))
