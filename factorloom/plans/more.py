@@ -44,9 +44,9 @@ def s4_normalise_ohlcv(spark, sf_dir):
 
 @query
 def s5_cached_prices(spark, sf_dir):
-    """Prices of 1999: even companies' have landed, the others' are fetched."""
+    """All prices: even companies' have landed, the others' are fetched."""
     p = S.prices_daily(spark, sf_dir).select(text("isin").alias("isin"), "date", F.col("adj_close").alias("close"), "adj_close", "volume")
-    targets = S.instruments(spark, sf_dir).select(F.col("isin").alias("k"), text("isin").alias("isin"), date("1999-01-01").alias("start"), date("1999-12-31").alias("end"))
+    targets = S.instruments(spark, sf_dir).select(F.col("isin").alias("k"), text("isin").alias("isin"), date("1990-01-01").alias("start"), date("2009-12-31").alias("end"))
     stored = p.where("cast(isin AS bigint) % 2 = 0").select("isin", "date", F.lit(None).cast("double").alias("open"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), "close", "adj_close", "volume")
     fetch = lambda missing: p.join(missing, "isin").where(F.col("date").between(F.col("start"), F.col("end"))).select(p.columns)
     got = L.through_cache(targets.drop("k"), targets.where("k % 2 = 0"), stored, fetch)
@@ -381,7 +381,9 @@ def e11_review_detail(spark, sf_dir):
 def e4_routing(spark, sf_dir):
     rows = _reviews(spark, sf_dir).withColumn("confidence", F.round("confidence", 1))
     every, stored, review = E.route(rows)
-    return every.groupBy("status").agg(F.count("*").alias("n")).join(stored.groupBy("status").agg(F.count("*").alias("stored")), "status").join(review.groupBy("status").agg(F.count("*").alias("review")), "status")
+    where = lambda rows, name: rows.select("attempt_id", F.lit(True).alias(name))
+    told = every.select("attempt_id", "status").join(where(stored, "stored"), "attempt_id", "left").join(where(review, "review"), "attempt_id", "left")
+    return told.select("attempt_id", "status", F.coalesce("stored", F.lit(False)).alias("stored"), F.coalesce("review", F.lit(False)).alias("review"))
 
 
 @query
@@ -439,7 +441,7 @@ def c5_article_ids(spark, sf_dir):
     d = S.read(spark, sf_dir, "documents").where("text is not null")
     at = F.lit("2024-01-05 10:00:00").cast("timestamp_ntz")
     url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" http://x/"), text("doc_id"))).otherwise(" ")
-    article = C.article_id(url, F.substring("text", 1, 60), at)
+    article = C.article_id(url, F.col("text"), at)
     return d.select("doc_id", article.alias("article_id"), C.news_id(article, F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).alias("news_id"))
 
 
@@ -456,15 +458,17 @@ def c13_amounts_in_crore(spark, sf_dir):
 
 @query
 def c14_config_version(spark, sf_dir):
-    return spark.range(1).select(F.lit(K.run_id({"weights": {"value": 0.25, "quality": 0.3}, "buy": 75.0, "sell": 45.0})).alias("version"))
+    """The version of each order's settings, as ``run_id`` names a configuration."""
+    o = S.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 5).alias("top_n"))
+    return K.run_ids(o, ["priority", "status", "top_n"], "version").select("o_orderkey", "version")
 
 
 @query
 def c17_scoring_text(spark, sf_dir):
     d = S.read(spark, sf_dir, "documents").where("text is not null")
-    head = F.substring("text", 1, 40)
-    body = F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 4 == 1, F.lit("  ")).when(F.col("doc_id") % 4 == 2, head).otherwise(F.substring("text", 41, 100))
-    return d.select("doc_id", F.substring(N.scoring_text(head, body), 1, 1000).alias("said"))
+    head = F.concat(F.lit(" "), "source", F.lit(" in "), "lang")
+    body = F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 4 == 1, F.lit("  ")).when(F.col("doc_id") % 4 == 2, head).otherwise(F.col("text"))
+    return d.select("doc_id", N.scoring_text(head, body).alias("said"))
 
 
 @query
@@ -512,7 +516,7 @@ def x14_drivers(spark, sf_dir):
 def x15_stale(spark, sf_dir):
     m = Model(spark, sf_dir)
     scores = m.grid().select("as_of", "isin", F.when(F.col("as_of") < date("2000-01-01"), "v1").otherwise("v2").alias("version"))
-    return O.stale(scores, "v2").groupBy("stale").agg(F.count("*").alias("n"))
+    return O.stale(scores, "v2")
 
 
 def _visible(m: Model, facts, known: str, last: str):
@@ -618,7 +622,7 @@ def r7_reresolved(spark, sf_dir):
 @query
 def r8_scored_once(spark, sf_dir):
     """Each distinct text is scored once: here by its length."""
-    d = S.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.substring("text", 1, 30).alias("text"))
+    d = S.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     return N.score_once(d, "text", lambda t: t.select("text", F.length("text").cast("long").alias("score"))).select("doc_id", "score")
 
 

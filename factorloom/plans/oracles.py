@@ -233,7 +233,7 @@ _LONG = "as_of:d isin factor raw:f"
 SQL = {
     "s1_instruments": sql("isin symbol name sector industry", "SELECT * FROM instruments"),
     "s4_prices_daily": sql("isin date:d adj_close:f volume traded_value:f", "SELECT * FROM prices"),
-    "b1_month_ends": sql("as_of:d", "SELECT * FROM dates"),
+    "b1_month_ends": sql("as_of:d", "SELECT last_day(d)::DATE AS as_of FROM (SELECT unnest(generate_series(date_trunc('month', a), b::TIMESTAMP, INTERVAL 1 MONTH)) AS d, b FROM (SELECT min(date) AS a, max(date) AS b FROM prices)) WHERE last_day(d)::DATE <= b"),
     "p1_universe": sql("isin as_of:d sector industry", "SELECT * FROM grid"),
     "p2_prices_lookback": sql("as_of:d isin n mean_price:f", "SELECT g.as_of, g.isin, count(*) AS n, avg(adj_close) AS mean_price FROM grid g JOIN prices p ON p.isin = g.isin AND p.date BETWEEN g.as_of - 30 AND g.as_of GROUP BY ALL"),
     "p3_fundamentals_latest": sql("as_of:d isin period_end_date:d revenue:f pat:f ocf:f", "SELECT * FROM (SELECT a.*, g.as_of, row_number() OVER (PARTITION BY as_of, g.isin ORDER BY period_end_date DESC, filing_date DESC) AS k FROM grid g JOIN annual a ON a.isin = g.isin AND filing_date <= as_of AND basis = 'CONSOLIDATED') WHERE k = 1"),
@@ -275,7 +275,7 @@ SQL = {
     "b9_attribution_summary": sql("factor periods ic_mean:f ic_t:f hit_rate:f spread_year:f coverage:f monotonic", "SELECT *, (SELECT avg(c) FROM (SELECT as_of, count(z) / count(*) AS c FROM mzz WHERE mzz.factor = s.factor AND as_of IN (SELECT as_of FROM returns GROUP BY as_of HAVING count(fwd) >= 10) GROUP BY as_of)) AS coverage, (SELECT bool_and(up) FROM (SELECT coalesce(r >= lag(r) OVER (ORDER BY bucket), true) AS up FROM (SELECT bucket, avg(r) AS r FROM (SELECT as_of, bucket, avg(fwd) AS r FROM ics_3 WHERE ics_3.factor = s.factor GROUP BY ALL) GROUP BY bucket))) AS monotonic FROM (SELECT factor, count(ic) AS periods, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS ic_t, avg((ic > 0)::INT) AS hit_rate, 12 * avg(spread) AS spread_year FROM ics GROUP BY factor) s"),
     "c3_story_dedup": sql("doc_id content_hash is_first", f"SELECT doc_id, h AS content_hash, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) = 1 AS is_first FROM (SELECT *, substr(sha1({_NORMAL.format('text')}), 1, 16) AS h FROM documents)"),
     "r3_mentions": sql("doc_id start:INT n:INT alias isin", f"SELECT doc_id, i AS start, 3 AS n, alias, isin FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM (SELECT doc_id, string_split({_NORMAL.format('text')}, ' ') AS w FROM documents)) JOIN (SELECT alias, min(item_id) AS isin FROM (SELECT item_id, array_to_string(string_split({_NORMAL.format('text')}, ' ')[:3], ' ') AS alias FROM benchmark) GROUP BY alias HAVING count(DISTINCT item_id) = 1) ON alias = w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]"),
-    "r5_roundups": sql("method confidence:f n", "SELECT CASE WHEN c > 3 THEN 'ROUNDUP' ELSE 'HEADLINE' END AS method, CASE WHEN c > 3 THEN 0.5 ELSE 0.95 END AS confidence, sum(c)::BIGINT AS n FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY 1) GROUP BY 1, 2"),
+    "r5_roundups": sql("l_orderkey isin confidence:f method", "SELECT l_orderkey, isin, CASE WHEN c > 3 THEN 0.5 ELSE 0.95 END AS confidence, CASE WHEN c > 3 THEN 'ROUNDUP' ELSE 'HEADLINE' END AS method FROM (SELECT l_orderkey, l_suppkey AS isin, count(*) OVER (PARTITION BY l_orderkey) AS c FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem))"),
     "e1_validation": sql("isin period_end_date:d basis failed confidence:f", "SELECT *, CASE WHEN failed LIKE '%pbt_tax_pat%' THEN 0.0 WHEN failed LIKE '%,%' THEN 0.3 WHEN failed <> '' THEN 0.6 ELSE 1.0 END AS confidence FROM (SELECT isin, period_end_date, basis, concat_ws(',', CASE WHEN abs(pbt - tax - pat) > 0.02 * greatest(abs(pbt - tax), abs(pat)) THEN 'pbt_tax_pat' END, CASE WHEN isin % 4 = 0 THEN 'revenue_vs_total_income' END, CASE WHEN abs(ocf - capex - fcf) > 0.01 * greatest(abs(ocf - capex), abs(fcf)) THEN 'fcf_identity' END) AS failed FROM (SELECT isin, period_end_date, basis, pat, ocf, capex, fcf, profit_before_tax AS pbt, profit_before_tax - pat + CASE WHEN isin % 11 = 0 THEN 10000.0 ELSE 0.0 END AS tax FROM annual))"),
     "e2_quarters_against_year": sql("isin period_end_date:d yearly:f quarters:f passed", "SELECT a.isin, a.period_end_date, a.revenue AS yearly, q.quarters, CASE WHEN n = 4 THEN abs(a.revenue - quarters) / greatest(abs(a.revenue), abs(quarters)) <= 0.1 END AS passed FROM annual a LEFT JOIN (SELECT isin, year(period_end_date) AS y, count(*) AS n, sum(revenue) AS quarters FROM quarterly GROUP BY ALL) q ON q.isin = a.isin AND y = year(a.period_end_date) WHERE basis = 'CONSOLIDATED'"),
     "k1_upsert": "SELECT o_orderkey, o_custkey, CASE WHEN year(o_orderdate) = 1998 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders",
@@ -289,7 +289,7 @@ SQL = {
     "a2_signal_counts": sql("as_of:d signal n", "SELECT as_of, CASE WHEN n_flags > 0 THEN 'SELL' WHEN factor_score >= 75 THEN 'BUY' WHEN factor_score >= 45 THEN 'HOLD' ELSE 'SELL' END AS signal, count(*) AS n FROM scored LEFT JOIN flag_sums USING (as_of, isin) WHERE factor_score IS NOT NULL GROUP BY 1, 2"),
     "a19_dominant_family": sql("as_of:d isin dominant", "SELECT as_of, isin, last(family ORDER BY abs(c), family) AS dominant FROM (SELECT as_of, isin, family, fw * family_z / sum(CASE WHEN family_z IS NOT NULL THEN fw END) OVER (PARTITION BY as_of, isin) AS c FROM families) WHERE c IS NOT NULL GROUP BY ALL"),
     "s18_pending_windows": sql("isin window_start:d window_end:d", "SELECT isin, d::DATE AS window_start, last_day(d)::DATE AS window_end FROM instruments, (SELECT unnest(generate_series(DATE '1999-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS d) WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.isin = instruments.isin AND date_trunc('month', p.date) = d)"),
-    "x17_missing_reasons": sql("as_of:d reason n", "SELECT as_of, CASE WHEN f IS NULL THEN 'NO_PRICES' WHEN f > as_of THEN 'NOT_YET' WHEN l < as_of THEN 'ENDED' ELSE 'GAP' END AS reason, count(*) AS n FROM (SELECT g.as_of, g.isin, CASE WHEN g.as_of - p.date <= 3 THEN adj_close END AS raw FROM grid g ASOF LEFT JOIN prices p ON g.isin = p.isin AND g.as_of >= p.date) LEFT JOIN (SELECT isin, min(date) AS f, max(date) AS l FROM prices GROUP BY isin) USING (isin) WHERE raw IS NULL GROUP BY 1, 2"),
+    "x17_missing_reasons": sql("as_of:d isin reason", "SELECT as_of, isin, CASE WHEN f IS NULL THEN 'NO_PRICES' WHEN f > as_of THEN 'NOT_YET' WHEN l < as_of THEN 'ENDED' ELSE 'GAP' END AS reason FROM (SELECT g.as_of, g.isin, CASE WHEN g.as_of - p.date <= 3 THEN adj_close END AS raw FROM grid g ASOF LEFT JOIN prices p ON g.isin = p.isin AND g.as_of >= p.date) LEFT JOIN (SELECT isin, min(date) AS f, max(date) AS l FROM prices GROUP BY isin) USING (isin) WHERE raw IS NULL"),
     "e5_duplicate_periods": sql("l_orderkey l_linestatus l_extendedprice:f", "WITH r AS (SELECT DISTINCT l_orderkey, l_linestatus, l_extendedprice FROM lineitem), a AS (SELECT * FROM r UNION ALL SELECT l_orderkey, 'Z', l_extendedprice FROM r WHERE l_orderkey % 3 = 0), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linestatus) AS n FROM a WHERE l_extendedprice > 0), s AS (SELECT l_orderkey, v[len(v) // 2 + 1] AS scale FROM (SELECT l_orderkey, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM n WHERE n = 1 GROUP BY 1)) SELECT l_orderkey, l_linestatus, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY abs(log10(l_extendedprice / coalesce(scale, l_extendedprice))), l_extendedprice) AS k FROM n LEFT JOIN s USING (l_orderkey) WHERE n = 1 OR scale IS NOT NULL) WHERE k = 1"),
     "e7_page_selection": "WITH p AS (SELECT l_orderkey, l_linenumber::BIGINT AS page, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), m AS (SELECT *, max(score) OVER (PARTITION BY l_orderkey ORDER BY page RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, page) AS k FROM m WHERE score >= 30 OR near >= 45) SELECT l_orderkey, page, score FROM k WHERE k <= 3",
     "e10_disagreements": sql("isin flag y:INT low:f high:f", "SELECT isin, flag, year(date) AS y, min(ext::DOUBLE / qty::DOUBLE) AS low, max(ext::DOUBLE / qty::DOUBLE) AS high FROM ln GROUP BY ALL HAVING count(*) > 1 AND max(ext::DOUBLE / qty::DOUBLE) - min(ext::DOUBLE / qty::DOUBLE) > 0.01 * max(ext::DOUBLE / qty::DOUBLE)"),

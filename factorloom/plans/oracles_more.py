@@ -44,7 +44,7 @@ _ARTICLES = "(SELECT CASE WHEN doc_id % 3 <> 0 THEN 'http://x/' || doc_id ELSE '
 SQL = {
     "s2_constituents": "SELECT 'INE' || lpad(s_suppkey::VARCHAR, 9, '0') AS isin, 'S' || s_suppkey AS nse_symbol, s_name AS name, s_nationkey::VARCHAR AS industry FROM supplier WHERE s_suppkey % 4 <> 0",
     "s4_normalise_ohlcv": sql("isin date:d open:f close:f adj_close:f volume", "SELECT isin::VARCHAR AS isin, date, NULL AS open, adj_close * 2 AS close, CASE WHEN isin % 3 <> 0 THEN adj_close ELSE adj_close * 2 END AS adj_close, volume FROM prices WHERE isin % 7 <> 0"),
-    "s5_cached_prices": sql("isin cached n mean_close:f", "SELECT isin::VARCHAR AS isin, isin % 2 = 0 AS cached, count(*) AS n, avg(adj_close) AS mean_close FROM prices WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' GROUP BY ALL"),
+    "s5_cached_prices": sql("isin cached n mean_close:f", "SELECT isin::VARCHAR AS isin, isin % 2 = 0 AS cached, count(*) AS n, avg(adj_close) AS mean_close FROM prices GROUP BY ALL"),
     "s6_quarterly_json": sql("isin period_end_date:d filing_date:d revenue:f pat:f", "SELECT isin, period_end_date, CASE WHEN isin % 4 = 0 THEN period_end_date + 45 ELSE period_end_date + 20 END AS filing_date, floor(revenue) * 0.01::DOUBLE AS revenue, floor(pat) * 0.01::DOUBLE AS pat FROM quarterly WHERE isin % 5 <> 0"),
     "s7_filing_index": sql("isin period_end_date:d broadcast_date:d relating_to is_consolidated is_audited basis xbrl_url", "SELECT isin, period_end_date, CASE WHEN isin % 4 <> 0 THEN period_end_date + 30 END AS broadcast_date, 'Quarterly' AS relating_to, CASE isin % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_consolidated, isin % 2 = 0 AS is_audited, CASE isin % 3 WHEN 0 THEN 'CONSOLIDATED' WHEN 1 THEN 'STANDALONE' ELSE 'UNKNOWN' END AS basis, CASE WHEN isin % 6 <> 0 THEN 'https://x/' || isin || '.xml' END AS xbrl_url FROM quarterly"),
     "s8_crawl_windows": sql("isin window_start:d window_end:d", "SELECT isin, s AS window_start, least(s + 89, b) AS window_end FROM (SELECT isin, b, unnest(generate_series(a, b, INTERVAL 90 DAY))::DATE AS s FROM (SELECT isin, min(date) AS a, max(date) AS b FROM prices GROUP BY isin))"),
@@ -81,25 +81,25 @@ SQL = {
     "e11_review_queue": sql("attempt_id isin symbol confidence:f queued_at:d", f"SELECT * FROM {_REVIEWS} r LEFT JOIN instruments i USING (isin) WHERE status = 'PENDING' ORDER BY confidence, queued_at, attempt_id LIMIT 50"),
     "e11_review_summary": sql("status n avg_confidence:f", f"SELECT status, count(*) AS n, round(avg(confidence), 2) AS avg_confidence FROM {_REVIEWS} GROUP BY status"),
     "e11_review_detail": sql("filing_id symbol filing_date:d revenue unit", "SELECT isin * 10 + year(period_end_date) % 10 AS filing_id, symbol, filing_date, floor(revenue)::BIGINT AS revenue, 'CRORE' AS unit FROM consolidated JOIN instruments USING (isin)"),
-    "e4_routing": sql("status n stored review", f"SELECT status, count(*) AS n, count(*) FILTER (round(confidence, 1) >= 0.6) AS stored, count(*) FILTER (round(confidence, 1) < 1) AS review FROM {_REVIEWS} GROUP BY status"),
+    "e4_routing": f"SELECT attempt_id, status, round(confidence, 1) >= 0.6 AS stored, round(confidence, 1) < 1 AS review FROM {_REVIEWS}",
     "e6_annual_filings": sql("isin fiscal_year:INT basis fcf:f auditor_opinion reason", "SELECT isin, year(period_end_date) AS fiscal_year, CASE WHEN isin % 6 <> 0 AND pat IS NOT NULL THEN basis END AS basis, CASE WHEN isin % 6 <> 0 AND isin % 4 <> 0 THEN ocf - capex END AS fcf, CASE WHEN isin % 6 <> 0 THEN CASE isin % 3 WHEN 0 THEN 'UNMODIFIED' WHEN 1 THEN 'QUALIFIED' END END AS auditor_opinion, CASE WHEN isin % 6 = 0 THEN 'missing pat' END AS reason FROM annual WHERE isin % 5 = 0 OR basis = 'CONSOLIDATED'"),
     "e8_page_budget": "SELECT doc, page, least(n, 20000 - b)::BIGINT AS n_chars FROM (SELECT concat_ws('-', source, lang) AS doc, doc_id AS page, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY concat_ws('-', source, lang) ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE text IS NOT NULL) WHERE b + n <= 20000 OR b < 19800",
     "e10_model_rates": sql("model n succeeded persisted clean nse_checked nse_agreed cost:f seconds:f persist_rate:f nse_rate:f", "SELECT *, persisted / n AS persist_rate, CASE WHEN nse_checked > 0 THEN nse_agreed / nse_checked END AS nse_rate FROM (SELECT model, count(*) AS n, count(*) FILTER (done) AS succeeded, count(*) FILTER (done AND c >= 0.6) AS persisted, count(*) FILTER (done AND c >= 1) AS clean, count(*) FILTER (done AND k % 3 <> 0) AS nse_checked, count(*) FILTER (done AND k % 3 <> 0 AND k % 2 = 0) AS nse_agreed, count(*) * 0.5 AS cost, sum(k % 9) AS seconds FROM (SELECT 'm' || (o_custkey % 3) AS model, o_orderkey AS k, o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AS done, round(o_orderkey % 4 * 0.35::DOUBLE, 2) AS c FROM orders) GROUP BY model)"),
     "e12_narrative_inputs": sql("as_of:d isin score:f signal strengths weaknesses red_flags", "SELECT c.as_of, c.isin, CASE WHEN n_flags = 0 THEN factor_score END AS score, CASE WHEN factor_score IS NULL THEN NULL WHEN n_flags > 0 THEN 'SELL' WHEN factor_score >= 75 THEN 'BUY' WHEN factor_score >= 45 THEN 'HOLD' ELSE 'SELL' END AS signal, strengths, weaknesses, red_flags FROM scored c LEFT JOIN flag_sums USING (as_of, isin) LEFT JOIN (SELECT as_of, isin, array_to_string((list(factor ORDER BY -z, factor) FILTER (z > 0))[:3], ',') AS s0, array_to_string((list(factor ORDER BY z, factor) FILTER (z < 0))[:3], ',') AS w0, coalesce(s0, '') AS strengths, coalesce(w0, '') AS weaknesses FROM (SELECT as_of, isin, factor, CASE WHEN factor IN ('debt_to_equity', 'accruals') THEN -z ELSE z END AS z FROM fz) WHERE z IS NOT NULL GROUP BY as_of, isin) d USING (as_of, isin)"),
     "c16_page_scores": sql("doc_id score:f anchors", "SELECT doc_id, CASE WHEN k = 0 THEN 10 WHEN k = 1 THEN 10 ELSE 0 END + CASE WHEN d > 0.15 THEN 4 * least(d / 0.15, 2) ELSE 0 END - CASE WHEN k = 1 THEN 8 ELSE 0 END AS score, CASE WHEN k = 0 THEN 'balance\\s+sheet' WHEN k = 1 THEN 'cash\\s*flow\\s+statement' ELSE '' END AS anchors FROM (SELECT doc_id, doc_id % 5 AS k, CASE WHEN len(t) < 20 THEN 0 ELSE len(list_filter(t, lambda x: regexp_full_match(x, '\\(?-?[0-9,]+\\.?[0-9]*\\)?')))::DOUBLE / len(t) END AS d FROM (SELECT doc_id, list_filter(regexp_split_to_array(CASE doc_id % 5 WHEN 0 THEN 'Consolidated Balance  Sheet ' WHEN 1 THEN 'Chairman''s Letter, with the Cash Flow Statement ' WHEN 2 THEN repeat('1,234.5 (67) x ', 400) ELSE '' END || text, '\\s+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL))"),
     "c4_legal_names": f"SELECT s_suppkey, {_NORMAL.format('s_name')} || CASE WHEN s_suppkey % 6 = 3 THEN ' pvt' ELSE '' END AS name FROM supplier",
-    "c5_article_ids": f"SELECT doc_id, a AS article_id, a || CASE WHEN doc_id % 3 = 0 THEN ':' || doc_id ELSE '' END AS news_id FROM (SELECT doc_id, substr(sha1(CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id ELSE {_NORMAL.format('substr(text, 1, 60)')} || '|2024-01-05' END), 1, 20) AS a FROM documents WHERE text IS NOT NULL)",
+    "c5_article_ids": f"SELECT doc_id, a AS article_id, a || CASE WHEN doc_id % 3 = 0 THEN ':' || doc_id ELSE '' END AS news_id FROM (SELECT doc_id, substr(sha1(CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id ELSE {_NORMAL.format('text')} || '|2024-01-05' END), 1, 20) AS a FROM documents WHERE text IS NOT NULL)",
     "c6_indian_time": "SELECT event_id, (ts + INTERVAL 330 MINUTE)::VARCHAR AS local FROM events",
     "c13_amounts_in_crore": sql("o_orderkey crore:f", "SELECT o_orderkey, o_totalprice::DOUBLE * [1e-7, 1e-4, 1e-2, 1e-1, 1.0, 1e2][o_orderkey % 6 + 1] AS crore FROM orders"),
-    "c14_config_version": "SELECT substr(sha256('{\"buy\": 75.0, \"sell\": 45.0, \"weights\": {\"quality\": 0.3, \"value\": 0.25}}'), 1, 8) AS version",
-    "c17_scoring_text": "SELECT doc_id, trim(substr(text, 1, 40), ' ') || CASE WHEN doc_id % 4 = 3 AND trim(substr(text, 41, 100), ' ') NOT IN ('', trim(substr(text, 1, 40), ' ')) THEN '. ' || trim(substr(text, 41, 100), ' ') ELSE '' END AS said FROM documents WHERE text IS NOT NULL",
+    "c14_config_version": "SELECT o_orderkey, substr(sha256('{\"priority\": \"' || o_orderpriority || '\", \"status\": \"' || o_orderstatus || '\", \"top_n\": ' || o_custkey % 5 || '}'), 1, 8) AS version FROM orders",
+    "c17_scoring_text": "SELECT doc_id, head || CASE WHEN doc_id % 4 = 3 AND trim(text, ' ') NOT IN ('', head) THEN '. ' || trim(text, ' ') ELSE '' END AS said FROM (SELECT *, source || ' in ' || lang AS head FROM documents WHERE text IS NOT NULL)",
     "c18_shown": "SELECT p_partkey, p_partkey || CASE WHEN p_partkey % 100 BETWEEN 10 AND 20 THEN 'th' ELSE CASE p_partkey % 10 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END END AS place, CASE WHEN p_partkey % 50 = 0 THEN '—' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s // 3600 || 'h ' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || 'm' END AS took, CASE WHEN p_partkey % 9 = 0 THEN '' WHEN a >= 100 THEN format('{:,.0f}', a) ELSE format('{:,.2f}', a) END AS amount FROM (SELECT p_partkey, p_partkey * 7 AS s, p_partkey::DOUBLE * 25 / 4 AS a FROM part)",
     "c19_json": "SELECT o_orderstatus AS status, o_orderkey AS k, o_custkey AS first_key FROM orders",
     "c21_token_costs": sql("o_orderkey cost:f", "SELECT o_orderkey, (r.i * (o_custkey * 100 + 1.25 * (o_orderkey % 10 * 50) + 0.1 * (o_orderkey % 7 * 90)) + r.o * o_custkey) * CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 1 END / 1e6 AS cost FROM orders ASOF JOIN (VALUES (0, DATE '1990-01-01', 3.0::DOUBLE, 15.0::DOUBLE), (0, DATE '1995-06-01', 2.0, 10.0), (1, DATE '1994-01-01', 0.5, 4.0)) r(m, since, i, o) ON o_custkey % 2 = r.m AND o_orderdate::DATE >= r.since"),
     "c22_local_names": "SELECT p_partkey, p_brand AS name FROM part",
     "x14_factor_rows": sql("as_of:d isin family factor z:f share:f", "SELECT as_of, isin, 'momentum' AS family, factor, z, share FROM mshare"),
     "x14_drivers": sql("as_of:d isin strengths weaknesses", "SELECT as_of, isin, coalesce(array_to_string((list(factor ORDER BY -z, factor) FILTER (z > 0))[:3], ','), '') AS strengths, coalesce(array_to_string((list(factor ORDER BY z, factor) FILTER (z < 0))[:3], ','), '') AS weaknesses FROM mfz WHERE z IS NOT NULL GROUP BY ALL"),
-    "x15_stale": sql("stale n", "SELECT as_of < DATE '2000-01-01' AS stale, count(*) AS n FROM grid GROUP BY 1"),
+    "x15_stale": sql("as_of:d isin version stale", "SELECT as_of, isin, CASE WHEN as_of < DATE '2000-01-01' THEN 'v1' ELSE 'v2' END AS version, as_of < DATE '2000-01-01' AS stale FROM grid"),
     "x16_dataset_status": sql("as_of:d isin dataset n last:d status", "SELECT * FROM statuses"),
     "x17_diagnosis": sql("as_of:d isin factor dataset reason", """
       SELECT r.as_of, r.isin, factor, CASE factor
@@ -124,7 +124,7 @@ SQL = {
     "r4_best_mentions": sql("id isin confidence:f method", "SELECT id, isin, c AS confidence, m AS method FROM (SELECT *, row_number() OVER (PARTITION BY id, isin ORDER BY c DESC, m DESC, n DESC) AS r FROM (SELECT l_orderkey AS id, l_suppkey % 20 AS isin, l_linenumber AS n, CASE WHEN l_returnflag = 'N' THEN l_linenumber * 0.1::DOUBLE + 0.2 ELSE round((l_linenumber * 0.1::DOUBLE + 0.2) * 0.7, 4) END AS c, CASE WHEN l_returnflag = 'N' THEN 'HEADLINE' ELSE 'BODY' END AS m FROM lineitem)) WHERE r = 1"),
     "r6_stored_articles": f"SELECT news_id, isin, content_hash, day::VARCHAR AS day FROM (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY day) AS k FROM (SELECT *, row_number() OVER (PARTITION BY isin, content_hash, day ORDER BY news_id) AS j FROM (SELECT substr(sha1(CASE WHEN url <> '' THEN url ELSE lower(headline) || '|' || day::DATE::VARCHAR END), 1, 20) || CASE WHEN k % 4 <> 0 THEN ':' || (k % 7) ELSE '' END AS news_id, CASE WHEN k % 4 <> 0 THEN (k % 7)::INT END AS isin, substr(sha1(lower(headline)), 1, 16) AS content_hash, day::DATE AS day FROM {_ARTICLES})) WHERE j = 1) WHERE k = 1",
     "r7_reresolved": "WITH l AS (SELECT l_orderkey, l_suppkey, max(year(l_shipdate)) AS y FROM lineitem GROUP BY ALL) SELECT CASE WHEN y = 1998 THEN 'REMOVED' ELSE 'CHANGED' END AS change, count(*) AS n FROM l WHERE y >= 1996 GROUP BY 1 UNION ALL SELECT 'SCORES', count(*) FROM l WHERE y <> 1998",
-    "r8_scored_once": "SELECT doc_id, length(substr(text, 1, 30)) AS score FROM documents WHERE text IS NOT NULL",
+    "r8_scored_once": "SELECT doc_id, length(text) AS score FROM documents WHERE text IS NOT NULL",
     "r9_signed_scores": sql("text label score:f", "SELECT event_id::VARCHAR AS text, CASE WHEN p >= g AND p >= u THEN 'positive' WHEN g >= u THEN 'negative' ELSE 'neutral' END AS label, (p - g) / 10.0::DOUBLE AS score FROM (SELECT event_id, event_id % 7 AS p, event_id % 5 AS g, event_id % 3 AS u FROM events)"),
     "r10_confirmed": sql("id isin confidence:f method", "SELECT l_orderkey AS id, l_suppkey AS isin, 0.9 AS confidence, 'BODY' AS method FROM lineitem a WHERE l_linenumber = 1 AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey = a.l_suppkey AND b.l_returnflag = 'R')"),
 }

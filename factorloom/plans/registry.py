@@ -112,7 +112,8 @@ def s4_prices_daily(spark, sf_dir):
 
 @query
 def b1_month_ends(spark, sf_dir):
-    return S.month_ends(spark, FIRST, LAST)
+    """Month ends from the first to the last price."""
+    return S.month_ends_of(S.prices_daily(spark, sf_dir), "date")
 
 
 @query
@@ -379,7 +380,7 @@ def r3_mentions(spark, sf_dir):
 def r5_roundups(spark, sf_dir):
     """Orders as articles, suppliers as companies: those on many say little of each."""
     rows = S.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("isin"), F.lit(0.95).alias("confidence"), F.lit("HEADLINE").alias("method")).distinct()
-    return N.demote_roundups(rows, "l_orderkey").groupBy("method", "confidence").agg(F.count("*").alias("n"))
+    return N.demote_roundups(rows, "l_orderkey")
 
 
 @query
@@ -475,7 +476,7 @@ def x17_missing_reasons(spark, sf_dir):
     p = m.prices.groupBy("isin").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     rows = P.price_as_of(m.grid().select("as_of", "isin"), m.prices, "as_of", 3, "raw").join(p, "isin", "left")
     told = R.missing_reason(rows, [("NO_PRICES", F.col("first").isNull()), ("NOT_YET", F.col("first") > F.col("as_of")), ("ENDED", F.col("last") < F.col("as_of")), ("GAP", F.lit(True))])
-    return told.where("raw is null").groupBy("as_of", "reason").agg(F.count("*").alias("n"))
+    return told.where("raw is null").select("as_of", "isin", "reason")
 
 
 @query

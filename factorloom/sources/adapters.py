@@ -111,3 +111,10 @@ def month_ends(spark: SparkSession, first: str, last: str) -> DataFrame:
     """as_of: the month ends from first to last."""
     months = F.sequence(F.trunc(F.lit(first).cast("date"), "month"), F.lit(last).cast("date"), F.expr("interval 1 month"))
     return spark.range(1).select(F.explode(F.transform(months, F.last_day)).alias("as_of")).where(F.col("as_of").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
+def month_ends_of(rows: DataFrame, day: str) -> DataFrame:
+    """as_of: the month ends from the first to the last day of ``rows``."""
+    span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b"))  # one row
+    months = F.sequence(F.trunc("a", "month"), F.col("b"), F.expr("interval 1 month"))
+    return span.select("b", F.explode(F.transform(months, F.last_day)).alias("as_of")).where("as_of <= b").select("as_of")

@@ -45,6 +45,13 @@ def run_id(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:8]
 
 
+def run_ids(rows: DataFrame, columns: list[str], out: str = "run_id") -> DataFrame:
+    """Adds ``run_id`` of the settings in ``columns`` (texts, numbers and truth values) for each row."""
+    value = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(F.col(c)), {"ignoreNullFields": "false"}), r"^\[|\]$", ""), F.lit("null"))
+    parts = [F.concat(F.lit(f"{json.dumps(c)}: "), value(c)) for c in sorted(columns)]
+    return rows.withColumn(out, F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 8))
+
+
 def backtest_tables(config: dict, curve: DataFrame, weights: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
     """Tables of a backtest: its run (run_id, config, metrics as JSON), nav and positions, each with run_id."""
     name = F.lit(run_id(config)).alias("run_id")
