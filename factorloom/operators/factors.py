@@ -118,6 +118,22 @@ def quarterly_growth(recent: DataFrame, column: str) -> DataFrame:
     return base.where("base > 0").select("as_of", "isin", (F.col("x0") / F.col("base") - 1).alias("yoy"))
 
 
+def same_quarter_last_year(quarters: DataFrame, column: str, days: int = 14) -> DataFrame:
+    """isin, period_end_date, value, before, change: each quarter beside the one nearest to 365 days before it, within ``days`` (the earlier of equals); the change is a share of the earlier amount's size.
+
+    Quarters meet by the months that the span touches, not each with each of a company.
+    """
+    rows = quarters.select("isin", "period_end_date", F.col(column).alias("value"))
+    target = F.date_sub("period_end_date", 365)
+    near = F.array_distinct(F.array(F.trunc(F.date_sub(target, days), "month"), F.trunc(F.date_add(target, days), "month")))
+    before = rows.where("value IS NOT NULL").select("isin", F.trunc("period_end_date", "month").alias("_m"), F.col("period_end_date").alias("_p"), F.col("value").alias("_v"))
+    gap = F.abs(F.datediff("_p", target))
+    met = rows.withColumn("_m", F.explode(near)).join(before, ["isin", "_m"]).where(gap <= days)
+    best = met.groupBy("isin", "period_end_date").agg(F.min_by("_v", F.struct(gap, F.col("_p"))).alias("before"))
+    told = rows.join(best, ["isin", "period_end_date"], "left")
+    return told.withColumn("change", (F.col("value") - F.col("before")) / F.nullif(F.abs("before"), F.lit(0.0)))
+
+
 #: months before a date at which momentum looks, and how old a price may be there
 LAGS, PRICE_DAYS = {"m0": 0, "m1": 1, "m6": 6, "m12": 12}, 15
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.operators.factors import FACTORS
 from factorloom.operators.scoring import FAMILY_WEIGHTS
 
 #: days after which prices and periods are stale, and the least rows of each dataset
@@ -65,6 +66,29 @@ def dataset_status(grid: DataFrame, prices: DataFrame, annual: DataFrame, quarte
     return out
 
 
+def filings_status(grid: DataFrame, filings: DataFrame, extracted: DataFrame, least: int = 3) -> DataFrame:
+    """as_of, isin, dataset, n, last, status of the reports that are held, as the rows of ``dataset_status``, with done (how many have been extracted).
+
+    filings: isin, filing_id; extracted: filing_id. A report on disk is there whatever the
+    date. None at all is no gap, as statements come from tagged filings; a few are one.
+    """
+    held = filings.join(extracted.select("filing_id", F.lit(1).alias("_done")).distinct(), "filing_id", "left")
+    counts = held.groupBy("isin").agg(F.count("*").alias("n"), F.count("_done").alias("done"))
+    rows = grid.select("as_of", "isin").join(counts, "isin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    status_ = F.when((F.col("n") > 0) & (F.col("n") < least), "PARTIAL").otherwise("PRESENT")
+    return rows.select("as_of", "isin", F.lit("filings").alias("dataset"), "n", F.lit(None).cast("date").alias("last"), status_.alias("status"), F.coalesce("done", F.lit(0)).alias("done"))
+
+
+def blocked(diagnosed: DataFrame) -> DataFrame:
+    """as_of, isin, dataset, n, factors, share: which missing factors each dataset blocks, and what part of a full score these are."""
+    sizes: dict[str, float] = {}
+    for family, _, weight in FACTORS.values():
+        sizes[family] = sizes.get(family, 0.0) + weight
+    parts = F.create_map(*[F.lit(x) for f, (family, _, weight) in FACTORS.items() for x in (f, FAMILY_WEIGHTS[family] * weight / sizes[family])])
+    rows = diagnosed.where("dataset IS NOT NULL").withColumn("dataset", F.explode(F.split("dataset", ",")))
+    return rows.groupBy("as_of", "isin", "dataset").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("factor")), ",").alias("factors"), F.sum(parts[F.col("factor")]).alias("share"))
+
+
 def diagnosis(raw: DataFrame, statuses: DataFrame, newest: DataFrame) -> DataFrame:
     """as_of, isin, factor, dataset, reason for every missing factor, the cheapest cause first.
 

@@ -12,8 +12,12 @@ from factorloom.operators import reports as O
 from factorloom.operators import runs as U
 from factorloom.operators import scoring as X
 from factorloom.operators import sections as D
+from factorloom.operators import serving as R
+from factorloom.operators import statements as E
+from factorloom.plans.more import diagnosed, statuses
 from factorloom.plans.registry import MINIMA, Model, query
 from factorloom.sources import adapters as S
+from factorloom.sources import parsers as Z
 from factorloom.sources import sinks as K
 from factorloom.sources.backfill import ARTICLE_KEYS, LOG_KEYS, Backfill
 from factorloom.sources.store import KeyedTable, work_folder
@@ -226,3 +230,64 @@ def e8_rendered(spark, sf_dir):
     cells = F.when(F.col("page") % 3 == 1, F.transform(D.lines(F.col("text")), lambda x: F.array(x))).when(F.col("page") % 3 == 2, F.array(F.array(F.get(D.lines(F.col("text")), F.lit(0)), F.lit(" b "))))
     told = D.document_text(pages.withColumn("tables", F.when(cells.isNotNull(), F.array(cells))))
     return told.select("doc", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"), "truncated")
+
+
+@query
+def h_sectors(spark, sf_dir):
+    return R.sectors(S.instruments(spark, sf_dir))
+
+
+@query
+def h_scored_dates(spark, sf_dir):
+    return R.scored_dates(Model(spark, sf_dir).momentum_z().withColumnRenamed("z", "factor_score"))
+
+
+@query
+def h_recent_news(spark, sf_dir):
+    """The five newest articles of each company, scored or not."""
+    n = S.news(spark, sf_dir)
+    return R.recent_news(n.select("news_id", "isin", "published_at"), n.where("news_id % 3 <> 0").select("news_id", "label", "score"), 5)
+
+
+@query
+def x14_all_factor_rows(spark, sf_dir):
+    """Shares of all twenty factors in each score."""
+    z = X.factor_z(Model(spark, sf_dir).raw())
+    return O.factor_rows(z, X.family_scores(z)).select("as_of", "isin", "family", "factor", "z", "share")
+
+
+@query
+def x14_all_drivers(spark, sf_dir):
+    return O.drivers(X.factor_z(Model(spark, sf_dir).raw()))
+
+
+@query
+def x16_all_datasets(spark, sf_dir):
+    """Six datasets of each company and date; reports are held by three companies of four, some of them extracted."""
+    m = Model(spark, sf_dir)
+    held = m.annual.where("isin % 4 <> 0 AND basis = 'CONSOLIDATED' AND year(period_end_date) >= 1999 - isin % 4").select("isin", F.concat_ws("-", "isin", F.year("period_end_date")).alias("filing_id"))
+    six = O.filings_status(m.grid(), held, held.where("substr(filing_id, -1) IN ('7', '8')"))
+    return statuses(m).unionByName(six, allowMissingColumns=True)
+
+
+@query
+def x16_blocked(spark, sf_dir):
+    """Factors that each dataset's gap blocks."""
+    return O.blocked(diagnosed(Model(spark, sf_dir)))
+
+
+@query
+def s6_resolved_quarters(spark, sf_dir):
+    """Quarterly payloads that state some quarters twice, a hundredfold apart: the one on the company's scale stays."""
+    q = S.fundamentals_quarterly(spark, sf_dir)
+    day = lambda c: F.upper(F.date_format(c, "dd-MMM-yyyy"))
+    record = lambda times: F.struct(day(F.col("period_end_date")).alias("re_to_dt"), F.format_number(F.floor("revenue") * times, 0).alias("re_total_inc"), F.format_number(F.floor("pat") * times, 0).alias("re_net_profit"))
+    twice = F.year("period_end_date") % 3 == 0
+    body = F.concat(F.lit('{"resCmpData":'), F.to_json(F.when(twice, F.array(record(1), record(100))).otherwise(F.array(record(1)))), F.lit("}"))
+    told = Z.quarterly_results(q.select("isin", body.alias("body")))
+    return E.resolve_duplicate_periods(told, "isin", "period_end_date", "revenue")
+
+
+@query
+def j9_same_quarter(spark, sf_dir):
+    return V.same_quarter_last_year(S.fundamentals_quarterly(spark, sf_dir), "pat")

@@ -524,7 +524,7 @@ def _visible(m: Model, facts, known: str, last: str):
     return met.groupBy("as_of", "isin").agg(F.count("*").alias("n"), F.max(last).alias("last"))
 
 
-def _statuses(m: Model):
+def statuses(m: Model):
     grid = m.grid()
     months = F.sequence(F.trunc(F.date_sub("as_of", 400), "month"), F.trunc("as_of", "month"), F.expr("interval 1 month"))
     met = grid.select("as_of", "isin").withColumn("month", F.explode(months)).join(m.prices.withColumn("month", F.trunc("date", "month")), ["isin", "month"]).where(F.col("date").between(F.date_sub("as_of", 400), F.col("as_of")))
@@ -538,17 +538,20 @@ def _statuses(m: Model):
 
 @query
 def x16_dataset_status(spark, sf_dir):
-    return _statuses(Model(spark, sf_dir))
+    return statuses(Model(spark, sf_dir))
 
 
-@query
-def x17_diagnosis(spark, sf_dir):
-    """Why momentum, sentiment, coverage and quarterly growth are missing."""
-    m = Model(spark, sf_dir)
+def diagnosed(m: Model):
+    """Why momentum, sentiment, coverage and growth are missing."""
     grid = m.grid()
     newest = P.newest_of_basis(grid, m.annual, 1).select("as_of", "isin", "revenue", "pat", "ocf", "capex", "profit_before_tax", "interest_expense", "depreciation", "total_debt", "total_equity", "total_assets", "eps")
     raw = m.raw().where(F.col("factor").isin("momentum_12_1", "news_sentiment_30d", "interest_coverage", "quarterly_pat_yoy", "revenue_cagr_3y"))
-    return O.diagnosis(raw, _statuses(m), newest)
+    return O.diagnosis(raw, statuses(m), newest)
+
+
+@query
+def x17_diagnosis(spark, sf_dir):
+    return diagnosed(Model(spark, sf_dir))
 
 
 ITEMS = ("revenue", "pat", "ocf", "capex", "profit_before_tax", "interest_expense", "ebitda", "fcf", "depreciation", "total_debt", "cash", "total_equity", "total_assets", "eps", "contingent_liabilities")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from factorloom.plans.oracles import PARTS, run_parts, sql
+from factorloom.plans import oracles_more
+from factorloom.plans.oracles import _FAMILY, _WEIGHT, PARTS, run_parts, sql
 
 _FACTORS = ("momentum_12_1", "price_to_200dma", "relative_strength_6m")
 _RUNS = [(f"{f}-{n}-{c}", f, n, 10, 1_000_000.0, c == "costs", 0.0, 0.0) for f in _FACTORS for n in (5, 20) for c in ("costs", "free")]
@@ -14,6 +15,14 @@ PARTS["run_figures"] = """
     SELECT run_id, count(ret) AS periods, last(nav ORDER BY date) / first(nav ORDER BY date) - 1 AS total_return, (last(nav ORDER BY date) / first(nav ORDER BY date)) ** (12.0 / nullif(count(ret), 0)) - 1 AS cagr, stddev_samp(ret) * sqrt(12) AS volatility, stddev_samp(ret) FILTER (ret < 0) * sqrt(12) AS down,
       min(nav / peak - 1) AS max_drawdown, avg((ret > 0)::INT) AS hit_rate, max(ret) AS best_period, min(ret) AS worst_period, coalesce(avg(turnover), 0) AS avg_turnover, coalesce(sum(costs / capital), 0) AS total_costs_pct
     FROM (SELECT *, nav / lag(nav) OVER (PARTITION BY run_id ORDER BY date) - 1 AS ret, max(nav) OVER (PARTITION BY run_id ORDER BY date) AS peak FROM run_navs WHERE k > 0) JOIN run_configs USING (run_id) GROUP BY run_id"""
+
+
+def _parts_of(body: str) -> list[str]:
+    from factorloom.plans.oracles import _needed
+
+    return _needed(body)
+
+
 _METRICS = "run_id periods years:f total_return:f cagr:f volatility:f sharpe:f sortino:f max_drawdown:f calmar:f hit_rate:f best_period:f worst_period:f avg_turnover:f total_costs_pct:f"
 PARTS["asked_windows"] = """
     SELECT *, CASE WHEN isin % 17 = 0 THEN NULL WHEN n % 3 <> 0 AND k <= half THEN 1 WHEN n % 9 <> 0 THEN 2 WHEN n % 27 <> 0 THEN 3 END AS fine, CASE WHEN isin % 17 = 0 THEN 'E' WHEN n % 27 = 0 THEN 'T' END AS wrong
@@ -39,6 +48,12 @@ PARTS["report_shown"] = """
     SELECT doc, page, chr(10) || '--- page ' || page || ' ---' || chr(10) || CASE WHEN tabled AND (len(own) = 0 OR len(list_filter(own, lambda x: contains(out, x))) / len(own) >= 0.6) THEN out ELSE text END AS shown
     FROM (SELECT *, page % 3 <> 0 AS tabled, list_distinct(list_filter(list_transform(l, lambda x: trim(x)), lambda x: length(x) > 12)) AS own, array_to_string(l[1:4], chr(10)) || chr(10) || CASE WHEN page % 3 = 1 THEN array_to_string(list_transform(l, lambda x: trim(x)), chr(10)) ELSE trim(coalesce(l[1], '')) || ' | b' END AS out
       FROM (SELECT *, CASE WHEN text = '' THEN [] WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS l FROM (SELECT *, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM reports)))"""
+PARTS["signed_factors"] = f"SELECT as_of, isin, family, factor, CASE WHEN factor IN ('debt_to_equity', 'accruals') THEN -z ELSE z END AS z, {_WEIGHT} AS w FROM fz"
+PARTS["present_families"] = "SELECT as_of, isin, family, fw / sum(fw) OVER (PARTITION BY as_of, isin) AS part FROM families WHERE family_z IS NOT NULL"
+PARTS["factor_sizes"] = f"SELECT factor, {_FAMILY} * {_WEIGHT} / sum({_WEIGHT}) OVER (PARTITION BY family) AS part FROM (SELECT DISTINCT factor, family FROM raws)"
+PARTS["told_quarters"] = """
+    SELECT isin, period_end_date, period_end_date + 45 AS filing_date, floor(revenue) * t * 0.01::DOUBLE AS revenue, floor(pat) * t * 0.01::DOUBLE AS pat, count(*) OVER (PARTITION BY isin, period_end_date) AS c
+    FROM quarterly, (SELECT unnest([1, 100]) AS t) WHERE (t = 1 OR year(period_end_date) % 3 = 0) AND floor(revenue) * t > 0"""
 _ORDERS = "(SELECT o_orderkey, o_custkey, o_orderstatus, year(o_orderdate) AS y FROM orders)"
 SQL = {
     "b2_runs": sql("run_id as_of:d date:d nav:f gross_nav:f costs:f turnover:f", "SELECT * FROM run_navs WHERE k > 0"),
@@ -48,6 +63,15 @@ SQL = {
     "k8_stored_runs": sql("run_id kind date:d isin:BIGINT value:f", "SELECT run_id, 'nav' AS kind, date, NULL AS isin, nav AS value FROM run_navs WHERE k > 0 AND run_id <> 'momentum_12_1-5-free' UNION ALL SELECT run_id, 'position', as_of, isin, weight FROM run_held WHERE run_id <> 'momentum_12_1-5-free' UNION ALL SELECT c.run_id, 'total_return', NULL, NULL, total_return FROM run_configs c LEFT JOIN run_figures f ON f.run_id = c.run_id WHERE c.run_id <> 'momentum_12_1-5-free'"),
     "e7_sections": sql("doc page score:f n_bytes reason", "SELECT f.doc, page, score, n_bytes, NULL::VARCHAR AS reason FROM report_fit f JOIN report_refused r ON r.doc = f.doc AND r.reason IS NULL UNION ALL SELECT doc, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT, reason FROM report_refused WHERE reason IS NOT NULL"),
     "e8_rendered": sql("doc n_chars sha256 truncated", "SELECT doc, length(t) AS n_chars, sha256(t) AS sha256, truncated FROM (SELECT doc, coalesce(string_agg(CASE WHEN n <= room THEN shown WHEN room > 200 THEN substr(shown, 1, room) END, '' ORDER BY page), '') AS t, bool_or(n > room) AS truncated FROM (SELECT *, length(shown) AS n, (28000 - coalesce(sum(length(shown)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS room FROM report_shown) GROUP BY doc)"),
+    "h_sectors": "SELECT DISTINCT r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "h_scored_dates": sql("as_of:d", "SELECT DISTINCT as_of FROM mz WHERE z IS NOT NULL"),
+    "h_recent_news": sql("news_id isin published_at:VARCHAR label score:f", "SELECT news_id, isin, published_at, CASE WHEN news_id % 3 <> 0 THEN label END AS label, CASE WHEN news_id % 3 <> 0 THEN score END AS score FROM (SELECT *, row_number() OVER (PARTITION BY isin ORDER BY published_at DESC, news_id) AS r FROM news) WHERE r <= 5"),
+    "x14_all_factor_rows": sql("as_of:d isin family factor z:f share:f", "SELECT s.as_of, s.isin, s.family, s.factor, s.z, CASE WHEN s.z IS NOT NULL THEN s.w END / sum(CASE WHEN s.z IS NOT NULL THEN s.w END) OVER (PARTITION BY s.as_of, s.isin, s.family) * p.part AS share FROM signed_factors s LEFT JOIN present_families p ON p.as_of = s.as_of AND p.isin = s.isin AND p.family = s.family"),
+    "x14_all_drivers": sql("as_of:d isin strengths weaknesses", "SELECT as_of, isin, coalesce(array_to_string((list(factor ORDER BY -z, factor) FILTER (z > 0))[:3], ','), '') AS strengths, coalesce(array_to_string((list(factor ORDER BY z, factor) FILTER (z < 0))[:3], ','), '') AS weaknesses FROM signed_factors WHERE z IS NOT NULL GROUP BY ALL"),
+    "x16_all_datasets": sql("as_of:d isin dataset n last:d status done", "SELECT *, NULL::BIGINT AS done FROM statuses UNION ALL SELECT as_of, g.isin, 'filings', coalesce(n, 0), NULL, CASE WHEN n < 3 THEN 'PARTIAL' ELSE 'PRESENT' END, coalesce(done, 0) FROM grid g LEFT JOIN (SELECT isin, count(*) AS n, count(*) FILTER (year(period_end_date) % 10 IN (7, 8)) AS done FROM annual WHERE isin % 4 <> 0 AND basis = 'CONSOLIDATED' AND year(period_end_date) >= 1999 - isin % 4 GROUP BY isin) f ON f.isin = g.isin"),
+    "x16_blocked": f"WITH told AS ({oracles_more.SQL['x17_diagnosis']}), {', '.join(f'{p} AS ({PARTS[p]})' for p in _parts_of('FROM factor_sizes'))} SELECT as_of, isin, dataset, count(*) AS n, string_agg(t.factor, ',' ORDER BY t.factor) AS factors, round(sum(part)::DOUBLE, 9)::FLOAT::DOUBLE AS share FROM (SELECT as_of, isin, factor, unnest(string_split(dataset, ',')) AS dataset FROM told) t JOIN factor_sizes USING (factor) GROUP BY ALL",
+    "s6_resolved_quarters": sql("isin period_end_date:d filing_date:d revenue:f pat:f", "SELECT isin, period_end_date, filing_date, revenue, pat FROM (SELECT q.*, row_number() OVER (PARTITION BY q.isin, period_end_date ORDER BY abs(log10(revenue / coalesce(scale, revenue))), revenue) AS r FROM told_quarters q LEFT JOIN (SELECT isin, list_sort(list(revenue))[count(*) // 2 + 1] AS scale FROM told_quarters WHERE c = 1 GROUP BY isin) s ON s.isin = q.isin WHERE c = 1 OR scale IS NOT NULL) WHERE r = 1"),
+    "j9_same_quarter": sql("isin period_end_date:d value:f before:f change:f", "SELECT isin, period_end_date, value, before, (value - before) / nullif(abs(before), 0) AS change FROM (SELECT a.isin, a.period_end_date, any_value(a.pat) AS value, arg_min(b.pat, (abs(b.period_end_date - (a.period_end_date::DATE - 365)), b.period_end_date)) AS before FROM quarterly a LEFT JOIN quarterly b ON b.isin = a.isin AND abs(b.period_end_date - (a.period_end_date::DATE - 365)) <= 14 GROUP BY a.isin, a.period_end_date)"),
     "s18_backfill": sql("isin window_start:d window_end:d articles:INT status detail fetched_at:d", "SELECT w.*, coalesce(c, 0) AS articles, CASE WHEN fine IS NULL THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN wrong = 'E' THEN substr(repeat('no route to host ', 20), 1, 200) WHEN wrong = 'T' THEN 'throttled' END AS detail, make_date(2024, 1, coalesce(fine, 3)) AS fetched_at FROM asked_windows w LEFT JOIN (SELECT isin, window_start, count(*) AS c FROM window_news GROUP BY ALL) n ON n.isin = w.isin AND n.window_start = w.window_start"),
     "s18_backfilled_articles": sql("isin url headline source published_at:VARCHAR window_start:d", "SELECT * FROM window_news"),
     "c11_truncated": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) ELSE text END AS detail, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS shown FROM documents",
