@@ -201,3 +201,11 @@ def all_factors(grid: DataFrame, prices: DataFrame, annual: DataFrame, quarterly
     said = named.join(told, ["as_of", "isin"], "left") if told is not None else named.withColumn("raw", F.lit(None).cast("double"))
     said = said.select("as_of", "isin", "sector", F.lit("news_sentiment_30d").alias("factor"), "raw")
     return base.unionByName(momentum(grid, prices, **minima)).unionByName(said)
+
+
+def with_factors(raw: DataFrame, grid: DataFrame, extra: dict[str, DataFrame]) -> DataFrame:
+    """``all_factors`` and further ones (as_of, isin, raw by name), NULL for companies of the grid that they leave out."""
+    named = grid.select("as_of", "isin", "sector")
+    for name, rows in extra.items():
+        raw = raw.unionByName(named.join(rows.select("as_of", "isin", "raw"), ["as_of", "isin"], "left").select("as_of", "isin", "sector", F.lit(name).alias("factor"), "raw"))
+    return raw

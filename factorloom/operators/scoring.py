@@ -9,14 +9,15 @@ from factorloom.functions.scalar import normal_cdf, safe_divide
 from factorloom.operators.factors import FACTORS
 from factorloom.operators.stats import sector_zscore, standardise
 
+#: fixed values: families' weights, bounds of signals, and flags
 FAMILY_WEIGHTS = {"value": 0.25, "quality": 0.30, "growth": 0.20, "momentum": 0.15, "sentiment": 0.10}
 BUY, SELL, MIN_COVERAGE = 75.0, 45.0, 0.5
 FLAGS = ("promoter_pledge", "auditor", "weak_cash_conversion", "promoter_selling", "contingent_liabilities", "rating_downgrade")
 
 
-def factor_z(raw: DataFrame) -> DataFrame:
-    """Adds z (sector-relative, signed so that more is better), family and weight to as_of, isin, sector, factor, raw."""
-    table = F.create_map(*[F.lit(x) for name, (family, up, weight) in FACTORS.items() for x in (name, f"{family},{1 if up else -1},{weight}")])
+def factor_z(raw: DataFrame, factors: dict[str, tuple[str, bool, float]] = FACTORS) -> DataFrame:
+    """Adds z (sector-relative, signed so that more is better), family and weight to as_of, isin, sector, factor, raw. factors: family, whether more is better, and weight of each."""
+    table = F.create_map(*[F.lit(x) for name, (family, up, weight) in factors.items() for x in (name, f"{family},{1 if up else -1},{weight}")])
     parts = F.split(table[F.col("factor")], ",")
     z = sector_zscore(raw, "raw", ["as_of", "factor"], "sector", "z")
     return z.withColumn("family", parts[0]).withColumn("weight", parts[2].cast("double")).withColumn("z", F.col("z") * parts[1].cast("int"))

@@ -291,3 +291,13 @@ def s6_resolved_quarters(spark, sf_dir):
 @query
 def j9_same_quarter(spark, sf_dir):
     return V.same_quarter_last_year(S.fundamentals_quarterly(spark, sf_dir), "pat")
+
+
+@query
+def v_own_factor(spark, sf_dir):
+    """A factor of one's own - trading in the last 90 days, the less the better - among the momentum family, and the composite with it."""
+    m = Model(spark, sf_dir)
+    own = {"quiet": B.median_traded(m.grid(), m.prices).withColumnRenamed("median_traded", "raw")}
+    raw = V.with_factors(V.momentum(m.grid(), m.prices, **MINIMA), m.grid(), own)
+    z = X.factor_z(raw, V.FACTORS | {"quiet": ("momentum", False, 2.0)})
+    return X.family_scores(z).select("as_of", "isin", "family", "mean_z", "coverage")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factorloom.plans import oracles_more
-from factorloom.plans.oracles import _FAMILY, _WEIGHT, PARTS, run_parts, sql
+from factorloom.plans.oracles import _FAMILY, _WEIGHT, PARTS, run_parts, sql, z_parts
 
 _FACTORS = ("momentum_12_1", "price_to_200dma", "relative_strength_6m")
 _RUNS = [(f"{f}-{n}-{c}", f, n, 10, 1_000_000.0, c == "costs", 0.0, 0.0) for f in _FACTORS for n in (5, 20) for c in ("costs", "free")]
@@ -51,6 +51,9 @@ PARTS["report_shown"] = """
 PARTS["signed_factors"] = f"SELECT as_of, isin, family, factor, CASE WHEN factor IN ('debt_to_equity', 'accruals') THEN -z ELSE z END AS z, {_WEIGHT} AS w FROM fz"
 PARTS["present_families"] = "SELECT as_of, isin, family, fw / sum(fw) OVER (PARTITION BY as_of, isin) AS part FROM families WHERE family_z IS NOT NULL"
 PARTS["factor_sizes"] = f"SELECT factor, {_FAMILY} * {_WEIGHT} / sum({_WEIGHT}) OVER (PARTITION BY family) AS part FROM (SELECT DISTINCT factor, family FROM raws)"
+PARTS["quiet"] = "SELECT g.as_of, g.isin, g.sector, 'quiet' AS factor, median_traded AS raw FROM grid g LEFT JOIN medians_traded t ON t.as_of = g.as_of AND t.isin = g.isin"
+PARTS |= z_parts("quietz", "quiet", "as_of, factor")
+PARTS["own_factors"] = "SELECT as_of, isin, z, 1.0::DOUBLE AS w FROM mzz UNION ALL SELECT as_of, isin, -z, 2.0 FROM quietz"
 PARTS["told_quarters"] = """
     SELECT isin, period_end_date, period_end_date + 45 AS filing_date, floor(revenue) * t * 0.01::DOUBLE AS revenue, floor(pat) * t * 0.01::DOUBLE AS pat, count(*) OVER (PARTITION BY isin, period_end_date) AS c
     FROM quarterly, (SELECT unnest([1, 100]) AS t) WHERE (t = 1 OR year(period_end_date) % 3 = 0) AND floor(revenue) * t > 0"""
@@ -63,6 +66,7 @@ SQL = {
     "k8_stored_runs": sql("run_id kind date:d isin:BIGINT value:f", "SELECT run_id, 'nav' AS kind, date, NULL AS isin, nav AS value FROM run_navs WHERE k > 0 AND run_id <> 'momentum_12_1-5-free' UNION ALL SELECT run_id, 'position', as_of, isin, weight FROM run_held WHERE run_id <> 'momentum_12_1-5-free' UNION ALL SELECT c.run_id, 'total_return', NULL, NULL, total_return FROM run_configs c LEFT JOIN run_figures f ON f.run_id = c.run_id WHERE c.run_id <> 'momentum_12_1-5-free'"),
     "e7_sections": sql("doc page score:f n_bytes reason", "SELECT f.doc, page, score, n_bytes, NULL::VARCHAR AS reason FROM report_fit f JOIN report_refused r ON r.doc = f.doc AND r.reason IS NULL UNION ALL SELECT doc, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT, reason FROM report_refused WHERE reason IS NOT NULL"),
     "e8_rendered": sql("doc n_chars sha256 truncated", "SELECT doc, length(t) AS n_chars, sha256(t) AS sha256, truncated FROM (SELECT doc, coalesce(string_agg(CASE WHEN n <= room THEN shown WHEN room > 200 THEN substr(shown, 1, room) END, '' ORDER BY page), '') AS t, bool_or(n > room) AS truncated FROM (SELECT *, length(shown) AS n, (28000 - coalesce(sum(length(shown)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS room FROM report_shown) GROUP BY doc)"),
+    "v_own_factor": sql("as_of:d isin family mean_z:f coverage:f", "SELECT as_of, isin, 'momentum' AS family, sum(z * w) / sum(CASE WHEN z IS NOT NULL THEN w END) AS mean_z, coalesce(sum(CASE WHEN z IS NOT NULL THEN w END), 0) / sum(w) AS coverage FROM own_factors GROUP BY ALL"),
     "h_sectors": "SELECT DISTINCT r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "h_scored_dates": sql("as_of:d", "SELECT DISTINCT as_of FROM mz WHERE z IS NOT NULL"),
     "h_recent_news": sql("news_id isin published_at:VARCHAR label score:f", "SELECT news_id, isin, published_at, CASE WHEN news_id % 3 <> 0 THEN label END AS label, CASE WHEN news_id % 3 <> 0 THEN score END AS score FROM (SELECT *, row_number() OVER (PARTITION BY isin ORDER BY published_at DESC, news_id) AS r FROM news) WHERE r <= 5"),

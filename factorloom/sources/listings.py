@@ -11,7 +11,7 @@ from factorloom.sources.parsers import any_date, feed_items, first_present, norm
 
 #: columns that a constituent list must have, and their names here
 CONSTITUENT_COLUMNS = {"ISIN Code": "isin", "Symbol": "nse_symbol", "Company Name": "name"}
-#: names under which listings give a report's address, years and date
+#: fixed values: names under which listings give a report's address, years and date
 URL_KEYS, TO_YEAR_KEYS, FROM_YEAR_KEYS = ["fileName", "file_name", "attchmntFile", "url"], ["toYr", "to_yr", "toYear", "to_year"], ["fromYr", "from_yr", "fromYear", "from_year"]
 DATE_KEYS = ["submissionDate", "broadcastDate", "sm_dt", "dt", "an_dt"]
 #: scores beyond which tagged news is positive or negative
