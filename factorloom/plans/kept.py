@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from factorloom.functions import scalar as C
 from factorloom.operators import backtest as B
 from factorloom.operators import factors as V
-from factorloom.operators import news as N
 from factorloom.operators import reports as O
 from factorloom.operators import runs as U
 from factorloom.operators import scoring as X
