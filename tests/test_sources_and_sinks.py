@@ -68,7 +68,10 @@ def test_extractors_plug_in(spark):
             yield f.assign(n=f["text"].str.len())[["doc", "n"]]
 
     assert sorted(r.n for r in W.extract(pages, lengths, "doc int, n int").collect()) == [3, 5]
-    assert [(r.page, r.text) for r in W.within_budget(pages, "doc", "page", "text", 5).orderBy("page").collect()] == [(1, "abc"), (2, "de")]
+    kept = lambda **more: [(r.page, r.text) for r in W.within_budget(pages, "doc", "page", "text", 5, **more).orderBy("page").collect()]
+    assert kept(least=1) == [(1, "abc"), (2, "de")]
+    # with too little left a page goes whole
+    assert kept() == kept(least=2) == [(1, "abc")]
 
 
 def test_shown_values(spark):
