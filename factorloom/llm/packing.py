@@ -23,6 +23,8 @@ from factorloom.llm.components import saved
 from factorloom.llm.text_arrays import small_batches
 from factorloom.shipping import ship
 
+#: distinct chunks of texts that a worker keeps, also while other stages of a pipeline run in it
+CHUNKS = 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -111,7 +113,7 @@ def pack_documents(docs: DataFrame, size: int = 2048, tokenizer: str | None = No
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factorloom.llm.subwords import shared
 
-        subwords = shared(tokenizer)
+        subwords = shared(tokenizer, CHUNKS)
         for batch in small_batches(batches):
             ids, at = subwords.encode([t or "" for t in batch["text"].to_pylist()])
             rows: list[tuple] = []

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from factorloom.llm.text_arrays import ranges
 
-#: distinct chunks held in memory, beyond which the table starts anew; chunks encoded at a time
+#: distinct chunks held in memory where no other number is given, beyond which the table starts anew; chunks encoded at a time
 CHUNKS, TOGETHER = 700_000, 1000
 #: fixed value: the public tokenizer's splitting pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,7 +45,8 @@ def default_path() -> str:
 class Subwords:
     """Encodes batches of texts; specials in a text are found as the tokenizer itself does."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, limit: int = CHUNKS):
+        self._limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path or default_path())
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -63,7 +64,7 @@ class Subwords:
     def _reset(self) -> None:
         self._index: dict[str, int] = {_FIRST: 0}
         self._flat, self._used = np.zeros(1 << 20, np.int32), 0
-        self._start, self._size = np.zeros(CHUNKS * 2, np.int64), np.zeros(CHUNKS * 2, np.int64)
+        self._start, self._size = np.zeros(self._limit * 2, np.int64), np.zeros(self._limit * 2, np.int64)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks (as ``chunks`` gives them), one after the other, and how many each has.
@@ -114,7 +115,7 @@ class Subwords:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and each text's offset (with the end)."""
-        if len(self._index) > CHUNKS:
+        if len(self._index) > self._limit:
             self._reset()
         parts = [self.chunks(t) for t in texts]
         flat = [c for p in parts for c in p]
@@ -131,6 +132,6 @@ class Subwords:
 
 
 @lru_cache(maxsize=1)
-def shared(path: str | None) -> Subwords:
-    """The encoder of this process: tasks that follow one another in a worker find its chunks known."""
-    return Subwords(path)
+def shared(path: str | None, limit: int = CHUNKS) -> Subwords:
+    """The encoder of this process: tasks that follow one another in a worker find its chunks known. ``limit``: chunks that it holds."""
+    return Subwords(path, limit)
