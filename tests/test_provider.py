@@ -1,5 +1,7 @@
 """The data source of companies and months: what is read for a filter, and that batch and stream agree."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,42 @@ def test_a_provider_must_be_named(spark):
     provider.register(spark)
     with pytest.raises(Exception, match="module:Class"):
         spark.read.format(provider.NAME).load().count()
+
+
+class Many:
+    schema, day = "isin int, date date", "date"
+
+    def __init__(self, n):
+        self.n = n
+
+    def companies(self):
+        return range(self.n)
+
+    def read(self, isin, first, last):
+        yield isin, first
+
+
+def test_partitions_do_not_grow_with_companies():
+    first, last = dt.date(2024, 1, 10), dt.date(2024, 6, 15)
+    assert len(provider.shares(Many(20), None, first, last)) == 20 * 6
+    parts = provider.shares(Many(50_000), None, first, last)
+    assert len(parts) <= provider.MOST
+    rows = [r for p in parts for r in provider._rows(Many(0), p)]
+    assert sorted(rows) == [(c, a) for c in range(50_000) for a, _ in provider.months(first, last)]
+
+
+def test_files_hold_groups_of_companies(spark, tmp_path):
+    rows = spark.sql("SELECT id % 40 - 2 AS isin, date_add(DATE '2024-01-01', CAST(id DIV 40 AS INT)) AS date, id AS x FROM range(40 * 100) UNION ALL SELECT NULL, DATE '2024-02-02', -1L")
+    path = str(tmp_path / "prices")
+    rows.withColumn("group", F.pmod(F.coalesce("isin", F.lit(0)), F.lit(3))).repartition("group").write.partitionBy("group").parquet(path)
+    provider.register(spark)
+    options = {"provider": "factorloom.sources.provider:DailyFiles", "path": path, "groups": "3", "columns": "date date, x bigint", "first": "2024-01-10", "last": "2024-03-15"}
+    got = spark.read.format(provider.NAME).options(**options).load()
+    told = rows.where("date BETWEEN '2024-01-10' AND '2024-03-15'")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(told) and got.rdd.getNumPartitions() == 3
+    few = F.col("isin").isin(-2, 1, 4, 997) & (F.col("date") > "2024-02-01")
+    assert key(got.where(few)) == key(told.where(few)) and got.where(few).rdd.getNumPartitions() == 1
+    stream = spark.readStream.format(provider.NAME).options(**options).load()
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(told.where("date < '2024-03-01'"))
