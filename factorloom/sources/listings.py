@@ -58,14 +58,16 @@ def crawl_windows(companies: DataFrame, first: Column, last: Column, days: int =
 def annual_reports(listing: DataFrame) -> DataFrame:
     """isin, fiscal_year, period_end, source_url, broadcast_date, broadcast_date_source of reports with an address. listing: isin, r (a map of texts).
 
-    The year is that of the period's end, else the one after its start, else the last in the
-    address. A date up to the period's end is impossible and gives way to six months after
-    it; of several listings of a year the first with a date of its own counts.
+    The year is that of the period's end, else the one after its start, else the last number
+    in the address that is a year, as a company's number before it may look like one (of an
+    address without such, the greatest year inside a number). A date up to the period's end is
+    impossible and gives way to six months after it; of several listings of a year the first
+    with a date of its own counts.
     """
     year = lambda x: F.nullif(F.regexp_extract(x, "((?:19|20)[0-9]{2})", 1), F.lit("")).cast("int")
     r, url = F.col("r"), F.col("source_url")
     rows = listing.withColumn("at", F.monotonically_increasing_id()).withColumn("source_url", first_present(r, URL_KEYS)).where(F.lower("source_url").startswith("http"))
-    in_url = F.array_max(F.transform(F.regexp_extract_all(url, F.lit("(19|20)[0-9]{2}"), F.lit(0)), lambda x: x.cast("int")))
+    in_url = F.coalesce(F.try_element_at(F.regexp_extract_all(url, F.lit("(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"), F.lit(0)), F.lit(-1)), F.array_max(F.regexp_extract_all(url, F.lit("(?:19|20)[0-9]{2}"), F.lit(0)))).cast("int")
     rows = rows.withColumn("fiscal_year", F.coalesce(year(first_present(r, TO_YEAR_KEYS)), year(first_present(r, FROM_YEAR_KEYS)) + 1, in_url)).where("fiscal_year is not null")
     rows = rows.withColumn("period_end", F.make_date("fiscal_year", F.lit(3), F.lit(31))).withColumn("told", F.coalesce(*(any_date(r[k]) for k in DATE_KEYS)))
     own = F.col("told") > F.col("period_end")

@@ -25,6 +25,12 @@ def test_a_provider_must_adjust(spark):
         L.through_cache(targets, targets.limit(0), stored, lambda missing: missing.select("isin", F.lit(1.0).alias("Close")))
 
 
+def test_a_company_number_is_no_year(spark):
+    names = ["AR_2050_2003_2004_.pdf", "AR_12050_2003_2004_.pdf", "AR_X_2010_2011_04082011120000.pdf", "AR20112012.pdf", "AR_X.pdf"]
+    rows = spark.createDataFrame([(k, {"fileName": f"https://x/{n}"}) for k, n in enumerate(names)], "isin int, r map<string,string>")
+    assert sorted((r.isin, r.fiscal_year) for r in L.annual_reports(rows).collect()) == [(0, 2004), (1, 2004), (2, 2011), (3, 2012)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 /Type /Pages /Type /Page x /Type/Page\n\xff")
     row = L.register_files(spark.read.format("binaryFile").load(str(tmp_path))).first()
