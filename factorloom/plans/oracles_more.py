@@ -83,7 +83,7 @@ SQL = {
     "e11_review_detail": sql("filing_id symbol filing_date:d revenue unit", "SELECT isin * 10 + year(period_end_date) % 10 AS filing_id, symbol, filing_date, floor(revenue)::BIGINT AS revenue, 'CRORE' AS unit FROM consolidated JOIN instruments USING (isin)"),
     "e4_routing": f"SELECT attempt_id, status, round(confidence, 1) >= 0.6 AS stored, round(confidence, 1) < 1 AS review FROM {_REVIEWS}",
     "e6_annual_filings": sql("isin fiscal_year:INT basis fcf:f auditor_opinion reason", "SELECT isin, year(period_end_date) AS fiscal_year, CASE WHEN isin % 6 <> 0 AND pat IS NOT NULL THEN basis END AS basis, CASE WHEN isin % 6 <> 0 AND isin % 4 <> 0 THEN ocf - capex END AS fcf, CASE WHEN isin % 6 <> 0 THEN CASE isin % 3 WHEN 0 THEN 'UNMODIFIED' WHEN 1 THEN 'QUALIFIED' END END AS auditor_opinion, CASE WHEN isin % 6 = 0 THEN 'missing pat' END AS reason FROM annual WHERE isin % 5 = 0 OR basis = 'CONSOLIDATED'"),
-    "e8_page_budget": "SELECT doc, page, least(n, 20000 - b)::BIGINT AS n_chars FROM (SELECT concat_ws('-', source, lang) AS doc, doc_id AS page, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY concat_ws('-', source, lang) ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE text IS NOT NULL) WHERE b + n <= 20000 OR b < 19800",
+    "e8_page_budget": "SELECT doc, page, least(n, 20000 - b)::BIGINT AS n_chars FROM (SELECT concat_ws('-', source, lang) AS doc, doc_id AS page, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY concat_ws('-', source, lang) ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE text IS NOT NULL) WHERE b + n <= 20000 OR b < 20000",
     "e10_model_rates": sql("model n succeeded persisted clean nse_checked nse_agreed cost:f seconds:f persist_rate:f nse_rate:f", "SELECT *, persisted / n AS persist_rate, CASE WHEN nse_checked > 0 THEN nse_agreed / nse_checked END AS nse_rate FROM (SELECT model, count(*) AS n, count(*) FILTER (done) AS succeeded, count(*) FILTER (done AND c >= 0.6) AS persisted, count(*) FILTER (done AND c >= 1) AS clean, count(*) FILTER (done AND k % 3 <> 0) AS nse_checked, count(*) FILTER (done AND k % 3 <> 0 AND k % 2 = 0) AS nse_agreed, count(*) * 0.5 AS cost, sum(k % 9) AS seconds FROM (SELECT 'm' || (o_custkey % 3) AS model, o_orderkey AS k, o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AS done, round(o_orderkey % 4 * 0.35::DOUBLE, 2) AS c FROM orders) GROUP BY model)"),
     "e12_narrative_inputs": sql("as_of:d isin score:f signal strengths weaknesses red_flags", "SELECT c.as_of, c.isin, CASE WHEN n_flags = 0 THEN factor_score END AS score, CASE WHEN factor_score IS NULL THEN NULL WHEN n_flags > 0 THEN 'SELL' WHEN factor_score >= 75 THEN 'BUY' WHEN factor_score >= 45 THEN 'HOLD' ELSE 'SELL' END AS signal, strengths, weaknesses, red_flags FROM scored c LEFT JOIN flag_sums USING (as_of, isin) LEFT JOIN (SELECT as_of, isin, array_to_string((list(factor ORDER BY -z, factor) FILTER (z > 0))[:3], ',') AS s0, array_to_string((list(factor ORDER BY z, factor) FILTER (z < 0))[:3], ',') AS w0, coalesce(s0, '') AS strengths, coalesce(w0, '') AS weaknesses FROM (SELECT as_of, isin, factor, CASE WHEN factor IN ('debt_to_equity', 'accruals') THEN -z ELSE z END AS z FROM fz) WHERE z IS NOT NULL GROUP BY as_of, isin) d USING (as_of, isin)"),
     "c16_page_scores": sql("doc_id score:f anchors", "SELECT doc_id, CASE WHEN k = 0 THEN 10 WHEN k = 1 THEN 10 ELSE 0 END + CASE WHEN d > 0.15 THEN 4 * least(d / 0.15, 2) ELSE 0 END - CASE WHEN k = 1 THEN 8 ELSE 0 END AS score, CASE WHEN k = 0 THEN 'balance\\s+sheet' WHEN k = 1 THEN 'cash\\s*flow\\s+statement' ELSE '' END AS anchors FROM (SELECT doc_id, doc_id % 5 AS k, CASE WHEN len(t) < 20 THEN 0 ELSE len(list_filter(t, lambda x: regexp_full_match(x, '\\(?-?[0-9,]+\\.?[0-9]*\\)?')))::DOUBLE / len(t) END AS d FROM (SELECT doc_id, list_filter(regexp_split_to_array(CASE doc_id % 5 WHEN 0 THEN 'Consolidated Balance  Sheet ' WHEN 1 THEN 'Chairman''s Letter, with the Cash Flow Statement ' WHEN 2 THEN repeat('1,234.5 (67) x ', 400) ELSE '' END || text, '\\s+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL))"),

@@ -28,3 +28,12 @@ def test_query_equals_sql(spark, con, name):
 def test_every_query_has_rows(spark):
     assert registry.flagship(spark, SF).count() > 0
     assert registry.queries()["b2_backtest"](spark, SF).count() > 0
+
+
+def test_a_page_is_cut_however_little_is_left(spark, tmp_path):
+    rows = [(1, "a" * 19_900, "en", "web"), (2, "b" * 500, "en", "web"), (3, "c", "en", "web"), (4, "d" * 30_000, "de", "web")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    from factorloom.plans import more
+
+    got = more.e8_page_budget(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("web-de", 4, 20_000), ("web-en", 1, 19_900), ("web-en", 2, 100)]
