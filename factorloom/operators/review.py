@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.scalar import once
+
 #: fixed values: patterns of statements' pages and their points, and patterns of other pages
 ANCHORS = (
     (r"balance\s+sheet", 10),
@@ -22,6 +24,8 @@ ANCHORS = (
     (r"contingent\s+liabilit", 5),
     (r"basis\s+for\s+(qualified|adverse|disclaimer)\s+opinion", 8),
 )
+#: fixed values: a word that a text must hold, in lower case, before a pattern can match
+WORDS = ("balance", "statement", "profit", "statement", "cash", "changes", "financial", "auditor", "significant", "earning", "contingent", "opinion")
 AGAINST = r"chairman'?s?\s+(letter|message|statement)|managing\s+director'?s?\s+(letter|message)|sustainability\s+report|corporate\s+social\s+responsibility|board\s+of\s+directors\s+profile"
 #: share of number-like tokens from which a page gains, and tokens that a page needs for a share
 DENSE, LEAST_TOKENS = 0.15, 20
@@ -60,17 +64,25 @@ def bakeoff_rates(attempts: DataFrame) -> DataFrame:
 
 def number_density(text: Column) -> Column:
     """The share of a text's tokens that look like numbers; 0 for short texts."""
-    tokens = F.filter(F.split(text, "\\s+"), lambda x: x != "")
-    numbers = F.size(F.filter(tokens, lambda x: x.rlike("^\\(?-?[0-9,]+\\.?[0-9]*\\)?$")))
-    return F.when(F.size(tokens) < LEAST_TOKENS, 0.0).otherwise(numbers / F.size(tokens))
+
+    def share(tokens: Column) -> Column:
+        numbers = F.size(F.filter(tokens, lambda x: x.rlike("^\\(?-?[0-9,]+\\.?[0-9]*\\)?$")))
+        return F.when(F.size(tokens) < LEAST_TOKENS, 0.0).otherwise(numbers / F.size(tokens))
+
+    return once(F.filter(F.split(text, "\\s+"), lambda x: x != ""), share)
 
 
 def score_pages(pages: DataFrame) -> DataFrame:
-    """pages (doc, page, text) with score and anchors (those found)."""
-    found = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?i){p}"), F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"))) for p, n in ANCHORS)), lambda x: x.isNotNull())
+    """pages (doc, page, text) with score and anchors (those found). A pattern is tried where its word occurs."""
+
+    def anchors(page: Column) -> Column:
+        held = (F.when(F.contains(page["low"], F.lit(word)) & page["text"].rlike(f"(?i){p}"), F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"))) for (p, n), word in zip(ANCHORS, WORDS, strict=True))
+        return F.array_compact(F.array(*held))
+
+    found = once(F.struct(F.col("text").alias("text"), F.lower("text").alias("low")), anchors)
     points = F.aggregate(F.col("found"), F.lit(0.0), lambda acc, x: acc + x["n"])
-    dense = F.when(F.col("density") > DENSE, 4.0 * F.least(F.col("density") / DENSE, F.lit(2.0))).otherwise(0.0)
-    rows = pages.withColumn("found", found).withColumn("density", number_density(F.col("text")))
+    dense = once(number_density(F.col("text")), lambda x: F.when(x > DENSE, 4.0 * F.least(x / DENSE, F.lit(2.0))).otherwise(0.0))
+    rows = pages.withColumn("found", found)
     score = points + dense - F.when(F.col("text").rlike(f"(?i){AGAINST}"), 8.0).otherwise(0.0)
     return rows.select(*pages.columns, score.alias("score"), F.transform("found", lambda x: x["p"]).alias("anchors"))
 

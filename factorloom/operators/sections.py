@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.review import score_pages
-from factorloom.operators.statements import select_pages
+from factorloom.operators.statements import page_order
 
 #: pages that shedding for size leaves; share of a page's lines that its tables must hold; letters that make a line count
 LEAST_PAGES, COVERAGE, LINE = 10, 0.6, 12
@@ -16,30 +16,37 @@ HEADING_LINES = 4
 _BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
-def located_sections(pages: DataFrame, max_pages: int = 60, max_bytes: int = 20 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
-    """Pages of statements (the columns of ``pages`` with score and anchors), and refusals (doc, pages, reason).
+def judged_sections(pages: DataFrame, max_pages: int = 60, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
+    """pages (doc, page (consecutive), text, n_bytes) with score, anchors, kept, first (the document's first page), pages (how many it has) and reason (why it is refused, if it is): one pass.
 
-    pages: doc, page (consecutive), text, n_bytes. The ``max_pages`` best pages stay. Of
-    those the weakest go, one after the other, while all together are over ``max_bytes`` and
-    more than ``LEAST_PAGES``: a page stays if it and the stronger ones fit, so sums from the
-    strongest page on tell it without a loop. A document without any heading, without a
-    page that scores enough, or that does not fit even so is refused.
+    The ``max_pages`` best pages are candidates. Of those the weakest go, one after the other,
+    while all together are over ``max_bytes`` and more than ``LEAST_PAGES``: a page stays if it
+    and the stronger ones fit, so sums from the strongest page on tell it without a loop. A
+    document without any heading, without a page that scores enough, or that does not fit
+    even so is refused.
     """
     scored = score_pages(pages)
-    kept = select_pages(scored, "doc", "page", "score", budget=max_pages)
-    stronger = Window.partitionBy("doc").orderBy(F.desc("score"), F.desc("page"))  # of equal ones the first page goes first
-    kept = kept.withColumn("_sum", F.sum("n_bytes").over(stronger.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(stronger))
-    kept = kept.where((F.col("_sum") <= max_bytes) | (F.col("_rank") <= LEAST_PAGES))
-    sizes = kept.groupBy("doc").agg(F.sum("n_bytes").alias("_bytes"), F.count("*").alias("_n"))
-    judged = scored.groupBy("doc").agg(F.count("*").alias("pages"), F.max("score").alias("_best")).join(sizes, "doc", "left")
+    all_of = Window.partitionBy("doc")
+    rows = scored.withColumn("pages", F.count("*").over(all_of)).withColumn("_best", F.max("score").over(all_of)).withColumn("first", F.row_number().over(all_of.orderBy("page")) == 1)
+    rows = page_order(rows, "doc", "page", "score").withColumn("_r", F.when(F.col("_r") <= max_pages, F.col("_r")))
+    stronger = all_of.orderBy(F.desc("_in"), F.desc("score"), F.desc("page"))  # of equal ones the first page goes first
+    rows = rows.withColumn("_in", F.col("_r").isNotNull())
+    rows = rows.withColumn("_sum", F.sum("n_bytes").over(stronger.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(stronger))
+    rows = rows.withColumn("kept", F.col("_in") & (F.coalesce(F.col("_sum") <= max_bytes, F.lit(False)) | (F.col("_rank") <= LEAST_PAGES)))
+    rows = rows.withColumn("_bytes", F.sum(F.when(F.col("kept"), F.col("n_bytes"))).over(all_of)).withColumn("_n", F.count_if("kept").over(all_of))
     reason = (
         F.when(F.coalesce("_best", F.lit(0.0)) <= 0, "no headings of financial statements")
-        .when(F.col("_n").isNull(), "no page scores enough")
+        .when(F.col("_n") == 0, "no page scores enough")
         .when(F.col("_bytes") > max_bytes, F.concat(F.col("_n").cast("string"), F.lit(" pages still weigh "), F.col("_bytes").cast("string"), F.lit(" bytes")))
     )
-    judged = judged.withColumn("reason", reason)
-    refused = judged.where("reason IS NOT NULL").select("doc", "pages", "reason")
-    return kept.drop("_sum", "_rank").join(refused.select("doc"), "doc", "left_anti"), refused
+    return rows.withColumn("reason", reason).select(*scored.columns, "kept", "first", "pages", "reason")
+
+
+def located_sections(pages: DataFrame, max_pages: int = 60, max_bytes: int = 20 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
+    """Pages of statements (the columns of ``pages`` with score and anchors), and refusals (doc, pages, reason), as ``judged_sections`` tells them."""
+    judged = judged_sections(pages, max_pages, max_bytes)
+    kept = judged.where("kept AND reason IS NULL").drop("kept", "first", "pages", "reason")
+    return kept, judged.where("first AND reason IS NOT NULL").select("doc", "pages", "reason")
 
 
 def lines(text: Column) -> Column:

@@ -122,11 +122,17 @@ def page_ranges(pages: DataFrame, key: str, page: str) -> DataFrame:
     return spans.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ",").alias("ranges"))
 
 
+def page_order(scores: DataFrame, key: str, page: str, score: str, strong: float = 8, weak: float = 4, after: int = 6) -> DataFrame:
+    """Adds _r: the rank from the best on of pages that score ``weak``, and those up to ``after`` pages past a ``strong`` one; NULL for others."""
+    near = Window.partitionBy(key).orderBy(page).rangeBetween(-after, 0)
+    rows = scores.withColumn("_m", F.max(score).over(near)).withColumn("_k", F.coalesce((F.col(score) >= weak) | (F.col("_m") >= strong), F.lit(False)))
+    best = Window.partitionBy(key).orderBy(F.desc("_k"), F.desc(score), page)
+    return rows.withColumn("_r", F.when(F.col("_k"), F.row_number().over(best))).drop("_m", "_k")
+
+
 def select_pages(scores: DataFrame, key: str, page: str, score: str, strong: float = 8, weak: float = 4, after: int = 6, budget: int = 60) -> DataFrame:
     """Pages that score ``weak``, and those up to ``after`` pages past a ``strong`` one; the best ``budget`` of each document."""
-    near = Window.partitionBy(key).orderBy(page).rangeBetween(-after, 0)
-    kept = scores.withColumn("_m", F.max(score).over(near)).where((F.col(score) >= weak) | (F.col("_m") >= strong))
-    return kept.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), page))).where(F.col("_r") <= budget).select(*scores.columns)
+    return page_order(scores, key, page, score, strong, weak, after).where(F.col("_r") <= budget).select(*scores.columns)
 
 
 def statement_frame(annual: DataFrame, keys: list[str], items: list[str], years: list[int]) -> DataFrame:

@@ -1,8 +1,11 @@
 """Pages for an extractor: which stay, which go for size, and how they are rendered."""
 
 import pytest
+import re
+
 from pyspark.sql import functions as F
 
+from factorloom.operators import review as W
 from factorloom.operators import sections as D
 
 SCHEMA = "doc string, page long, text string, n_bytes long"
@@ -70,3 +73,21 @@ def test_a_text_ends_where_it_is_full(spark):
     # a page's own line takes 16 letters; 284 are left for the second page of a and b
     assert got == {"a": (400, True), "b": (400, True), "c": (400, True), "d": (332, False), "e": (16, False)}
     assert {r.doc: len(r.text) for r in D.document_text(frame, 316).collect()} == {"a": 116, "b": 116, "c": 316, "d": 116, "e": 16}
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_scored_in_one_pass_over_the_documents(spark):
+    from factorloom.plans import registry
+
+    told = registry.queries()["e7_sections"](spark, "/root/testdata/sf0.001")
+    assert optimized(told).count("Relation [") == 1
+
+
+def test_a_word_is_there_wherever_a_pattern_of_a_statement_matches(spark):
+    texts = ["BALANCE  Sheet", "statement of profit and loss", "Profit and loss account", "Statement of cash flows", "CASH FLOW statement", "statement of changes in equity", "notes forming part of the consolidated financial statements", "Independent Auditor's report", "Significant accounting policies", "earnings per equity share", "contingent liability", "basis for adverse opinion", "Chairman's letter", None, ""]
+    rows = W.score_pages(spark.createDataFrame(list(enumerate(texts)), "page int, text string")).orderBy("page").collect()
+    assert [r.anchors == [p for p, _ in W.ANCHORS if re.search(p, t or "", re.I)] for t, r in zip(texts, rows, strict=True)] == [True] * len(texts)
+    assert all(any(re.search(p, t, re.I) for t in texts if t) for p, _ in W.ANCHORS)
