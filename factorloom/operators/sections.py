@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.scalar import once
 from factorloom.operators.review import score_pages
 from factorloom.operators.statements import page_order
 
@@ -51,23 +52,30 @@ def located_sections(pages: DataFrame, max_pages: int = 60, max_bytes: int = 20
 
 def lines(text: Column) -> Column:
     """A text's lines; none of an empty text, nor one after the last line's end."""
-    found = F.split(text, _BREAK)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found))
+    apart = once(F.split(text, _BREAK), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(apart)
 
 
 def line_coverage(raw: Column, rendered: Column) -> Column:
     """The share of a page's different lines over ``LINE`` letters that the rendering holds; 1 without such lines."""
-    own = F.array_distinct(F.filter(F.transform(lines(raw), F.trim), lambda x: F.length(x) > LINE))
-    held = F.size(F.filter(own, lambda x: F.contains(rendered, x)))
-    return F.when(F.size(own) == 0, 1.0).otherwise(held / F.nullif(F.size(own), F.lit(0)))
+
+    def share(own: Column) -> Column:
+        return once(rendered, lambda shown: F.when(F.size(own) == 0, 1.0).otherwise(F.size(F.filter(own, lambda x: F.contains(shown, x))) / F.nullif(F.size(own), F.lit(0))))
+
+    return once(F.array_distinct(F.filter(F.transform(lines(raw), F.trim), lambda x: F.length(x) > LINE)), share)
 
 
 def rendered_page(text: Column, tables: Column) -> Column:
     """A page's text: its heading and tables (tables of rows of cells) where these hold most of its lines, else the text as it is."""
     row = lambda cells: F.array_join(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | ")
-    shown = F.array_join(F.transform(tables, lambda t: F.array_join(F.transform(t, row), "\n")), "\n\n")
-    out = F.concat(F.array_join(F.slice(lines(text), 1, HEADING_LINES), "\n"), F.lit("\n"), shown)
-    return F.when((F.coalesce(F.size(tables), F.lit(0)) > 0) & (line_coverage(text, out) >= COVERAGE), out).otherwise(text)
+
+    def told(page: Column) -> Column:
+        shown = F.array_join(F.transform(page["tables"], lambda t: F.array_join(F.transform(t, row), "\n")), "\n\n")
+        out = F.concat(F.array_join(F.slice(lines(page["text"]), 1, HEADING_LINES), "\n"), F.lit("\n"), shown)
+        best = once(out, lambda x: F.when(line_coverage(page["text"], x) >= COVERAGE, x).otherwise(page["text"]))
+        return F.when(F.coalesce(F.size(page["tables"]), F.lit(0)) > 0, best).otherwise(page["text"])
+
+    return once(F.struct(text.alias("text"), tables.alias("tables")), told)
 
 
 def document_text(pages: DataFrame, max_chars: int = 28_000) -> DataFrame:

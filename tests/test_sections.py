@@ -79,6 +79,11 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_page_is_split_into_lines_as_often_as_it_is_read_not_once_a_line(spark):
+    frame = spark.createDataFrame([("d", 1, "t", None)], "doc string, page int, text string, tables array<array<array<string>>>")
+    assert optimized(D.document_text(frame)).count("split(") <= 2
+
+
 def test_pages_are_scored_in_one_pass_over_the_documents(spark):
     from factorloom.plans import registry
 
