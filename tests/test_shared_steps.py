@@ -75,3 +75,13 @@ def test_factors_get_their_family_from_a_table_once(spark):
     raw = spark.createDataFrame([("t", i, "s", f, float(i)) for f in ("roe", "accruals", "unknown") for i in range(6)], "as_of string, isin int, sector string, factor string, raw double")
     got = {(r.factor, r.isin): (r.z, r.family, r.weight) for r in X.factor_z(raw).collect()}
     assert len(got) == 18 and got["roe", 5][0] == -got["accruals", 5][0] > 0 and got["accruals", 5][1:] == ("quality", 0.15) and got["unknown", 5] == (None, None, None)
+
+
+def test_percentiles_standardise_a_family_once(spark):
+    families = spark.createDataFrame([(day("2020-01-31"), i, "value", float(i * i)) for i in range(4)], "as_of date, isin int, family string, family_z double")
+    found = X.percentiles(families)
+    text = found._jdf.queryExecution().analyzed().toString()
+    assert text.count("stddev_samp(") <= 4, text.count("stddev_samp(")  # two, as windows and as they are named
+    shown = [round(r.percentile, 1) for r in found.orderBy("isin").collect()]
+    z = [(x - 3.5) / math.sqrt(49 / 3) for x in (0, 1, 4, 9)]
+    assert shown == [round(50 * (1 + math.erf(v / math.sqrt(2))), 1) for v in z]
