@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.scalar import article_id, content_hash, news_id, normalise_text, strip_legal_suffix
+from factorloom.sources.store import written
 
 #: aliases up to which the dictionary is broadcast; a larger one is joined by shuffle
 BROADCAST_ALIASES = 2_000_000
@@ -118,7 +119,7 @@ def store_articles(articles: DataFrame, mentions: DataFrame, stored: DataFrame)
 
 def reresolved(old: DataFrame, new: DataFrame, scores: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """Changes between two resolutions, and the scores that outlive them: those of rows that were not removed."""
-    changes = resolution_changes(old, new, id_col)
+    changes = written(resolution_changes(old, new, id_col))
     return changes, scores.join(changes.where("change = 'REMOVED'").select(id_col, "isin"), [id_col, "isin"], "left_anti")
 
 

@@ -15,3 +15,9 @@ def test_a_query_that_reads_its_rows_twice_works_them_out_once(spark, name):
 def test_scores_of_runs_are_worked_out_once_for_all_tables_of_theirs(spark):
     told = kept.all_runs(registry.Model(spark, SF))[1]
     assert [f for f in told["positions"].inputFiles() if "/tables-" in f and "/rows/" in f]
+
+
+def test_a_resolution_and_its_changes_are_worked_out_once(spark):
+    found = registry.queries()["r7_reresolved"](spark, SF)
+    assert not [f for f in found.inputFiles() if "lineitem" in f]
+    assert {r.change: r.n for r in found.collect()}.keys() == {"REMOVED", "CHANGED", "SCORES"}
