@@ -136,12 +136,13 @@ def signed_scores(odds: DataFrame, labels: list[str]) -> DataFrame:
     return odds.select("text", F.element_at(names, best).alias("label"), (at("positive") - at("negative")).alias("score"))
 
 
-def resolution_changes(old: DataFrame, new: DataFrame, id_col: str) -> DataFrame:
-    """id, isin, change (ADDED, REMOVED, CHANGED) between two resolutions."""
+def resolution_changes(old: DataFrame, new: DataFrame, id_col: str, columns: list[str] = ()) -> DataFrame:
+    """id, isin, change (ADDED, REMOVED, CHANGED) between two resolutions, and ``columns`` of the new one (NULL where it has no row)."""
     a = old.select(id_col, "isin", F.struct("method", F.round("confidence", 4)).alias("old"))
-    b = new.select(id_col, "isin", F.struct("method", F.round("confidence", 4)).alias("new"))
+    b = new.select(id_col, "isin", F.struct("method", F.round("confidence", 4)).alias("new"), *(F.col(c).alias(f"_new_{c}") for c in columns))
     both = a.join(b, [id_col, "isin"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.select(id_col, "isin", F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").otherwise("CHANGED").alias("change"))
+    change = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").otherwise("CHANGED").alias("change")
+    return both.select(id_col, "isin", change, *(F.col(f"_new_{c}").alias(c) for c in columns))
 
 
 def score_once(rows: DataFrame, text: str, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -89,11 +89,15 @@ def readiness(latest: DataFrame, counted: DataFrame, as_of: Column, stale_days:
     return rows.select("isin", F.when(F.coalesce("n", F.lit(0)) == 0, "ABSENT").when((F.datediff(as_of, "last") > stale_days) | (F.col("n") < least), "PARTIAL").otherwise("PRESENT").alias("status"))
 
 
+def unrepeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows; a key that they repeat fails."""
+    times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return rows.withColumn("_n", F.when(times > 1, F.raise_error(F.lit(f"the source repeats a key of {keys}")).cast("long")).otherwise(times)).where("_n = 1").drop("_n")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The target with the source's rows in place of those with equal keys; an empty source changes nothing. A key that the source repeats fails."""
-    times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    once = source.withColumn("_n", F.when(times > 1, F.raise_error(F.lit(f"the source repeats a key of {keys}")).cast("long")).otherwise(times)).where("_n = 1")
-    return target.join(source.select(*keys), keys, "left_anti").unionByName(once.select(*target.columns))
+    return target.join(source.select(*keys), keys, "left_anti").unionByName(unrepeated(source, keys).select(*target.columns))
 
 
 def fill_from_index(rows: DataFrame, index: DataFrame, keys: list[str], columns: list[str], order: list[Column]) -> DataFrame:

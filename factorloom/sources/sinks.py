@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.news import resolution_changes
-from factorloom.operators.statements import upsert
+from factorloom.operators.statements import unrepeated, upsert
 from factorloom.sources.store import KeyedTable
 
 
@@ -87,10 +87,13 @@ def decide(reviews: DataFrame, fundamentals: DataFrame, decisions: DataFrame, at
 
 
 def reresolve(news: KeyedTable, scores: KeyedTable, new: DataFrame, id_col: str) -> None:
-    """Puts a new resolution in place of the stored one; scores of (id, isin) that it no longer holds go first, so that no reader finds a score without its row's reason."""
-    changes = resolution_changes(news.read(), new, id_col).select(id_col, "isin", "change").persist()
-    removed = changes.where("change = 'REMOVED'").select(id_col, "isin")
-    scores.delete(removed)
-    news.delete(removed)
-    news.upsert(new.join(changes.where("change <> 'REMOVED'").select(id_col, "isin"), [id_col, "isin"], "left_semi"))
-    changes.unpersist()
+    """Puts a new resolution in place of the stored one; scores of (id, isin) that it no longer holds go first, so that no reader finds a score without its row's reason.
+
+    A row of ``new`` without id or isin is not stored; a key that ``new`` repeats fails.
+    """
+    keys = [id_col, "isin"]
+    named = unrepeated(new.dropna(subset=keys), keys)
+    changes = news.stage(resolution_changes(news.read(), named, id_col, [c for c in new.columns if c not in keys]))
+    gone = F.col("change") == "REMOVED"
+    scores.delete(changes.where(gone).select(*keys))
+    news.change(changes, gone, ["change"])

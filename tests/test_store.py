@@ -124,3 +124,18 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert t.read().count() == 60_000
     t.delete(spark.range(30_000).withColumnRenamed("id", "k"))
     assert rows(t.read().agg(F.min("k"), F.count("*"))) == [(30_000, 30_000)]
+
+
+def test_a_resolution_is_stored_in_one_version_and_a_replacement_is_written_once(spark, tmp_path):
+    news, scores = KeyedTable(spark, str(tmp_path / "n"), ["id", "isin"]), KeyedTable(spark, str(tmp_path / "s"), ["id", "isin"])
+    schema = "id string, isin int, method string, confidence double"
+    news.replace(spark.createDataFrame([("a", 1, "HEADLINE", 0.9), ("b", 1, "HEADLINE", 0.9)], schema))
+    assert len(list((tmp_path / "n" / "data").iterdir())) == 1  # no copy beside the version's own files
+    scores.replace(news.read().select("id", "isin", F.lit(1.0).alias("score")))
+    new = [("a", 1, "BODY", 0.6, "x"), ("d", 4, "HEADLINE", 0.9, "y"), ("e", None, "HEADLINE", 0.9, "z")]
+    K.reresolve(news, scores, spark.createDataFrame(new, schema + ", why string"), "id")
+    assert news.versions() == [1, 2] and rows(news.read()) == new[:2]  # what goes and what comes is one change
+    assert [r[:2] for r in rows(scores.read())] == [("a", 1)]
+    with pytest.raises(Exception, match="repeats a key"):
+        K.reresolve(news, scores, spark.createDataFrame([new[0][:4], ("a", 1, "HEADLINE", 0.9)], schema), "id")
+    assert news.versions() == [1, 2] and scores.versions() == [1, 2]
