@@ -121,30 +121,47 @@ class Attention:
         query, key = np.arange(STEP)[:, None] + CONTEXT - 1, np.arange(SPAN - 1)[None, :]
         self._gap = np.maximum(query - key, 0)
         self._seen = key <= query
+        # sums over rows of an array come sooner as products
+        self._held: dict[str, np.ndarray] = {}
+        self._keys, self._classes = np.ones((SPAN - 1, 1), np.float32), np.ones((CLASSES, 1), np.float32)
 
     def embedded(self, seen: np.ndarray) -> np.ndarray:
-        x = self.w["class"].take(self._input.take(seen), axis=0)
-        x += self.w["id"].take(seen, axis=0)
-        return x
+        at = seen.ravel()
+        x = self.w["class"].take(self._input.take(at), axis=0, out=self._room("x", at.size, WIDTH), mode="clip")  # with "raise", a copy would be made
+        x += self.w["id"].take(at, axis=0, out=self._room("own", at.size, WIDTH), mode="clip")
+        return x.reshape(*seen.shape, WIDTH)
+
+    def _room(self, name: str, n: int, *shape: int) -> np.ndarray:
+        """An array that the next step writes over; taking new memory for each step costs more than its sums."""
+        if name not in self._held or len(self._held[name]) < n:
+            self._held[name] = np.zeros((n, *shape), np.float32)
+        return self._held[name][:n]
+
+    def near(self) -> np.ndarray:
+        """What nearness adds for each query and key; keys that come later are not seen."""
+        return np.where(self._seen, self.w["near"][self._gap], np.float32(-1e9))
 
     def attend(self, seen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """seen: ids of windows but for their last one. Embeddings, queries, keys, values, weights and what they gather."""
+        """seen: ids of windows but for their last one. Embeddings, queries, keys, values, weights, their sums and what they gather."""
         x = None
         if self._known is None:
             x = self.embedded(seen)
-            qkv = np.matmul(x.reshape(-1, WIDTH), self.w["qkv"]).reshape(*seen.shape, 3 * WIDTH)
+            qkv = np.matmul(x.reshape(-1, WIDTH), self.w["qkv"], out=self._room("qkv", seen.size, 3 * WIDTH))
         else:
-            qkv = self._known.take(seen, axis=0)
+            qkv = self._known.take(seen.ravel(), axis=0, out=self._room("qkv", seen.size, 3 * WIDTH), mode="clip")
+        qkv = qkv.reshape(*seen.shape, 3 * WIDTH)
         q, k, v = qkv[:, CONTEXT - 1 :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += np.where(self._seen, self.w["near"][self._gap], np.float32(-1e9))
-        np.exp(np.minimum(s, 30, out=s), out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        return x, q, k, v, s, np.matmul(s, v)
+        s = np.matmul(q, k.transpose(0, 2, 1), out=self._room("s", len(seen), STEP, SPAN - 1))
+        s += self.near()
+        bounded_exp(s, 30)
+        sums = np.matmul(s, self._keys)
+        a = np.matmul(s, v)
+        a /= sums
+        return x, q, k, v, s, sums, a
 
     def odds(self, windows: np.ndarray, gathered: np.ndarray) -> np.ndarray:
-        z = np.matmul(gathered.reshape(-1, WIDTH), self.w["out"])
-        z += self.follow[self._input[windows[:, CONTEXT - 1 : -1].ravel()]]
+        z = np.matmul(gathered.reshape(-1, WIDTH), self.w["out"], out=self._room("z", len(windows) * STEP, CLASSES))
+        z += self.follow.take(self._input.take(windows[:, CONTEXT - 1 : -1].ravel()), axis=0, out=self._room("follow", len(z), CLASSES), mode="clip")
         return z
 
     def targets(self, windows: np.ndarray) -> np.ndarray:
@@ -154,33 +171,38 @@ class Attention:
         """Logarithm of the odds of each scored id's class."""
         if self._known is None:
             self._known = self.embedded(np.arange(self.before + 1)) @ self.w["qkv"]
-        z = self.odds(windows, self.attend(windows[:, :-1])[5])
+        z = self.odds(windows, self.attend(windows[:, :-1])[-1])
         picked = z[np.arange(len(z)), self.targets(windows)]
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        return (picked - np.log(z.sum(axis=1))).reshape(len(windows), STEP)
+        bounded_exp(z, 60)
+        return (picked - np.log(np.matmul(z, self._classes)[:, 0])).reshape(len(windows), STEP)
 
-    def learn(self, windows: np.ndarray, real: np.ndarray) -> None:
-        """One step on the scored ids that are real: of Adam, and of Adagrad for ids' own embeddings, of which a step sees few."""
-        self._known = None
-        x, q, k, v, p, a = self.attend(windows[:, :-1])
+    def gradients(self, windows: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of shared weights, and of what each id but a window's last is embedded as. weight: of each scored id."""
+        x, q, k, v, s, sums, a = self.attend(windows[:, :-1])
         z = self.odds(windows, a)
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        z *= (real.ravel() / max(real.sum(), 1)).astype(np.float32)[:, None] / z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), self.targets(windows)] -= real.ravel() / np.float32(max(real.sum(), 1))
-        flat = a.reshape(-1, WIDTH)
-        grad = {"out": flat.T @ z}
-        da = (z @ self.w["out"].T).reshape(a.shape)
-        ds = np.matmul(da, v.transpose(0, 2, 1))
-        ds -= np.einsum("bsk,bsk->bs", ds, p)[:, :, None]
-        ds *= p
-        d = np.zeros((*x.shape[:2], 3 * WIDTH), np.float32)
+        bounded_exp(z, 60)
+        z *= weight[:, None] / np.matmul(z, self._classes)
+        z[np.arange(len(z)), self.targets(windows)] -= weight
+        grad = {"out": a.reshape(-1, WIDTH).T @ z}
+        da = np.matmul(z, self.w["out"].T, out=self._room("da", len(z), WIDTH)).reshape(a.shape)
+        da /= sums  # weights are s / sums
+        ds = np.matmul(da, v.transpose(0, 2, 1), out=self._room("ds", len(windows), STEP, SPAN - 1))
+        ds -= np.einsum("bsw,bsw->bs", da, a)[:, :, None]
+        ds *= s
+        d = self._room("d", len(windows), SPAN - 1, 3 * WIDTH)  # the first keys are no queries: there it stays 0
         d[:, CONTEXT - 1 :, :WIDTH] = np.matmul(ds, k)
         d[:, :, WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
-        d[:, :, 2 * WIDTH :] = np.matmul(p.transpose(0, 2, 1), da)
+        d[:, :, 2 * WIDTH :] = np.matmul(s.transpose(0, 2, 1), da)
         d = d.reshape(-1, 3 * WIDTH)
         grad["near"] = np.bincount(self._gap.ravel(), (ds.sum(axis=0) * self._seen).ravel(), SPAN).astype(np.float32)
         grad["qkv"] = x.reshape(-1, WIDTH).T @ d
-        seen, of_ids = summed(windows[:, :-1].ravel(), d @ self.w["qkv"].T)
+        return grad, np.matmul(d, self.w["qkv"].T, out=self._room("dx", len(d), WIDTH))
+
+    def learn(self, windows: np.ndarray, real: np.ndarray) -> None:
+        """One step on the scored ids that are real: of Adam, and of Adagrad for ids' own embeddings, of which a step sees few."""
+        self._known = None
+        grad, of_seen = self.gradients(windows, (real.ravel() / max(real.sum(), 1)).astype(np.float32))
+        seen, of_ids = summed(windows[:, :-1].ravel(), of_seen)
         grad["class"] = np.zeros_like(self.w["class"])
         classes, of_classes = summed(self._input[seen], of_ids)
         grad["class"][classes] = of_classes
@@ -203,14 +225,19 @@ class Attention:
         return rows, weight[rows]
 
 
+def bounded_exp(x: np.ndarray, most: float) -> None:
+    """e to the power of each number, or of ``most`` where that is less, in its place."""
+    if x.size and x.max() > most:
+        np.minimum(x, most, out=x)
+    np.exp(x, out=x)
+
+
 def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of ``at``, ascending, and the sum of each one's rows."""
     order = np.argsort(at, kind="stable")
     at = at[order]
-    last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
-    sums = np.cumsum(rows[order], axis=0, dtype=np.float64)[last]
-    sums[1:] -= sums[:-1].copy()
-    return at[last], sums.astype(rows.dtype)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    return at[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def windows_of(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, before: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,9 +371,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         subwords = shared(tokenizer)
         end = np.uint16(subwords.tokenizer.get_vocab_size() - 1)
         for batch in small_batches(batches):
-            ids, at = subwords.encode([t or "" for t in batch["text"].to_pylist()])
-            ids = ids.astype(np.uint16)
-            held = [pack_ids(np.append(ids[a:b], end)) for a, b in zip(at, at[1:])]
+            held = [pack_ids(np.append(ids, end)) for ids in subwords.each([t or "" for t in batch["text"].to_pylist()])]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "h": batch["h"], "held_out": batch["held_out"], "ids": pa.array(held, pa.binary())})
 
     encoded = saved(rows.mapInArrow(encode, "doc_id long, h long, held_out boolean, ids binary"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factorloom.llm import decontamination, embedding_dedup, html_text, language_model, secret_scan, toxicity
 from factorloom.llm.components import connected_components
 from factorloom.llm.packing import pack_documents, plan_bins
+from factorloom.llm.subwords import Subwords
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,6 +168,33 @@ def test_attention_tells_ids_of_a_class_apart():
     assert -scores.mean() < 0.3  # log(2) if the ids were alike
 
 
+def test_a_step_of_learning_takes_no_new_memory_and_texts_are_encoded_whole():
+    rng = np.random.default_rng(2)
+    model = language_model.Attention(np.log(rng.dirichlet(np.ones(language_model.CLASSES), language_model.CLASSES + 1)))
+    windows, _, real = language_model.windows_of(rng.integers(0, language_model.CLASSES, 6000).astype(np.uint8), np.array([6000]), np.array([0]))
+    model.learn(windows, real)
+    held = dict(model._held)
+    # gradients by hand, of the rows that odds are worked out from; a smaller step works in the same arrays
+    few, weight = windows[:20], np.full(20 * language_model.STEP, 1 / (20 * language_model.STEP), np.float32)
+    loss = lambda: -model.score(few).mean(dtype=float)
+    grad = {n: g.copy() for n, g in model.gradients(few, weight)[0].items()}
+    assert all(model._held[n] is x for n, x in held.items())
+    for name, at in (("out", (3, 5)), ("qkv", (2, 7)), ("qkv", (4, 20)), ("qkv", (1, 40)), ("near", (2,))):
+        was, told = model.w[name][at], []
+        for step in (0.05, -0.05):
+            model.w[name][at], model._known = was + step, None
+            told.append(loss())
+        model.w[name][at], model._known = was, None
+        assert abs((told[0] - told[1]) / 0.1 - grad[name][at]) < 0.05 * max(abs(float(g)) for g in grad[name].ravel())
+    # every text is a word that comes once
+    subwords = Subwords()
+    texts = ["a word's  two\n\nlines\t", "", " \x1cx \x00", "中文 ab\u00a0 c\x85", "<|endoftext|> x <|endoftext|>", " " * 250_000 + "b", *("".join(rng.choice(list("ab c\n1é-'"), 30)) for _ in range(300))]
+    got = subwords.each(texts)
+    assert not any(t in subwords._index for t in texts[6:]) and len(subwords._index) < 60  # no chunk is kept of those that are encoded whole
+    ids, at = subwords.encode(texts)
+    assert [g.tolist() for g in got] == [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.toxicity_scores(docs, labels)
