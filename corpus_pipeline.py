@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``. ``run`` writes each stage's rows as Parquet and reads them
 again, so a stage's lineage ends at files that every executor can read. The files lie in
-the folder that ``spark.checkpoint.dir`` names, and stay there for whoever restarts a stage.
+the folder that ``spark.checkpoint.dir`` names, and stay there for whoever restarts a stage;
+what a stage has shuffled is gone when it is written.
 
 In every stage columns may have any names and hold nulls; null and empty texts and null
 ids are rows like others; empty tables give no rows. What ties, repeated rows and repeated
@@ -16,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm.components import shared_folder
+from factorloom.llm.components import freeing, shared_folder
 from factorloom.llm.decontamination import decontaminate
 from factorloom.llm.jaccard_groups import keep_one
 from factorloom.llm.packing import pack_documents
@@ -63,11 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, one after the other."""
     folder = shared_folder(spark)
     docs = _table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        rows = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return rows
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}/{k}-{name}"
-        rows.write.parquet(path)
+        with freeing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,15 +7,16 @@ reaches a threshold. Every step below keeps all linked pairs:
 2. a shingle that no other set holds can't be shared: a set with more of them than the
    threshold leaves room for has no partner and leaves. A third of the shingles tells of
    most sets; the rest are judged by all of theirs, among themselves, again while many leave.
-3. the rest are partitioned into *families*. A set's shingles are dealt into more parts
-   than two linked sets can differ in, so linked sets agree in a part; equal parts join
-   families.
+3. the rest are partitioned into *families*. A set's shingles are ordered by how many sets
+   hold them, rarest first; linked sets share one of the first, of which there is one more
+   than a partner may lack. Such a shared one joins families. Passages that many documents
+   quote stand last, so they chain no families together.
 4. inside a family, similar sets stand together in groups. A matrix holds each group's
    shingle union; a query opens a group only if its overlap with the union reaches what
    a link needs, and only opened groups are compared member by member.
 
 A family larger than a block is compared block by block: first within blocks (of similar
-sets) and with some leaders. Only sets that share a part with a set of another component
+sets) and with some leaders. Only sets that share a key with a set of another component
 are left then; they form smaller families, in which all but the largest component go round
 the blocks.
 """
@@ -40,8 +41,8 @@ _U = np.uint64
 BLOCK, LEADERS, GROUP, OPENED = 2048, 64, 16, 256
 #: one shingle in SAMPLE is looked up to find sets with too many shingles of their own; sets under SMALL look up all
 SAMPLE, SMALL = 3, 96
-#: parts beyond the most that linked sets differ in; sets with more empty parts go by single shingles
-SLACK = 3
+#: least numbers of sets of the levels by which shingles are ordered: each number to 64, then eight levels an octave, so that a byte tells them
+LEVELS = np.unique(np.append(np.arange(1, 65), 64 * 2 ** (np.arange(1, 191) / 8)).astype(np.int64))
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,40 +70,11 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def differ_at_most(n: int, percent: int) -> int:
-    """The most shingles in which two linked sets differ, the smaller of size n."""
-    return n * (100 - percent) // percent
-
-
-def size_bands(percent: int, top: int) -> np.ndarray:
-    """Lower limits of bands of sizes; a partner's size is at most one band away."""
-    out = [1]
-    while out[-1] <= top:
-        out.append(max(out[-1] + 1, out[-1] * 100 // percent))
-    return np.array(out, np.int64)
-
-
-def part_signatures(tokens: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
-    """Keys of one set such that linked sets share one: hashes of its parts, in its own band of sizes and, as the larger of a pair, the one below."""
+def rarest(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of one set such that linked sets share one: its first shingles by level and hash, without those that no other set holds."""
     n = len(tokens)
-    band = int(np.searchsorted(bands, n, "right")) - 1
-    out = []
-    for b in (band, band - 1):
-        if b < 0 or (b < band and bands[b + 1] - 1 < needed(np.int64(n), percent)):
-            continue
-        largest = int(bands[b + 1]) - 1
-        parts = differ_at_most(largest, percent) + 1 + SLACK
-        dealt = mix(tokens ^ _U(0xA0761D6478BD642F * (b + 1) % (1 << 64)))
-        part = (dealt % _U(parts)).astype(np.int64)
-        sums = np.zeros(parts, _U)
-        np.add.at(sums, part, dealt)
-        filled = np.bincount(part, minlength=parts)
-        live = np.flatnonzero(filled)
-        out.append(mix(sums[live] + mix((live + parts * (b + 1)).astype(_U))))
-        if parts - len(live) > SLACK:
-            # equal parts may all be empty; then the partner has as many empty parts and comes here too
-            out.append(mix(tokens[: n - int(needed(np.int64(n), percent)) + 1] + _U(b + 1)))
-    return np.unique(np.concatenate(out))
+    first = np.lexsort((tokens, levels))[: n - int(needed(np.int64(n), percent)) + 1]
+    return tokens[first[levels[first] > 1]]
 
 
 def linked_pairs(sets: list[np.ndarray], queries: np.ndarray, members: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +140,6 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     signed = saved(docs.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long"))
     reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    bands = size_bands(percent, 1 << 40)
 
     # 2. sets with too many shingles of their own leave
     bucketed = docs.where("doc_id is not null").select("doc_id", "text", blobs.bucket_of(n_docs, F.col("doc_id")).alias("src"))
@@ -202,7 +173,7 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     def answer_tokens(table: pa.Table) -> pa.Table:
         sources, sizes, (tokens,) = blobs.gathered(table, "u8")
         _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        return blobs.answer_table(table["kb"][0].as_py(), sources, (counts == 1)[inverse].astype(np.uint8), sizes)
+        return blobs.answer_table(table["kb"][0].as_py(), sources, np.searchsorted(LEVELS, counts, "right")[inverse].astype(np.uint8), sizes)
 
     def survivors(table: pa.Table, said: pa.Table) -> pa.Table:
         steps = np.array(said["kb"].to_pylist())
@@ -212,7 +183,7 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
             ids, tokens, at = rep_sets(table, chosen)
             asked = looked_up(tokens, at)
             own = np.zeros(len(tokens), np.int64)
-            own[asked] = blobs.answers(said.filter(pa.array(steps >= 0)), tokens[asked], n_keys, "u1")
+            own[asked] = blobs.answers(said.filter(pa.array(steps >= 0)), tokens[asked], n_keys, "u1") == 1
             sizes = np.diff(at)
             # a partner of a small set might not have looked up all of its own
             if len(tokens):
@@ -244,32 +215,37 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     def prune(table: pa.Table, said: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return table.select(["doc_id", "tokens"])
+            return table.select(["doc_id", "tokens"]).append_column("rare", pa.array([], pa.binary()))
         table, tokens, at = held_sets(table)
-        own = np.append(0, np.cumsum(blobs.answers(said, tokens, n_keys, "u1").astype(np.int64)))
+        levels = blobs.answers(said, tokens, n_keys, "u1")
+        own = np.append(0, np.cumsum(levels == 1))
         sizes = np.diff(at)
-        return table.select(["doc_id", "tokens"]).filter(pa.array(own[at[1:]] - own[at[:-1]] <= sizes - needed(sizes, percent)))
+        stay = np.flatnonzero(own[at[1:]] - own[at[:-1]] <= sizes - needed(sizes, percent))
+        keys = [rarest(tokens[at[i] : at[i + 1]], levels[at[i] : at[i + 1]], percent).tobytes() for i in stay]
+        return table.select(["doc_id", "tokens"]).take(pa.array(stay)).append_column("rare", pa.array(keys, pa.binary()))
 
     # now by all shingles, among the sets that are left, until few more leave
     left = sets.count()
+    if not left:
+        sets = sets.withColumn("rare", F.lit(b""))
     while left:
-        placed = sets.withColumn("src", blobs.bucket_of(n_docs, F.col("doc_id")))
+        placed = sets.select("doc_id", "tokens", blobs.bucket_of(n_docs, F.col("doc_id")).alias("src"))
         alone = placed.groupBy("src").applyInArrow(send_all, blobs.PACKED).groupBy("kb").applyInArrow(answer_tokens, blobs.PACKED)
-        sets = saved(placed.groupBy("src").cogroup(alone.groupBy("src")).applyInArrow(prune, "doc_id long, tokens binary"))
+        sets = saved(placed.groupBy("src").cogroup(alone.groupBy("src")).applyInArrow(prune, "doc_id long, tokens binary, rare binary"))
         before, left = left, sets.count()
         if left > 0.9 * before:
             break
 
     # 3. families
-    def send_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [part_signatures(np.frombuffer(t, _U), percent, bands) for t in batch["tokens"].to_pylist()]
+            keys = [np.frombuffer(t, _U) for t in batch["rare"].to_pylist()]
             if keys:
                 counts = [len(k) for k in keys]
                 ids, own = (np.repeat(np.array(batch[c].to_pylist(), np.int64), counts) for c in ("doc_id", "component"))
                 yield from blobs.packed_rows(0, np.concatenate(keys), n_keys, ids, own).to_batches()
 
-    def join_parts(table: pa.Table) -> pa.Table:
+    def join_keys(table: pa.Table) -> pa.Table:
         """The sets of each key point at its least; keys within one component join nothing."""
         _, _, (keys, ids, own) = blobs.gathered(table, "u8", "i8", "i8")
         order = np.lexsort((ids, keys))
@@ -283,8 +259,8 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     def families_of(rows: DataFrame) -> DataFrame:
-        """doc_id, family, blocks, block. rows: doc_id, tokens, component. Sets of one least shingle share a block, unless they are too many for one."""
-        joined = rows.mapInArrow(send_parts, blobs.PACKED).groupBy("kb").applyInArrow(join_parts, "a long, b long")
+        """doc_id, family, blocks, block. rows: doc_id, rare, component. Sets of one least shingle share a block, unless they are too many for one."""
+        joined = rows.select("doc_id", "rare", "component").mapInArrow(send_keys, blobs.PACKED).groupBy("kb").applyInArrow(join_keys, "a long, b long")
         family = connected_components(joined).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
         least = sets.groupBy("doc_id").agg(F.min(F.substring("tokens", 1, 8)).alias("least"))
         sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -318,14 +294,14 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     def links(rows: DataFrame) -> DataFrame:
         dealt = rows.withColumn("task", F.pmod(F.xxhash64("family", "part", "block"), F.lit(tasks)).cast("int"))
-        return dealt.join(sets, "doc_id").groupBy("task").applyInArrow(compare, "a long, b long")
+        return dealt.join(sets.select("doc_id", "tokens"), "doc_id").groupBy("task").applyInArrow(compare, "a long, b long")
 
     def all_blocks(rows: DataFrame) -> DataFrame:
         return rows.select("family", F.col("block").alias("to")).distinct()
 
     member = lambda m, q, part=F.lit(0): (F.col("block"), part.cast("int").alias("part"), F.lit(m).alias("member"), F.lit(q).alias("query"))
     # a family of one block is settled by its task: what it sends are its components
-    found = links(placed.where("blocks = 1").select("doc_id", "family", *member(True, True))).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = saved(links(placed.where("blocks = 1").select("doc_id", "family", *member(True, True))).select(F.col("a").alias("node"), F.col("b").alias("component")))
     large = placed.where("blocks > 1")
     if large.limit(1).count():
         rank = F.row_number().over(Window.partitionBy("family", "block").orderBy("doc_id"))
@@ -334,8 +310,8 @@ def shingle_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         edges = saved(links(large.select("doc_id", "family", *member(True, True)).unionByName(visiting)).distinct())
         now = connected_components(edges)
         now = saved(large.select("doc_id").join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        # what is left: sets that share a part with another component's
-        again = families_of(sets.join(now, "doc_id"))
+        # what is left: sets that share a key with another component's
+        again = families_of(sets.select("doc_id", "rare").join(now, "doc_id"))
         counts = again.join(now, "doc_id").groupBy("family", "component").agg(F.count("*").alias("rows"))
         main = counts.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.ceil((F.sum("rows") - F.max("rows")) / BLOCK).alias("parts"))
         rest = saved(again.join(now, "doc_id").join(main, "family").where("component <> main").select("doc_id", "family", (1 + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts"))).alias("p")))

@@ -1,6 +1,7 @@
 import random
+import time
 
-from factorloom.llm.components import connected_components, fresh
+from factorloom.llm.components import FREEING, connected_components, fresh, saved
 from factorloom.llm.jaccard_groups import keep_one
 
 
@@ -24,6 +25,21 @@ def test_components_with_a_hub(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_saved_rows_leave_no_shuffle_files(spark):
+    def shuffled():
+        return {b for b in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+    setting, before = spark.conf.get(FREEING, None), shuffled()
+    rows = spark.range(5000).selectExpr("id % 700 AS k", "id").groupBy("k").sum("id")
+    kept = saved(rows)
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(FREEING, None) == setting
+    assert kept.count() == rows.count() == 700 and rows.count() == 700
+
+
 def test_fresh():
     assert fresh("node", ["a"]) == "node" and fresh("node", ["Node", "node_"]) == "node__"
 

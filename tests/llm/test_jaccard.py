@@ -67,3 +67,24 @@ def test_keep_one_leaves_one_of_each_group(docs):
     assert kept.columns == docs.columns
     ids = {r.component_id for r in J.shingle_components(docs, 5, 80).collect()}
     assert {r.doc_id for r in kept.select("doc_id").collect()} == ids
+
+
+def test_passages_that_many_documents_quote_chain_no_families(spark, monkeypatch):
+    """Pairs of near copies; every document also quotes one passage, which no two pairs are alike for."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for _ in range(40):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(len(rows), " ".join(own + passage)), (len(rows) + 1, " ".join(own + passage[:-1]))]
+    sizes = []
+
+    def seen(edges, found=J.connected_components):
+        out = found(edges)
+        sizes.append(max((r["count"] for r in out.groupBy("component").count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(J, "connected_components", seen)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(repr(tuple(r)) for r in J.shingle_components(frame).collect()) == brute(rows)
+    assert sizes == [2]
